@@ -3,15 +3,40 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .external_shuffle import digests
+from .mixing_tree import taken
+from .ogg_media import read, store
 from .simhash_golay import near_duplicates
+from .token_repair import token_positions
+
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_positions(table(spark, sf_dir, "documents"))
+
+
+def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(table(spark, sf_dir, "documents")).drop("draws")
+
+
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(store(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_token_repair": op2_token_repair,
+    "op3_external_shuffle": op3_external_shuffle,
+    "op5_mixing_tree": op5_mixing_tree,
+    "op6_ogg_media": op6_ogg_media,
 }
 
 SQL: dict[str, str] = {}
