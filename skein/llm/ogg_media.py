@@ -39,16 +39,18 @@ def page_crc(page: bytes) -> int:
 
 
 def pages(serial: int, packets: list[bytes], granules: list[int], segments: int = 255) -> list[tuple[int, bytes]]:
-    """(granule, page) of one logical stream; a page holds up to ``segments`` lacing values."""
+    """(granule, page) of one logical stream: the first packet alone, then up to ``segments`` lacing values a page."""
     lacing = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+    head_values = len(packets[0]) // 255 + 1
+    cuts = [*range(0, head_values, segments), *range(head_values, len(lacing), segments), len(lacing)]
     body, at, done, out, open_packet = b"".join(packets), 0, 0, [], False
-    for k in range(0, max(1, len(lacing)), segments):
-        part = lacing[k : k + segments]
+    for number, (k, end) in enumerate(zip(cuts[:-1], cuts[1:])):
+        part = lacing[k:end]
         size, ended = sum(part), len(part) - part.count(255)
         done += ended
-        flags = CONTINUED * open_packet | FIRST * (k == 0) | LAST * (k + segments >= len(lacing))
+        flags = CONTINUED * open_packet | FIRST * (number == 0) | LAST * (end == len(lacing))
         granule = granules[done - 1] if ended else -1
-        head = struct.pack("<4sBBqIII", CAPTURE, 0, flags, granule, serial, k // segments, 0) + bytes([len(part)]) + part
+        head = struct.pack("<4sBBqIII", CAPTURE, 0, flags, granule, serial, number, 0) + bytes([len(part)]) + part
         page = head + body[at : at + size]
         out.append((granule, page[:22] + page_crc(page).to_bytes(4, "little") + page[26:]))
         open_packet, at = bool(part) and part[-1] == 255, at + size
