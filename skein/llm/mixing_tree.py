@@ -107,7 +107,7 @@ def _planned(rows: DataFrame, names: dict[str, str], stats: DataFrame, outputs:
     key, size, hashed = F.col(names["key"]), F.col(names["size"]), F.col(names["hash"])
     sums = written(stats.groupBy("key", F.pmod("hash", F.lit(n)).alias("part")).agg(F.sum("size").alias("words")), "mix-sums")
     sources = sums.groupBy("key").agg(F.sum("words").alias("source_size")).withColumn("is_null", F.col("key") == "")
-    quotas = written(sources.groupBy(F.lit(0)).applyInArrow(lambda t: _quotas(t, outputs, seed, block_words), QUOTAS), "mix-quotas")
+    quotas = written(sources.withColumn("every", F.lit(0)).groupBy("every").applyInArrow(lambda t: _quotas(t, outputs, seed, block_words), QUOTAS), "mix-quotas")
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("key", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
     small = quotas.count() * (outputs + 12) * 8 <= BROADCAST_BYTES
