@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import log_templates
 from .common import table
 from .external_shuffle import digests
 from .mixing_tree import taken
@@ -31,12 +32,17 @@ def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(store(table(spark, sf_dir, "documents")))
 
 
+def op7_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_templates.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_repair": op2_token_repair,
     "op3_external_shuffle": op3_external_shuffle,
     "op5_mixing_tree": op5_mixing_tree,
     "op6_ogg_media": op6_ogg_media,
+    "op7_log_templates": op7_log_templates,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op7_log_templates": log_templates.SQL}
