@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import log_templates
+from . import decontaminate, log_templates
 from .common import table
 from .external_shuffle import digests
 from .mixing_tree import taken
@@ -36,6 +36,10 @@ def op7_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_templates.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_repair": op2_token_repair,
@@ -43,6 +47,7 @@ QUERIES = {
     "op5_mixing_tree": op5_mixing_tree,
     "op6_ogg_media": op6_ogg_media,
     "op7_log_templates": op7_log_templates,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 SQL = {"op7_log_templates": log_templates.SQL}
