@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, log_templates
+from . import decontaminate, log_templates, quality_pu
 from .common import table
 from .external_shuffle import digests
 from .mixing_tree import taken
@@ -40,6 +40,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_repair": op2_token_repair,
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_ogg_media": op6_ogg_media,
     "op7_log_templates": op7_log_templates,
     "op8_decontaminate": op8_decontaminate,
+    "op10_quality_pu": op10_quality_pu,
 }
 
 SQL = {"op7_log_templates": log_templates.SQL}
