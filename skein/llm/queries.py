@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, log_templates, quality_pu
+from . import decontaminate, langid_unigram, log_templates, quality_pu
 from .common import table
 from .external_shuffle import digests
 from .mixing_tree import taken
@@ -24,6 +24,10 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op4_langid_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_unigram.predictions(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(table(spark, sf_dir, "documents")).drop("draws")
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_repair": op2_token_repair,
     "op3_external_shuffle": op3_external_shuffle,
+    "op4_langid_unigram": op4_langid_unigram,
     "op5_mixing_tree": op5_mixing_tree,
     "op6_ogg_media": op6_ogg_media,
     "op7_log_templates": op7_log_templates,
