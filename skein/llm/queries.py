@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid_unigram, log_templates, quality_pu
+from . import decontaminate, langid_unigram, log_templates, quality_pu, toxicity_channel
 from .common import table
 from .external_shuffle import digests
 from .mixing_tree import taken
@@ -44,6 +44,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_channel.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_ogg_media": op6_ogg_media,
     "op7_log_templates": op7_log_templates,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity_channel": op9_toxicity_channel,
     "op10_quality_pu": op10_quality_pu,
 }
 
