@@ -147,14 +147,15 @@ def mix(docs: DataFrame, outputs: int = OUTPUTS, seed: int = SEED, block_words:
     A document that the target cuts keeps its first words, joined by single spaces; n_chars, if there, follows the text.
     """
     shard, slot = fresh(docs.columns, "shard", "slot")
-    rows, names = sized(docs, seed)
+    rows, names = sized(docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", "text"), seed)
     stats = written(rows.select(*[F.col(v).alias(k) for k, v in names.items()]), "mix-sizes")
     out = _planned(rows, names, stats, outputs, seed, block_words).withColumn("_d", F.explode(F.filter("_p.draws", lambda x: x["words"] > 0)))
     cut = F.col("_d.words") < F.col(names["size"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_d.words").cast("int")), " ")).otherwise(F.col("text"))
-    order = Window.partitionBy(shard).orderBy(F.xxhash64(F.lit(seed), names["hash"], "_d.epoch"), names["hash"], "_d.epoch")
-    out = out.withColumn("text", text).withColumn(shard, F.col("_d.shard"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.withColumn(slot, F.row_number().over(order) - 1).select(*docs.columns, shard, slot)
+    order = Window.partitionBy("_d.shard").orderBy(F.xxhash64(F.lit(seed), names["hash"], "_d.epoch"), names["hash"], "_d.epoch")
+    out = out.withColumn("text", text).withColumn("_slot", F.row_number().over(order) - 1)
+    columns = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(columns["n_chars"])
+    return out.select(*(v.alias(k) for k, v in columns.items()), F.col("_d.shard").alias(shard), F.col("_slot").alias(slot))
