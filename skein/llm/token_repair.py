@@ -28,7 +28,9 @@ from .common import partitions, process_cache, written
 END = 0
 MAGIC = b"RPG1"
 BROADCAST_ROWS = 100_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
+# Marks that the tokenizer's pattern keeps in one piece; an apostrophe may begin a contraction.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -53,43 +55,56 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.feed = self._plain("\n")
         self.known: dict[str, bytes] = {"\n": self.feed}
+        self.tails: dict[str, bytes] = {"": b""}
         self.spaces = re.compile(r"\s\s")
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _joined(self, text: str) -> list[bytes]:
-        """Ids of the stretches between line feeds, each with the line feed before it but the first."""
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ids == int.from_bytes(self.feed, "little")) * 4
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(raw)])]
+    def _joined(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of the stretches that begin with a line feed in each of the texts, one after the other."""
+        feed = int.from_bytes(self.feed, "little")
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(found.ids, "<u4")
+            cuts = (np.flatnonzero(ids == feed) * 4).tolist()
+            raw = ids.tobytes()
+            yield from (raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)]))
 
     def learn(self, words: set[str]) -> None:
-        after_space, after_feed = [], []
+        """Ids of words; letters and the marks after them are tokenized apart, as the pattern cuts between them."""
+        made, bare = [], set()
         for w in words:
-            if not w or w[-1].isspace():
-                self.known[w] = self._plain(w if w[:1] == "\n" else " " + w)
+            core = w.lstrip("\n")
+            base = core.rstrip(TAIL)
+            if base.isalpha() and len(w) - len(core) < 2:
+                tail = core[len(base) :]
+                if tail not in self.tails:
+                    self.tails[tail] = self._plain(tail)
+                key = w[: len(w) - len(tail)]
+                if key not in self.known:
+                    bare.add(key)
+                if tail:
+                    made.append((w, key, tail))
             else:
-                (after_feed if w[0] == "\n" else after_space).append(w)
-        for k in range(0, len(after_space), 20_000):
-            part = after_space[k : k + 20_000]
-            found = self._joined("\n " + "\n ".join(part))
-            self.known.update(zip(part, (x[4:] for x in found[1:]), strict=True))
-        for k in range(0, len(after_feed), 20_000):
-            part = after_feed[k : k + 20_000]
-            self.known.update(zip(part, self._joined("".join(part))[1:], strict=True))
+                self.known[w] = self._plain(w if w[:1] == "\n" else " " + w)
+        after_feed, after_space = [w for w in bare if w[0] == "\n"], [w for w in bare if w[0] != "\n"]
+        self.known.update(zip(after_space, (x[4:] for x in self._joined(["\n " + "\n ".join(p) for p in itertools.batched(after_space, 1000)])), strict=True))
+        self.known.update(zip(after_feed, self._joined(["".join(p) for p in itertools.batched(after_feed, 1000)]), strict=True))
+        self.known.update((w, self.known[key] + self.tails[tail]) for w, key, tail in made)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if self.spaces.search(t) else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
         new = set(itertools.chain.from_iterable(x for x in split if x)).difference(self.known)
+        before = len(self.known)
         self.learn(new)
         get = self.known.__getitem__
         out = [self._plain(t) if x is None else b"".join(map(get, x))[4:] for t, x in zip(texts, split)]
         if len(self.known) > CACHED_WORDS:
-            for w in new:
-                del self.known[w]
+            while len(self.known) > before:
+                self.known.popitem()
+        if len(self.tails) > CACHED_WORDS:
+            self.tails = {"": b""}
         return out
 
 
