@@ -1,0 +1,14 @@
+"""The folder that driver and executors share."""
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="skein-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
