@@ -20,15 +20,16 @@ from .common import fresh, written
 
 LEAD, SIMILARITY, MIN_DOCS = 3, 0.8, 5
 BROADCAST_ROWS = 500_000
-SPACE = r"[\x09-\x0D\x20]"
-FIELD = r"(^| )[^ 0-9]*[0-9][^ ]*"
+SPACE = r"[\x09-\x0D\x20]+"
+# What a line must lack to be its own normal form: digits, other white space, spaces at the ends or in a row.
+ODD = r"[0-9\x09-\x0D]|^ | $|  "
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, variable fields generalised."""
-    plain = F.btrim(F.regexp_replace(line, SPACE + "+", " "))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, FIELD, "$1<*>")).otherwise(plain)
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(masked, " "))
+def _normal(line: Column) -> Column:
+    """A line's tokens joined by single spaces, variable fields generalised; most lines are so already."""
+    tokens = F.array_remove(F.split(line, SPACE), "")
+    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    return F.when(line.rlike(ODD), F.array_join(masked, " ")).otherwise(line)
 
 
 def _near(df: DataFrame, rows: int) -> DataFrame:
@@ -43,14 +44,15 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame) -> DataFrame:
     split = rows.where(F.col("_text").isNotNull()).select("_key", F.posexplode(F.split("_text", "\n")).alias("_no", "_line"))
-    tokens = split.select("_key", "_no", _tokens(F.col("_line")).alias("_tokens")).where(F.size("_tokens") > 0)
-    return tokens.select("_key", "_no", F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, LEAD)).alias("_leaf"), F.xxhash64("_tokens").alias("_exact"), "_tokens")
+    normal = split.select("_key", "_no", _normal(F.col("_line")).alias("_line")).where("_line <> ''")
+    spaces = F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "), F.lit("")))
+    return normal.select("_key", "_no", F.xxhash64(spaces, F.substring_index("_line", " ", LEAD)).alias("_leaf"), F.xxhash64("_line").alias("_exact"), "_line")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_key, _drop: numbers of the lines to drop) of documents with any."""
     rows = _documents(docs)
-    lines = written(_lines(rows).drop("_tokens"), "lines")
+    lines = written(_lines(rows).drop("_line"), "lines")
     # documents of each exact line, and of each leaf
     exact = written(lines.groupBy("_leaf", "_exact", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf", "_exact").agg(F.count("*").alias("docs")), "exact-lines")
     leaves = lines.groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
@@ -60,8 +62,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     wanted = exact.join(_near(leaves, leaves.count()), "_leaf")
     wanted = written(wanted, "wanted")
     found = _lines(rows).join(_near(wanted.select("_leaf", "_exact", "docs", "leaf_docs"), wanted.count()), ["_leaf", "_exact"])
-    form = written(found.groupBy("_leaf", "_exact").agg(F.first("_tokens").alias("_tokens"), F.first("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs")), "forms")
-    at = form.select("_leaf", "_exact", "docs", F.size("_tokens").alias("n"), F.posexplode("_tokens").alias("_at", "_token"))
+    form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs")), "forms")
+    at = form.select("_leaf", "_exact", "docs", F.size(F.split("_line", " ")).alias("n"), F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
     share = form.groupBy("_leaf").agg(F.sum("docs").alias("all_docs"))
     constant = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have")).join(share, "_leaf").where(F.col("have") * 2 >= F.col("all_docs")).select("_leaf", "_at", "_token")
     agree = at.join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_exact").agg((F.count("*") / F.first("n")).alias("alike"))
