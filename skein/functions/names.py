@@ -46,7 +46,7 @@ def music_name(path: Column, parents: Column) -> Column:
     number = r"(?i)^((?:disc\s*)?[A-Z]?\d{1,3})(?:[._\-\s]+)(.+)$"
     track = F.nullif(F.trim(F.regexp_extract(name, number, 1)), F.lit(""))
     rest = F.when(track.isNotNull(), F.trim(F.regexp_extract(name, number, 2))).otherwise(name)
-    parts = F.filter(F.transform(F.split(rest, DASH, 3), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(rest, DASH, 3), lambda x: F.trim(x)), lambda x: x != "")
     dashed = F.size(parts) >= 2
     first = F.get(parts, F.lit(0))
     main = F.trim(F.get(F.split(first, GUEST, 2), F.lit(0)))

@@ -9,7 +9,7 @@ ID_KEYS = ("tmdb", "imdb", "tvdb", "tmdb_id", "imdb_id", "tvdb_id", "omdb")
 
 def split_list(value: Column) -> Column:
     """``;`` or ``,`` separated items, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(value, F.lit("")), "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def tokens(text: Column, least: int = 1) -> Column:

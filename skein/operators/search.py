@@ -57,7 +57,7 @@ def keywords(docs: DataFrame, key: str, text: str, k: int, least: int = 3) -> Da
 
 def lead_summary(docs: DataFrame, key: str, text: str, chars: int) -> DataFrame:
     """Leading sentences until their characters reach ``chars``."""
-    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
     rows = docs.select(key, F.posexplode(sentences).alias("at", "sentence"))
     ahead = F.coalesce(F.sum(F.length("sentence")).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = rows.withColumn("ahead", ahead).where(F.col("ahead") < chars)
@@ -67,7 +67,7 @@ def lead_summary(docs: DataFrame, key: str, text: str, chars: int) -> DataFrame:
 
 def best_sentences(docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     """The ``n`` sentences with the largest sum of term counts over sqrt(length + 1), in document order."""
-    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
     rows = docs.select(key, F.posexplode(sentences).alias("at", "sentence"))
     terms = rows.select(key, "at", F.explode(tokens(F.col("sentence"), 3)).alias("term"))
     counts = terms.groupBy(key, "term").agg(F.count("*").alias("n"))

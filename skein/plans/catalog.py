@@ -406,10 +406,10 @@ def pair_positional(spark, d):
     return _code_pairs(spark, d).select("key_a", "key_b", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH v AS (SELECT key_a, key_b, 1 - distance / 64 AS v FROM ({HAMMING})), a AS (SELECT key_a, key_b, score AS a FROM ({POSITIONAL})) SELECT key_a, key_b, round(v, 5) AS score, 'video' AS reason FROM v UNION ALL SELECT key_a, key_b, round(a, 5), 'audio' FROM a UNION ALL SELECT key_a, key_b, round(0.7 * v + 0.3 * a, 5), 'consensus' FROM v JOIN a USING (key_a, key_b)")
+@query(f"WITH v AS (SELECT key_a, key_b, 1 - distance / 64 AS v FROM ({HAMMING})), a AS (SELECT key_a, key_b, score AS a FROM ({POSITIONAL})) SELECT key_a, key_b, round(v, 8) AS score, 'video' AS reason FROM v UNION ALL SELECT key_a, key_b, round(a, 8), 'audio' FROM a UNION ALL SELECT key_a, key_b, round(0.7 * v + 0.3 * a, 8), 'consensus' FROM v JOIN a USING (key_a, key_b)")
 def pair_consensus(spark, d):
     video = _bit_pairs(spark, d).select("key_a", "key_b", (1 - F.col("distance") / 64).alias("score"))
-    return pairs.consensus(video, _code_pairs(spark, d)).withColumn("score", F.round("score", 5))
+    return pairs.consensus(video, _code_pairs(spark, d)).withColumn("score", F.round("score", 8))
 
 
 @query("WITH g AS (SELECT text, min(doc_id) AS first, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT doc_id, first, copies FROM documents JOIN g USING (text)")
