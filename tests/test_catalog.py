@@ -32,7 +32,7 @@ def test_same_as_sql(spark, duck, sf_dir, name):
     if name not in catalog.SQL:
         assert got
         return
-    rel = duck.sql(f"SELECT {', '.join(columns)} FROM ({catalog.SQL[name]})")
+    rel = duck.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({catalog.SQL[name]})")
     want = sorted((tuple(map(plain, r)) for r in rel.fetchall()), key=str)
     assert len(got) == len(want)
     for g, w in zip(got, want):
