@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from skein.plans import catalog, more  # noqa: F401
+from skein.plans import catalog, enrich, more  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
