@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import held_out, partitions, process_cache, written
 
 MARK, ROUNDS, SMOOTHING, UNKNOWN = "▁", 2, 200.0, 1e-8
-MOST_CHARS = 16
-CACHED_WORDS = 400_000
+MOST_CHARS, SHORT = 16, 32
+CACHED_WORDS = 700_000
 BATCH_WORDS = 4096
 # Everything in ASCII that is not a lower-case letter.
 OTHER = bytes(i for i in range(128) if not 97 <= i <= 122)
@@ -54,38 +54,83 @@ class Lattice:
     """Forward and backward passes over batches of words."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i for i, p in enumerate(pieces)}
-        self.sizes = sorted({len(p) for p in pieces})
+        self.most = max(map(len, pieces), default=1)
+        number = {p: k for k, p in enumerate(pieces)}
+        starts = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        hashes = np.array([self._hash(x) for x in starts], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.piece = hashes[order], np.array([number.get(x, -1) for x in starts], np.int64)[order]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two beginnings of pieces share a hash")
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[hashes >> np.uint64(44)] = True
+
+    @staticmethod
+    def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+        h = (h ^ code) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ h >> np.uint64(31)
+
+    def _hash(self, text: str) -> int:
+        h = np.zeros(1, np.uint64)
+        for x in text:
+            h = self._step(h, np.array([ord(x)], np.uint64))
+        return int(h[0])
 
     def edges(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lengths (with the mark) and edges (word, start, end, piece), ordered by end; piece -1: one unknown character."""
-        get, sizes = self.number.get, self.sizes
-        word, start, end, piece = [], [], [], []
-        for k, text in enumerate(batch):
-            text = MARK + text
-            n = len(text)
-            for i in range(n):
-                one = False
-                for s in sizes:
-                    if i + s > n:
-                        break
-                    p = get(text[i : i + s])
-                    if p is not None:
-                        word.append(k), start.append(i), end.append(i + s), piece.append(p)
-                        one |= s == 1
-                if not one:
-                    word.append(k), start.append(i), end.append(i + 1), piece.append(-1)
-        columns = [np.array(x, np.int64) for x in (word, start, end, piece)]
-        order = np.argsort(columns[2], kind="stable")
-        return np.array([len(t) + 1 for t in batch], np.int64), *(c[order] for c in columns)
+        """Lengths (with the mark) and edges (word, start, end, piece), ordered by end; piece -1: one unknown character.
+
+        From every character the longer stretches are followed as long as some piece begins with them.
+        """
+        code = np.frombuffer((MARK + MARK.join(batch)).encode("utf-32-le"), "<u4").astype(np.uint64)
+        lengths = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
+        first = np.r_[0, np.cumsum(lengths)[:-1]]
+        word = np.repeat(np.arange(len(batch)), lengths)
+        last = np.repeat(first + lengths, lengths)
+        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
+        found, alone = [], np.ones(len(code), bool)
+        for size in range(1, self.most + 1):
+            inside = at + size <= last[at]
+            at, h = at[inside], h[inside]
+            h = self._step(h, code[at + size - 1])
+            maybe = self.seen[h >> np.uint64(44)]
+            at, h = at[maybe], h[maybe]
+            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[k] == h
+            at, h, piece = at[known], h[known], self.piece[k[known]]
+            whole = piece >= 0
+            if size == 1:
+                alone[at[whole]] = False
+            found.append((at[whole], np.full(whole.sum(), size), piece[whole]))
+            if not len(at):
+                break
+        one = np.flatnonzero(alone)
+        found.append((one, np.ones(len(one), np.int64), np.full(len(one), -1)))
+        at, size, piece = (np.concatenate(x) for x in zip(*found))
+        start = at - first[word[at]]
+        end = start + size
+        order = np.argsort(end.astype(np.uint16) if len(end) and end.max() < 1 << 16 else end, kind="stable")
+        return lengths, word[at][order], start[order], end[order], piece[order]
 
     def forward(self, lengths: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """alpha (word, position, language), rescaled at each position, and the logarithms of the scales up to it; p by edge."""
+        """Likelihood up to each position (word, position, language) as logarithms, and the same below the largest scale.
+
+        Short words are summed as they are: no product of their probabilities leaves the range of doubles.
+        Longer ones are scaled to one at each position.
+        """
         n, most, langs = len(lengths), int(lengths.max()), p.shape[1]
         alpha = np.zeros((n, most + 1, langs))
-        scale = np.zeros((n, most + 1, langs))
         alpha[:, 0] = 1
         cuts = np.searchsorted(end, np.arange(1, most + 2))
+        if most <= SHORT:
+            for e in range(1, most + 1):
+                a, b = cuts[e - 1], cuts[e]
+                if a < b:
+                    part = alpha[word[a:b], start[a:b]] * p[a:b]
+                    for k in range(langs):
+                        alpha[:, e, k] = np.bincount(word[a:b], part[:, k], n)
+            with np.errstate(divide="ignore"):
+                return alpha, np.log(alpha)
+        scale = np.zeros((n, most + 1, langs))
         for e in range(1, most + 1):
             a, b = cuts[e - 1], cuts[e]
             if a == b:
@@ -94,8 +139,7 @@ class Lattice:
             part = alpha[w, s] * p[a:b] * np.exp(scale[w, s] - scale[w, e - 1])
             total = np.stack([np.bincount(w, part[:, k], n) for k in range(langs)], 1)
             some = total > 0
-            size = np.where(some, total, 1)
-            scale[:, e] = scale[:, e - 1] + np.log(size)
+            scale[:, e] = scale[:, e - 1] + np.log(np.where(some, total, 1))
             alpha[:, e] = np.where(some, 1.0, 0.0)
         return alpha, scale
 
@@ -110,11 +154,11 @@ class Lattice:
         lengths, word, start, end, piece = self.edges(batch)
         p = table[piece]
         _, f = self.forward(lengths, word, start, end, p)
-        order = np.argsort(lengths[word] - start, kind="stable")
         back_start, back_end = lengths[word] - end, lengths[word] - start
+        order = np.argsort(back_end, kind="stable")
         _, b = self.forward(lengths, word[order], back_start[order], back_end[order], p[order])
         total = f[np.arange(len(batch)), lengths]
-        share = np.exp(f[word, start] + np.log(p) + b[word, lengths[word] - end] - total[word]) * weight[word]
+        share = np.exp(f[word, start] + np.log(p) + b[word, back_start] - total[word]) * weight[word]
         known = piece >= 0
         return np.stack([np.bincount(piece[known], share[known, k], len(table) - 1) for k in range(p.shape[1])], 1)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 LEAD, SIMILARITY, MIN_DOCS = 3, 0.8, 5
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, SALT = 500_000, 32
 SPACE = r"[\x09-\x0D\x20]+"
 # What a line must lack to be its own normal form: digits, other white space, spaces at the ends or in a row.
 ODD = r"[0-9\x09-\x0D]|^ | $|  "
@@ -32,9 +32,15 @@ def _normal(line: Column) -> Column:
     return F.when(line.rlike(ODD), F.array_join(masked, " ")).otherwise(line)
 
 
-def _near(df: DataFrame, rows: int) -> DataFrame:
-    """A hint to broadcast ``df`` if its counted rows allow it; beyond that Spark shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _spread(lines: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """``lines`` joined to written rows ``few``: broadcast if their counted number allows it, else by a salted key.
+
+    The salt divides the lines of a frequent form by their document over ``SALT`` tasks.
+    """
+    if few.count() <= BROADCAST_ROWS:
+        return lines.join(F.broadcast(few), on)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return lines.withColumn("_salt", F.pmod("_key", F.lit(SALT)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -59,19 +65,18 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     forms = exact.groupBy("_leaf").agg(F.count("*").alias("forms"), F.max("docs").alias("most")).where("forms > 1")
     leaves = written(leaves.join(forms, "_leaf").select("_leaf", "leaf_docs"), "leaves")
     # one line of each form in those leaves, with its tokens
-    wanted = exact.join(_near(leaves, leaves.count()), "_leaf")
-    wanted = written(wanted, "wanted")
-    found = _lines(rows).join(_near(wanted.select("_leaf", "_exact", "docs", "leaf_docs"), wanted.count()), ["_leaf", "_exact"])
+    wanted = written(exact.join(leaves, "_leaf"), "wanted")
+    found = _spread(_lines(rows), wanted, ["_leaf", "_exact"])
     form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs")), "forms")
     at = form.select("_leaf", "_exact", "docs", F.size(F.split("_line", " ")).alias("n"), F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
     share = form.groupBy("_leaf").agg(F.sum("docs").alias("all_docs"))
     constant = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have")).join(share, "_leaf").where(F.col("have") * 2 >= F.col("all_docs")).select("_leaf", "_at", "_token")
     agree = at.join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_exact").agg((F.count("*") / F.first("n")).alias("alike"))
-    members = agree.where(F.col("alike") >= SIMILARITY).select("_leaf", "_exact")
-    in_template = lines.join(members, ["_leaf", "_exact"]).groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("_leaf")
+    members = written(agree.where(F.col("alike") >= SIMILARITY).select("_leaf", "_exact"), "members")
+    in_template = _spread(lines, members, ["_leaf", "_exact"]).groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("_leaf")
     recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(members.join(in_template, "_leaf")).distinct()
     recurring = written(recurring, "recurring")
-    marked = lines.join(_near(recurring, recurring.count()), ["_leaf", "_exact"])
+    marked = _spread(lines, recurring, ["_leaf", "_exact"])
     return marked.groupBy("_key").agg(F.collect_set("_no").alias("_drop"))
 
 

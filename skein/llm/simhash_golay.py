@@ -241,7 +241,7 @@ def links(nodes: DataFrame, block_rows: int = 20_000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, n_links is not kept.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links reach, itself included. Null texts, empty texts and
     texts of white space have fingerprint zero and link to each other. Repeated rows each give a row. A

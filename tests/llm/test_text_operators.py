@@ -45,8 +45,9 @@ ROWS = (
 )
 
 
-@pytest.mark.parametrize("min_docs", [2, 5])
-def test_templates_match_brute_force(spark, min_docs):
+@pytest.mark.parametrize(("min_docs", "broadcast"), [(2, 500_000), (5, 500_000), (5, 0)])
+def test_templates_match_brute_force(spark, monkeypatch, min_docs, broadcast):
+    monkeypatch.setattr(G, "BROADCAST_ROWS", broadcast)
     docs = spark.createDataFrame(ROWS, DOCS)
     want = brute_templates(ROWS, min_docs)
     out = G.drop_recurring_lines(docs, min_docs)
