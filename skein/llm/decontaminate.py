@@ -1,12 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of bytes other than ASCII white space, lower-cased, without ASCII punctuation. Seeds are the
-``SEED_WORDS``-grams of test items. A first pass over the corpus counts the documents that hold each
-seed. A seed is rare if at most ``RARE_SHARE`` of the documents (``RARE_DOCS`` at least) hold it; an item
-with fewer than ``LEAST_SEEDS`` rare seeds also keeps its least frequent ones up to that number, so an item
-that leaked often is still searched for. The second pass joins documents to items on seeds and aligns
-the words around each shared diagonal with the item: match +2, mismatch -1, gap -1, local. The
-similarity of a pair is the share of the item's words that its best alignment matches.
+``SEED_WORDS``-grams of test items, all of them: a seed may be frequent only because the copies of one
+item are. One pass over the corpus finds the seeds of each document and aligns the words around each
+shared diagonal with the item: match +2, mismatch -1, gap -1, local. The similarity of a pair is the
+share of the item's words that its best alignment matches.
 
 Items are a test set; ``ITEM_BYTES`` of them are held at a time. A larger set is divided by hash and
 the corpus is passed over once for each part.
@@ -22,7 +20,6 @@ from pyspark.sql import functions as F
 
 
 SEED_WORDS, SIMILARITY = 3, 0.8
-RARE_SHARE, RARE_DOCS, LEAST_SEEDS = 0.001, 50, 32
 ITEM_BYTES = 16 << 20
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -59,17 +56,6 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.seeds, first = np.unique(flat[order], return_index=True)
         self.item, self.at, self.first = item[order], at[order], np.r_[first, len(flat)].astype(np.int64)
-        self.live = np.ones(len(self.seeds), bool)
-
-    def choose(self, df: np.ndarray, n_docs: int) -> None:
-        """Leaves the rare seeds, and each item's least frequent ones."""
-        rare = df <= max(RARE_DOCS, RARE_SHARE * n_docs)
-        self.live = rare.copy()
-        seed = np.repeat(np.arange(len(self.seeds)), np.diff(self.first))
-        for k in np.split(np.argsort(self.item, kind="stable"), np.cumsum(np.bincount(self.item, minlength=len(self.ids)))[:-1]) if len(self.item) else []:
-            own = np.unique(seed[k])
-            if rare[own].sum() < LEAST_SEEDS:
-                self.live[own[np.argsort(df[own], kind="stable")[:LEAST_SEEDS]]] = True
 
     def numbers(self, text: str | None) -> np.ndarray:
         return np.fromiter(map(self.number.get, w := words(text), itertools.repeat(0)), np.int32, len(w))
@@ -92,9 +78,8 @@ class Items:
         return at[found], s[found]
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(item, diagonal) pairs of a document that live seeds suggest, near diagonals merged."""
+        """(item, diagonal) pairs of a document that seeds suggest, near diagonals merged."""
         at, seed = self.hits(ids)
-        at, seed = at[self.live[seed]], seed[self.live[seed]]
         if not len(at):
             return []
         size = self.first[seed + 1] - self.first[seed]
@@ -158,26 +143,6 @@ def _parts(items: DataFrame, item_bytes: int) -> Iterator[Items]:
         yield Items([r[0] for r in rows], [r[1] for r in rows])
 
 
-def _chosen(docs: DataFrame, index: Items) -> Items:
-    """``index`` with its live seeds, after one pass that counts documents by seed."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(index.seeds), np.int64), 0
-        for batch in batches:
-            n += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                df[np.unique(index.hits(index.numbers(text))[1])] += 1
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, seen]), pa.array(np.r_[n, df[seen]])], ["seed", "docs"])
-
-    # as many rows as the items have seeds, at most
-    counts = docs.select("text").mapInArrow(count, "seed long, docs long").groupBy("seed").agg(F.sum("docs").alias("docs")).toPandas()
-    df, rows = np.zeros(len(index.seeds), np.int64), counts[counts.seed >= 0]
-    df[rows.seed.to_numpy()] = rows.docs.to_numpy()
-    index.choose(df, int(counts[counts.seed < 0].docs.sum()))
-    return index
-
-
 PAIRS = "doc_id long, item_id long, similarity double, first_word long, last_word long"
 
 
@@ -190,7 +155,6 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, ite
     """
     found = None
     for index in _parts(items, item_bytes):
-        index = _chosen(docs, index)
 
         def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             names = [c.split()[0] for c in PAIRS.split(", ")]
@@ -210,7 +174,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
     at = docs.columns.index("text")
     clean = docs
     for index in _parts(items, item_bytes):
-        index = _chosen(docs, index)
 
         def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):

@@ -132,3 +132,13 @@ def test_edited_copies_are_found_and_clean_texts_are_not(spark):
         assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, *_ in rows if i is not None and i not in {d for d, _ in found})
     assert D.leaks(docs.where("false"), bench).count() == 0 and D.leaks(docs, bench.where("false")).count() == 0
     assert D.decontaminated(docs, bench.where("false")).count() == len(rows)
+
+
+def test_thousands_of_copies_of_one_edited_item_are_found(spark):
+    item = [f"w{k}" for k in range(57)]
+    copy = ["edit" if k % 5 == 2 and k < 55 else w for k, w in enumerate(item)]  # 11 edits
+    rows = [(k, f"start{k} " + " ".join(copy) + " end", "x") for k in range(3000)] + [(5000 + k, f"clean text {k}", "x") for k in range(50)]
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = D.leaks(docs, bench).collect()
+    assert {r.doc_id for r in found} == set(range(3000)) and {round(r.similarity, 6) for r in found} == {round(46 / 57, 6)}
+    assert sorted(r.doc_id for r in D.decontaminated(docs, bench).collect()) == list(range(5000, 5050))
