@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 SEED_WORDS, SIMILARITY = 3, 0.8
 ITEM_BYTES = 16 << 20
+BLOCK = 1 << 20
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNIT = 1 << 20
@@ -42,8 +43,8 @@ def grams(ids: np.ndarray, n: int) -> np.ndarray:
 class Items:
     """Test items by their words' numbers, and the seeds that lead to them."""
 
-    def __init__(self, ids: list, texts: list[str | None], n: int = SEED_WORDS):
-        self.n, self.number, kept = n, {}, []
+    def __init__(self, ids: list, texts: list[str | None], n: int = SEED_WORDS, similarity: float = SIMILARITY):
+        self.n, self.similarity, self.number, kept = n, similarity, {}, []
         for item_id, text in zip(ids, texts):
             w = words(text)
             if len(w) >= n:
@@ -55,6 +56,14 @@ class Items:
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.seeds, first = np.unique(flat[order], return_index=True)
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.slack = np.maximum(8, self.length // 4)
+        self.step = self.slack // 2
+        self.room = 1 << np.ceil(np.log2(4 * self.length)).astype(np.int64)
+        self.base = np.r_[0, np.cumsum(self.room)[:-1]].astype(np.int64)[: len(kept)]
+        self.holds = np.zeros(int(self.room.sum()), bool)
+        if kept:
+            self.holds[self.place(np.repeat(np.arange(len(kept)), self.length), np.concatenate(self.words))] = True
         self.item, self.at, self.first = item[order], at[order], np.r_[first, len(flat)].astype(np.int64)
 
     def numbers(self, text: str | None) -> np.ndarray:
@@ -77,16 +86,43 @@ class Items:
         found = self.seeds[s] == h
         return at[found], s[found]
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """(item, diagonal) pairs of a document that seeds suggest, near diagonals merged."""
+    def candidates(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first word, end) of the windows of a document that seeds suggest and that hold enough of the item's words.
+
+        Diagonals are divided into stretches of the item's ``step`` + 1, each a window with ``slack`` on both sides, so
+        every diagonal has its whole slack whatever its neighbours are.
+        """
         at, seed = self.hits(ids)
         if not len(at):
             return []
         size = self.first[seed + 1] - self.first[seed]
-        k = np.repeat(self.first[seed] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        pairs = np.unique(np.stack([self.item[k], np.repeat(at, size) - self.at[k]], 1), axis=0)
-        new = np.r_[True, (np.diff(pairs[:, 0]) != 0) | (np.diff(pairs[:, 1]) > 4)]
-        return list(map(tuple, pairs[new].tolist()))
+        out = set()
+        # as many (hit, place in an item) pairs at a time as BLOCK, or as one hit has
+        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(size) // BLOCK)) + 1):
+            n = size[part]
+            k = np.repeat(self.first[seed[part]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            item, diagonal = self.item[k], np.repeat(at[part], n) - self.at[k]
+            out.update(map(tuple, np.unique(np.stack([item, diagonal // (self.step[item] + 1)], 1), axis=0).tolist()))
+        return self.enough(ids, np.array(sorted(out), np.int64))
+
+    def enough(self, ids: np.ndarray, stretches: np.ndarray) -> list[tuple[int, int, int]]:
+        """The windows in which at least ``similarity`` of the item's words can match: a bound, no copy is lost by it."""
+        item, first = stretches[:, 0], stretches[:, 1] * (self.step[stretches[:, 0]] + 1)
+        from_ = np.maximum(0, first - self.slack[item])
+        end = np.minimum(len(ids), first + self.step[item] + self.length[item] + self.slack[item])
+        out = []
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(np.cumsum(end - from_) // BLOCK)) + 1):
+            n = end[part] - from_[part]
+            edge = np.r_[0, np.cumsum(n)[:-1]]
+            word, of = ids[np.repeat(from_[part] - edge, n) + np.arange(n.sum())], np.repeat(item[part], n)
+            held = np.add.reduceat((word > 0) & self.holds[self.place(of, word)], edge, dtype=np.int64)
+            part = part[held >= self.similarity * self.length[item[part]] - 1e-6]
+            out += zip(item[part].tolist(), from_[part].tolist(), end[part].tolist())
+        return out
+
+    def place(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The bit of ``holds`` that a word has in an item's range; some words share one."""
+        return self.base[item] + (word & (self.room[item] - 1))
 
 
 def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,37 +146,32 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best % UNIT, end
 
 
-def scored(index: Items, docs: list[np.ndarray], similarity: float) -> list[tuple[int, int, float, int, int]]:
-    """(document, item, similarity, first word, last word) of the pairs that reach ``similarity``, the best for each pair."""
-    todo = [(d, item, diagonal) for d, ids in enumerate(docs) for item, diagonal in index.candidates(ids)]
-    todo.sort(key=lambda x: len(index.words[x[1]]))
+def scored(index: Items, docs: list[np.ndarray]) -> list[tuple[int, int, float, int, int]]:
+    """(document, item, similarity, first word, last word) of the pairs that reach the index's similarity, the best for each pair."""
+    todo = [(d, *x) for d, ids in enumerate(docs) for x in index.candidates(ids)]
+    todo.sort(key=lambda x: index.length[x[1]])
     out: dict[tuple[int, int], tuple] = {}
     for part in itertools.batched(todo, 256):
-        m = len(index.words[part[-1][1]])
-        slack = max(8, m // 4)
-        items = np.full((len(part), m), -1, np.int32)
-        windows = np.full((len(part), m + 2 * slack), -2, np.int32)
-        for k, (d, item, diagonal) in enumerate(part):
-            items[k, : len(index.words[item])] = index.words[item]
-            from_ = max(0, diagonal - slack)
-            piece = docs[d][from_ : diagonal + m + slack]
-            windows[k, : len(piece)] = piece
-        matches, end = align(items, windows)
-        for k, (d, item, diagonal) in enumerate(part):
+        items = np.full((len(part), index.length[part[-1][1]]), -1, np.int32)
+        windows = np.full((len(part), max(end - from_ for _, _, from_, end in part)), -2, np.int32)
+        for k, (d, item, from_, end) in enumerate(part):
+            items[k, : index.length[item]] = index.words[item]
+            windows[k, : end - from_] = docs[d][from_:end]
+        matches, last = align(items, windows)
+        for k, (d, item, from_, _) in enumerate(part):
             alike = float(matches[k]) / len(index.words[item])
-            if alike >= similarity and alike > out.get((d, item), (0.0,))[0]:
-                _, back = align(items[k : k + 1, : len(index.words[item])][:, ::-1], windows[k : k + 1, : end[k] + 1][:, ::-1])
-                from_ = max(0, diagonal - slack)
-                out[d, item] = (alike, from_ + int(end[k] - back[0]), from_ + int(end[k]))
+            if alike >= index.similarity and alike > out.get((d, item), (0.0,))[0]:
+                _, back = align(items[k : k + 1, : index.length[item]][:, ::-1], windows[k : k + 1, : last[k] + 1][:, ::-1])
+                out[d, item] = (alike, from_ + int(last[k] - back[0]), from_ + int(last[k]))
     return [(d, item, *x) for (d, item), x in sorted(out.items())]
 
 
-def _parts(items: DataFrame, item_bytes: int) -> Iterator[Items]:
+def _parts(items: DataFrame, item_bytes: int, similarity: float) -> Iterator[Items]:
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = max(1, -(-total // item_bytes))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
-        yield Items([r[0] for r in rows], [r[1] for r in rows])
+        yield Items([r[0] for r in rows], [r[1] for r in rows], similarity=similarity)
 
 
 PAIRS = "doc_id long, item_id long, similarity double, first_word long, last_word long"
@@ -154,14 +185,14 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, ite
     short to tell and never leaks. Null ids stay null. Empty tables: no rows. Extra columns are not read.
     """
     found = None
-    for index in _parts(items, item_bytes):
+    for index in _parts(items, item_bytes, similarity):
 
         def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             names = [c.split()[0] for c in PAIRS.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
                 ids = batch.column(0).to_pylist()
-                rows = [(ids[d], index.ids[item], *x) for d, item, *x in scored(index, [index.numbers(t) for t in batch.column(1).to_pylist()], similarity)]
+                rows = [(ids[d], index.ids[item], *x) for d, item, *x in scored(index, [index.numbers(t) for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
 
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PAIRS)
@@ -173,11 +204,11 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
     """The rows of ``docs``, all columns, that leak no item. Rows without a text stay."""
     at = docs.columns.index("text")
     clean = docs
-    for index in _parts(items, item_bytes):
+    for index in _parts(items, item_bytes, similarity):
 
         def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
-                leaked = {x[0] for x in scored(index, [index.numbers(t) for t in batch.column(at).to_pylist()], similarity)}
+                leaked = {x[0] for x in scored(index, [index.numbers(t) for t in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([k not in leaked for k in range(batch.num_rows)], pa.bool_()))
 
         clean = clean.mapInArrow(run, docs.schema)

@@ -142,3 +142,25 @@ def test_thousands_of_copies_of_one_edited_item_are_found(spark):
     found = D.leaks(docs, bench).collect()
     assert {r.doc_id for r in found} == set(range(3000)) and {round(r.similarity, 6) for r in found} == {round(46 / 57, 6)}
     assert sorted(r.doc_id for r in D.decontaminated(docs, bench).collect()) == list(range(5000, 5050))
+
+
+def test_copies_of_repetitive_items_are_found_however_rows_are_batched():
+    items = [" ".join(f"the ball is c{k}" for k in range(10)), "the ball is red " * 10, "yes or no " * 12, " ".join(f"v{k}" for k in range(400))]
+    index = D.Items(list(range(len(items))), items)
+    texts = [f"{'other words ' * n} {lead * m} {item} and more" for item in items[:3] for n in (0, 30) for lead in ("", "the ball is ") for m in (1, 40)]
+    docs = [index.numbers(t) for t in texts]
+    found = {(d, item): share for d, item, share, *_ in D.scored(index, docs)}
+    assert all(found.get((d, d // 8)) == 1.0 for d in range(len(docs)))
+    alone = [(d, *x[1:]) for d, ids in enumerate(docs) for x in D.scored(index, [ids])]
+    assert alone == D.scored(index, docs) == D.scored(index, [*docs, index.numbers(items[3])])[: len(alone)]
+
+
+def test_windows_are_left_out_only_where_too_few_words_match():
+    rng = random.Random(3)
+    items = [[f"w{rng.randrange(12)}" for _ in range(rng.randint(10, 30))] for _ in range(20)]
+    every = D.Items(list(range(20)), [" ".join(x) for x in items], similarity=0.0)
+    bound = D.Items(list(range(20)), [" ".join(x) for x in items])
+    docs = [bound.numbers(" ".join([f"w{rng.randrange(30)}" for _ in range(40)] + edited(x, rng, 0.2) + [f"w{rng.randrange(30)}" for _ in range(40)])) for x in items * 5]
+    want = [x for x in D.scored(every, docs) if x[2] >= 0.8]
+    assert len(want) > 50 and D.scored(bound, docs) == want
+    assert sum(len(bound.candidates(d)) for d in docs) < sum(len(every.candidates(d)) for d in docs)
