@@ -2,8 +2,8 @@
 
 Restoring: spans that look disguised (letters mixed with look-alike signs, single letters kept apart by
 spaces or marks, a letter three or more times in a row) become character lattices. A sign may stand for
-itself or its look-alikes, a separator may stand for nothing, a repeated letter may be left out once or
-more; each choice has a cost. Viterbi decoding finds the likeliest reading under a character trigram
+itself or its look-alikes, a separator may stand for nothing or for a space, a repeated letter may be
+left out once or more; each choice has a cost. Spans may have any length; those of letters apart are also read as one word. Viterbi decoding finds the likeliest reading under a character trigram
 model, whose counts come from all documents.
 
 Scoring: a word's evidence is the largest log odds of its stems (the word and its beginnings of 4 to 7
@@ -30,18 +30,23 @@ from .quality_pu import sampled
 SAMPLE, LEAST, SEED, THRESHOLD = 5_000, 3, 5, 0.7
 STEMS = (4, 5, 6, 7)
 STRONG = 3.0
-CACHED_WORDS = 400_000
+CACHED_WORDS, KNOWN_LENGTH = 400_000, 200
 # Letters that a sign can stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou"}
 ALPHABET = " abcdefghijklmnopqrstuvwxyzàâäçèéêëíîïñóôöúùûüß"
 SIGN_COST, SPLIT_COST, DROP_COST, KEEP_COST = 0.7, 0.5, 0.7, 3.0
 SIGNS = re.escape("".join(LOOKALIKES))
 LETTERS = r"[^\W\d_]"
+SIGN = rf"(?:{LETTERS}|[{SIGNS}])"
 DISGUISED = re.compile(
-    rf"(?=.*(?:[{SIGNS}]{LETTERS}|{LETTERS}[{SIGNS}]))(?:{LETTERS}|[{SIGNS}]){{3,24}}[.,;:?!]*"  # look-alikes
-    rf"|{LETTERS}(?:[.\-_*]{LETTERS}){{3,15}}"  # letters apart
-    rf"|(?=.*({LETTERS})\1\1){LETTERS}{{3,40}}[.,;:?!]*"  # repetition
+    rf"(?=.*(?:[{SIGNS}]{LETTERS}|{LETTERS}[{SIGNS}])){SIGN}{{3,}}"  # look-alikes
+    rf"|(?=[\W\d_]*{LETTERS}[\W\d_]*{LETTERS}){SIGN}(?:[.\-_*]{SIGN}){{3,}}"  # letters apart
+    rf"|(?=.*({LETTERS})\1\1){LETTERS}{{3,}}"  # repetition
 )
+REPEATED = re.compile(rf"({LETTERS})\1{{3,}}")
+SEPARATORS = " .-_*"
+# Marks around a token, from the surest: ends of sentences, all that are no look-alikes, all.
+ROUND = (".,;:?!", ".,;:?)[]{}<>\"'`^~&%#=/\\-_“”„‘’«»…¿¡", ".,;:?!()[]{}<>\"'`^~&%#=/\\-_“”„‘’«»…¿¡@$|+€*")
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BLANK = bytes.maketrans(MARKS, b" " * len(MARKS))
 
@@ -57,43 +62,58 @@ class Channel:
         bi = (two + 5 * uni) / (two.sum(1, keepdims=True) + 5)
         self.cost = -np.log((c + 5 * bi[None]) / (c.sum(2, keepdims=True) + 5))
         self.number = {x: k for k, x in enumerate(ALPHABET)}
-        self.known: dict[str, str] = {}
+        self.known: dict[str, list[str]] = {}
 
-    def restore(self, span: str) -> str:
+    def restore(self, span: str) -> list[str]:
+        """The words that a span stands for."""
+        if len(span) > KNOWN_LENGTH:
+            return self._decode(span)
         if span not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
             self.known[span] = self._decode(span)
         return self.known[span]
 
-    def _decode(self, span: str) -> str:
-        """The likeliest letters; a state is the last two letters written, so repeats and gaps may vanish."""
+    def _decode(self, span: str) -> list[str]:
+        """The words of the likeliest reading and, of letters apart, of the likeliest without spaces."""
+        apart = sum(x in SEPARATORS for x in span) * 2 >= len(span) - 1
+        read = self._likeliest(span, apart, False).split()
+        return list(dict.fromkeys(read + self._likeliest(span, apart, True).split())) if apart else read
+
+    def _likeliest(self, span: str, apart: bool, spaces: bool) -> str:
+        """A state is the last two letters written, so repeats and gaps may vanish; texts are chains of (rest, letter)."""
         number, cost = self.number, self.cost
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        apart = sum(x in " .-_*" for x in span) * 2 >= len(span) - 1
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for at, x in enumerate(span):
             options: list[tuple[str, float]] = []
             if x in number and x != " ":
                 options.append((x, 0.0))
             options += [(y, SIGN_COST) for y in LOOKALIKES.get(x, "")]
-            if apart and x in " .-_*":
-                options = [("", SPLIT_COST)]
+            if apart and x in SEPARATORS:
+                options += [("", SPLIT_COST), *([(" ", SPLIT_COST)] if spaces else [])]
             elif at and x == span[at - 1]:
                 options.append(("", DROP_COST))
             if not options:
                 options = [("", KEEP_COST)]
-            found: dict[tuple[int, int], tuple[float, str]] = {}
+            found: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (so_far, written) in best.items():
                 for y, extra in options:
                     if y:
                         k = number[y]
-                        state, total, text = (b, k), so_far + extra + cost[a, b, k], written + y
+                        if not k and not b:
+                            continue
+                        state, total, text = (b, k), so_far + extra + cost[a, b, k], (written, y)
                     else:
                         state, total, text = (a, b), so_far + extra, written
                     if state not in found or total < found[state][0]:
                         found[state] = (total, text)
             best = found
-        return min((total + cost[a, b, 0], text) for (a, b), (total, text) in best.items())[1]
+        text = min(((total + (cost[a, b, 0] if b else 0.0), text) for (a, b), (total, text) in best.items()), key=lambda x: x[0])[1]
+        out = []
+        while text:
+            text, y = text
+            out.append(y)
+        return "".join(reversed(out))
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -122,28 +142,45 @@ def trigrams(docs: DataFrame) -> np.ndarray:
 
 
 def readings(token: str, channel: Channel) -> list[bytes]:
-    """The words of a token without its marks, and the one that it stands for if it is disguised."""
+    """The words of a token without its marks, and those that it stands for if it is disguised."""
     out = token.encode().translate(BLANK).split()
-    if DISGUISED.fullmatch(token):
-        out.append(channel.restore(token.rstrip(".,;:?!")).encode())
+    for span in dict.fromkeys(REPEATED.sub(r"\1\1\1", token.strip(marks) if k else token.rstrip(marks)) for k, marks in enumerate(ROUND)):
+        if DISGUISED.fullmatch(span):
+            out += [w.encode() for w in channel.restore(span)]
     return out
 
 
+def alone(token: str) -> str | None:
+    """The letter, look-alike sign or separator that a token consists of, but for marks around it."""
+    x = token if len(token) == 1 else token.strip(ROUND[2])
+    return x if len(x) == 1 and (x.isalpha() or x in LOOKALIKES or x in SEPARATORS) else None
+
+
 def apart(tokens: list[str]) -> list[str]:
-    """Runs of four or more single letters among the tokens of a text, each as one span."""
-    single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+    """Runs of letters, look-alike signs and separators that stand alone among the tokens of a text, each as one span.
+
+    A run has four letters or signs or more, two letters at least.
+    """
+    unit = {t: x for t in set(tokens) if (x := alone(t))}
+    single = np.fromiter(map(unit.__contains__, tokens), bool, len(tokens))
     if single.sum() < 4:
         return []
     edge = np.diff(np.r_[0, single.astype(np.int8), 0])
-    runs = zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())
-    return [" ".join(tokens[a : min(b, a + 16)]) for a, b in runs if b - a >= 4 and all(map(str.isalpha, tokens[a:b]))]
+    out = []
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        if b - a >= 4:
+            run = [unit[t] for t in tokens[a:b]]
+            letters = sum(map(str.isalpha, run))
+            if letters >= 2 and letters + sum(x in LOOKALIKES and x not in SEPARATORS for x in run) >= 4:
+                out.append(" ".join(run))
+    return out
 
 
 def words(text: str | None, channel: Channel) -> set[bytes]:
     """The text's distinct words, lower-cased and without marks, and those that its disguised spans stand for."""
     tokens = (text or "").lower().split()
     out = {w for t in set(tokens) for w in readings(t, channel)}
-    return out | {channel.restore(x).encode() for x in apart(tokens)}
+    return out | {w.encode() for x in apart(tokens) for w in channel.restore(x)}
 
 
 def stems(word: bytes) -> list[bytes]:
@@ -194,7 +231,7 @@ class Evidence:
     def vector(self, text: str | None) -> np.ndarray:
         tokens = (text or "").lower().split()
         found = set(tokens)
-        found.update(map(self.channel.restore, apart(tokens)))
+        found.update(w for x in apart(tokens) for w in self.channel.restore(x))
         new = found.difference(self.known)
         get = self.table.get
         for t in new:

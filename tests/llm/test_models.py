@@ -119,6 +119,35 @@ def test_disguised_words_are_restored():
     assert X.words(None, channel) == set()
 
 
+@pytest.fixture
+def channel():
+    text = "you are an idiot and a moron what a pathetic clown such a stupid man i am stupid trash loser " * 50
+    counts, n, number = np.zeros(len(X.ALPHABET) ** 3, np.int64), len(X.ALPHABET), {x: k for k, x in enumerate(X.ALPHABET)}
+    code = np.array([number[x] for x in text])
+    np.add.at(counts, (code[:-2] * n + code[1:-1]) * n + code[2:], 1)
+    return X.Channel(counts)
+
+
+def test_disguised_spans_of_any_length_and_kind_are_restored(channel):
+    spaced = " ".join("youareanidiotandamoronwhatapatheticclown")
+    for text, plain in {
+        "such a s t u p i d man": {"stupid"},
+        "y o u i d i o t": {"you", "idiot"},
+        f"so {spaced} here": {"idiot", "moron", "pathetic", "clown"},
+        "an i d 1 o t here": {"idiot"},
+        "i - d - i - o - t": {"idiot"},
+        "i, d, i, o, t!": {"idiot"},
+        "7 & i d i o t & 3": {"idiot"},
+        "st" + "u" * 300 + "pid": {"stupid"},
+        "l.0.s.e.r": {"loser"},
+        "y.o.u.a.r.e.a.n.i.d.i.o.t.a.n.d.a.m.o.r.o.n": {"idiot", "moron"},
+        "(1d10t)": {"idiot"},
+        "\"m0r0n\",": {"moron"},
+    }.items():
+        assert {x.encode() for x in plain} <= X.words(text, channel), text
+    assert X.words("1 2 3 4 5 6", channel) == {b"1", b"2", b"3", b"4", b"5", b"6"} and X.words("192.168.0.1 2024-11-02", channel) == {b"192", b"168", b"0", b"1", b"2024", b"11", b"02"}
+
+
 def test_toxicity_on_held_out_labels(spark):
     rng = random.Random(5)
     neutral, bad = [f"{a}{b}" for a in ("tha", "onde", "lyre", "stou") for b in ("ting", "her", "ed", "or", "an")], ["vequmo", "vequta", "vequsse", "scum"]
