@@ -1,6 +1,6 @@
 """Near-duplicate pairs of fingerprints, their consensus, and duplicates by content."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hamming, positional_distance
@@ -27,13 +27,20 @@ def banded(prints: DataFrame, key: str, bits: str, most: int, width: int = 64) -
 
 
 def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTANCE, bands: int = 8) -> DataFrame:
-    """(key_a, key_b, score) of pairs whose codes differ in at most a share ``most`` of their positions and agree on one of ``bands`` stretches.
+    """(key_a, key_b, score) of all pairs of equally long codes that differ in at most a share ``most`` of their positions.
 
-    With b bands over n positions every pair with fewer than b differences is found.
+    Codes of n positions are cut into floor(most n) + 1 stretches, of which such a pair agrees on one, and also into
+    ``bands``, which codes of different lengths may share.
     """
-    at = lambda k: (k * F.size(codes) / bands).cast("int")
-    stretches = [F.xxhash64(F.lit(k), F.slice(codes, at(F.lit(k)) + 1, at(F.lit(k + 1)) - at(F.lit(k)))) for k in range(bands)]
-    cut = prints.where(F.size(codes) >= bands).select(F.col(key).alias("key"), F.col(codes).alias("codes"), F.array(*stretches).alias("stretches"))
+    n = F.size(codes)
+
+    def stretches(count: Column) -> Column:
+        at = lambda k: F.floor(k * n / count).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(k, F.slice(codes, at(k) + 1, at(k + 1) - at(k))))
+
+    needed = F.least(n, (F.floor(F.lit(most) * n + 1e-9) + 1).cast("int"))
+    both = F.when(n >= bands, F.array_union(stretches(F.lit(bands)), stretches(needed))).otherwise(stretches(needed))
+    cut = prints.where(n > 0).select(F.col(key).alias("key"), F.col(codes).alias("codes"), both.alias("stretches"))
     rows = cut.select("key", "codes", F.explode("stretches").alias("stretch"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.key") < F.col("b.key")))

@@ -113,3 +113,9 @@ def test_enrichment(spark):
     assert out.a == [1.0, 2.0] and out.b == [3.0, 6.0, 9.0]
     v = enrich.hashed_words(spark.createDataFrame([(1, "a a b"), (2, "")], "k int, t string"), "k", "t", 16).collect()
     assert len(v) == 1 and abs(sum(x * x for x in v[0].vector) - 1) < 1e-9
+
+
+def test_positional_pairs_at_the_defaults_are_all_found(spark):
+    apart = [0 if k in (3, 10, 12, 20, 28, 36, 44, 52, 60) else 1 for k in range(64)]
+    prints = spark.createDataFrame([(1, [1] * 64), (2, apart), (3, [0] * 64), (4, [5, 6, 7]), (5, [5, 6, 7])], "id long, codes array<int>")
+    assert {(r.key_a, r.key_b) for r in pairs.positional(prints, "id", "codes").collect()} == {(1, 2), (4, 5)}
