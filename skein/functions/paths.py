@@ -68,10 +68,10 @@ def category(ext: Column, mime: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """Size in binary units with one decimal; whole bytes below 1 KB, ``0 B`` for null and nothing."""
+    """Size in binary units with one decimal, ties to even; whole bytes below 1 KB, ``0 B`` for null and nothing."""
     out = F.concat(size.cast("long").cast("string"), F.lit(" B"))
     for k, unit in enumerate(UNITS, 1):
-        value = F.format_string("%.1f " + unit, size.cast("double") / float(1024**k))
+        value = F.format_string("%.1f " + unit, F.bround(size.cast("double") / float(1024**k), 1))
         out = F.when(size >= 1024**k, value).otherwise(out)
     return F.when(F.coalesce(size, F.lit(0)) <= 0, F.lit("0 B")).otherwise(out)
 

@@ -54,7 +54,7 @@ def candidates_text(candidates: DataFrame, key: str, n: int = 3) -> DataFrame:
     """``source:id title (year) [score]`` of the best candidates of each key, joined by ``; ``."""
     top = top_per_key(candidates, key, n, F.desc("score"), F.asc("candidate_id"))
     year = F.when(F.col("year").isNotNull(), F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")"))).otherwise("")
-    text = F.concat(F.col("source"), F.lit(":"), F.col("candidate_id").cast("string"), F.lit(" "), F.coalesce("title", F.lit("")), year, F.format_string(" [%.2f]", F.col("score")))
+    text = F.concat(F.col("source"), F.lit(":"), F.col("candidate_id").cast("string"), F.lit(" "), F.coalesce("title", F.lit("")), year, F.format_string(" [%.2f]", F.bround(F.col("score").cast("double"), 2)))
     listed = top.select(key, F.struct("rn", text.alias("t")).alias("x")).groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("x"))
     return listed.select(key, F.array_join(F.transform("x", lambda x: x["t"]), "; ").alias("candidates"))
 

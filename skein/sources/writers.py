@@ -12,7 +12,7 @@ def export_row(df: DataFrame) -> DataFrame:
         if kind == "boolean":
             c = c.cast("int").cast("string")
         elif kind in ("double", "float"):
-            c = F.regexp_replace(F.format_string("%.3f", c.cast("double")), r"\.?0+$", "")
+            c = F.regexp_replace(F.format_string("%.3f", F.bround(c.cast("double"), 3)), r"\.?0+$", "")
         elif not kind.startswith(("string", "int", "bigint")):
             c = c.cast("string")
         out.append(F.coalesce(F.when(F.col(name).isNotNull(), c.cast("string")), F.lit("")).alias(name))
