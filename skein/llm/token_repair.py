@@ -2,8 +2,7 @@
 
 Documents are ordered by doc_id over range partitions; each partition is a run of shards of about
 ``shard_ids`` ids that never split a document. Within a shard the frequent pairs of neighbouring ids
-are replaced by nonterminals, round after round: every round counts all pairs, takes those that occur
-at least ``min_count`` times (the most frequent first) and replaces them from left to right. A shard
+are replaced by nonterminals, round after round, until no pair occurs ``min_count`` times. A shard
 stores its rules, the length that every rule expands to, and the remaining sequence, so that a
 position is found from cumulated lengths and only the symbols that cover it are expanded.
 
@@ -12,6 +11,7 @@ small columns (partition, number of ids) are read without the large ones.
 """
 
 import itertools
+import json
 import os
 import re
 import struct
@@ -20,15 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, process_cache, written
 
 END = 0
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 BROADCAST_ROWS = 100_000
-CACHED_WORDS = 600_000
+# Least occurrences of a pair that becomes a rule: its two symbols and length take the room of four symbols.
+MIN_COUNT, LEAST_ROOM = 8, 8192
+CACHED_WORDS, PIECE_BYTES = 1_200_000, 8 << 20
+# Two neighbouring white space characters, whichever the tokenizer's pattern may count as such.
+ADJACENT = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 # Marks that the tokenizer's pattern keeps in one piece; an apostrophe may begin a contraction.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -40,74 +45,155 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class WordEncoder:
-    """The tokenizer's ids of whole texts, as little-endian 32-bit bytes, from its ids of their words.
+    """The tokenizer's ids of whole texts, put together from its ids of their words.
 
     The byte-level pattern always cuts before a single space or line feed that stands alone, so ids of
-    " word" and "\\nword" don't depend on what is around them and each is encoded once. Texts with
-    neighbouring white space characters go through the tokenizer whole.
+    " word" and "\\nword" don't depend on what is around them. Words are told apart in Arrow and each distinct
+    one is encoded once: letters as ready-made pieces in one batch, the marks after them apart, any other
+    word by the whole pattern. Texts with neighbouring white space or a special token in them go through the
+    tokenizer whole, and so does every text if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.feed = self._plain("\n")
-        self.known: dict[str, bytes] = {"\n": self.feed}
-        self.tails: dict[str, bytes] = {"": b""}
-        self.spaces = re.compile(r"\s\s")
-        self.vocabulary = self.tokenizer.get_vocab_size()
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _joined(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of the stretches that begin with a line feed in each of the texts, one after the other."""
-        feed = int.from_bytes(self.feed, "little")
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(found.ids, "<u4")
-            cuts = (np.flatnonzero(ids == feed) * 4).tolist()
-            raw = ids.tobytes()
-            yield from (raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)]))
-
-    def learn(self, words: set[str]) -> None:
-        """Ids of words; letters and the marks after them are tokenized apart, as the pattern cuts between them."""
-        made, bare = [], set()
-        for w in words:
-            core = w.lstrip("\n")
-            base = core.rstrip(TAIL)
-            if base.isalpha() and len(w) - len(core) < 2:
-                tail = core[len(base) :]
-                if tail not in self.tails:
-                    self.tails[tail] = self._plain(tail)
-                key = w[: len(w) - len(tail)]
-                if key not in self.known:
-                    bare.add(key)
-                if tail:
-                    made.append((w, key, tail))
-            else:
-                self.known[w] = self._plain(w if w[:1] == "\n" else " " + w)
-        after_feed, after_space = [w for w in bare if w[0] == "\n"], [w for w in bare if w[0] != "\n"]
-        self.known.update(zip(after_space, (x[4:] for x in self._joined(["\n " + "\n ".join(p) for p in itertools.batched(after_space, 1000)])), strict=True))
-        self.known.update(zip(after_feed, self._joined(["".join(p) for p in itertools.batched(after_feed, 1000)]), strict=True))
-        self.known.update((w, self.known[key] + self.tails[tail]) for w, key, tail in made)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.spaces.search(t) else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        new = set(itertools.chain.from_iterable(x for x in split if x)).difference(self.known)
-        before = len(self.known)
-        self.learn(new)
-        get = self.known.__getitem__
-        out = [self._plain(t) if x is None else b"".join(map(get, x))[4:] for t, x in zip(texts, split)]
-        if len(self.known) > CACHED_WORDS:
-            while len(self.known) > before:
-                self.known.popitem()
-        if len(self.tails) > CACHED_WORDS:
-            self.tails = {"": b""}
+        self.vocabulary = max(self.tokenizer.get_vocab().values(), default=0) + 1
+        split, model = plan.get("pre_tokenizer") or {}, plan["model"]
+        self.by_words = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and plan.get("normalizer") is None and model["type"] == "BPE"
+        special = sorted((x["content"] for x in plan.get("added_tokens") or []), key=len, reverse=True)
+        self.whole = "|".join([ADJACENT, *map(re.escape, special)])
+        if self.by_words:
+            # pieces come cut already, and as each is seen once the model needs no cache of its own
+            plan["pre_tokenizer"]["use_regex"] = False
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
+            plan["model"] = {**model, "merges": [], "vocab": {}}
+            self.pieces = Tokenizer.from_str(json.dumps({**plan, "added_tokens": []}))
+            self.pieces.model = models.BPE(model["vocab"], merges, cache_capacity=0)
+            self.begins = np.zeros(self.vocabulary, bool)
+            self.begins[[k for x, k in model["vocab"].items() if x[0] == "Ġ"]] = True
+            self._forget(np.zeros(0, np.int64))
+
+    def _forget(self, kept: np.ndarray) -> None:
+        """Keeps only the known words ``kept``."""
+        if not len(kept):
+            self.words, self.entry, self.tails = pa.array([], pa.large_string()), np.zeros(0, np.int64), {}
+            self.first, self.length, self.used = (np.zeros(1 << 16, np.int64) for _ in range(3))
+            self.flat, self.size, self.end = np.zeros(1 << 18, np.uint32), 0, 0
+            return
+        words, entry = self.words.take(pa.array(kept)), self.entry[kept]
+        ids, length, used = _gather(self.flat, self.first[entry], self.length[entry]), self.length[entry], self.used[entry]
+        self._forget(kept[:0])
+        self.words, self.entry = words, self._add(ids, length)
+        self.used[: self.size] = used
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of new entries that stand one after the other in ``ids``."""
+        size, end = self.size + len(lengths), self.end + len(ids)
+        if size > len(self.first):
+            self.first, self.length, self.used = (np.resize(x, 2 * size) for x in (self.first, self.length, self.used))
+        if end > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * end)
+        new = np.arange(self.size, size)
+        self.length[new], self.used[new] = lengths, 0
+        self.first[new] = self.end + np.cumsum(lengths) - lengths
+        self.flat[self.end : end] = ids
+        self.size, self.end = size, end
+        return new
+
+    def _encoded(self, texts: list[str]) -> np.ndarray:
+        """Numbers of new entries for texts that go through the tokenizer as they are."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return self._add(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
+    def _lettered(self, words: list[str]) -> np.ndarray:
+        """Numbers of new entries for words of letters, each after a space."""
+        batch = [[" " + w for w in part] for part in itertools.batched(words, 1000)]
+        ids = [np.array(x.ids, np.uint32) for x in self.pieces.encode_batch_fast(batch, is_pretokenized=True, add_special_tokens=False)]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        first = np.flatnonzero(self.begins[flat])
+        return self._add(flat, np.diff(np.r_[first, len(flat)]))
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """The entries of words, -1 for unknown ones."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        return np.where(at < 0, -1, self.entry[at] if len(self.entry) else -1)
+
+    def _know(self, words: pa.Array, entries: np.ndarray) -> None:
+        self.words, self.entry = pa.concat_arrays([self.words, words]), np.r_[self.entry, entries]
+
+    def learn(self, words: pa.Array) -> None:
+        """Entries for distinct words that are not known."""
+        core = pc.ascii_rtrim(words, characters=TAIL)
+        lettered = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
+        marked = lettered & (pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy())
+        coded = core.filter(pa.array(lettered)).dictionary_encode()
+        entry = self._find(coded.dictionary)
+        unknown = entry < 0
+        new = coded.dictionary.filter(pa.array(unknown))
+        entry[unknown] = self._lettered(new.to_pylist())
+        self._know(new, entry[unknown])
+        whole = words.filter(pa.array(marked))
+        tails = [w[len(c) :] for w, c in zip(whole.to_pylist(), core.filter(pa.array(marked)).to_pylist())]
+        marks = list(set(tails).difference(self.tails))
+        self.tails.update(zip(marks, self._encoded(marks).tolist()))
+        pair = np.stack([entry[coded.indices.to_numpy()][marked[lettered]], np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))], 1)
+        self._know(whole, self._add(_gather(self.flat, self.first[pair.ravel()], self.length[pair.ravel()]), self.length[pair].sum(1)))
+        odd = words.filter(pa.array(~lettered))
+        self._know(odd, self._encoded([w if w[:1] == "\n" else " " + w for w in odd.to_pylist()]))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null one is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.by_words else np.ones(len(texts), bool)
+        out: list = [None] * len(texts)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            fed = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if x is not None else pc.replace_substring(texts.take(pa.array(rest)), "\n", " \n") for x in ("", None, "\n")))
+            split = pc.split_pattern(fed, " ")
+            coded = split.flatten().dictionary_encode()
+            entry = self._find(coded.dictionary)
+            if (entry < 0).any():
+                self.learn(coded.dictionary.filter(pa.array(entry < 0)))
+                entry = self._find(coded.dictionary)
+            self.used[entry] += 1
+            at = entry[coded.indices.to_numpy()]
+            edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+            first, length = self.first[at], self.length[at]
+            first[edges[:-1]] += 1  # without the line feed put before the text
+            length[edges[:-1]] -= 1
+            ids, ends = _gather(self.flat, first, length), np.r_[0, np.cumsum(length)][edges].tolist()
+            for k, i, j in zip(rest.tolist(), ends[:-1], ends[1:]):
+                out[k] = ids[i:j]
+            if len(self.words) > CACHED_WORDS:
+                # the words that most pieces of the corpus had stay
+                used = self.used[self.entry]
+                least = max(2, int(np.partition(used, -CACHED_WORDS // 2)[-CACHED_WORDS // 2]) + 1)
+                self._forget(np.flatnonzero(used >= least))
         return out
 
 
+def _gather(flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``first``, one after the other."""
+    before = np.cumsum(length) - length
+    return flat[np.repeat(first - before, length) + np.arange(int(length.sum()))]
+
+
+def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of the text column, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    cuts = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 def encoder(path: str) -> WordEncoder:
     cache = process_cache()
     if path not in cache:
@@ -115,92 +201,124 @@ def encoder(path: str) -> WordEncoder:
     return cache[path]
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = 8, min_count: int = 8, room: int = 1 << 16, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """(rules: pairs of symbols, sequence) of ``ids`` below ``base``; rule k is symbol ``base + k``, all below ``room``."""
-    s, rules = ids.astype(np.uint32), []
-    n_rules = 0
-    share = max(0, room - base) // rounds
-    for _ in range(rounds):
-        if len(s) < 2 or not share:
-            break
-        key = s[:-1] << np.uint32(16) | s[1:]
-        slot = (key * np.uint32(2654435761)) >> np.uint32(32 - bits)
-        heavy = np.bincount(slot, minlength=1 << bits) >= min_count
-        often = np.sort(key[heavy[slot]])
-        if not len(often):
+def _pairs(s: np.ndarray, wide: bool) -> np.ndarray:
+    """Each symbol with the next one as a single number."""
+    if wide:
+        return s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
+    return s[:-1] << np.uint32(16) | s[1:]
+
+
+def width_of(base: int) -> int:
+    """Bytes of a symbol: the fewest that leave room for ``LEAST_ROOM`` rules beside ``base`` ids."""
+    return next(w for w in (2, 3, 4) if base + LEAST_ROOM <= 1 << 8 * w)
+
+
+def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT, bits: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(rules: pairs of symbols, sequence) of ``ids`` below ``base``; rule k is symbol ``base + k``.
+
+    Rounds go on until no pair of neighbours occurs ``min_count`` times or all symbols of ``width_of(base)`` bytes are
+    in use. A round counts all pairs and replaces the most frequent of them from left to right, as many as two
+    thirds of the symbols that are left; of pairs that share a hash slot the rarer ones wait for the next round.
+    """
+    s, rules, n_rules = ids.astype(np.uint32), [], 0
+    room, wide = (1 << 8 * width_of(base)) - base, width_of(base) > 2
+    owner = np.full(1 << bits, -1, np.int32)
+    while len(s) > 1 and n_rules < room:
+        key = _pairs(s, wide)
+        slot, order = _slots(key, bits), np.sort(key)
+        first = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
+        count = np.diff(np.r_[first, len(order)])
+        pairs, count = order[first[count >= min_count]], count[count >= min_count]
+        if not len(pairs):
             break
-        first = np.flatnonzero(np.r_[True, often[1:] != often[:-1]])
-        count = np.diff(np.r_[first, len(often)])
-        pairs, count = often[first][count >= min_count], count[count >= min_count]
+        share = min(room - n_rules, max(256, (room - n_rules) * 2 // 3))
         if len(pairs) > share:
-            best = np.argsort(-count, kind="stable")[:share]
+            best = np.sort(np.argsort(-count, kind="stable")[:share])
             pairs, count = pairs[best], count[best]
-        if not len(pairs):
-            break
+        place = _slots(pairs, bits)
         order = np.argsort(count, kind="stable")  # of pairs in one slot the most frequent one is written last
-        at = (pairs * np.uint32(2654435761)) >> np.uint32(32 - bits)
-        owner = np.full(1 << bits, -1, np.int32)
-        owner[at[order]] = order
-        alive = owner[at] == np.arange(len(pairs))
-        pairs, at = pairs[alive], at[alive]
-        owner[:] = -1
-        owner[at] = np.arange(len(pairs), dtype=np.int32)
+        owner[place[order]] = order
+        alive = owner[place] == np.arange(len(pairs))
+        owner[place] = -1
+        pairs, place = pairs[alive], place[alive]
+        owner[place] = np.arange(len(pairs), dtype=np.int32)
         mine = owner[slot]
+        owner[place] = -1
         hit = np.flatnonzero(mine >= 0)
         hit = hit[pairs[mine[hit]] == key[hit]]
-        place = np.arange(len(hit))
-        start = np.maximum.accumulate(np.where(np.r_[True, hit[1:] != hit[:-1] + 1], place, 0))
-        hit = hit[(place - start) % 2 == 0]
+        run = np.arange(len(hit))
+        start = np.maximum.accumulate(np.where(np.r_[True, hit[1:] != hit[:-1] + 1], run, 0))
+        hit = hit[(run - start) % 2 == 0]
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
         s[hit] = mine[hit].astype(np.uint32) + np.uint32(base + n_rules)
         s = s[keep]
-        rules.append(np.stack([pairs >> np.uint32(16), pairs & np.uint32(0xFFFF)], 1))
+        shift = np.array(32 if wide else 16, pairs.dtype)
+        rules.append(np.stack([pairs >> shift, pairs & ((np.array(1, pairs.dtype) << shift) - np.array(1, pairs.dtype))], 1).astype(np.uint32))
         n_rules += len(pairs)
-        if len(hit) * 100 < len(s):
-            break
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), s
 
 
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    if key.dtype == np.uint64:
+        return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    return (key * np.uint32(2654435761)) >> np.uint32(32 - bits)
+
+
+def _symbols(values: np.ndarray, width: int) -> bytes:
+    """Little-endian numbers of 2, 3 or 4 bytes."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _numbers(raw: memoryview, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view("<u4")[:, 0]
+
+
 def pack(ids: np.ndarray, base: int) -> bytes:
-    """One shard: magic, base, sizes, rules, expansion lengths, sequence; all little-endian."""
+    """One shard: magic, base, sizes, symbol width, rules, expansion lengths, sequence; all little-endian."""
     rules, s = compress(ids, base)
-    small = base + len(rules) <= 1 << 16
+    width = width_of(base)
     lengths = np.ones(base + len(rules), np.int64)
     for k, (a, b) in enumerate(rules.tolist()):
         lengths[base + k] = lengths[a] + lengths[b]
-    kind = "<u2" if small else "<u4"
-    return struct.pack("<4sIIQB", MAGIC, base, len(rules), len(s), small) + rules.astype(kind).tobytes() + lengths[base:].astype("<u4").tobytes() + s.astype(kind).tobytes()
+    return struct.pack("<4sIIQB", MAGIC, base, len(rules), len(s), width) + _symbols(rules.ravel(), width) + lengths[base:].astype("<u4").tobytes() + _symbols(s, width)
 
 
 def unpack(shard: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """base, rules, lengths of the rules, sequence."""
-    magic, base, n, m, small = struct.unpack_from("<4sIIQB", shard)
+    magic, base, n, m, width = struct.unpack_from("<4sIIQB", shard)
     if magic != MAGIC:
         raise ValueError("not a shard")
-    kind, width, at = ("<u2", 2, 21) if small else ("<u4", 4, 21)
-    rules = np.frombuffer(shard, kind, 2 * n, at).reshape(-1, 2)
-    lengths = np.frombuffer(shard, "<u4", n, at + 2 * n * width)
-    return base, rules, lengths, np.frombuffer(shard, kind, m, at + 2 * n * width + 4 * n)
-
-
-def expansions(base: int, rules: np.ndarray) -> list[bytes]:
-    """The ids, as little-endian 32-bit bytes, that each symbol stands for."""
-    key = ("terminals", base)
-    cache = process_cache()
-    if key not in cache:
-        raw = np.arange(base, dtype="<u4").tobytes()
-        cache[key] = [raw[i : i + 4] for i in range(0, len(raw), 4)]
-    out = list(cache[key])
-    for a, b in rules.tolist():
-        out.append(out[a] + out[b])
-    return out
+    raw, at = memoryview(shard), struct.calcsize("<4sIIQB")
+    rules = _numbers(raw[at : at + 2 * n * width], width).reshape(-1, 2)
+    at += 2 * n * width
+    return base, rules, np.frombuffer(shard, "<u4", n, at), _numbers(raw[at + 4 * n : at + 4 * n + m * width], width)
+
+
+def expansions(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, first, length): the ids that symbol k stands for are ``length[k]`` from ``first[k]``."""
+    size = np.r_[np.ones(base, np.int64), lengths.astype(np.int64)]
+    first = np.cumsum(size) - size
+    flat = np.zeros(int(size.sum()), np.uint32)
+    flat[:base] = np.arange(base)
+    # rules use earlier symbols only: each stretch of rules whose symbols are all known is filled at once
+    done = 0
+    while done < len(rules):
+        later = np.flatnonzero(rules[done:].max(1) >= base + done)
+        end = done + int(later[0]) if len(later) else len(rules)
+        parts = rules[done:end].ravel()
+        flat[first[base + done] : first[base + end - 1] + size[base + end - 1]] = _gather(flat, first[parts], size[parts])
+        done = end
+    return flat, first, size
 
 
 def decode(shard: bytes) -> bytes:
     """All ids of a shard as little-endian 32-bit bytes."""
-    base, rules, _, s = unpack(shard)
-    return b"".join(map(expansions(base, rules).__getitem__, s.tolist()))
+    base, rules, lengths, s = unpack(shard)
+    flat, first, size = expansions(base, rules, lengths)
+    return _gather(flat, first[s], size[s]).astype("<u4").tobytes()
 
 
 def decode_range(shard: bytes, start: int, count: int) -> np.ndarray:
@@ -236,21 +354,20 @@ def shards(docs: DataFrame, path: str | None = None, shard_ids: int = 1 << 20) -
         from pyspark import TaskContext
 
         words, part, base = encoder(path), TaskContext.get().partitionId(), encoder(path).vocabulary
-        end, ids, tokens, held, size, total, k = np.array([END], "<u4").tobytes(), [], [], [], 0, 0, 0
+        end, ids, tokens, held, size, total, k = np.array([END], np.uint32), [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
-            raw = np.frombuffer(b"".join(itertools.chain.from_iterable((x, end) for x in held)), "<u4")
+            raw = np.concatenate([x for ids in held for x in (ids, end)])
             row = [[part], [k], [total], [len(raw)], [ids], [tokens], [pack(raw, base)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], [c.split()[0] for c in FILE.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                for doc_id, raw in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()])):
-                    held.append(raw)
+            for piece in pieces(batch, 1):
+                for doc_id, found in zip(piece.column(0).to_pylist(), words.encode(piece.column(1))):
+                    held.append(found)
                     ids.append(doc_id)
-                    tokens.append(len(raw) // 4 + 1)
+                    tokens.append(len(found) + 1)
                     size += tokens[-1]
                     if size >= shard_ids:
                         yield flush()

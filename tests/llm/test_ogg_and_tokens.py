@@ -2,8 +2,10 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 from skein.llm import ogg_media as O
 from skein.llm import token_repair as R
@@ -65,25 +67,53 @@ def test_repair_round_trip():
             assert R.decode_range(data, start, n).tolist() == ids[start : start + n].tolist()
     base, rules, lengths, s = R.unpack(data)
     assert len(rules) and len(s) < len(ids) and lengths.min() >= 2
+    for base in (50_257, 70_000, 1 << 20):
+        ids = np.tile(rng.integers(0, base, 3000), 40)
+        data = R.pack(ids.astype("<u4"), base)
+        assert R.decode(data) == ids.astype("<u4").tobytes() and len(data) * 5 < len(ids) * 4
+        _, rules, _, s = R.unpack(data)
+        pair, n = np.unique(np.stack([s[:-1], s[1:]], 1), axis=0, return_counts=True)
+        assert n[pair[:, 0] != pair[:, 1]].max(initial=0) < R.MIN_COUNT
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(4)
+    ids = rng.zipf(1.3, 40_000) % 300
+    for bits in (6, 20):  # slots that many pairs share
+        rules, s = R.compress(ids.astype("<u4"), 300, bits=bits)
+        pair, n = np.unique(np.stack([s[:-1], s[1:]], 1), axis=0, return_counts=True)
+        assert len(rules) > 200 and n[pair[:, 0] != pair[:, 1]].max() < R.MIN_COUNT
     with pytest.raises(ValueError):
         R.unpack(b"x" * 40)
 
 
-TEXTS = ["", "a", " a", "a ", "a  b", "x\ny", "x\n\ny \n z", "\n", "tab\tb c\t", "don't we'll", "<|endoftext|> hi <|endoftext|>", "é ñ 日本 12 3", " a b", "a\x1cb", "l\r\nm", "end.\nNext one\n"]
+TEXTS = ["", "a", " a", "a ", "a  b", "x\ny", "x\n\ny \n z", "\n", "tab\tb c\t", "don't we'll", "<|endoftext|> hi <|endoftext|>", "é ñ 日本 12 3", " a b", "a\x1cb", "l\r\nm", "end.\nNext one\n", "hi <|endoftext|> there", "one<|endoftext|>two", "a\u3000\u00a0b", "it's o'clock\n's", "\nWord,*** x", "ſtraße Ⅷ ²x"]
 
 
 def test_words_encode_as_whole_texts(sf_dir):
-    encoder = R.WordEncoder(R.tokenizer_path())
-    texts = TEXTS + pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()
-    whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert encoder.encode(texts) == whole and encoder.encode(texts) == whole
+    texts = [*TEXTS, *pq.read_table(f"{sf_dir}/documents.parquet")["text"].to_pylist()]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder, tokenizer = R.WordEncoder(R.tokenizer_path(name)), Tokenizer.from_file(R.tokenizer_path(name))
+        whole = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        for _ in range(2):
+            assert [x.tolist() for x in encoder.encode(pa.array(texts))] == whole
+    assert whole[0] == [] and tokenizer.encode("a <|endoftext|>", add_special_tokens=False).ids[-1] == 49407
+
+
+def test_forgotten_words_encode_the_same(monkeypatch):
+    monkeypatch.setattr(R, "CACHED_WORDS", 40)
+    encoder, tokenizer = R.WordEncoder(R.tokenizer_path()), Tokenizer.from_file(R.tokenizer_path())
+    for k in range(30):
+        texts = [f"the word of{'abcdefghij'[k % 10] * (k + 1)} and w{k}, {'xyz'[k % 3] * k}.\nNext line{k}" for k in range(k, k + 9)]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.words) <= 40 + 60
 
 
 def test_positions(spark):
     rows = [(5, "hello hello hello", "x"), (2, None, "x"), (9, "", None), (None, "ab", "x"), (2, "b", "x"), (2, "b", "y")] + [(100 + k, " ".join(TEXTS) * k, "z") for k in range(20)]
     docs = spark.createDataFrame(rows, DOCS)
     got = R.positions(R.written(R.shards(docs, shard_ids=200), "t")).orderBy("start").collect()
-    tokenizer = R.WordEncoder(R.tokenizer_path()).tokenizer
+    tokenizer = Tokenizer.from_file(R.tokenizer_path())
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
     at = 0
     texts = {}
