@@ -6,7 +6,7 @@ import types
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset and the master local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -60,3 +62,32 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, marked for broadcast if it has ``rows`` rows of numbers at most."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def told_apart(docs: DataFrame, seed: int, first: str, second: str) -> DataFrame:
+    """``docs`` with two 64-bit hashes of id and text by which every row differs, wholly equal ones too.
+
+    Rows that occur once depend on nothing else. Equal rows are numbered, by input partition first, so that no task
+    holds a group of them, and their number is hashed as well; they are written, so that the numbers stay. Which of them has
+    which number doesn't matter, as they are equal in id and text.
+    """
+    rows = docs.withColumn(first, F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn(second, F.xxhash64(F.lit(seed + 1), "text", "doc_id"))
+    twice = written(rows.groupBy(first, second).agg(F.count("*").alias("n")).where("n > 1").select(first, second), "equal-rows")
+    if twice.isEmpty():
+        return rows
+    twice = small(twice)
+    part, before, nth = fresh(rows.columns, "part", "before", "nth")
+    again = written(rows.join(twice, [first, second], "left_semi").withColumn(part, F.spark_partition_id()), "equal-rows")
+    sofar = Window.partitionBy(first, second).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = again.groupBy(first, second, part).agg(F.count("*").alias("n"))
+    counts = counts.select(first, second, part, F.coalesce(F.sum("n").over(sofar), F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(first, second, part).orderBy(F.lit(0)))
+    again = again.withColumn(nth, inside - 1).join(counts, [first, second, part]).withColumn(nth, F.col(nth) + F.col(before))
+    for k, name in enumerate((first, second)):
+        again = again.withColumn(name, F.when(F.col(nth) > 0, F.xxhash64(F.lit(seed + 2 + k), name, nth)).otherwise(F.col(name)))
+    return rows.join(twice, [first, second], "left_anti").select(*rows.columns).unionByName(again.select(*rows.columns))

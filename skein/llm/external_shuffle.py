@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, partitions
+from .common import fresh, partitions, told_apart
 
 SHARDS, SEED = 24, 7
 BUCKET_BYTES = 32 << 20
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS, TASK_BUCKETS = 1_000_000, 4
 
 
 def fisher_yates(n: int, seed: tuple[int, int]) -> np.ndarray:
@@ -35,17 +35,17 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     """The rows of ``docs`` with ``place``: their place in a global random permutation, from 0 without gaps.
 
     Names that clash with columns of ``docs`` get underscores appended. A null or empty text is a row like any other, and
-    repeated rows are rows of their own (wholly equal ones are interchangeable). Empty table: no rows.
+    repeated rows are rows of their own, spread like any others (wholly equal ones are interchangeable). Empty table: no rows.
     """
     spark = docs.sparkSession
-    bucket, index, place, before = fresh(docs.columns, "bucket", "index", "place", "before")
+    bucket, index, place, before, a, b = fresh(docs.columns, "bucket", "index", "place", "before", "a", "b")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first().n
     n_buckets = max(4 * partitions(spark), -(-total // bucket_bytes))
-    scattered = docs.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(n_buckets)))
+    scattered = told_apart(docs, seed, a, b).withColumn(bucket, F.pmod(a, F.lit(n_buckets)))
     offsets = scattered.groupBy(bucket).agg(F.count("*").alias("rows"))
     offsets = offsets.select(F.col(bucket), F.coalesce(F.sum("rows").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
-    bucket_at = len(docs.columns)
+    bucket_at = scattered.columns.index(bucket)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; one bucket at a time is held."""
@@ -70,11 +70,13 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         if held:
             yield from release()
 
-    ordered = scattered.repartition(partitions(spark), bucket).sortWithinPartitions(bucket, "doc_id", F.xxhash64("text"))
+    # a task has a few buckets, however large the table is
+    tasks = max(partitions(spark), n_buckets // TASK_BUCKETS)
+    ordered = scattered.repartition(tasks, bucket).sortWithinPartitions(bucket, a, b)
     filled = ordered.mapInArrow(fill, T.StructType([*scattered.schema.fields, T.StructField(index, T.LongType())]))
     if n_buckets <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    return filled.join(offsets, bucket).withColumn(place, F.col(before) + F.col(index)).drop(bucket, index, before)
+    return filled.join(offsets, bucket).withColumn(place, F.col(before) + F.col(index)).drop(bucket, index, before, a, b)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid_unigram, log_templates, quality_pu, toxicity_channel
+from . import decontaminate, langid_unigram, log_templates, mixing_tree, quality_pu, toxicity_channel
 from .common import table
 from .external_shuffle import digests
-from .mixing_tree import taken
 from .ogg_media import read, store
 from .simhash_golay import near_duplicates
 from .token_repair import token_positions
@@ -29,7 +28,7 @@ def op4_langid_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(table(spark, sf_dir, "documents")).drop("draws")
+    return mixing_tree.digests(table(spark, sf_dir, "documents"))
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

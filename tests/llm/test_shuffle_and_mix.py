@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from skein.llm import external_shuffle as E
 from skein.llm import mixing_tree as M
@@ -55,15 +56,66 @@ def brute_targets(sizes):
             out[k] = 2.0 * sizes[k]
 
 
-def test_targets_and_tree():
-    for sizes in ([], [0], [5], [0, 0, 10], [100, 3, 900, 40, 7], [1, 1000, 1000, 1, 1000]):
-        got = M.targets(np.array(sizes, np.int64))
-        assert np.allclose(got, brute_targets(sizes) if sizes else [])
+@pytest.mark.parametrize("sizes", [[0], [5], [0, 0, 10], [100, 3, 900, 40, 7], [1, 1000, 1000, 1, 1000]])
+def test_targets(spark, sizes):
+    sources = spark.createDataFrame([(f"={k}" if k < len(sizes) - 1 else "", n) for k, n in enumerate(sizes)], "key string, source_size long")
+    got = {r.key: r.target for r in M.targeted(sources).collect()}
+    want = brute_targets(sizes)
+    assert np.allclose([got[f"={k}" if k < len(sizes) - 1 else ""] for k in range(len(sizes))], want)
+
+
+def test_tree(monkeypatch):
     quotas = np.array([0, 7, 1000, 33, 250])
     for outputs in (1, 2, 7, 24):
         leaves = M.split(quotas, outputs, 3)
         assert (leaves.sum(1) == quotas).all() and (leaves >= 0).all()
         assert np.ptp(leaves.sum(0)) <= 1 + int(np.ceil(np.log2(outputs)))
+        again = M.split(quotas, outputs, 4, leaves.sum(0))
+        assert (again.sum(0) == leaves.sum(0)).all() and (again.sum(1) == quotas).all()
+    # beyond numpy's range the draws have the same mean and spread
+    have = np.array([300, 500, 1200])
+    exact = np.array([M.drawn(have, 700, np.random.default_rng(k)) for k in range(4000)])
+    monkeypatch.setattr(M, "EXACT_BLOCKS", 10)
+    limit = np.array([M.drawn(have, 700, np.random.default_rng(k)) for k in range(4000)])
+    assert (limit.sum(1) == 700).all() and (limit <= have).all()
+    assert np.allclose(exact.mean(0), limit.mean(0), atol=1) and np.allclose(exact.std(0), limit.std(0), rtol=0.06)
+
+
+def test_chunks_of_sources_split_exactly(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK_SOURCES", 4)
+    blocks = {f"={k}": k % 9 for k in range(30)}
+    rows = M.stretches(spark.createDataFrame(list(blocks.items()), "key string, blocks long"), 5, 1).collect()
+    assert {r.key: r.ends[-1] for r in rows} == blocks
+    shares = np.diff([[0, *r.ends] for r in rows], axis=1)
+    assert (shares >= 0).all() and np.ptp(shares.sum(0)) <= 4
+
+
+def test_draws_are_blocks_of_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame(rows(), DOCS)
+    out = M.taken(docs, outputs=6, block_words=64).collect()
+    per_source = {}
+    for r in out:
+        for d in r.draws:
+            per_source.setdefault(r.source_size, {}).setdefault(d.block, set()).add(d.shard)
+    for blocks in per_source.values():
+        # every taken block is on one shard, and shards have consecutive stretches of the permutation
+        assert all(len(s) == 1 for s in blocks.values()) and sorted(blocks) == list(range(len(blocks)))
+        dealt = [next(iter(blocks[k])) for k in range(len(blocks))]
+        assert dealt == sorted(dealt)
+    assert len({s for blocks in per_source.values() for x in blocks.values() for s in x}) == 6
+    monkeypatch.setattr(M, "split", lambda quotas, outputs, seed, totals=None: np.c_[quotas, np.zeros((len(quotas), outputs - 1), np.int64)])
+    other = M.taken(docs, outputs=6, block_words=64).collect()
+    assert {d.shard for r in other for d in r.draws} == {0} and sorted(map(str, other)) != sorted(map(str, out))
+    assert sorted((str(r.doc_id), r.taken) for r in other) == sorted((str(r.doc_id), r.taken) for r in out)
+
+
+def test_one_row_repeated(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 0, None)], DOCS).crossJoin(spark.range(5000)).drop("id").union(spark.createDataFrame(rows(50), DOCS))
+    out = M.taken(docs, outputs=3, block_words=256).where("doc_id = 1 and size = 3").collect()
+    assert len(out) == 5000 and sum(r.taken for r in out) <= 30_000 and {r.taken for r in out} <= set(range(7)) and len({(d.shard, d.block) for r in out for d in r.draws}) > 20
+    got = E.shard(docs, 4, bucket_bytes=2000).collect()
+    assert sorted((r.shard_, r.slot) for r in got)[-1][0] == 3 and max(Counter(r.shard_ for r in got).values()) - min(Counter(r.shard_ for r in got).values()) <= 1
+    assert len({(r.shard_, r.slot) for r in got}) == len(got) == docs.count()
 
 
 def test_taken_words_meet_targets(spark):
