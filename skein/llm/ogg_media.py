@@ -141,7 +141,10 @@ def encode(text: bytes) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, media: binary) for every row; a null text is stored as the empty one. Extra columns are not read."""
+    """(doc_id, media: binary) for every row, to be written; a null text is stored as the empty one.
+
+    Repeated rows are stored each, with equal bytes. Empty table: no rows. Extra columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +171,7 @@ OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tai
 
 
 def read(media: DataFrame) -> DataFrame:
-    """Digests and features of stored media (doc_id, media), one row each."""
+    """Digests and features of stored media (doc_id, media), one row each, in any order. Empty table: no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in OUT.split(", ")]

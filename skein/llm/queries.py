@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, langid_unigram, log_templates, mixing_tree, quality_pu, toxicity_channel
-from .common import table
+from .common import table, written
 from .external_shuffle import digests
 from .ogg_media import read, store
 from .simhash_golay import near_duplicates
@@ -32,7 +32,7 @@ def op5_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(store(table(spark, sf_dir, "documents")))
+    return read(written(store(table(spark, sf_dir, "documents")), "media"))
 
 
 def op7_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

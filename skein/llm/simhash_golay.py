@@ -13,8 +13,10 @@ the own key of either is among the search keys of the other. So
 (segment, half, 16 exact bits, 12-bit codeword index) joins all linked pairs, and a popcount verifies.
 
 Equal fingerprints are one node, so copies never multiply. What a key gathers is compared inside the
-task and leaves as a spanning forest, never as all its pairs; a key with more than ``block_rows``
-rows is divided into blocks, and pairs of blocks are compared by separate tasks.
+task and leaves as a spanning forest, never as all its pairs. Keys are counted before rows are shuffled by
+them: a row of a key with more than ``block_rows`` rows gets four finer keys instead, each with 12 of the
+48 bits in which its links may differ (three errors cannot touch four parts). Where a finer key still has too
+many rows, it is divided into blocks, and pairs of blocks are compared by separate tasks.
 """
 
 from collections.abc import Iterator
@@ -22,14 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import partitions, utf8, written
+from .common import fresh, partitions, small, utf8, written
 from .components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
-CHUNK = 1 << 16
+CHUNK, HOT_COPIES = 1 << 16, 100_000
 # Fixed value: generator polynomial of the binary (23,12,7) Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY_POLYNOMIAL = 0b110001110101
 
@@ -53,15 +56,16 @@ def simhash(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp: the fingerprint's 64 bits as a long) for every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, fp: the fingerprint's 64 bits as a long) for every row, and ``row`` if given; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter(map(simhash, utf8(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter(map(simhash, utf8(batch.column(0))), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], [*batch.schema.names[1:], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rest = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *([row.alias("row")] if row is not None else []))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields[1:], T.StructField("fp", T.LongType())]))
 
 
 def _syndromes() -> np.ndarray:
@@ -166,6 +170,24 @@ def _linked(keys: np.ndarray, fps: np.ndarray, own: np.ndarray, small: int = 16)
     return pairs[:, 0], pairs[:, 1]
 
 
+def finer(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Four keys (columns) for each row of a key: the key with 12 of the bits outside its exact segment."""
+    shift = (key >> 29).astype(np.uint64) * np.uint64(16)
+    low = fp & ((np.uint64(1) << shift) - np.uint64(1))
+    rest = low | (np.right_shift(np.right_shift(fp, shift), np.uint64(16)) << shift)
+    parts = [rest >> np.uint64(12 * j) & np.uint64(0xFFF) | np.uint64(j << 12) for j in range(4)]
+    mixed = (key.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ np.stack(parts, 1)
+    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ mixed >> np.uint64(29)).view(np.int64)
+
+
+KEYED = "key long, fp long, own boolean"
+
+
+def _crowded(keyed: DataFrame, block_rows: int) -> DataFrame:
+    return written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows), "crowded")
+
+
 def links(nodes: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """(a, b: long) edges that connect all of the distinct ``nodes`` (fp) within three bits, directly or through others."""
     tables = golay_tables()
@@ -177,58 +199,52 @@ def links(nodes: DataFrame, block_rows: int = 20_000) -> DataFrame:
                 key, row, own = golay_keys(fp[at : at + 4096], tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row.view(np.int64)), pa.array(own)], ["key", "fp", "own"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(a), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none, pa.nulls(len(a), pa.bool_())], ["a", "b", "key", "part", "own"])
-
-        def held(run: list[tuple], large: int) -> Iterator[pa.RecordBatch]:
-            """One or more whole runs of keys; a run that is too large leaves as rows with block numbers."""
-            key, fp, own = (np.concatenate(x) for x in zip(*run))
-            if len(key) > block_rows and key[0] == key[-1]:
-                part = (fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                none = pa.nulls(len(key), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), none, pa.array(key), pa.array(part), pa.array(own)], ["a", "b", "key", "part", "own"])
-            else:
-                yield edges(*_linked(key, fp.view(np.uint64), own))
-
-        rest, size = [], 0
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, fp, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(finer(key, fp.view(np.uint64)).ravel()), pa.array(np.repeat(fp, 4)), pa.array(np.repeat(own, 4))], ["key", "fp", "own"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key; the runs of a batch are compared at once, the last one waits for its rest."""
+
+        def edges(run: list[tuple]) -> pa.RecordBatch:
+            a, b = _linked(*(np.concatenate(x) for x in zip(*run)))
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+        rest: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
+            key, fp, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-            if rest and rest[-1][0][-1] != key[0]:
-                yield from held(rest, size)
-                rest, size = [], 0
-            if len(cuts):
-                first, last = int(cuts[0]), int(cuts[-1])
-                rest.append((key[:first], fp[:first], own[:first]))
-                yield from held(rest, size + first)
-                if last > first:
-                    big = np.diff(np.r_[cuts])
-                    if (big > block_rows).any():
-                        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                            yield from held([(key[s:e], fp[s:e], own[s:e])], e - s)
-                    else:
-                        yield edges(*_linked(key[first:last], fp[first:last].view(np.uint64), own[first:last]))
-                rest, size = [(key[last:], fp[last:], own[last:])], len(key) - last
-            else:
-                rest.append((key, fp, own))
-                size += len(key)
+            last = int(cuts[-1]) if len(cuts) else 0
+            if rest and (last or rest[-1][0][-1] != key[0]):
+                yield edges([*rest, (key[:last], fp[:last].view(np.uint64), own[:last])])
+                rest = []
+            elif last:
+                yield edges([(key[:last], fp[:last].view(np.uint64), own[:last])])
+            rest.append((key[last:], fp[last:].view(np.uint64), own[last:]))
         if rest:
-            yield from held(rest, size)
-
-    spark = nodes.sparkSession
-    n = partitions(spark)
-    keyed = nodes.select("fp").mapInArrow(expand, "key long, fp long, own boolean").repartition(n, "key").sortWithinPartitions("key", "fp")
-    found = written(keyed.mapInArrow(compare, "a long, b long, key long, part long, own boolean"), "links")
-    edges, large = found.where("key is null").select("a", "b"), found.where("key is not null")
-    if not large.isEmpty():
-        blocks = large.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("long").alias("blocks"))
-        rows = large.join(blocks, "key").withColumn("block", F.col("part") % F.col("blocks"))
+            yield edges(rest)
+
+    def compared(rows: DataFrame) -> DataFrame:
+        sorted_rows = rows.select("key", "fp", "own").repartition(n, "key").sortWithinPartitions("key", "fp")
+        return sorted_rows.mapInArrow(compare, "a long, b long")
+
+    n = partitions(nodes.sparkSession)
+    keyed = nodes.select("fp").mapInArrow(expand, KEYED)
+    crowded = _crowded(keyed, block_rows)
+    if crowded.isEmpty():
+        return written(compared(keyed), "links")
+    crowded = small(crowded.select("key"))
+    fine = written(keyed.join(crowded, "key", "left_semi").select("key", "fp", "own").mapInArrow(refine, KEYED), "finer")
+    dense = _crowded(fine, block_rows)
+    out = compared(keyed.join(crowded, "key", "left_anti")).union(compared(fine.join(small(dense.select("key")), "key", "left_anti")))
+    if not dense.isEmpty():
+        blocks = small(dense.select("key", F.ceil(F.col("n") / F.lit(block_rows)).cast("long").alias("blocks")))
+        rows = fine.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
         spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("a").alias("fp"), "own")
+        spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "own")
 
         def pair(batch: pa.Table) -> pa.Table:
             fps = np.unique(batch.column("fp").to_numpy().view(np.uint64))
@@ -236,8 +252,8 @@ def links(nodes: DataFrame, block_rows: int = 20_000) -> DataFrame:
             a, b = forest(own, fps)
             return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-        edges = edges.union(spread.groupBy("key", "i", "j").applyInArrow(pair, "a long, b long"))
-    return edges
+        out = out.union(spread.groupBy("key", "i", "j").applyInArrow(pair, "a long, b long"))
+    return written(out, "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,25 +264,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id never becomes a component_id unless its whole component has none. Empty table: no rows.
     Extra columns are not read.
     """
-    prints = written(fingerprints(docs), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    return grouped(written(fingerprints(docs), "fingerprints")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """Written ``prints`` (doc_id, fp, ...) with component_id.
+
+    Copies meet only as one node with a count; fingerprints of more than ``HOT_COPIES`` rows, of which there can be few,
+    are broadcast so that no task gets all their rows.
+    """
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "nodes")
     roots = connected_components(links(nodes))
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"])
-    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
-    mapped = grouped.join(least, "root").select("fp", "component_id")
-    alone = nodes.join(roots, nodes["fp"] == roots["node"], "left_anti").select("fp", F.col("low").alias("component_id"))
-    return prints.join(mapped.unionByName(alone), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    of = written(joined.join(least, "root").select("fp", "component_id", "copies"), "components")
+    hot = of.where(F.col("copies") > HOT_COPIES).select("fp", "component_id")
+    cool = of.where(F.col("copies") <= HOT_COPIES).select("fp", "component_id")
+    if hot.isEmpty():
+        return prints.join(cool, "fp")
+    hot = small(hot)
+    return prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(cool, "fp"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of its near-duplicate group; one row for each such id.
+    """One row of ``docs``, all columns, of each near-duplicate group: the least doc_id, null last, then the least hash of the row.
 
-    Rows that share a doc_id are one document. Rows without a doc_id stay.
+    Rows are documents of their own, also where they share a doc_id or have none.
     """
-    from pyspark.sql import Window
-
-    (order, at) = ("_order", "_at") if not {"_order", "_at"} & set(docs.columns) else ("_order__", "_at__")
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(at)).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept[at], "left_semi")
-    one = stay.withColumn(order, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(order) == 1).drop(order)
-    return one.unionByName(docs.where("doc_id is null"))
+    a, b, rank = fresh(docs.columns, "_a", "_b", "_rank")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+    prints = written(fingerprints(docs, row), "fingerprints")
+    nodes = prints.groupBy("fp").agg(F.min("row").alias("low"))
+    roots = connected_components(links(written(nodes, "nodes")))
+    one = nodes.join(roots, nodes["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("low").alias("low"))
+    kept = one.select(F.col("low.a").alias(a), F.col("low.b").alias(b))
+    rows = docs.withColumn(a, F.xxhash64("doc_id", "text")).withColumn(b, F.xxhash64(F.lit(1), "text", "doc_id")).join(kept, [a, b], "left_semi")
+    # wholly equal rows: one of them, cut before the shuffle
+    order = Window.partitionBy(a, b).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return rows.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

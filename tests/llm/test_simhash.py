@@ -57,7 +57,7 @@ def test_links_on_dense_clusters(spark):
         if (low == label).all():
             break
         label = low
-    for block_rows in (20_000, 7):
+    for block_rows in (20_000, 60, 7):
         nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
         roots = {r.node: r.root for r in S.connected_components(S.links(nodes, block_rows)).collect()}
         groups = {}
@@ -90,3 +90,32 @@ def test_edge_rows(spark):
     assert sorted((r.doc_id is not None, r.doc_id) for r in kept.collect() if r.doc_id is not None) == [(True, 3), (True, 4)]
     assert S.near_duplicates(docs.where("false")).count() == 0
     assert S.keep_one(docs.where("false")).count() == 0
+
+
+def test_crowded_keys_and_hot_copies(spark, monkeypatch):
+    # one key at ten times the block size, whose finer keys are small
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 2**48, 500, dtype=np.uint64) << np.uint64(16))
+    fps = np.unique(np.r_[fps, fps[::5] ^ np.uint64(1 << 60), fps[::7] ^ np.uint64(7 << 20)])
+    keys = {int(k) for k in S.finer(np.zeros(len(fps), np.int64), fps).ravel()}
+    assert len(keys) > 1000
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3]
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    roots = {r.node: r.root for r in S.connected_components(S.links(nodes, 50)).collect()}
+    signed = fps.view(np.int64).tolist()
+    assert all(roots[signed[i]] == roots[signed[j]] for i, j in near) and len(roots) == len({x for p in near for x in p})
+    # one text and id in very many rows
+    monkeypatch.setattr(S, "HOT_COPIES", 100)
+    docs = spark.range(4000).selectExpr("if(id < 2000, 7, id) as doc_id", "if(id < 3000, 'one two three four', concat('text ', id, ' of its own ', id * 7)) as text", "'x' as fp")
+    got = S.near_duplicates(docs).collect()
+    assert len(got) == 4000 and {r.component_id for r in got if r.doc_id < 3000} == {7}
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.where("text like 'one%'").collect()] == [7]
+
+
+def test_very_long_text():
+    words = [f"w{k % 977}" for k in range(200_000)]
+    text = " ".join(words).encode()
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3]), 42) for i in range(len(words) - 2)], "<u8")
+    want = sum(1 << b for b in range(64) if int((hashes >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(hashes))
+    assert S.simhash(text) == want
