@@ -2,11 +2,12 @@
 
 A line's tokens are runs of characters other than ASCII white space; a token with a digit is a variable
 field and becomes ``<*>``. The tree has fixed depth: first the number of tokens, then the first
-``LEAD`` tokens; lines that agree on these share a leaf. A leaf's template keeps, at each position, the
-token that at least half of the leaf's documents have there, and ``<*>`` where none does. A line belongs
-to the leaf's template if at least ``SIMILARITY`` of its tokens agree with constants or stand at ``<*>`` of
-its own, and else to the template of its exact tokens. Templates found in ``MIN_DOCS`` documents or
-more are dropped from every document; a blank line is never dropped.
+``LEAD`` tokens; lines that agree on these share a leaf. A leaf holds one template of its majority, with the
+tokens that at least half of its documents have at a position, and as many templates as its frequent tokens
+make: of every line, the tokens that ``MIN_DOCS`` documents of the leaf have at their position. All other
+positions are variable and match any token. A template must be constant in ``CONSTANT`` of its positions; a line
+belongs to the majority's if ``SIMILARITY`` of its tokens fit. Exact lines and templates found in ``MIN_DOCS``
+documents or more are dropped from every document; a blank line is never dropped.
 
 Counts are taken over distinct documents, with partial aggregates before each shuffle. Only leaves
 with enough documents are looked into, each distinct line of them once. Lines travel as hashes; texts
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, written
 
-LEAD, SIMILARITY, MIN_DOCS = 3, 0.8, 5
-BROADCAST_ROWS, SALT = 500_000, 32
+LEAD, SIMILARITY, CONSTANT, MIN_DOCS = 3, 0.8, 0.7, 5
+BROADCAST_ROWS, SALT = 200_000, 32
 SPACE = r"[\x09-\x0D\x20]+"
 # What a line must lack to be its own normal form: digits, other white space, spaces at the ends or in a row.
 ODD = r"[0-9\x09-\x0D]|^ | $|  "
@@ -59,22 +60,32 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_key, _drop: numbers of the lines to drop) of documents with any."""
     rows = _documents(docs)
     lines = written(_lines(rows).drop("_line"), "lines")
-    # documents of each exact line, and of each leaf
-    exact = written(lines.groupBy("_leaf", "_exact", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf", "_exact").agg(F.count("*").alias("docs")), "exact-lines")
+    # documents of each exact line, one of them, and documents of each leaf
+    exact = lines.groupBy("_leaf", "_exact", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf", "_exact").agg(F.count("*").alias("docs"), F.min("_key").alias("_of"))
+    exact = written(exact, "exact-lines")
     leaves = lines.groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
-    forms = exact.groupBy("_leaf").agg(F.count("*").alias("forms"), F.max("docs").alias("most")).where("forms > 1")
-    leaves = written(leaves.join(forms, "_leaf").select("_leaf", "leaf_docs"), "leaves")
-    # one line of each form in those leaves, with its tokens
-    wanted = written(exact.join(leaves, "_leaf"), "wanted")
-    found = _spread(_lines(rows), wanted, ["_leaf", "_exact"])
-    form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs"), F.first("leaf_docs").alias("leaf_docs")), "forms")
+    forms = exact.groupBy("_leaf").agg(F.count("*").alias("forms")).where("forms > 1")
+    wanted = written(exact.join(leaves.join(forms, "_leaf", "left_semi").select("_leaf"), "_leaf"), "wanted")
+    # the tokens of each form in those leaves, from the document kept for it
+    of = written(wanted.select(F.col("_of").alias("_key")).distinct(), "documents-of-forms")
+    kept = rows.join(F.broadcast(of) if of.count() <= BROADCAST_ROWS else of, "_key", "left_semi")
+    found = _spread(_lines(kept), wanted, ["_leaf", "_exact"]).where("_key = _of")
+    form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs")), "forms")
     at = form.select("_leaf", "_exact", "docs", F.size(F.split("_line", " ")).alias("n"), F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
     share = form.groupBy("_leaf").agg(F.sum("docs").alias("all_docs"))
-    constant = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have")).join(share, "_leaf").where(F.col("have") * 2 >= F.col("all_docs")).select("_leaf", "_at", "_token")
-    agree = at.join(constant, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_exact").agg((F.count("*") / F.first("n")).alias("alike"))
-    members = written(agree.where(F.col("alike") >= SIMILARITY).select("_leaf", "_exact"), "members")
-    in_template = _spread(lines, members, ["_leaf", "_exact"]).groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("_leaf")
-    recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(members.join(in_template, "_leaf")).distinct()
+    tokens = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have")).join(share, "_leaf")
+    tokens = tokens.select("_leaf", "_at", "_token", (F.col("have") * 2 >= F.col("all_docs")).alias("major"), (F.col("have") >= min_docs).alias("often"))
+    tokens = written(tokens.where("major or often"), "tokens")
+    fixed = tokens.where("major").groupBy("_leaf").agg(F.count_distinct("_at").alias("fixed"))
+    often = F.when(F.col("often"), F.xxhash64("_at", "_token"))
+    fit = at.join(tokens, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_exact").agg(F.first("n").alias("n"), F.count_if("major").alias("agree"), F.count_if("often").alias("frequent"), F.bit_xor(often).alias("template"))
+    # groups of forms: the majority's and that of each frequent template
+    majority = (F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("agree") + F.col("n") - F.col("fixed") >= SIMILARITY * F.col("n"))
+    groups = F.array_compact(F.array(F.when(majority, F.xxhash64("_leaf")), F.when(F.col("frequent") >= CONSTANT * F.col("n"), F.xxhash64("_leaf", "template"))))
+    members = written(fit.join(fixed, "_leaf", "left").select("_leaf", "_exact", groups.alias("groups")).where("size(groups) > 0"), "members")
+    in_group = _spread(lines, members, ["_leaf", "_exact"]).select(F.explode("groups").alias("group"), "_key")
+    in_group = in_group.groupBy("group", "_key").agg(F.lit(1).alias("one")).groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("group")
+    recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(members.select("_leaf", "_exact", F.explode("groups").alias("group")).join(in_group, "group").select("_leaf", "_exact")).distinct()
     recurring = written(recurring, "recurring")
     marked = _spread(lines, recurring, ["_leaf", "_exact"])
     return marked.groupBy("_key").agg(F.collect_set("_no").alias("_drop"))
@@ -91,8 +102,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     marks = dropped_lines(docs, min_docs).select(F.col("_key").alias(key), F.col("_drop").alias(drop))
     rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")).join(marks, key, "left")
     lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda line, no: ~F.array_contains(drop, no))
-    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
+    # the lines are bound once, and a set tells their numbers apart, so that the time is linear in the lines
+    stay = F.transform(F.array(lines), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(drop)), lambda no: F.get(x, no)))
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(F.get(stay, F.lit(0)), "\n"))
     out = rows.withColumn(kept, text).withColumn(n_lines, F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long"))
     return out.withColumn(n_dropped, F.coalesce(F.when(F.col(drop).isNotNull(), F.size(drop)), F.lit(0)).cast("long")).select(*docs.columns, kept, n_lines, n_dropped)
 
@@ -115,14 +127,21 @@ WITH lines AS (
   SELECT leaf, exact, docs, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM form
 ), share AS (
   SELECT leaf, sum(docs) AS all_docs FROM form GROUP BY leaf
-), constant AS (
-  SELECT leaf, pos, token FROM tok JOIN share USING (leaf) GROUP BY leaf, pos, token HAVING sum(docs) * 2 >= any_value(all_docs)
+), counted AS (
+  SELECT leaf, pos, token, sum(docs) * 2 >= any_value(all_docs) AS major, sum(docs) >= {MIN_DOCS} AS often FROM tok JOIN share USING (leaf) GROUP BY leaf, pos, token
+), fixed AS (
+  SELECT leaf, count(DISTINCT pos) AS fixed FROM counted WHERE major GROUP BY leaf
+), fit AS (
+  SELECT leaf, exact, any_value(n) AS n, count(*) FILTER (major) AS agree, count(*) FILTER (often) AS frequent,
+    string_agg(CASE WHEN often THEN token ELSE '<*> ' END, ' ' ORDER BY pos) AS template
+  FROM tok JOIN counted USING (leaf, pos, token) WHERE major OR often GROUP BY leaf, exact
 ), members AS (
-  SELECT leaf, exact FROM tok JOIN constant USING (leaf, pos, token) GROUP BY leaf, exact HAVING count(*) / any_value(n) >= {SIMILARITY}
+  SELECT leaf, exact, 'majority' AS grp FROM fit JOIN fixed USING (leaf) WHERE fixed >= {CONSTANT} * n AND agree + n - fixed >= {SIMILARITY} * n
+  UNION ALL SELECT leaf, exact, 'template ' || template FROM fit WHERE frequent >= {CONSTANT} * n
 ), in_template AS (
-  SELECT leaf FROM keyed JOIN members USING (leaf, exact) GROUP BY leaf HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
+  SELECT leaf, grp FROM keyed JOIN members USING (leaf, exact) GROUP BY leaf, grp HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
 ), recurring AS (
-  SELECT leaf, exact FROM exact WHERE docs >= {MIN_DOCS} UNION SELECT leaf, exact FROM members JOIN in_template USING (leaf)
+  SELECT leaf, exact FROM exact WHERE docs >= {MIN_DOCS} UNION SELECT leaf, exact FROM members JOIN in_template USING (leaf, grp)
 ), dropped AS (
   SELECT doc_id, list(no) AS nos FROM keyed JOIN recurring USING (leaf, exact) GROUP BY doc_id
 )
