@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, process_cache
+from .common import held_out, process_cache, written
 from .quality_pu import sampled
 
 SAMPLE, LEAST, SEED, THRESHOLD = 5_000, 3, 5, 0.7
@@ -267,12 +267,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
         return model
     half = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(2)).cast("int").alias("half")
     chosen = sampled(known.where("y = 1"), sample, seed).union(sampled(known.where("y = 0"), sample, seed))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("y").cast("int"), half)
-    # stems of at least LEAST of at most SAMPLE toxic rows
-    table = _stem_counts(rows, counts).where(F.col("n2") + F.col("n3") >= LEAST).toPandas()
+    # one row for each of at most twice ``sample`` ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = written(rows.select("text", F.col("y").cast("int"), half), "toxicity-sample")
     n = {(r.y, r.half): r.n for r in rows.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
-    stem = [bytes(s) for s in table.stem]
     n0, n1 = (n.get((0, 0), 0), n.get((0, 1), 0)), (n.get((1, 0), 0), n.get((1, 1), 0))
+    # stems of LEAST toxic rows or more that are evidence by one of the two tables
+    toxic, other = F.col("n2") + F.col("n3"), F.col("n0") + F.col("n1")
+    telling = [(t + 0.3) / (a + 0.6) > (o + 0.3) / (b + 0.6) * 2.7 for t, o, a, b in ((F.col("n2"), F.col("n0"), n1[0], n0[0]), (toxic, other, sum(n1), sum(n0)))]
+    table = _stem_counts(rows, counts).where((toxic >= LEAST) & (telling[0] | telling[1])).toPandas()
+    stem = [bytes(s) for s in table.stem]
     first = odds(table.n2.to_numpy(), table.n0.to_numpy(), n1[0], n0[0])
     final = odds((table.n2 + table.n3).to_numpy(), (table.n0 + table.n1).to_numpy(), sum(n1), sum(n0))
     keep = lambda value: {s: float(v) for s, v in zip(stem, value) if v > 1}
@@ -297,8 +301,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels of held-out ids are never read.
 
-    A null or empty text has no evidence. Of conflicting labels of one id the larger counts. Without labels
-    all scores are the base rate 0.5. Extra columns are not read; repeated rows each give a row.
+    A null or empty text has no evidence. Of conflicting labels of one id the larger counts, and of rows that
+    share an id one is learnt from. Without labels all scores are the base rate 0.5. Extra columns are not read;
+    repeated rows each give a row, with one score. Empty table: no rows.
     """
     model = train(docs, labels, sample, seed)
 

@@ -164,3 +164,88 @@ def test_toxicity_on_held_out_labels(spark):
     out = X.predictions(spark.createDataFrame(rows, DOCS), labels).join(labels, "doc_id").where("held_out").collect()
     assert area([r.score for r in out], [r.toxic for r in out]) > 0.98
     assert np.mean([r.predicted == r.toxic for r in out]) > 0.97
+
+
+def readings(channel, span, apart, spaces):
+    """Every text that a span can stand for, with its cost, by enumeration."""
+    options = []
+    for at, x in enumerate(span):
+        now = [(x, 0.0)] if x in channel.number and x != " " else []
+        now += [(y, X.SIGN_COST) for y in X.LOOKALIKES.get(x, "")]
+        if apart and x in X.SEPARATORS:
+            now += [("", X.SPLIT_COST)] + ([(" ", X.SPLIT_COST)] if spaces else [])
+        elif at and x == span[at - 1]:
+            now.append(("", X.DROP_COST))
+        options.append(now or [("", X.KEEP_COST)])
+    for choice in itertools.product(*options):
+        text, cost = "".join(y for y, _ in choice), sum(c for _, c in choice)
+        if "  " in text or text.startswith(" "):
+            continue
+        code = [0, 0, *(channel.number[y] for y in text)]
+        code += [0] if code[-1] else []
+        yield cost + sum(channel.cost[a, b, c] for a, b, c in zip(code, code[1:], code[2:])), text
+
+
+def test_viterbi_is_the_least_of_all_readings(channel):
+    for span in ("1d10t", "m0r0n", "i d 1 o t", "a.s.s", "st*p1d", "$$i|l", "tr@sh!", "l-o_s e r", "uuuu", "x y z w"):
+        for spaces in (False, True):
+            apart = sum(x in X.SEPARATORS for x in span) * 2 >= len(span) - 1
+            every = list(readings(channel, span, apart, spaces))
+            got = channel._likeliest(span, apart, spaces)
+            assert min(every)[0] == pytest.approx(min(c for c, t in every if t == got)), (span, spaces, got)
+
+
+def test_risk_gradient_by_finite_differences(spark):
+    rng = np.random.default_rng(3)
+    p, u = rng.normal(0.4, 1, (40, 5)), rng.normal(-0.2, 1, (70, 5))
+    w = [rng.normal(0, 1, (5, Q.HIDDEN)), rng.normal(0, 1, Q.HIDDEN), rng.normal(0, 1, (Q.HIDDEN, 1)), rng.normal(0, 1, 1)]
+
+    def at(w, prior):
+        return Q.risk(prior, Q.sums(w, p)[0] / 40, Q.sums(w, u)[0] / 70)
+
+    for prior in (0.2, 0.95):
+        (sp, dp), (su, du) = Q.sums(w, p), Q.sums(w, u)
+        low = su / 70 - prior * sp / 40
+        got = Q.direction(prior, sp / 40, su / 70, [d / 40 for d in dp], [d / 70 for d in du])
+        for k in range(4):
+            for place in [tuple(rng.integers(0, n) for n in w[k].shape) for _ in range(4)]:
+                up, down = [x.copy() for x in w], [x.copy() for x in w]
+                up[k][place] += 1e-5
+                down[k][place] -= 1e-5
+                if low >= 0:
+                    want = (at(up, prior) - at(down, prior)) / 2e-5
+                else:
+                    part = lambda w: prior * Q.sums(w, p)[0] / 40 - Q.sums(w, u)[0] / 70  # noqa: B023, E731
+                    want = (part(up) - part(down)) / 2e-5
+                assert got[k][place] == pytest.approx(want, abs=1e-6)
+    # the sums that Spark takes over all rows give the step that one process would take
+    x = rng.normal(0, 1, (300, Q.FEATURES)).astype(np.float32)
+    model = Q.fit(x[:100] + 1, x, 0.5, epochs=2)
+    web = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "doc_id long, x array<float>").repartition(5)
+    got, adam, pos = Q.refined(model, x[:100] + 1, web, 0.5, rounds=3), Q.Adam(model["w"], 0.005), Q.standard(model, x[:100] + 1)
+    for _ in range(3):
+        (sp, dp), (su, du) = Q.sums(adam.w, pos), Q.sums(adam.w, Q.standard(model, x))
+        adam.step(Q.direction(0.5, sp / 100, su / 300, [d / 100 for d in dp], [d / 300 for d in du]))
+    assert all(np.allclose(a, b) for a, b in zip(got["w"], adam.w))
+
+
+def slow_features(text):
+    """Some of the features, by loops over characters."""
+    raw = (text or "").encode()
+    words = raw.split()
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 or c > 127 for c in raw) + 1
+    return {0: sum(65 <= c <= 90 for c in raw) / letters, 2: sum(48 <= c <= 57 for c in raw) / len(raw), 6: len(set(words)) / len(words), 8: max(words.count(w) for w in words) / len(words), 9: len({tuple(words[i : i + 2]) for i in range(len(words) - 1)}) / max(1, len(words) - 1), 11: sum(map(len, words)) / len(words) / 10}
+
+
+def test_features_match_loops():
+    for text in ("One two, three 44!\nfour four", "Été x", "A " * 500, "x"):
+        got = Q.features(text)
+        assert all(got[k] == pytest.approx(v, rel=1e-5) for k, v in slow_features(text).items())
+    assert not Q.features(None).any() and not Q.features(" \n").any()
+
+
+def test_one_id_in_very_many_rows(spark):
+    docs = spark.range(20_000).selectExpr("if(id < 19800, 7, id) as doc_id", "concat('the text of ', id % 50, case when id % 4 = 0 then ' vile' else '' end) as text")
+    labels = spark.range(20_000).selectExpr("id as doc_id", "int(id % 5 > 0) as quality", "int(id % 4 = 0) as toxic")
+    for predict in (Q.predictions, X.predictions):
+        assert predict(docs, labels, 100).count() == 20_000
