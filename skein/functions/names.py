@@ -14,45 +14,101 @@ ODD_ARTISTS, ODD_TITLES = "unknown|various|untitled", "track|untitled|unknown"
 VIDEO = "mp4|mkv|avi|mov|wmv|m4v|ts|m2ts|webm|mpg|mpeg|vob|flv|3gp|ogv|mts|m2t"
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip_audio_extension(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"(?i)\.part$", ""), rf"(?i)\.(?:{AUDIO})$", "")
 
 
 def spaces_for_separators(text: Column) -> Column:
-    """Underscores, dot runs and dots away from digits become spaces."""
-    out = F.regexp_replace(text, "_+", " ")
-    out = F.regexp_replace(out, r"(?<!\d)\.(?!\d)|\.\.+", " ")
-    return F.regexp_replace(out, r"\s+", " ")
+    """Underscores and dots become spaces; a single dot next to a digit, as in ``2.0``, stays."""
+
+    def with_mark(parts: Column, part: Column, i: Column) -> Column:
+        after, last = F.get(parts, i + 1), F.size(parts) - 1
+        in_run = ((part == "") & (i > 0)) | ((after == "") & (i + 1 < last))
+        beside_digit = part.rlike("[0-9]$") | after.rlike("^[0-9]")
+        return F.concat(part, F.when(i == last, "").when(beside_digit & ~in_run, ".").otherwise(" "))
+
+    split = F.split(F.translate(text, "_", " "), "[.]")
+    marked = bound(split, lambda parts: F.array_join(F.transform(parts, lambda part, i: with_mark(parts, part, i)), ""))
+    return F.regexp_replace(marked, r"\s+", " ")
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _is_tag(group: Column) -> Column:
+    """Whether the words in a pair of brackets name a release rather than a work, or begin with a resolution or bit rate."""
+
+    def test(words: Column) -> Column:
+        first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+        size = F.translate(first, "pkbs", "").rlike("^[0-9]{2,4}$") & F.translate(first, "0123456789", "").isin("p", "kbps")
+        return F.exists(words, lambda w: w.isin(*TAG_WORDS.split("|"))) | size | first.isin("dvd", "bluray")
+
+    return bound(F.filter(F.split(F.lower(group), "[^a-z0-9]+"), lambda w: w != ""), test)
+
+
 def without_tags(text: Column) -> Column:
-    """Bracketed tags and stray brackets removed."""
-    out = F.regexp_replace(text, rf"(?i)\s*[(\[{{][^)\]}}]*?\b(?:{TAG_WORDS})\b[^)\]}}]*[)\]}}]\s*", " ")
-    out = F.regexp_replace(out, r"(?i)\s*[(\[{](?:\d{3,4}p|\d{2,4}kbps|dvd|bluray)[^)\]}]*[)\]}]", " ")
-    return collapse(F.regexp_replace(out, r"\s*[(\[{}\])]\s*", " "))
+    """Bracketed tags removed; other brackets become spaces."""
+    opened, closed = "\u0002", "\u0003"
+    pieces = F.split(F.translate(text, "([{)]}", opened * 3 + closed * 3), opened)
+
+    def outside(piece: Column) -> Column:
+        return F.translate(piece, closed, " ")
+
+    def after_bracket(piece: Column) -> Column:
+        group = F.substring_index(piece, closed, 1)
+        rest = F.substring(piece, F.length(group) + 1, F.length(piece))
+        return F.when(F.contains(piece, F.lit(closed)) & _is_tag(group), outside(rest)).otherwise(outside(piece))
+
+    return collapse(F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, outside(x)).otherwise(after_bracket(x))), " "))
 
 
 def normal_name(text: Column) -> Column:
     return without_tags(spaces_for_separators(strip_audio_extension(text)))
 
 
+def track_and_rest(name: Column) -> Column:
+    """Struct of a leading track number (up to three digits, maybe behind a letter or the word disc) and what follows it."""
+
+    def is_number(word: Column) -> Column:
+        return F.regexp_replace(F.lower(word), "^(disc)?[a-z]?", "").rlike("^[0-9]{1,3}$")
+
+    def read(words: Column) -> Column:
+        first, second, rest = F.get(words, F.lit(0)), F.get(words, F.lit(1)), F.coalesce(F.get(words, F.lit(2)), F.lit(""))
+        spoken = (F.lower(first) == "disc") & is_number(second) & (rest != "")
+        plain = is_number(first) & (F.concat(F.coalesce(second, F.lit("")), rest) != "")
+        track = F.when(spoken, F.concat_ws(" ", first, second)).when(plain, first)
+        at = F.when(spoken, F.length(first) + F.length(second) + 1).when(plain, F.length(first)).otherwise(0)
+        return F.struct(track.alias("track"), at.alias("at"))
+
+    found = bound(F.split(name, r"[\s._-]+", 3), read)
+    cut = F.regexp_replace(F.substring(name, found["at"] + 1, F.length(name)), r"^[\s._-]+", "")
+    return F.struct(found["track"].alias("track"), F.trim(F.when(found["at"] > 0, cut).otherwise(name)).alias("rest"))
+
+
 def music_name(path: Column, parents: Column) -> Column:
     """Struct of artist, title, album and track from a file name and its folders."""
-    name = normal_name(basename(path))
-    number = r"(?i)^((?:disc\s*)?[A-Z]?\d{1,3})(?:[._\-\s]+)(.+)$"
-    track = F.nullif(F.trim(F.regexp_extract(name, number, 1)), F.lit(""))
-    rest = F.when(track.isNotNull(), F.trim(F.regexp_extract(name, number, 2))).otherwise(name)
+    folders = F.transform(F.coalesce(parents, F.array().cast("array<string>")), normal_name)
+    split = bound(normal_name(basename(path)), track_and_rest)
+    return bound(F.struct(split.alias("s"), folders.alias("folders")), lambda x: _music_name(x["s"]["track"], x["s"]["rest"], x["folders"]))
+
+
+def _music_name(track: Column, rest: Column, folders: Column) -> Column:
     parts = F.filter(F.transform(F.split(rest, DASH, 3), lambda x: F.trim(x)), lambda x: x != "")
+    return bound(parts, lambda p: _of_parts(track, rest, p, folders))
+
+
+def _of_parts(track: Column, rest: Column, parts: Column, folders: Column) -> Column:
     dashed = F.size(parts) >= 2
     first = F.get(parts, F.lit(0))
     main = F.trim(F.get(F.split(first, GUEST, 2), F.lit(0)))
     named = F.when(dashed, F.when(main != "", main).otherwise(first))
     title = F.when(dashed, F.array_join(F.slice(parts, F.lit(2), F.greatest(F.lit(1), F.size(parts) - 1)), " - ")).otherwise(F.nullif(F.trim(rest), F.lit("")))
-    folders = F.transform(F.coalesce(parents, F.array().cast("array<string>")), normal_name)
     last = F.try_element_at(folders, F.lit(-1))
     album = F.when((last != "") & (F.lower(last) != F.lower(F.coalesce(named, F.lit("")))), last)
     others = F.filter(F.reverse(folders), lambda x: (x != "") & (F.lower(x) != F.lower(F.coalesce(album, F.lit("")))))
