@@ -1,6 +1,6 @@
 """Audit summaries, baselines and health rollups."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_known_id, truthy_keys
@@ -44,3 +44,14 @@ def series_latest(metrics: DataFrame, n: int = 500) -> DataFrame:
     """From the newest ``n`` samples: count and latest value of each series."""
     newest = metrics.orderBy(F.desc("ts"), F.desc("id")).limit(n)
     return newest.groupBy("series").agg(F.count("*").alias("n"), F.max_by("value", F.struct("ts", "id")).alias("latest"))
+
+
+def slow_entries(log: DataFrame, n: int, least_ms: float, *order: str) -> DataFrame:
+    """Of the newest ``n`` entries those that took longer than ``least_ms``, newest first."""
+    newest = [F.desc(c) for c in order]
+    return log.orderBy(*newest).limit(n).where(F.col("duration_ms") > least_ms).orderBy(*newest)
+
+
+def stale_ratio(entries: DataFrame, by: str, stale: Column, least: float = 0.4) -> DataFrame:
+    """Groups whose share of stale entries reaches ``least``."""
+    return entries.groupBy(by).agg((F.count_if(stale) / F.count("*")).alias("ratio")).where(F.col("ratio") >= least)

@@ -57,3 +57,12 @@ def rate_by_minute(calls: DataFrame, bucket: str, ts: str, most: int) -> DataFra
 def tool_metrics(calls: DataFrame) -> DataFrame:
     """Totals, failures, successes and the 95th percentile of each tool."""
     return calls.groupBy("tool").agg(F.count("*").alias("total"), F.count_if("failed").alias("failed"), F.percentile("ms", F.lit(0.95)).alias("p95")).withColumn("success", F.greatest(F.lit(0), F.col("total") - F.col("failed")))
+
+
+def blob_totals(df: DataFrame, value: str) -> DataFrame:
+    """Rows, bytes and the mean length in characters, ties to even."""
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).cast("long").alias("bytes"), F.bround(F.avg(F.length(value)), 0).cast("long").alias("mean_size"))
+
+
+def mean_dimension(df: DataFrame, vec: str) -> DataFrame:
+    return df.agg(F.coalesce(F.bround(F.avg(F.size(vec)), 0), F.lit(0)).cast("long").alias("dimension"))

@@ -58,3 +58,8 @@ def diverse(candidates: DataFrame, key: str, vec: str, n: int) -> DataFrame:
 
 def should_train(total: int, trained: int, least: int, step: int) -> bool:
     return total >= least and total - trained >= step
+
+
+def training_due(counts: DataFrame, least: int, step: int) -> DataFrame:
+    """``should_train`` for each row of (labels, trained), as ``train``."""
+    return counts.withColumn("train", (F.col("labels") >= least) & (F.col("labels") - F.col("trained") >= step))

@@ -76,3 +76,15 @@ def floats(blob):
         return raw.map(lambda b: None if b is None else np.frombuffer(b[: len(b) // 4 * 4], "<f4"))
 
     return decode(blob)
+
+
+def pack_floats(vec):
+    """Arrays of floats as little-endian 32-bit bytes."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("binary")
+    def encode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return encode(vec)
