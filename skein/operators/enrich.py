@@ -16,7 +16,7 @@ def index_content(rows: DataFrame, key: str, fields: list[str], meta: list[str])
 
 def hashed_words(docs: DataFrame, key: str, body: str, size: int = 256) -> DataFrame:
     """(key, vector): counts of hashed words of each text, scaled to length one; texts without words are left out."""
-    slots = docs.select(key, F.explode(text.tokens(F.col(body))).alias("t")).select(key, F.pmod(F.xxhash64("t"), F.lit(size)).alias("slot"))
+    slots = docs.select(key, F.explode(text.tokens(F.col(body))).alias("t")).select(key, (F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 4), 16, 10).cast("long") % size).alias("slot"))
     counts = slots.groupBy(key, "slot").agg(F.count("*").cast("double").alias("n")).groupBy(key)
     listed = counts.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     every = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
@@ -31,20 +31,20 @@ def folder_profiles(files: DataFrame) -> DataFrame:
         F.count_if(is_nfo).alias("nfos"),
         F.max_by(F.when(is_video, F.col("name")), F.when(is_video, F.struct("size_bytes", "name"))).alias("main_video"),
     )
-    named = counts.withColumn("c", names.canonical_title(F.col("folder")))
+    named = counts.withColumn("c", names.canonical_title(F.col("folder"))).withColumn("kind", names.folder_kind(F.col("folder"), F.col("videos")))
     issues = F.array_compact(
         F.array(
             F.when(F.col("videos") == 0, F.lit("no_primary_video")),
             F.when(F.col("videos") > 1, F.concat(F.lit("multiple_primary_videos:"), F.col("videos").cast("string"))),
             F.when(F.col("nfos") == 0, F.lit("missing_nfo")),
-            F.when(~F.col("c.canonical"), F.lit("missing_canonical_pattern")),
+            F.when(~F.col("c.canonical") & (F.col("kind") == "movie"), F.lit("missing_canonical_pattern")),
         )
     )
     whole = F.col("c.canonical") & (F.col("videos") == 1)
     no = F.lit(False)
     confidence = scores.folder_confidence(whole, F.col("nfos") > 0, no, F.lit(0.0), no, F.col("issues"))
     out = named.withColumn("issues", issues)
-    return out.select("folder", names.folder_kind(F.col("folder"), F.col("videos")).alias("kind"), F.col("c.title").alias("title"), F.col("c.year").alias("year"), whole.alias("canonical"), "main_video", "issues", confidence.alias("confidence"))
+    return out.select("folder", "kind", F.col("c.title").alias("title"), F.col("c.year").alias("year"), whole.alias("canonical"), "main_video", "issues", confidence.alias("confidence"))
 
 
 def quality_rows(files: DataFrame, score: Column) -> DataFrame:
@@ -54,10 +54,7 @@ def quality_rows(files: DataFrame, score: Column) -> DataFrame:
 
 def text_previews(docs: DataFrame, key: str, body: str, k: int = 4) -> DataFrame:
     """(key, bytes, lines, keywords) of texts; keywords without a shuffle, from each text's own words."""
-    words = F.array_sort(text.tokens(F.col(body), 3))
-    # sorted words: a run's length is the distance between the first and the last place of its word
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct((-(F.size(F.filter(words, lambda x: x == w)))).alias("n"), w.alias("w")))
-    top = F.transform(F.slice(F.array_sort(counted), 1, k), lambda s: s["w"])
+    top = F.transform(F.slice(text.counted(text.tokens(F.col(body), 3)), 1, k), lambda s: s["w"])
     return docs.select(key, F.octet_length(body).alias("bytes"), F.size(F.split(body, "\n")).alias("lines"), top.alias("keywords"))
 
 

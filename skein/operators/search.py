@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import counted, tokens
 from ..functions.vectors import cosine
 
 K1, B, LEAST_IDF, TEXT_SHARE = 1.2, 0.75, 1e-6, 0.4
@@ -50,9 +50,8 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, key: str, text_first: b
 
 def keywords(docs: DataFrame, key: str, text: str, k: int, least: int = 3) -> DataFrame:
     """(key, rank, term, n): the most frequent terms of each document, ties in term order."""
-    counts = docs.select(key, F.explode(tokens(F.col(text), least)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(key).orderBy(F.desc("n"), "term")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = F.slice(counted(tokens(F.col(text), least)), 1, k)
+    return docs.select(key, F.posexplode(top).alias("at", "x")).select(key, F.col("x.w").alias("term"), (-F.col("x.n")).cast("long").alias("n"), (F.col("at") + 1).alias("rank"))
 
 
 def lead_summary(docs: DataFrame, key: str, text: str, chars: int) -> DataFrame:

@@ -1,15 +1,36 @@
 """Running totals, budgets, retention and event coalescing."""
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.checkpoints import shared_dir
+
 
 def running_before(df: DataFrame, value: str, *order: Column, by: list[str] | None = None) -> DataFrame:
-    """``df`` with ``before``: the sum of ``value`` over the rows ahead of each, in its group."""
+    """``df`` with ``before``: the sum of ``value`` over the rows ahead of each, in its group.
+
+    Without groups the rows are written in ranges of their order; sums go over the ranges first and then within each.
+    """
+    if not by:
+        return _over_ranges(df, value, list(order))
     w = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
+def _over_ranges(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/skein-ranges-{uuid.uuid4().hex}"
+    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    sums = rows.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(sums), "_range")
+    return out.withColumn("before", F.col("_ahead") + F.col("_inside")).select(*df.columns, "before")
+
+
 def fill_budget(df: DataFrame, value: str, budget: float, *order: Column, by: list[str] | None = None) -> DataFrame:
     """Rows in order until the total ahead of a row reaches the budget; the first row always stays."""
     return running_before(df, value, *order, by=by).where(F.col("before") < budget)
@@ -28,22 +49,15 @@ def weighted_order(seed: int, key: Column, weight: Column) -> Column:
 
 def retention(backups: DataFrame, keep_last: int, days: int, weeks: int) -> DataFrame:
     """(backup_id, reasons): the newest ones, the newest of each of the last days, and of each of the last ISO weeks."""
-    day, week = F.to_date("created"), F.date_trunc("week", "created")
-    newest = Window.orderBy(F.desc("created"), F.desc("backup_id"))  # one row for each backup, a bounded table
-    rows = backups.select("backup_id", "created", day.alias("day"), week.alias("week"))
-    rows = rows.withColumn("nth", F.row_number().over(newest))
-    for name in ("day", "week"):
-        first = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("created"), F.desc("backup_id")))
-        rank = F.dense_rank().over(Window.orderBy(F.desc(name)))
-        rows = rows.withColumn(f"first_{name}", first == 1).withColumn(f"rank_{name}", rank)
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("nth") <= keep_last, F.lit("last")),
-            F.when(F.col("first_day") & (F.col("rank_day") <= days), F.lit("daily")),
-            F.when(F.col("first_week") & (F.col("rank_week") <= weeks), F.lit("weekly")),
-        )
-    )
-    return rows.select("backup_id", F.array_join(reasons, ",").alias("reasons")).where("reasons <> ''")
+    newest = [F.desc("created"), F.desc("backup_id")]
+    rows = backups.select("backup_id", "created")
+    parts = [rows.orderBy(*newest).limit(keep_last).select("backup_id", F.lit(0).alias("k"), F.lit("last").alias("reason"))]
+    for k, (name, of, most) in enumerate((("daily", F.to_date("created"), days), ("weekly", F.date_trunc("week", "created"), weeks)), 1):
+        first = rows.groupBy(of.alias("of")).agg(F.max(F.struct("created", "backup_id")).alias("row")).orderBy(F.desc("of")).limit(most)
+        parts.append(first.select("row.backup_id", F.lit(k).alias("k"), F.lit(name).alias("reason")))
+    every = parts[0].union(parts[1]).union(parts[2])
+    listed = every.groupBy("backup_id").agg(F.array_sort(F.collect_list(F.struct("k", "reason"))).alias("r"))
+    return listed.select("backup_id", F.array_join(F.transform("r", lambda x: x["reason"]), ",").alias("reasons"))
 
 
 def over_cap(items: DataFrame, size: str, cap: float, *order: Column) -> DataFrame:

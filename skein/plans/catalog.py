@@ -307,9 +307,9 @@ def retention_daily_weekly(spark, d):
     return windows.retention(backups, 4, 7, 3)
 
 
-@query("WITH r AS (SELECT r.*, coalesce(sum(n_nationkey) OVER (ORDER BY n_regionkey, n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n_nationkey) OVER () AS total FROM nation r) SELECT n_nationkey FROM r WHERE before < total - 100")
+@query("WITH r AS (SELECT o_orderkey, coalesce(sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(o_custkey) OVER () AS total FROM orders) SELECT o_orderkey FROM r WHERE before < total - 50000")
 def size_cap(spark, d):
-    return windows.over_cap(table(spark, d, "nation"), "n_nationkey", 100, F.asc("n_regionkey"), F.asc("n_nationkey")).select("n_nationkey")
+    return windows.over_cap(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_custkey", 50_000, F.asc("o_orderdate"), F.asc("o_orderkey")).select("o_orderkey")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, min(event_id) AS at FROM events GROUP BY 1")

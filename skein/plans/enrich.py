@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors
+from ..functions import scores
 from ..operators import audit, enrich
 from ..sources.readers import table
-from .catalog import WORDS, long, query
+from .catalog import SQL, WORDS, long, query
 
 
 @query("SELECT c_custkey, md5(array_to_string(list_filter([nullif(trim(c_name), ''), CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END, CAST(c_nationkey AS VARCHAR)], lambda x: x IS NOT NULL), ' ' || chr(10))) AS content FROM customer")
@@ -18,7 +18,7 @@ def index_content(spark, d):
     """WITH f AS (SELECT p_brand || ' (' || CASE WHEN p_size % 10 = 0 THEN '1' ELSE '' END || (1950 + p_size % 10) || ')' AS folder, p_partkey, CASE WHEN p_partkey % 40 = 0 THEN 'video' WHEN p_partkey % 7 = 0 THEN 'nfo' ELSE 'other' END AS kind FROM part),
     g AS (SELECT folder, count(*) FILTER (kind = 'video') AS v, count(*) FILTER (kind = 'nfo') AS n FROM f GROUP BY 1), h AS (SELECT *, regexp_matches(folder, '^.+ \\((19|20)[0-9]{2}\\)$') AS canon FROM g)
     SELECT folder, CASE WHEN v <> 1 THEN 'other' ELSE 'movie' END AS kind, canon AND v = 1 AS canonical,
-    round(least(1, greatest(0, CASE WHEN canon AND v = 1 THEN 0.35 ELSE 0 END + CASE WHEN n > 0 THEN 0.25 ELSE 0 END - CASE WHEN v = 0 THEN 0.2 ELSE 0 END - CASE WHEN v > 1 THEN 0.1 ELSE 0 END - CASE WHEN n = 0 THEN 0.05 ELSE 0 END - CASE WHEN NOT canon THEN 0.05 ELSE 0 END)), 6) AS confidence FROM h"""
+    round(least(1, greatest(0, CASE WHEN canon AND v = 1 THEN 0.35 ELSE 0 END + CASE WHEN n > 0 THEN 0.25 ELSE 0 END - CASE WHEN v = 0 THEN 0.2 ELSE 0 END - CASE WHEN v > 1 THEN 0.1 ELSE 0 END - CASE WHEN n = 0 THEN 0.05 ELSE 0 END - CASE WHEN NOT canon AND v = 1 THEN 0.05 ELSE 0 END)), 6) AS confidence FROM h"""
 )
 def folder_profiles(spark, d):
     p = table(spark, d, "part")
@@ -28,20 +28,21 @@ def folder_profiles(spark, d):
     return enrich.folder_profiles(files).select("folder", "kind", "canonical", F.round("confidence", 6).alias("confidence"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE p_size END AS score, CASE WHEN p_partkey % 6 = 0 THEN 'probe_failed' ELSE 'ok' END AS status FROM part")
+@query(f"SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 0 ELSE score END AS score, CASE WHEN p_partkey % 6 = 0 THEN 'probe_failed' ELSE 'ok' END AS status FROM ({SQL['score_rules']})")
 def quality_rows(spark, d):
-    rows = table(spark, d, "part").withColumn("probe_ok", F.col("p_partkey") % 6 != 0)
-    return enrich.quality_rows(rows, F.col("p_size")).select("p_partkey", "score", "status")
+    rows, size, key = table(spark, d, "part").withColumn("probe_ok", F.col("p_partkey") % 6 != 0), F.col("p_size"), F.col("p_partkey")
+    score = scores.video_quality(640 + size * 40, 360 + size * 20, F.col("p_retailprice") * 2, key % 3, key % 4, key % 5, F.lit(True), size * 100.0, F.lit(40))
+    return enrich.quality_rows(rows, score.cast("int")).select("p_partkey", "score", "status")
 
 
 @query(
-    f"""WITH c AS (SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark) WHERE length(w) >= 3 GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, w) AS k FROM c), l AS (SELECT item_id, string_agg(w, ',' ORDER BY k) AS keywords FROM r WHERE k <= 4 GROUP BY 1)
-    SELECT b.item_id, strlen(text) AS bytes, len(string_split(text, chr(10))) AS lines, coalesce(keywords, '') AS keywords FROM benchmark b LEFT JOIN l USING (item_id)"""
+    f"""WITH c AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents) WHERE length(w) >= 3 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS k FROM c), l AS (SELECT doc_id, string_agg(w, ',' ORDER BY k) AS keywords FROM r WHERE k <= 4 GROUP BY 1)
+    SELECT b.doc_id, strlen(text) AS bytes, len(string_split(text, chr(10))) AS lines, coalesce(keywords, '') AS keywords FROM documents b LEFT JOIN l USING (doc_id)"""
 )
 def text_previews(spark, d):
-    out = enrich.text_previews(table(spark, d, "benchmark"), "item_id", "text")
-    return out.select("item_id", long("bytes").alias("bytes"), long("lines").alias("lines"), F.array_join("keywords", ",").alias("keywords"))
+    out = enrich.text_previews(table(spark, d, "documents"), "doc_id", "text")
+    return out.select("doc_id", long("bytes").alias("bytes"), long("lines").alias("lines"), F.array_join("keywords", ",").alias("keywords"))
 
 
 @query(
@@ -79,10 +80,15 @@ def capped_sources(spark, d):
     return enrich.capped_union([docs.where("lang = 'en'"), docs.where("lang = 'de'")], [50, 20], 300).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT doc_id, ('0x' || md5(w)[1:4])::BIGINT % 256 AS slot FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS w FROM documents)), c AS (SELECT doc_id, slot, count(*) AS n FROM t GROUP BY 1, 2)
+    SELECT doc_id, count(*) AS filled, round(max(n) / sqrt(sum(n * n)), 6) AS largest, arg_max(slot, (n, -slot)) AS slot FROM c GROUP BY 1"""
+)
 def hashed_vectors(spark, d):
     rows = enrich.hashed_words(table(spark, d, "documents"), "doc_id", "text")
-    return rows.select("doc_id", F.round(vectors.norm(F.col("vector")), 6).alias("norm"))
+    filled = F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("filled")
+    top = F.array_max("vector")
+    return rows.select("doc_id", filled, F.round(top, 6).alias("largest"), (F.array_position("vector", top) - 1).alias("slot"))
 
 
 @query("SELECT l_orderkey, array_to_string(list_sort(list(l_quantity), 'DESC')[1:5], ',') AS best FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS l_quantity FROM lineitem) GROUP BY 1")

@@ -116,14 +116,21 @@ def text_filter(spark, d):
     return search.postings(docs, "doc_id", "text").where("term = 'in'").select("doc_id")
 
 
-@query()
+SENTENCES = "SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS summary FROM (SELECT *, coalesce(sum(length(sentence)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM ({SENTENCES})) WHERE ahead < 200 GROUP BY 1")
 def lead_summaries(spark, d):
     return search.lead_summary(table(spark, d, "documents"), "doc_id", "text", 200)
 
 
-@query()
+@query(
+    f"""WITH s AS ({SENTENCES}), t AS (SELECT doc_id, pos, term FROM (SELECT doc_id, pos, unnest({WORDS.format('sentence')}) AS term FROM s) WHERE length(term) >= 3),
+    c AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY 1, 2), w AS (SELECT doc_id, pos, sum(n) / sqrt(count(*) + 1.0) AS score FROM t JOIN c USING (doc_id, term) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS k FROM w) SELECT doc_id, pos::INTEGER AS "at", sentence, round(score, 6) AS score FROM r JOIN s USING (doc_id, pos) WHERE k <= 4"""
+)
 def best_sentences(spark, d):
-    return search.best_sentences(table(spark, d, "documents"), "doc_id", "text")
+    return search.best_sentences(table(spark, d, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
 @query("SELECT event_id, false AS waits FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 30) UNION ALL SELECT event_id, true FROM (SELECT event_id FROM events ORDER BY ts, event_id OFFSET 30)")
