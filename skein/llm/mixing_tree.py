@@ -20,7 +20,7 @@ No task holds a source or a shard: running sums go over parts by hash first and
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, partitions, told_apart, written
@@ -29,7 +29,7 @@ from .common import fresh, partitions, told_apart, written
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 SEED, OUTPUTS, BLOCK_WORDS = 11, 24, 4096
-BROADCAST_BYTES, CHUNK_SOURCES, PART_ROWS = 8 << 20, 10_000, 20_000
+BROADCAST_BYTES, CHUNK_SOURCES, PART_ROWS, RUN_PARTS = 8 << 20, 10_000, 20_000, 64
 # numpy draws exactly from up to so many blocks; beyond, the normal limit of the distribution stands in for it.
 EXACT_BLOCKS = 10**9
 
@@ -98,9 +98,18 @@ def targeted(sources: DataFrame) -> DataFrame:
     return rows.select("key", "source_size", F.least(F.col("most"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def _before(value: str, *keys: str) -> Column:
-    """Sum of ``value`` over the parts of a group before this one."""
-    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def running(parts: DataFrame, keys: list[str], **values: str) -> DataFrame:
+    """``parts`` (keys, part, ...) with the sum of each value over a group's parts before this one, by the given names.
+
+    Sums go over runs of ``RUN_PARTS`` parts first and then within a run, so no task has all parts of a source.
+    """
+    runs = parts.withColumn("run", F.floor(F.col("part") / RUN_PARTS))
+    ahead = Window.partitionBy(*keys).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = runs.groupBy(*keys, "run").agg(*[F.sum(v).alias(name) for name, v in values.items()])
+    sums = sums.select(*keys, "run", *[F.coalesce(F.sum(name).over(ahead), F.lit(0)).alias(f"_{name}") for name in values])
+    out = runs.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(name) for name, v in values.items()]).join(sums, [*keys, "run"])
+    return out.select(*parts.columns, *[(F.col(name) + F.col(f"_{name}")).alias(name) for name in values])
 
 
 def stretches(blocks: DataFrame, outputs: int, seed: int) -> DataFrame:
@@ -141,7 +150,7 @@ def plan(rows: DataFrame, outputs: int, seed: int, block_words: int) -> tuple[Da
     rows = rows.withColumn("part", F.pmod("a", F.lit(n)))
     sums = written(rows.groupBy("key", "part").agg(F.sum("size").alias("words")), "mix-sums")
     sources = targeted(sums.groupBy("key").agg(F.sum("words").alias("source_size")))
-    starts = written(sums.select("key", "part", _before("words", "key").alias("before")).join(sources, "key"), "mix-starts")
+    starts = written(running(sums, ["key"], before="words").drop("words").join(sources, "key"), "mix-starts")
     rows = rows.join(starts, ["key", "part"])
     # the stream: every document with words, once for each epoch, and its block
     inside = Window.partitionBy("key", "part").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,7 +166,7 @@ def plan(rows: DataFrame, outputs: int, seed: int, block_words: int) -> tuple[Da
     blocks = stream.groupBy("key", "block").agg(F.sum("size").alias("words"), F.min("start").alias("first"), F.first("want").alias("want"))
     blocks = written(blocks.withColumn("order", order).withColumn("part", F.shiftright("order", 48)), "mix-blocks")
     parts = blocks.groupBy("key", "part").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
-    parts = parts.select("key", "part", _before("words", "key").alias("words_before"), _before("n", "key").alias("n_before"))
+    parts = running(parts, ["key"], words_before="words", n_before="n").drop("words", "n")
     within = Window.partitionBy("key", "part").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
     sofar = F.col("words_before") + F.coalesce(F.sum("words").over(within), F.lit(0))
     place = F.col("n_before") + F.coalesce(F.count("block").over(within), F.lit(0))
@@ -200,7 +209,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def slots(draws: DataFrame, seed: int) -> DataFrame:
     """``draws`` with ``slot``: a seeded shuffle of each shard's rows, from 0 without gaps."""
     mixed = written(draws.withColumn("order", F.xxhash64(F.lit(seed), "a", "b", "epoch")).withColumn("part", F.shiftright("order", 52)), "mix-draws")
-    counts = mixed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", _before("n", "shard").alias("n_before"))
+    counts = running(mixed.groupBy("shard", "part").agg(F.count("*").alias("n")), ["shard"], n_before="n").drop("n")
     inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("order", "a", "b", "epoch")) - 1
     return mixed.withColumn("slot", inside).join(F.broadcast(counts), ["shard", "part"]).withColumn("slot", F.col("n_before") + F.col("slot")).drop("order", "part", "n_before")
 
