@@ -1,7 +1,12 @@
 """Near-duplicate pairs of fingerprints, their consensus, and duplicates by content."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import hamming, positional_distance
 
@@ -26,31 +31,92 @@ def banded(prints: DataFrame, key: str, bits: str, most: int, width: int = 64) -
     return pairs.where((first == F.col("a.band")) & (distance <= most)).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), distance.alias("distance"))
 
 
-def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTANCE, bands: int = 8) -> DataFrame:
+def classes(prints: DataFrame, key: str, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with equal ``by`` as one: (representatives: key, by...) and (key_a, key_b), a representative and each further key.
+
+    The representative is the least key; rows with a null in ``by`` or the key are in no class.
+    """
+    rows = prints.select(F.col(key).alias("key"), *by).dropna().distinct()
+    first = rows.groupBy(*by).agg(F.min("key").alias("key")).select("key", *by)
+    copies = rows.join(first.withColumnRenamed("key", "key_a"), list(by)).where(F.col("key") != F.col("key_a"))
+    return first, copies.select("key_a", F.col("key").alias("key_b"))
+
+
+def within_bits(prints: DataFrame, key: str, bits: str, most: int, block_rows: int = 100_000, least_blocks: int = 6) -> DataFrame:
+    """(key_a, key_b, distance) of all pairs within ``most`` bits, for thresholds so wide that no band is selective.
+
+    At 16 of 64 bits the 17 bands have three or four bits each, and a banded join makes more candidates than there are
+    pairs. Here the fingerprints are dealt by a hash into blocks of about ``block_rows``, and each pair of blocks is one
+    group that compares its words by XOR and popcount: what is shuffled grows with rows x blocks, no candidate is a row,
+    and a task holds two blocks. Call it on the representatives of ``classes``, so that copies are compared once;
+    rows with a null are left out.
+    """
+    rows = prints.select(F.col(key).alias("key"), F.col(bits).alias("bits")).dropna()
+    blocks = max(least_blocks, -(-rows.count() // block_rows))
+    own = F.pmod(F.xxhash64("bits", "key"), F.lit(blocks)).cast("int")
+    spread = rows.select("key", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = spread.select("key", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kind = T.StructType([T.StructField("key_a", rows.schema["key"].dataType), T.StructField("key_b", rows.schema["key"].dataType), T.StructField("distance", T.IntegerType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(list(batches))
+        keys, own, i, j = group["key"].combine_chunks(), *(group[c].to_numpy() for c in ("own", "i", "j"))
+        words = group["bits"].to_numpy().view(np.uint64)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        step = max(1, 4_000_000 // max(1, len(right)))
+        for at in range(0, len(left), step):
+            x = left[at : at + step]
+            apart = np.bitwise_count(words[x][:, None] ^ words[right][None, :])
+            a, b = np.nonzero(apart <= most)
+            once = (i[0] != j[0]) | (x[a] < right[b])
+            a, b = a[once], b[once]
+            found = pa.table([keys.take(pa.array(x[a])), keys.take(pa.array(right[b])), pa.array(apart[a, b].astype(np.int32))], schema=OUT)
+            yield from found.to_batches()
+
+    OUT = _arrow(kind)
+    found = dealt.groupBy("i", "j").applyInArrow(compare, kind)
+    return found.where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "distance")
+
+
+def _arrow(kind: T.StructType) -> pa.Schema:
+    names = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    return pa.schema([pa.field(f.name, names[f.dataType.simpleString()]) for f in kind.fields])
+
+
+def still_within(found: DataFrame, prints: DataFrame, key: str, bits: str, most: int) -> DataFrame:
+    """Those of the pairs ``found`` whose fingerprints are within ``most`` bits: (key_a, key_b, distance)."""
+    of = lambda n: prints.select(F.col(key).alias(f"key_{n}"), F.col(bits).alias(f"bits_{n}"))
+    both = found.select("key_a", "key_b").join(of("a"), "key_a").join(of("b"), "key_b")
+    return both.select("key_a", "key_b", hamming(F.col("bits_a"), F.col("bits_b")).alias("distance")).where(F.col("distance") <= most)
+
+
+def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTANCE) -> DataFrame:
     """(key_a, key_b, score) of all pairs of equally long codes that differ in at most a share ``most`` of their positions.
 
-    Codes of n positions are cut into floor(most n) + 1 stretches, of which such a pair agrees on one, and also into
-    ``bands``, which codes of different lengths may share.
+    Codes of n positions are cut into floor(most n) + 1 stretches, of which such a pair agrees on one, and a pair is
+    compared at the first of them. Call it on the representatives of ``classes``, so that copies are compared once.
     """
     n = F.size(codes)
-
-    def stretches(count: Column) -> Column:
-        at = lambda k: F.floor(k * n / count).cast("int")
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(k, F.slice(codes, at(k) + 1, at(k + 1) - at(k))))
-
-    needed = F.least(n, (F.floor(F.lit(most) * n + 1e-9) + 1).cast("int"))
-    both = F.when(n >= bands, F.array_union(stretches(F.lit(bands)), stretches(needed))).otherwise(stretches(needed))
-    cut = prints.where(n > 0).select(F.col(key).alias("key"), F.col(codes).alias("codes"), both.alias("stretches"))
-    rows = cut.select("key", "codes", F.explode("stretches").alias("stretch"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.key") < F.col("b.key")))
-    scored = pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), positional_distance(F.col("a.codes"), F.col("b.codes")).alias("d")).distinct()
+    count = F.least(n, (F.floor(F.lit(most) * n + 1e-9) + 1).cast("int"))
+    at = lambda k: F.floor(k * n / count).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(n, k, F.slice(codes, at(k) + 1, at(k + 1) - at(k))))
+    rows = prints.where(n > 0).select(F.col(key).alias("key"), F.col(codes).alias("codes"), stretches.alias("stretches"))
+    spread = rows.select("key", "codes", "stretches", F.posexplode("stretches").alias("place", "stretch"))
+    a, b = spread.alias("a"), spread.alias("b")
+    # merged, as a broadcast of one side leaves all comparisons to the few tasks that read the other
+    pairs = a.join(b.hint("merge"), (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.key") < F.col("b.key")) & (F.size("a.codes") == F.size("b.codes")))
+    first = F.array_position(F.zip_with("a.stretches", "b.stretches", lambda x, y: x == y), True) - 1
+    scored = pairs.where(first == F.col("a.place")).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), positional_distance(F.col("a.codes"), F.col("b.codes")).alias("d"))
     return scored.where(F.col("d") <= most).select("key_a", "key_b", (1 - F.col("d")).alias("score"))
 
 
-def consensus(video: DataFrame, audio: DataFrame) -> DataFrame:
-    """Scores of both kinds of pairs and, where both match, their weighted mean as a third."""
-    v, a = (x.select("key_a", "key_b", F.col("score").alias(n)) for x, n in ((video, "v"), (audio, "a")))
+def consensus(video: DataFrame, audio: DataFrame, video_of_audio: DataFrame | None = None) -> DataFrame:
+    """Scores of both kinds of pairs and, where both match, their weighted mean as a third.
+
+    ``video_of_audio`` has the video scores of the audio pairs (``still_within``), where ``video`` itself keeps copies
+    as links to a representative.
+    """
+    v, a = (x.select("key_a", "key_b", F.col("score").alias(n)) for x, n in ((video if video_of_audio is None else video_of_audio, "v"), (audio, "a")))
     both = v.join(a, ["key_a", "key_b"]).select("key_a", "key_b", (VIDEO_SHARE * F.col("v") + AUDIO_SHARE * F.col("a")).alias("score"), F.lit("consensus").alias("reason"))
     tagged = [x.select("key_a", "key_b", "score", F.lit(r).alias("reason")) for x, r in ((video, "video"), (audio, "audio"))]
     return tagged[0].unionByName(tagged[1]).unionByName(both)

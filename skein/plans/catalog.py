@@ -377,8 +377,20 @@ def hybrid_search(spark, d):
 VECTORS = "(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, list_transform(embedding, lambda x, i: CASE WHEN i <= vec_id % 12 THEN -x ELSE x END) FROM embeddings)"
 BITS = "list_reduce(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), lambda a, b: a || b)"
 CODES = "list_transform(embedding, lambda x: CASE WHEN x > 0.1 THEN 2 WHEN x > -0.1 THEN 1 ELSE 0 END)"
-HAMMING = f"WITH b AS (SELECT vec_id, {BITS} AS bits FROM {VECTORS}) SELECT x.vec_id AS key_a, y.vec_id AS key_b, CAST(hamming(x.bits, y.bits) AS INTEGER) AS distance FROM b x JOIN b y ON x.vec_id < y.vec_id WHERE hamming(x.bits, y.bits) <= 7"
-POSITIONAL = f"WITH c AS (SELECT vec_id, {CODES} AS c FROM {VECTORS}), p AS (SELECT x.vec_id AS key_a, y.vec_id AS key_b, len(list_filter(list_zip(x.c, y.c), lambda z: z[1] <> z[2])) AS n FROM c x JOIN c y ON x.vec_id < y.vec_id) SELECT key_a, key_b, round(1 - n / 64, 6) AS score FROM p WHERE n <= 5"
+# one row for each distinct print, with its least key; pairs between these, and each further key at its representative
+MOST_BITS, MOST_CODES = 16, 9  # similarity 0.75 and distance 0.15 of 64
+HAMMING = f"WITH v AS (SELECT vec_id, {BITS} AS bits FROM {VECTORS}), b AS (SELECT bits, min(vec_id) AS key FROM v GROUP BY 1) SELECT x.key AS key_a, y.key AS key_b, CAST(hamming(x.bits, y.bits) AS INTEGER) AS distance FROM b x JOIN b y ON x.key < y.key WHERE hamming(x.bits, y.bits) <= {MOST_BITS} UNION ALL SELECT key, vec_id, 0 FROM v JOIN b USING (bits) WHERE vec_id <> key"
+APART = "len(list_filter(list_zip(x.c, y.c), lambda z: z[1] <> z[2]))"
+POSITIONAL = f"WITH v AS (SELECT vec_id, {CODES} AS c FROM {VECTORS}), b AS (SELECT c, min(vec_id) AS key FROM v GROUP BY 1) SELECT x.key AS key_a, y.key AS key_b, round(1 - {APART} / 64, 6) AS score FROM b x JOIN b y ON x.key < y.key WHERE {APART} <= {MOST_CODES} UNION ALL SELECT key, vec_id, 1.0 FROM v JOIN b USING (c) WHERE vec_id <> key"
+# rows equal in both prints as one
+CONSENSUS = f"""WITH v AS (SELECT vec_id, {BITS} AS bits, {CODES} AS c FROM {VECTORS}),
+r AS (SELECT bits, c, min(vec_id) AS key FROM v GROUP BY 1, 2),
+b AS (SELECT bits, min(key) AS key FROM r GROUP BY 1),
+video AS (SELECT x.key AS key_a, y.key AS key_b, 1 - hamming(x.bits, y.bits) / 64 AS s FROM b x JOIN b y ON x.key < y.key WHERE hamming(x.bits, y.bits) <= {MOST_BITS} UNION ALL SELECT b.key, r.key, 1.0 FROM r JOIN b USING (bits) WHERE r.key <> b.key),
+audio AS (SELECT x.key AS key_a, y.key AS key_b, 1 - {APART} / 64 AS s, 1 - hamming(x.bits, y.bits) / 64 AS w FROM r x JOIN r y ON x.key < y.key WHERE {APART} <= {MOST_CODES})
+SELECT key_a, key_b, round(s, 8) AS score, 'video' AS reason FROM video UNION ALL SELECT key_a, key_b, round(s, 8), 'audio' FROM audio
+UNION ALL SELECT key_a, key_b, round(0.7 * w + 0.3 * s, 8), 'consensus' FROM audio WHERE w >= 1 - {MOST_BITS} / 64
+UNION ALL SELECT r.key, v.vec_id, 1.0, 'copy' FROM v JOIN r USING (bits, c) WHERE v.vec_id <> r.key"""
 
 
 def _vectors(spark, d):
@@ -387,29 +399,36 @@ def _vectors(spark, d):
     return rows.union(rows.select(F.col("vec_id") + 1000000, copy))
 
 
-def _bit_pairs(spark, d):
-    return pairs.banded(_vectors(spark, d).select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits")), "vec_id", "bits", 7)
+def _prints(spark, d):
+    codes = F.transform("embedding", lambda x: F.when(x > 0.1, 2).when(x > -0.1, 1).otherwise(0))
+    return _vectors(spark, d).select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"), codes.alias("codes"))
 
 
-def _code_pairs(spark, d):
-    codes = F.transform("embedding", lambda x: F.when(x > 0.1, 2).when(x > -0.1, 1).otherwise(0))
-    return pairs.positional(_vectors(spark, d).select("vec_id", codes.alias("codes")), "vec_id", "codes", 5 / 64, bands=6)
+def _bit_pairs(prints, key):
+    first, copies = pairs.classes(prints, key, "bits")
+    return pairs.within_bits(first, "key", "bits", MOST_BITS).union(copies.withColumn("distance", F.lit(0)))
 
 
 @query(HAMMING)
 def pair_hamming(spark, d):
-    return _bit_pairs(spark, d)
+    return _bit_pairs(_prints(spark, d), "vec_id")
 
 
 @query(POSITIONAL)
 def pair_positional(spark, d):
-    return _code_pairs(spark, d).select("key_a", "key_b", F.round("score", 6).alias("score"))
+    first, copies = pairs.classes(_prints(spark, d), "vec_id", "codes")
+    found = pairs.positional(first, "key", "codes").union(copies.withColumn("score", F.lit(1.0)))
+    return found.select("key_a", "key_b", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH v AS (SELECT key_a, key_b, 1 - distance / 64 AS v FROM ({HAMMING})), a AS (SELECT key_a, key_b, score AS a FROM ({POSITIONAL})) SELECT key_a, key_b, round(v, 8) AS score, 'video' AS reason FROM v UNION ALL SELECT key_a, key_b, round(a, 8), 'audio' FROM a UNION ALL SELECT key_a, key_b, round(0.7 * v + 0.3 * a, 8), 'consensus' FROM v JOIN a USING (key_a, key_b)")
+@query(CONSENSUS)
 def pair_consensus(spark, d):
-    video = _bit_pairs(spark, d).select("key_a", "key_b", (1 - F.col("distance") / 64).alias("score"))
-    return pairs.consensus(video, _code_pairs(spark, d)).withColumn("score", F.round("score", 8))
+    first, copies = pairs.classes(_prints(spark, d), "vec_id", "bits", "codes")
+    alike = (1 - F.col("distance") / 64).alias("score")
+    audio = pairs.positional(first, "key", "codes")
+    both = pairs.still_within(audio, first, "key", "bits", MOST_BITS).select("key_a", "key_b", alike)
+    found = pairs.consensus(_bit_pairs(first, "key").select("key_a", "key_b", alike), audio, both)
+    return found.union(copies.select("*", F.lit(1.0), F.lit("copy"))).withColumn("score", F.round("score", 8))
 
 
 @query("WITH g AS (SELECT text, min(doc_id) AS first, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT doc_id, first, copies FROM documents JOIN g USING (text)")

@@ -119,3 +119,25 @@ def test_positional_pairs_at_the_defaults_are_all_found(spark):
     apart = [0 if k in (3, 10, 12, 20, 28, 36, 44, 52, 60) else 1 for k in range(64)]
     prints = spark.createDataFrame([(1, [1] * 64), (2, apart), (3, [0] * 64), (4, [5, 6, 7]), (5, [5, 6, 7])], "id long, codes array<int>")
     assert {(r.key_a, r.key_b) for r in pairs.positional(prints, "id", "codes").collect()} == {(1, 2), (4, 5)}
+
+
+def test_wide_thresholds_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(5)
+    seeds = [draw.getrandbits(64) for _ in range(20)]
+    words = [s ^ sum(1 << b for b in draw.sample(range(64), draw.randrange(0, 22))) for s in seeds for _ in range(15)]
+    words += [words[0]] * 40 + [0, 2**64 - 1]
+    signed = [w - 2**64 if w >= 2**63 else w for w in words]
+    prints = spark.createDataFrame([(f"k{k:04}", w) for k, w in enumerate(signed)] + [("none", None), (None, 7)], "k string, h long")
+    first, copies = pairs.classes(prints, "k", "h")
+    key = {}
+    for k, w in enumerate(words):
+        key.setdefault(w, f"k{k:04}")
+    assert rows(copies, "key_a", "key_b") == sorted((key[w], f"k{k:04}") for k, w in enumerate(words) if key[w] != f"k{k:04}")
+    want = sorted((min(key[x], key[y]), max(key[x], key[y]), (x ^ y).bit_count()) for x in key for y in key if x < y and (x ^ y).bit_count() <= 16)
+    for block_rows in (100_000, 30):
+        assert rows(pairs.within_bits(first, "key", "h", 16, block_rows), "key_a", "key_b", "distance") == want
+    assert pairs.within_bits(first.limit(0), "key", "h", 16).count() == 0
+    again = pairs.still_within(spark.createDataFrame([("k0000", "k0001")], "key_a string, key_b string"), first, "key", "h", 64)
+    assert again.first().distance == (words[0] ^ words[1]).bit_count()
