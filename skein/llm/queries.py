@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid_unigram, log_templates, mixing_tree, quality_pu, toxicity_channel
+from . import decontaminate, langid_unigram, log_templates, mixing_tree, prefix_hashes, quality_pu, toxicity_channel
 from .common import table, written
 from .external_shuffle import digests
 from .ogg_media import read, store
@@ -10,7 +10,6 @@ from .simhash_golay import near_duplicates
 from .token_repair import token_positions
 
 
-
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +50,10 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hashes.compared(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_repair": op2_token_repair,
@@ -62,6 +65,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity_channel": op9_toxicity_channel,
     "op10_quality_pu": op10_quality_pu,
+    "op11_prefix_hashes": op11_prefix_hashes,
 }
 
-SQL = {"op7_log_templates": log_templates.SQL}
+SQL = {"op7_log_templates": log_templates.SQL, "op11_prefix_hashes": prefix_hashes.SQL}
