@@ -83,7 +83,7 @@ class Prefixes:
             if n < WINDOW:
                 spans = local[n:]
             else:
-                ends, begins = local[WINDOW:], local[: len(local) - WINDOW]
+                ends, begins = local[WINDOW:], local[: max(0, len(local) - WINDOW)]
                 spans = times(reduced(ends + (P - begins)), down[: len(begins)])
             spans = spans >> np.uint64(DROP_BITS)
             if len(least) == KEEP:
