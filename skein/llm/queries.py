@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid_unigram, log_templates, mixing_tree, prefix_hashes, quality_pu, toxicity_channel
+from . import decontaminate, langid_unigram, log_templates, mixing_tree, prefix_hashes, prefix_trie, quality_pu, toxicity_channel, whitening
 from .common import table, written
 from .external_shuffle import digests
 from .ogg_media import read, store
@@ -54,6 +54,14 @@ def op11_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hashes.compared(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_repair": op2_token_repair,
@@ -66,6 +74,8 @@ QUERIES = {
     "op9_toxicity_channel": op9_toxicity_channel,
     "op10_quality_pu": op10_quality_pu,
     "op11_prefix_hashes": op11_prefix_hashes,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
-SQL = {"op7_log_templates": log_templates.SQL, "op11_prefix_hashes": prefix_hashes.SQL}
+SQL = {"op7_log_templates": log_templates.SQL, "op11_prefix_hashes": prefix_hashes.SQL, "op12_prefix_trie": prefix_trie.SQL}
