@@ -1,9 +1,11 @@
 """What the operators of this subpackage share: table access, shared folders, column checks."""
 
+import functools
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -73,6 +75,23 @@ def fresh(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+#: The columns of documents that operators read by name.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def by_position(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``operator`` for tables with any column names: those that it doesn't read (dotted, quoted, alike but for case) are
+    renamed by position before and back after; the columns that it adds come last and get underscores where they clash."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        first = {c: docs.columns.index(c) for c in READ if c in docs.columns}
+        out = operator(docs.toDF(*[c if first.get(c) == k else f"_c{k}" for k, c in enumerate(docs.columns)]), *args, **options)
+        return out.toDF(*docs.columns, *fresh(docs.columns, *out.columns[len(docs.columns) :]))
+
+    return run
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table, marked for broadcast if it has ``rows`` rows of numbers at most."""
     return F.broadcast(df) if df.count() <= rows else df

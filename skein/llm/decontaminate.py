@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_position
 
 SEED_WORDS, SIMILARITY = 3, 0.8
 ITEM_BYTES = 16 << 20
@@ -200,6 +201,7 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, ite
     return found
 
 
+@by_position
 def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item. Rows without a text stay."""
     at = docs.columns.index("text")

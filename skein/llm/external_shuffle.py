@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, partitions, told_apart
+from .common import by_position, fresh, partitions, told_apart
 
 SHARDS, SEED = 24, 7
 BUCKET_BYTES = 32 << 20
@@ -31,6 +31,7 @@ def fisher_yates(n: int, seed: tuple[int, int]) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+@by_position
 def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` with ``place``: their place in a global random permutation, from 0 without gaps.
 
@@ -79,6 +80,7 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     return filled.join(offsets, bucket).withColumn(place, F.col(before) + F.col(index)).drop(bucket, index, before, a, b)
 
 
+@by_position
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (from 0 without gaps in each shard).
 

@@ -12,7 +12,6 @@ the vocabulary's word mark fit only at a word's start.
 """
 
 import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,6 @@ BATCH_WORDS = 4096
 # Everything in ASCII that is not a lower-case letter.
 OTHER = bytes(i for i in range(128) if not 97 <= i <= 122)
 BLANK = bytes.maketrans(OTHER, b" " * len(OTHER))
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def vocabulary(path: str | None = None) -> list[str]:
@@ -262,7 +260,7 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
             cache["langid"] = (model["key"], Scorer(model))
         for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             texts = batch.column(1).to_pylist()
-            lettered = [bool(model) and t is not None and LETTER.search(t) is not None for t in texts]
+            lettered = [bool(model) and any(map(str.isalpha, t or "")) for t in texts]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             at = [k for k, x in enumerate(lettered) if x]
             if at:

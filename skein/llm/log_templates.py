@@ -17,7 +17,7 @@ are shuffled once, when decisions are applied.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import by_position, fresh, written
 
 LEAD, SIMILARITY, CONSTANT, MIN_DOCS = 3, 0.8, 0.7, 5
 BROADCAST_ROWS, SALT = 200_000, 32
@@ -91,6 +91,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return marked.groupBy("_key").agg(F.collect_set("_no").alias("_drop"))
 
 
+@by_position
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``docs``, all columns, with ``kept`` (text without dropped lines), ``n_lines`` and ``n_dropped``.
 

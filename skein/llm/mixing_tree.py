@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, partitions, told_apart, written
+from .common import by_position, fresh, partitions, told_apart, written
 
 # Fixed values of the mix: weights, share of all words, most repeats.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
@@ -214,6 +214,7 @@ def slots(draws: DataFrame, seed: int) -> DataFrame:
     return mixed.withColumn("slot", inside).join(F.broadcast(counts), ["shard", "part"]).withColumn("slot", F.col("n_before") + F.col("slot")).drop("order", "part", "n_before")
 
 
+@by_position
 def mix(docs: DataFrame, outputs: int = OUTPUTS, seed: int = SEED, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows that the mix takes, once for each draw, with ``shard`` and ``slot`` (a local shuffle, from 0).
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
+from .common import by_position, held_out, written
 
 SAMPLE, SEED, THRESHOLD, HIDDEN, ROUNDS = 12_000, 3, 0.3, 24, 6
 FEATURES = 20
@@ -247,6 +247,7 @@ def predictions(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed:
     return rows.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@by_position
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``. Other cases as in ``predictions``."""
     at, model = docs.columns.index("text"), train(written(vectors(docs), "quality-vectors"), labels)

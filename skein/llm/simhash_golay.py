@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, partitions, small, utf8, written
+from .common import by_position, fresh, partitions, small, utf8, written
 from .components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -286,6 +286,7 @@ def grouped(prints: DataFrame) -> DataFrame:
     return prints.join(hot, "fp").unionByName(prints.join(hot, "fp", "left_anti").join(cool, "fp"))
 
 
+@by_position
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of ``docs``, all columns, of each near-duplicate group: the least doc_id, null last, then the least hash of the row.
 
