@@ -1,11 +1,9 @@
 """Running totals, budgets, retention and event coalescing."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.checkpoints import shared_dir
+from ..sources.shared import in_ranges
 
 
 def running_before(df: DataFrame, value: str, *order: Column, by: list[str] | None = None) -> DataFrame:
@@ -20,10 +18,7 @@ def running_before(df: DataFrame, value: str, *order: Column, by: list[str] | No
 
 
 def _over_ranges(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-ranges-{uuid.uuid4().hex}"
-    df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = in_ranges(df, *order)
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     sums = rows.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -31,6 +26,16 @@ def _over_ranges(df: DataFrame, value: str, order: list[Column]) -> DataFrame:
     return out.withColumn("before", F.col("_ahead") + F.col("_inside")).select(*df.columns, "before")
 
 
+def numbered(df: DataFrame, name: str, *order: Column | str, first: int = 0) -> DataFrame:
+    """``df`` with gapless numbers from ``first`` in its order, which must tell all rows apart; no task sorts more than a range."""
+    rows = in_ranges(df, *order)
+    ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    out = rows.withColumn("_inside", inside).join(F.broadcast(counts), "_range")
+    return out.withColumn(name, F.col("_ahead") + F.col("_inside") + first).select(*df.columns, name)
+
+
 def fill_budget(df: DataFrame, value: str, budget: float, *order: Column, by: list[str] | None = None) -> DataFrame:
     """Rows in order until the total ahead of a row reaches the budget; the first row always stays."""
     return running_before(df, value, *order, by=by).where(F.col("before") < budget)

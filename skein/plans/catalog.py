@@ -557,7 +557,7 @@ def diverse_sample(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
-    from .checkpoints import shared_dir
+    from ..sources.shared import shared_dir
 
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = streaming.finished(streaming.window_counts(streaming.stream(spark, d)), f"{where}/state", f"{where}/table")

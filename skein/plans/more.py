@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import joins, queues, search, upserts, views
+from ..sources.shared import shared_dir
 from ..sources.readers import shards, table
 from ..sources.writers import export_row
 from ..streaming import events as streaming
 from .catalog import PAGE_PATH, WORDS, long, query
-from .checkpoints import shared_dir
 
 NTZ = "timestamp_ntz"
 MOVIES = "SELECT 'm' || p_partkey AS id, 1950 + p_size AS year, p_retailprice / 10 AS minutes, (p_partkey % 100) / 100.0 AS confidence, CASE WHEN p_size % 9 = 0 THEN NULL ELSE p_size * 2 END AS quality FROM part"

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import media, names, paths, scores, text, vectors
 from ..operators import audit, enrich, joins, metrics, pages, queues, reports, search, upserts, windows
 from ..sources import readers, writers
+from ..sources.shared import shared_dir
 from ..sources.readers import table
 from .catalog import INVENTORY, inventory, query
-from .checkpoints import shared_dir
 
 
 def docs(spark, d):

@@ -47,6 +47,16 @@ def into_versions(events: DataFrame, key: str, seq: str, table: str, checkpoint:
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def collected(rows: DataFrame, checkpoint: str, table: str) -> DataFrame:
+    """Runs a stream over what is available; every batch that it gives out is a folder of its own. Returns all that ``table`` holds."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(table).select(*rows.columns)
+
+
 def finished(rows: DataFrame, checkpoint: str, table: str, mode: str = "complete", put: Callable | None = None) -> DataFrame:
     """Runs a stream over what is available and returns its last result, written to ``table``."""
 
