@@ -105,7 +105,11 @@ def normal_forms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(views.normal_form(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query()
+@query(
+    """WITH b AS (SELECT doc_id, strlen(text) AS n, unnest(range(strlen(text))) AS i, CAST('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')) AS HUGEINT) AS b FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, sum(CASE WHEN i < 1024 THEN b << CAST(i % 8 * 8 AS INT) ELSE 0 END) + sum(CASE WHEN i >= n - 1024 THEN b << CAST((i - greatest(n - 1024, 0)) % 8 * 8 AS INT) ELSE 0 END) AS words FROM b GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN format('{:016x}', CAST((strlen(text) + coalesce(words, 0)) % 18446744073709551616 AS UBIGINT)) END AS signature FROM documents LEFT JOIN w USING (doc_id)"""
+)
 def head_tail_signatures(spark, d):
     return table(spark, d, "documents").select("doc_id", views.head_tail_signature(F.col("text").cast("binary"), 1024).alias("signature"))
 

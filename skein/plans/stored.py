@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import stems
+from ..operators import scan
 from ..operators.index import TextIndex
+from ..sources import files
 from ..sources.readers import table
 from ..sources.shared import scratch
 from .catalog import query
@@ -100,3 +102,90 @@ def stored_index(spark, d):
         found = index.page(docs, *phrases, limit=200).select(F.lit(name).alias("search"), "path", F.round("score", 6).alias("score"), "total")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+# A drive of files named after the first letters of documents: stored with composed letters, listed with decomposed ones and other case.
+ACCENTS = {c: d + mark for mark, pairs in {"\u0301": "éeóoíiáa", "\u0300": "èeàaùu", "\u0302": "êeîi", "\u0308": "öoäaüu", "\u0303": "ñn", "\u0327": "çc"}.items() for c, d in zip(pairs[::2], pairs[1::2])}
+NAME = "regexp_replace(left(coalesce(text, ''), 16), '[^a-zA-Zéóíáèàùêîöäüñç]', '_', 'g') || '-' || doc_id || '.txt'"
+
+
+def _decomposed_sql(name: str) -> str:
+    for c, d in ACCENTS.items():
+        name = f"replace({name}, '{c}', '{d}')"
+    return name
+
+
+DRIVE = f"""stored AS (SELECT doc_id + 1 AS id, source || '/' || {NAME} AS path, n_chars AS size_bytes, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS mtime_utc, 'old-' || doc_id AS hash, doc_id % 11 = 0 AS deleted,
+        CASE WHEN doc_id % 11 = 0 THEN TIMESTAMP '2024-02-01' END AS deleted_ts FROM documents WHERE doc_id % 4 <> 0 AND source IS NOT NULL),
+    listed AS (SELECT upper(source) || '/' || {_decomposed_sql(NAME)} AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size_bytes, TIMESTAMP '2024-01-01' + to_seconds(doc_id + CASE WHEN doc_id % 13 = 0 THEN 60 ELSE 0 END) AS mtime_utc, text FROM documents WHERE doc_id % 9 <> 0 AND source IS NOT NULL),
+    joined AS (SELECT coalesce(a.key, b.key) AS key, a.path AS new_path, a.size_bytes AS new_size, a.mtime_utc AS new_mtime, a.text, b.*,
+        CASE WHEN b.key IS NULL THEN 'new' WHEN a.key IS NULL THEN CASE WHEN deleted THEN 'gone' ELSE 'deleted' END WHEN deleted THEN 'restored' WHEN a.size_bytes = b.size_bytes AND a.mtime_utc = b.mtime_utc THEN 'unchanged' ELSE 'changed' END AS status
+        FROM (SELECT *, lower(nfc_normalize(path)) AS key FROM listed) a FULL JOIN (SELECT *, lower(nfc_normalize(path)) AS key FROM stored) b ON a.key = b.key)"""
+
+
+def _drive(spark, d):
+    docs = table(spark, d, "documents").where("source is not null")
+    name = F.concat(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 16), "[^a-zA-Zéóíáèàùêîöäüñç]", "_"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    decomposed = name
+    for c, x in ACCENTS.items():
+        decomposed = F.replace(decomposed, F.lit(c), F.lit(x))
+    at = lambda seconds: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    gone = F.col("doc_id") % 11 == 0
+    stored = docs.where("doc_id % 4 <> 0").select(
+        (F.col("doc_id") + 1).alias("id"), F.concat("source", F.lit("/"), name).alias("path"), F.col("n_chars").alias("size_bytes"), at(F.col("doc_id")).alias("mtime_utc"),
+        F.concat(F.lit("old-"), F.col("doc_id").cast("string")).alias("hash"), gone.alias("deleted"), F.when(gone, F.lit("2024-02-01").cast("timestamp_ntz")).alias("deleted_ts"),
+    )
+    listed = docs.where("doc_id % 9 <> 0").select(
+        F.concat(F.upper("source"), F.lit("/"), decomposed).alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("size_bytes"),
+        at(F.col("doc_id") + F.when(F.col("doc_id") % 13 == 0, 60).otherwise(0)).alias("mtime_utc"), "text",
+    )
+    return stored, listed
+
+
+@query(
+    f"""WITH {DRIVE}, n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY key) AS nth, (SELECT max(id) FROM stored) AS most FROM joined)
+    SELECT CASE WHEN status = 'new' THEN most + nth ELSE id END AS id, coalesce(path, new_path) AS path, CASE WHEN status IN ('new', 'changed', 'restored') THEN new_size ELSE size_bytes END AS size_bytes,
+        CASE WHEN status IN ('new', 'changed', 'restored') THEN new_mtime ELSE mtime_utc END AS mtime_utc, CASE WHEN status IN ('new', 'changed', 'restored') THEN md5(text) ELSE hash END AS hash,
+        status IN ('deleted', 'gone') AS deleted, CASE status WHEN 'deleted' THEN TIMESTAMP '2024-03-01' WHEN 'gone' THEN deleted_ts END AS deleted_ts, status FROM n"""
+)
+def delta_scan(spark, d):
+    """A scan that is cut after its first two chunks and goes on."""
+    stored, listed = _drive(spark, d)
+    texts = listed.select(scan.path_key(F.col("path"), True).alias("key"), F.md5(F.col("text").cast("binary")).alias("hash"))
+    read = lambda todo: todo.select("key").join(texts, "key")
+    rows = max(1, stored.count() // 10)
+    now = F.lit("2024-03-01").cast("timestamp_ntz")
+    work = scan.Scan(spark, scratch(spark, "scan"), read, rows, casefold=True)
+    assert work.run(stored, listed.drop("text"), now, stop_after=2) is None
+    return work.run(stored, listed.drop("text"), now)
+
+
+@query(
+    r"""WITH l AS (SELECT CASE WHEN doc_id % 17 = 0 THEN '.cache/' ELSE '' END || source || '/' || CASE WHEN doc_id % 23 = 0 THEN repeat('long', 80) ELSE lang END || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.tmp' WHEN doc_id % 3 = 0 THEN '.mkv' ELSE '.txt' END AS path, n_chars AS size_bytes FROM documents),
+    s AS (SELECT *, CASE WHEN starts_with(path, '.') OR path LIKE '%.tmp' THEN 'ignored' WHEN length(path) >= 260 THEN 'too long' END AS skipped FROM l)
+    SELECT count(*) FILTER (skipped IS NULL) AS files_seen, CAST(sum(size_bytes) FILTER (skipped IS NULL) AS BIGINT) AS bytes_seen, count(*) FILTER (skipped IS NULL AND path LIKE '%.mkv') AS av_total,
+        count(DISTINCT regexp_replace(path, '/[^/]*$', '')) FILTER (skipped IS NULL) AS dirs_seen, count(*) FILTER (skipped = 'ignored') AS skipped_ignored, count(*) FILTER (skipped = 'too long') AS skipped_toolong FROM s"""
+)
+def scan_totals(spark, d):
+    k = F.col("doc_id")
+    name = F.concat(k.cast("string"), F.when(k % 5 == 0, ".tmp").when(k % 3 == 0, ".mkv").otherwise(".txt"))
+    path = F.concat(F.when(k % 17 == 0, ".cache/").otherwise(""), "source", F.lit("/"), F.when(k % 23 == 0, F.lit("long" * 80)).otherwise(F.col("lang")), F.lit("/"), name)
+    listing = table(spark, d, "documents").select(path.alias("path"), F.col("n_chars").alias("size_bytes"))
+    return scan.totals(scan.admitted(listing, ["*.tmp"]), F.col("path").endswith(".mkv"))
+
+
+# Bytes of texts as rows, and powers of a base modulo a prime from two small tables.
+POWERS = "".join(
+    f", small{k} AS (SELECT 0 AS i, 1::BIGINT AS x UNION ALL SELECT i + 1, x * {base} % {p} FROM small{k} WHERE i < 511), big{k} AS (SELECT 0 AS i, 1::BIGINT AS x UNION ALL SELECT i + 1, x * {pow(base, 512, p)} % {p} FROM big{k} WHERE i < 511)"
+    for k, (p, base) in enumerate(zip(files.PRIMES, files.BASES))
+)
+BYTES = "bytes AS (SELECT doc_id, unnest(range(strlen(text))) AS i, CAST('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')) AS BIGINT) AS b, strlen(text) AS n FROM documents WHERE text IS NOT NULL)"
+
+
+@query(
+    f"""WITH RECURSIVE {BYTES}{POWERS}, parts AS (SELECT doc_id, {', '.join(f'CAST(sum((b + 1)::HUGEINT * big{k}.x * small{k}.x) % {p} AS BIGINT) AS p{k}' for k, p in enumerate(files.PRIMES))}
+        FROM bytes {' '.join(f'JOIN small{k} ON small{k}.i = bytes.i % 512 JOIN big{k} ON big{k}.i = bytes.i // 512' for k in range(len(files.PRIMES)))} GROUP BY doc_id)
+    SELECT doc_id AS path, CAST(strlen(text) AS BIGINT) AS size, format('{'{:08x}' * len(files.PRIMES)}', {', '.join(f'coalesce(p{k}, 0)' for k in range(len(files.PRIMES)))}) AS digest FROM documents LEFT JOIN parts USING (doc_id) WHERE text IS NOT NULL"""
+)
+def content_digests(spark, d):
+    return files.content_digests(table(spark, d, "documents"), "doc_id", "text", 1000)
