@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import stems
-from ..operators import scan
+from ..operators import digests, metrics, scan
 from ..operators.index import TextIndex
 from ..sources import files
 from ..sources.readers import table
@@ -189,3 +189,48 @@ BYTES = "bytes AS (SELECT doc_id, unnest(range(strlen(text))) AS i, CAST('0x' ||
 )
 def content_digests(spark, d):
     return files.content_digests(table(spark, d, "documents"), "doc_id", "text", 1000)
+
+
+def _leaf_sql(keys: str, name: str, fanout: int) -> str:
+    return f"""{name}_keys AS (SELECT key, md5(key) AS h, count(*) AS n FROM ({keys}) WHERE key IS NOT NULL GROUP BY 1),
+    {name}_begins AS (SELECT *, coalesce(last_value(CASE WHEN CAST('0x' || left(h, 15) AS BIGINT) % {fanout} = 0 THEN key END IGNORE NULLS) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING), '') AS start FROM {name}_keys),
+    {name} AS (SELECT start, md5(string_agg(h || n, '' ORDER BY key)) AS digest, CAST(sum(n) AS BIGINT) AS keys FROM {name}_begins GROUP BY 1)"""
+
+
+KEYS = "SELECT o_orderpriority || '/' || o_orderkey AS key FROM orders"
+
+
+def _keys(spark, d):
+    return table(spark, d, "orders").select(F.concat("o_orderpriority", F.lit("/"), F.col("o_orderkey").cast("string")).alias("key"), "o_orderkey")
+
+
+@query(f"SELECT md5(string_agg(key, '' ORDER BY key)) AS digest FROM ({KEYS})")
+def key_list_digest(spark, d):
+    return digests.sorted_md5(_keys(spark, d), "key")
+
+
+@query(
+    f"""WITH {_leaf_sql(KEYS, 'l1', 32)}, b2 AS (SELECT *, coalesce(last_value(CASE WHEN start = '' OR CAST('0x' || left(md5(start), 15) AS BIGINT) % 1024 = 0 THEN start END IGNORE NULLS) OVER (ORDER BY start ROWS UNBOUNDED PRECEDING), '') AS up FROM l1),
+    l2 AS (SELECT up, md5(string_agg(digest, '' ORDER BY start)) AS digest, sum(keys) AS keys FROM b2 GROUP BY 1)
+    SELECT md5(string_agg(digest, '' ORDER BY up)) AS digest, CAST(sum(keys) AS BIGINT) AS keys FROM l2"""
+)
+def key_tree(spark, d):
+    return digests.tree(_keys(spark, d), "key", 32, 1)
+
+
+@query(
+    f"""WITH {_leaf_sql(KEYS + " WHERE o_orderkey % 500 <> 3", 'old', 32)}, {_leaf_sql(KEYS + " WHERE o_orderkey % 700 <> 5", 'new', 32)}
+    SELECT start, CASE WHEN o.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'removed' ELSE 'changed' END AS status FROM old o FULL JOIN new n USING (start) WHERE o.digest IS DISTINCT FROM n.digest"""
+)
+def changed_key_ranges(spark, d):
+    keys = _keys(spark, d)
+    return digests.changed_ranges(digests.leaves(keys.where("o_orderkey % 500 <> 3"), "key", 32), digests.leaves(keys.where("o_orderkey % 700 <> 5"), "key", 32))
+
+
+@query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.25), 4) AS p25, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1, 2")
+def line_percentiles(spark, d):
+    """Groups of very different sizes."""
+    rows = table(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit("|"), "l_linestatus").alias("of"), "l_extendedprice")
+    out = metrics.percentiles(rows, "of", "l_extendedprice", [0.25, 0.99])
+    of = F.split("of", r"\|")
+    return out.select(of[0].alias("l_returnflag"), of[1].alias("l_linestatus"), F.round("p25", 4).alias("p25"), F.round("p99", 4).alias("p99"))
