@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import hamming, positional_distance
 
+PART_BITS, SHIFTS, FEW_WORDS = 16, tuple(np.uint64(k) for k in (0, 16, 32, 48)), 30_000
 VIDEO_SHARE, AUDIO_SHARE, LEAST_SIMILARITY, MOST_DISTANCE = 0.7, 0.3, 0.75, 0.15
 
 
@@ -42,12 +43,12 @@ def classes(prints: DataFrame, key: str, *by: str) -> tuple[DataFrame, DataFrame
     return first, copies.select("key_a", F.col("key").alias("key_b"))
 
 
-def within_bits(prints: DataFrame, key: str, bits: str, most: int, block_rows: int = 100_000, least_blocks: int = 6) -> DataFrame:
+def within_bits(prints: DataFrame, key: str, bits: str, most: int, block_rows: int = 300_000, least_blocks: int = 6) -> DataFrame:
     """(key_a, key_b, distance) of all pairs within ``most`` bits, for thresholds so wide that no band is selective.
 
     At 16 of 64 bits the 17 bands have three or four bits each, and a banded join makes more candidates than there are
     pairs. Here the fingerprints are dealt by a hash into blocks of about ``block_rows``, and each pair of blocks is one
-    group that compares its words by XOR and popcount: what is shuffled grows with rows x blocks, no candidate is a row,
+    group that compares its words (``near``): what is shuffled grows with rows x blocks, no candidate is a row,
     and a task holds two blocks. Call it on the representatives of ``classes``, so that copies are compared once;
     rows with a null are left out.
     """
@@ -57,27 +58,63 @@ def within_bits(prints: DataFrame, key: str, bits: str, most: int, block_rows: i
     spread = rows.select("key", "bits", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     dealt = spread.select("key", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     kind = T.StructType([T.StructField("key_a", rows.schema["key"].dataType), T.StructField("key_b", rows.schema["key"].dataType), T.StructField("distance", T.IntegerType())])
+    out = _arrow(kind)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(list(batches))
         keys, own, i, j = group["key"].combine_chunks(), *(group[c].to_numpy() for c in ("own", "i", "j"))
         words = group["bits"].to_numpy().view(np.uint64)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        step = max(1, 4_000_000 // max(1, len(right)))
-        for at in range(0, len(left), step):
-            x = left[at : at + step]
-            apart = np.bitwise_count(words[x][:, None] ^ words[right][None, :])
-            a, b = np.nonzero(apart <= most)
-            once = (i[0] != j[0]) | (x[a] < right[b])
-            a, b = a[once], b[once]
-            found = pa.table([keys.take(pa.array(x[a])), keys.take(pa.array(right[b])), pa.array(apart[a, b].astype(np.int32))], schema=OUT)
+        for a, b, apart in near(words[left], words[right], most):
+            a, b = left[a], right[b]
+            once = (i[0] != j[0]) | (a < b)
+            found = pa.table([keys.take(pa.array(a[once])), keys.take(pa.array(b[once])), pa.array(apart[once].astype(np.int32))], schema=out)
             yield from found.to_batches()
 
-    OUT = _arrow(kind)
     found = dealt.groupBy("i", "j").applyInArrow(compare, kind)
     return found.where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "distance")
 
 
+def near(left: np.ndarray, right: np.ndarray, most: int, few: int = FEW_WORDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in ``left``, in ``right``, distance) of all pairs of 64-bit words within ``most`` bits, each once, some at a time.
+
+    Words are cut into four parts of 16 bits with a radius each, the radii adding up to ``most`` - 3: a pair beyond all four would differ in
+    more than ``most`` bits. For each part ``right`` is laid out by the part's value, and a value of ``left`` is compared with the values
+    within its radius alone (at 16 bits: radii 4, 3, 3, 3, 7 % of all pairs); a pair counts at the first part that finds it. Up to ``few`` words
+    on a side, and where the radii reach most values, all words are compared.
+    """
+    spare = most - len(SHIFTS) + 1
+    radii = [spare // len(SHIFTS) + (k < spare % len(SHIFTS)) for k in range(len(SHIFTS))]
+    values = np.arange(1 << PART_BITS, dtype=np.int64)
+    balls = [values[np.bitwise_count(values) <= r] if r >= 0 else values[:0] for r in radii]
+    if min(len(left), len(right)) <= few or sum(map(len, balls)) > len(values):
+        step = max(1, 4_000_000 // max(1, len(right)))
+        for at in range(0, len(left), step):
+            apart = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
+            a, b = np.nonzero(apart <= most)
+            yield at + a, b, apart[a, b]
+        return
+    part = lambda words, shift: ((words >> shift) & np.uint64(len(values) - 1)).astype(np.int64)
+    for k, (shift, ball) in enumerate(zip(SHIFTS, balls)):
+        mine, theirs = part(left, shift), part(right, shift)
+        order, laid = np.argsort(mine, kind="stable"), np.argsort(theirs, kind="stable")
+        first, words = np.r_[0, np.cumsum(np.bincount(theirs, minlength=len(values)))], right[laid]
+        distinct, begins = np.unique(mine[order], return_index=True)
+        for value, group in zip(distinct.tolist(), np.split(order, begins[1:])):
+            reached = ball ^ value
+            n = first[reached + 1] - first[reached]
+            reached, n = reached[n > 0], n[n > 0]
+            at = np.repeat(first[reached] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            apart = np.bitwise_count(left[group][:, None] ^ words[at][None, :])
+            a, b = np.nonzero(apart <= most)
+            if len(a):
+                x = left[group[a]] ^ words[at[b]]
+                fresh = np.ones(len(a), bool)
+                for earlier, radius in zip(SHIFTS[:k], radii):
+                    fresh &= np.bitwise_count(part(x, earlier)) > radius
+                yield group[a][fresh], laid[at[b]][fresh], apart[a, b][fresh]
+
+
 def _arrow(kind: T.StructType) -> pa.Schema:
     names = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     return pa.schema([pa.field(f.name, names[f.dataType.simpleString()]) for f in kind.fields])
@@ -91,23 +128,56 @@ def still_within(found: DataFrame, prints: DataFrame, key: str, bits: str, most:
 
 
 def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTANCE) -> DataFrame:
-    """(key_a, key_b, score) of all pairs of equally long codes that differ in at most a share ``most`` of their positions.
+    """(key_a, key_b, score) of all pairs of codes that differ in at most a share ``most`` of their positions, over the shorter length.
 
-    Codes of n positions are cut into floor(most n) + 1 stretches, of which such a pair agrees on one, and a pair is
-    compared at the first of them. Call it on the representatives of ``classes``, so that copies are compared once.
+    Codes of one length n may differ in e = floor(most n) positions; of e // 2 + 1 stretches such a pair differs in one position at most on
+    one, so the two agree on it but for a place left out, and every place left out is a key. Codes of different lengths do the same by stretches
+    of floor(1 / most) positions counted from the start, which holds for any shorter length; where the shorter is less than a stretch, the
+    beginnings are equal. A pair is compared at the first key that it has in common. Empty codes and nulls are in no pair. Call
+    it on the representatives of ``classes``, so that copies are compared once.
     """
     n = F.size(codes)
-    count = F.least(n, (F.floor(F.lit(most) * n + 1e-9) + 1).cast("int"))
-    at = lambda k: F.floor(k * n / count).cast("int")
-    stretches = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.xxhash64(n, k, F.slice(codes, at(k) + 1, at(k + 1) - at(k))))
-    rows = prints.where(n > 0).select(F.col(key).alias("key"), F.col(codes).alias("codes"), stretches.alias("stretches"))
-    spread = rows.select("key", "codes", "stretches", F.posexplode("stretches").alias("place", "stretch"))
+    rows = prints.where(F.col(key).isNotNull() & (n > 0)).select(F.col(key).alias("key"), F.col(codes).alias("codes"), n.alias("n"))
+    errors = F.floor(F.lit(most) * F.col("n") + 1e-9).cast("int")
+    stretches = F.expr("errors div 2").cast("int") + 1
+    own = lambda p: F.floor(((p + 1) * F.col("stretches") - 1) / F.col("n")).cast("int")
+    edge = lambda k: F.floor(k * F.col("n") / F.col("stretches")).cast("int")
+    equal = rows.withColumn("errors", errors).withColumn("stretches", stretches)
+    places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: _without(p, own(p), edge(own(p)), edge(own(p) + 1), F.col("n")))
+    whole = F.array(F.xxhash64("n", "codes"))
+    found = _compared(equal.select("key", "codes", F.when(F.col("errors") > 0, places).otherwise(whole).alias("keys")), F.size("a.codes") == F.size("b.codes"))
+    lengths = rows.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
+    if lengths.least != lengths.most:
+        size = max(1, int(1 / max(most, 1 / 64) + 1e-9))
+        upto = F.expr(f"n div {size}").cast("int") * size
+        places = F.transform(F.sequence(F.lit(0), upto - 1), lambda p: _without(p, F.floor(p / size).cast("int"), (F.floor(p / size) * size).cast("int"), ((F.floor(p / size) + 1) * size).cast("int"), F.lit(-1)))
+        none = F.array().cast("array<bigint>")
+        long = rows.select("key", "codes", F.when(F.col("n") >= size, places).otherwise(none).alias("keys"))
+        both = F.least(F.size("a.codes"), F.size("b.codes"))
+        apart = F.size("a.codes") != F.size("b.codes")
+        found = found.unionByName(_compared(long, apart & (both >= size)))
+        begins = F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(size - 1))), lambda k: F.xxhash64(k, F.slice("codes", F.lit(1), k)))
+        if lengths.least < size:
+            found = found.unionByName(_compared(rows.select("key", "codes", begins.alias("keys")), apart & (both < size) & (F.col("a.place") + 1 == both), False))
+    scored = found.select("key_a", "key_b", positional_distance(F.col("codes_a"), F.col("codes_b")).alias("d"))
+    return scored.where(F.col("d") <= most + 1e-12).select("key_a", "key_b", (1 - F.col("d")).alias("score"))
+
+
+def _without(place: Column, stretch: Column, begin: Column, end: Column, seed: Column) -> Column:
+    """The key of a stretch of ``codes`` with one place left out."""
+    return F.xxhash64(seed, stretch, place, F.slice("codes", begin + 1, place - begin), F.slice("codes", place + 2, end - place - 1))
+
+
+def _compared(rows: DataFrame, fit: Column, first_only: bool = True) -> DataFrame:
+    """(key_a, key_b, codes_a, codes_b) of the pairs of rows (key, codes, keys) that ``fit`` and have a key in common at its place."""
+    spread = rows.select("key", "codes", "keys", F.posexplode("keys").alias("place", "value"))
     a, b = spread.alias("a"), spread.alias("b")
     # merged, as a broadcast of one side leaves all comparisons to the few tasks that read the other
-    pairs = a.join(b.hint("merge"), (F.col("a.stretch") == F.col("b.stretch")) & (F.col("a.key") < F.col("b.key")) & (F.size("a.codes") == F.size("b.codes")))
-    first = F.array_position(F.zip_with("a.stretches", "b.stretches", lambda x, y: x == y), True) - 1
-    scored = pairs.where(first == F.col("a.place")).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), positional_distance(F.col("a.codes"), F.col("b.codes")).alias("d"))
-    return scored.where(F.col("d") <= most).select("key_a", "key_b", (1 - F.col("d")).alias("score"))
+    pairs = a.join(b.hint("merge"), (F.col("a.place") == F.col("b.place")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.key") < F.col("b.key")) & fit)
+    if first_only:
+        first = F.array_position(F.zip_with("a.keys", "b.keys", lambda x, y: x == y), True) - 1
+        pairs = pairs.where(first == F.col("a.place"))
+    return pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.codes").alias("codes_a"), F.col("b.codes").alias("codes_b"))
 
 
 def consensus(video: DataFrame, audio: DataFrame, video_of_audio: DataFrame | None = None) -> DataFrame:
