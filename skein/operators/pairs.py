@@ -133,7 +133,7 @@ def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTA
     Codes of one length n may differ in e = floor(most n) positions; of e // 2 + 1 stretches such a pair differs in one position at most on
     one, so the two agree on it but for a place left out, and every place left out is a key. Codes of different lengths do the same by stretches
     of floor(1 / most) positions counted from the start, which holds for any shorter length; where the shorter is less than a stretch, the
-    beginnings are equal. A pair is compared at the first key that it has in common. Empty codes and nulls are in no pair. Call
+    beginnings are equal. Pairs with a key in common are compared once. Empty codes and nulls are in no pair. Call
     it on the representatives of ``classes``, so that copies are compared once.
     """
     n = F.size(codes)
@@ -145,21 +145,22 @@ def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTA
     equal = rows.withColumn("errors", errors).withColumn("stretches", stretches)
     places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: _without(p, own(p), edge(own(p)), edge(own(p) + 1), F.col("n")))
     whole = F.array(F.xxhash64("n", "codes"))
-    found = _compared(equal.select("key", "codes", F.when(F.col("errors") > 0, places).otherwise(whole).alias("keys")), F.size("a.codes") == F.size("b.codes"))
+    found = _candidates(equal.select("key", "n", F.when(F.col("errors") > 0, places).otherwise(whole).alias("keys")), F.col("a.n") == F.col("b.n"))
     lengths = rows.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
     if lengths.least != lengths.most:
         size = max(1, int(1 / max(most, 1 / 64) + 1e-9))
         upto = F.expr(f"n div {size}").cast("int") * size
         places = F.transform(F.sequence(F.lit(0), upto - 1), lambda p: _without(p, F.floor(p / size).cast("int"), (F.floor(p / size) * size).cast("int"), ((F.floor(p / size) + 1) * size).cast("int"), F.lit(-1)))
         none = F.array().cast("array<bigint>")
-        long = rows.select("key", "codes", F.when(F.col("n") >= size, places).otherwise(none).alias("keys"))
-        both = F.least(F.size("a.codes"), F.size("b.codes"))
-        apart = F.size("a.codes") != F.size("b.codes")
-        found = found.unionByName(_compared(long, apart & (both >= size)))
+        long = rows.select("key", "n", F.when(F.col("n") >= size, places).otherwise(none).alias("keys"))
+        both = F.least("a.n", "b.n")
+        apart = F.col("a.n") != F.col("b.n")
+        found = found.unionByName(_candidates(long, apart & (both >= size)))
         begins = F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(size - 1))), lambda k: F.xxhash64(k, F.slice("codes", F.lit(1), k)))
         if lengths.least < size:
-            found = found.unionByName(_compared(rows.select("key", "codes", begins.alias("keys")), apart & (both < size) & (F.col("a.place") + 1 == both), False))
-    scored = found.select("key_a", "key_b", positional_distance(F.col("codes_a"), F.col("codes_b")).alias("d"))
+            found = found.unionByName(_candidates(rows.select("key", "n", begins.alias("keys")), apart & (both < size) & (F.col("a.place") + 1 == both)))
+    of = lambda x: rows.select(F.col("key").alias(f"key_{x}"), F.col("codes").alias(f"codes_{x}"))
+    scored = found.join(of("a"), "key_a").join(of("b"), "key_b").select("key_a", "key_b", positional_distance(F.col("codes_a"), F.col("codes_b")).alias("d"))
     return scored.where(F.col("d") <= most + 1e-12).select("key_a", "key_b", (1 - F.col("d")).alias("score"))
 
 
@@ -168,16 +169,13 @@ def _without(place: Column, stretch: Column, begin: Column, end: Column, seed: C
     return F.xxhash64(seed, stretch, place, F.slice("codes", begin + 1, place - begin), F.slice("codes", place + 2, end - place - 1))
 
 
-def _compared(rows: DataFrame, fit: Column, first_only: bool = True) -> DataFrame:
-    """(key_a, key_b, codes_a, codes_b) of the pairs of rows (key, codes, keys) that ``fit`` and have a key in common at its place."""
-    spread = rows.select("key", "codes", "keys", F.posexplode("keys").alias("place", "value"))
+def _candidates(rows: DataFrame, fit: Column) -> DataFrame:
+    """(key_a, key_b), once each, of the rows (key, n, keys) that ``fit`` and have a key in common at its place."""
+    spread = rows.select("key", "n", F.posexplode("keys").alias("place", "value"))
     a, b = spread.alias("a"), spread.alias("b")
     # merged, as a broadcast of one side leaves all comparisons to the few tasks that read the other
     pairs = a.join(b.hint("merge"), (F.col("a.place") == F.col("b.place")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.key") < F.col("b.key")) & fit)
-    if first_only:
-        first = F.array_position(F.zip_with("a.keys", "b.keys", lambda x, y: x == y), True) - 1
-        pairs = pairs.where(first == F.col("a.place"))
-    return pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"), F.col("a.codes").alias("codes_a"), F.col("b.codes").alias("codes_b"))
+    return pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
 
 
 def consensus(video: DataFrame, audio: DataFrame, video_of_audio: DataFrame | None = None) -> DataFrame:

@@ -4,14 +4,13 @@ Inventory columns come from ``documents``: path = source/lang/doc_id.txt, ext =
 size_bytes = n_chars. ``QUERIES`` maps names to functions of (spark, folder); ``SQL`` maps them to SQL.
 """
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text, vectors
 from ..operators import audit, joins, metrics, pages, pairs, queues, reports, search, upserts, windows
 from ..sources.readers import table
+from ..sources.shared import scratch, written
 from ..streaming import events as streaming
 
 QUERIES: dict = {}
@@ -406,7 +405,7 @@ def _prints(spark, d):
 
 def _bit_pairs(prints, key):
     first, copies = pairs.classes(prints, key, "bits")
-    return pairs.within_bits(first, "key", "bits", MOST_BITS).union(copies.withColumn("distance", F.lit(0)))
+    return pairs.within_bits(written(first, "prints"), "key", "bits", MOST_BITS).union(copies.withColumn("distance", F.lit(0)))
 
 
 @query(HAMMING)
@@ -417,15 +416,16 @@ def pair_hamming(spark, d):
 @query(POSITIONAL)
 def pair_positional(spark, d):
     first, copies = pairs.classes(_prints(spark, d), "vec_id", "codes")
-    found = pairs.positional(first, "key", "codes").union(copies.withColumn("score", F.lit(1.0)))
+    found = pairs.positional(written(first, "prints"), "key", "codes").union(copies.withColumn("score", F.lit(1.0)))
     return found.select("key_a", "key_b", F.round("score", 6).alias("score"))
 
 
 @query(CONSENSUS)
 def pair_consensus(spark, d):
     first, copies = pairs.classes(_prints(spark, d), "vec_id", "bits", "codes")
+    first = written(first, "prints")
     alike = (1 - F.col("distance") / 64).alias("score")
-    audio = pairs.positional(first, "key", "codes")
+    audio = written(pairs.positional(first, "key", "codes"), "pairs")
     both = pairs.still_within(audio, first, "key", "bits", MOST_BITS).select("key_a", "key_b", alike)
     found = pairs.consensus(_bit_pairs(first, "key").select("key_a", "key_b", alike), audio, both)
     return found.union(copies.select("*", F.lit(1.0), F.lit("copy"))).withColumn("score", F.round("score", 8))
@@ -557,8 +557,6 @@ def diverse_sample(spark, d):
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_window_counts(spark, d):
-    from ..sources.shared import shared_dir
-
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
     out = streaming.finished(streaming.window_counts(streaming.stream(spark, d)), f"{where}/state", f"{where}/table")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

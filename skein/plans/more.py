@@ -1,13 +1,11 @@
 """Further catalog queries with their SQL; see ``catalog``."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import joins, queues, search, upserts, views
-from ..sources.shared import shared_dir
 from ..sources.readers import shards, table
+from ..sources.shared import scratch
 from ..sources.writers import export_row
 from ..streaming import events as streaming
 from .catalog import PAGE_PATH, WORDS, long, query
@@ -175,7 +173,7 @@ def active_candidates(spark, d):
 
 @query("SELECT c_custkey AS key, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, NULL, s_acctbal FROM supplier")
 def union_of_shards(spark, d):
-    where = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    where = scratch(spark, "shards")
     table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment")).write.parquet(f"{where}/a")
     table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")).write.parquet(f"{where}/b")
     return shards(spark, [f"{where}/a", f"{where}/b"])
@@ -199,14 +197,14 @@ def export_rows(spark, d):
 
 @query("WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, k")
 def stream_sessions(spark, d):
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
     out = streaming.finished(streaming.sessions(streaming.stream(spark, d), "2 hours"), f"{where}/state", f"{where}/table")
     return out.select("user_id", F.col("start").cast(NTZ).alias("start"), "n")
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_latest(spark, d):
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
     rows = streaming.stream(spark, d).select("user_id", "event_type", "event_id")
     streaming.into_versions(rows, "user_id", "event_id", f"{where}/table", f"{where}/state").awaitTermination()
     return streaming.last_by_key(spark.read.parquet(f"{where}/table").drop("batch"), "user_id", "event_id").select("user_id", "event_type", "event_id")

@@ -1,14 +1,12 @@
 """Queries over operators and functions that no other query reaches, with their SQL; see ``catalog``."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import media, names, paths, scores, text, vectors
 from ..operators import audit, enrich, joins, metrics, pages, queues, reports, search, upserts, windows
 from ..sources import readers, writers
-from ..sources.shared import shared_dir
 from ..sources.readers import table
+from ..sources.shared import scratch
 from .catalog import INVENTORY, inventory, query
 
 
@@ -167,7 +165,7 @@ def unit_vectors(spark, d):
 @query("SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[-1]::DOUBLE, 5) AS last FROM embeddings")
 def float_blobs(spark, d):
     """Vectors packed as little-endian float32 bytes and read back."""
-    where = f"{shared_dir(spark)}/skein-blobs-{uuid.uuid4().hex}"
+    where = scratch(spark, "blobs")
     packed = table(spark, d, "embeddings").select("vec_id", readers.pack_floats(F.col("embedding")).alias("blob"))
     packed.write.parquet(where)
     rows = spark.read.schema(packed.schema).parquet(where).select("vec_id", readers.floats(F.col("blob")).alias("v"))
@@ -275,7 +273,7 @@ def frame_times(spark, d):
 
 @query("SELECT source || '.txt' AS path FROM documents WHERE doc_id % 3 <> 0")
 def playlist_files(spark, d):
-    where = f"{shared_dir(spark)}/skein-playlist-{uuid.uuid4().hex}"
+    where = scratch(spark, "playlist")
     writers.write_playlist(docs(spark, d).select(F.when(F.col("doc_id") % 3 != 0, F.concat("source", F.lit(".txt"))).alias("path"), F.col("lang").alias("title")), where)
     return spark.read.text(where).withColumnRenamed("value", "path")
 
@@ -283,7 +281,7 @@ def playlist_files(spark, d):
 @query("SELECT lang, n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)")
 def report_sections(spark, d):
     """Sections written as CSV and read back; one without rows is not written."""
-    where = f"{shared_dir(spark)}/skein-sections-{uuid.uuid4().hex}"
+    where = scratch(spark, "sections")
     counts = docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
     done = writers.write_sections({"languages": counts, "none": counts.where("n < 0")}, where)
     return spark.read.option("header", True).schema("lang string, n long").csv([f"{where}/{name}" for name in done])
@@ -291,7 +289,7 @@ def report_sections(spark, d):
 
 @query("SELECT 7 AS k, 'coreset' AS strategy")
 def single_row_config(spark, d):
-    where = f"{shared_dir(spark)}/skein-config-{uuid.uuid4().hex}"
+    where = scratch(spark, "config")
     upserts.swap(spark.sql("SELECT 3 AS k, 'margin' AS strategy"), where)
     return spark.read.parquet(upserts.swap(spark.sql("SELECT 7 AS k, 'coreset' AS strategy"), where))
 
@@ -299,7 +297,7 @@ def single_row_config(spark, d):
 @query("SELECT event_id, event_type FROM events WHERE event_id % 3 = 0")
 def json_log(spark, d):
     """JSON lines with blank and broken ones among them."""
-    where = f"{shared_dir(spark)}/skein-log-{uuid.uuid4().hex}"
+    where = scratch(spark, "log")
     key = F.col("event_id")
     line = F.when(key % 3 == 0, F.to_json(F.struct("event_id", "event_type"))).when(key % 3 == 1, F.lit("")).otherwise("{broken")
     table(spark, d, "events").select(line.alias("value")).write.text(where)
@@ -357,7 +355,7 @@ def review_split(spark, d):
 @query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY lang")
 def snapshot_files(spark, d):
     """A snapshot whose files have the sizes and digests of its manifest, read back."""
-    where = f"{shared_dir(spark)}/skein-snapshot-{uuid.uuid4().hex}"
+    where = scratch(spark, "snapshot")
     manifest = writers.write_snapshot(docs(spark, d).select("doc_id", "lang"), where)
     good = manifest.where("length(sha256) = 64 and length > 0").agg(F.count("*").alias("files"))
     rows = spark.read.parquet(where).crossJoin(F.broadcast(good)).where("files > 0")

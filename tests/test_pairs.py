@@ -56,10 +56,10 @@ def test_candidates_are_few(spark):
     codes = rng.integers(0, 3, (3000, 64))
     df = spark.createDataFrame([(k, c) for k, c in enumerate(codes.tolist())], "id long, codes array<int>")
     seen = []
-    real = pairs._compared
+    real = pairs._candidates
     try:
-        pairs._compared = lambda *a: seen.append(out := real(*a)) or out
+        pairs._candidates = lambda *a: seen.append(out := real(*a)) or out
         pairs.positional(df, "id", "codes")
     finally:
-        pairs._compared = real
+        pairs._candidates = real
     assert len(seen) == 1 and seen[0].count() < 3000 * 3000 / 2 / 1000
