@@ -97,6 +97,17 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def meet(rows: DataFrame, table: DataFrame, on: str | list[str], heavy) -> DataFrame:
+    """Inner join of ``rows`` with a written ``table`` unique by ``on``; the rows of ``table`` that ``heavy`` (a column) marks are broadcast.
+
+    Mark those that over a thousandth of all rows meet: there are a thousand at most, and no task gets all rows of such a key.
+    """
+    keys = [on] if isinstance(on, str) else on
+    few = F.broadcast(table.where(heavy))
+    rest = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti").join(table.where(~heavy), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def told_apart(docs: DataFrame, seed: int, first: str, second: str) -> DataFrame:
     """``docs`` with two 64-bit hashes of id and text by which every row differs, wholly equal ones too.
 

@@ -17,7 +17,7 @@ are shuffled once, when decisions are applied.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position, fresh, written
+from .common import by_position, fresh, meet, written
 
 LEAD, SIMILARITY, CONSTANT, MIN_DOCS = 3, 0.8, 0.7, 5
 BROADCAST_ROWS, SALT = 200_000, 32
@@ -65,24 +65,37 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     exact = written(exact, "exact-lines")
     leaves = lines.groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
     forms = exact.groupBy("_leaf").agg(F.count("*").alias("forms")).where("forms > 1")
-    wanted = written(exact.join(leaves.join(forms, "_leaf", "left_semi").select("_leaf"), "_leaf"), "wanted")
+    leaves = written(leaves.join(forms, "_leaf").select("_leaf", "forms"), "leaves")
+    all_forms = leaves.agg(F.coalesce(F.sum("forms"), F.lit(0)).alias("n")).first().n
+    large = F.col("forms") > all_forms // 1000
+    wanted = written(meet(exact, leaves, "_leaf", large).drop("forms"), "wanted")
     # the tokens of each form in those leaves, from the document kept for it
     of = written(wanted.select(F.col("_of").alias("_key")).distinct(), "documents-of-forms")
     kept = rows.join(F.broadcast(of) if of.count() <= BROADCAST_ROWS else of, "_key", "left_semi")
     found = _spread(_lines(kept), wanted, ["_leaf", "_exact"]).where("_key = _of")
     form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs")), "forms")
-    at = form.select("_leaf", "_exact", "docs", F.size(F.split("_line", " ")).alias("n"), F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
-    share = form.groupBy("_leaf").agg(F.sum("docs").alias("all_docs"))
-    tokens = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have")).join(share, "_leaf")
-    tokens = tokens.select("_leaf", "_at", "_token", (F.col("have") * 2 >= F.col("all_docs")).alias("major"), (F.col("have") >= min_docs).alias("often"))
+    # the leading tokens, which all forms of a leaf share, are known to be frequent and stay out
+    split = F.split("_line", " ")
+    at = form.select("_leaf", "_exact", "docs", F.size(split).alias("n"), F.posexplode(F.slice(split, F.lit(LEAD + 1), F.size(split))).alias("_at", "_token"))
+    at = written(at, "places")
+    share = form.groupBy("_leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("forms"))
+    share = written(share, "shares")
+    counted = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have"), F.count("*").alias("holders"))
+    tokens = meet(counted, share, "_leaf", large)
+    tokens = tokens.select("_leaf", "_at", "_token", "holders", (F.col("have") * 2 >= F.col("all_docs")).alias("major"), (F.col("have") >= min_docs).alias("often"))
     tokens = written(tokens.where("major or often"), "tokens")
-    fixed = tokens.where("major").groupBy("_leaf").agg(F.count_distinct("_at").alias("fixed"))
+    fixed = tokens.where("major").groupBy("_leaf").agg((F.count_distinct("_at") + LEAD).alias("fixed"))
+    fixed = written(share.join(fixed, "_leaf", "left").select("_leaf", "forms", F.coalesce("fixed", F.lit(LEAD)).alias("fixed")), "fixed")
     often = F.when(F.col("often"), F.xxhash64("_at", "_token"))
-    fit = at.join(tokens, ["_leaf", "_at", "_token"]).groupBy("_leaf", "_exact").agg(F.first("n").alias("n"), F.count_if("major").alias("agree"), F.count_if("often").alias("frequent"), F.bit_xor(often).alias("template"))
+    held = meet(at.select("_leaf", "_exact", "_at", "_token"), tokens, ["_leaf", "_at", "_token"], F.col("holders") > at.count() // 1000)
+    held = held.groupBy("_leaf", "_exact").agg(F.count_if("major").alias("agree"), F.count_if("often").alias("frequent"), F.bit_xor(often).alias("template"))
+    counts = [(F.coalesce(c, F.lit(0)) + LEAD).alias(c) for c in ("agree", "frequent")]
+    sizes = form.select("_leaf", "_exact", F.size(split).alias("n"))
+    fit = sizes.join(held, ["_leaf", "_exact"], "left").select("_leaf", "_exact", "n", *counts, F.coalesce("template", F.lit(0)).alias("template"))
     # groups of forms: the majority's and that of each frequent template
     majority = (F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("agree") + F.col("n") - F.col("fixed") >= SIMILARITY * F.col("n"))
     groups = F.array_compact(F.array(F.when(majority, F.xxhash64("_leaf")), F.when(F.col("frequent") >= CONSTANT * F.col("n"), F.xxhash64("_leaf", "template"))))
-    members = written(fit.join(fixed, "_leaf", "left").select("_leaf", "_exact", groups.alias("groups")).where("size(groups) > 0"), "members")
+    members = written(meet(fit, fixed, "_leaf", large).select("_leaf", "_exact", groups.alias("groups")).where("size(groups) > 0"), "members")
     in_group = _spread(lines, members, ["_leaf", "_exact"]).select(F.explode("groups").alias("group"), "_key")
     in_group = in_group.groupBy("group", "_key").agg(F.lit(1).alias("one")).groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("group")
     recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(members.select("_leaf", "_exact", F.explode("groups").alias("group")).join(in_group, "group").select("_leaf", "_exact")).distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_position, fresh, partitions, small, utf8, written
+from .common import by_position, fresh, meet, partitions, small, utf8, written
 from .components import connected_components
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 3
@@ -276,8 +276,10 @@ def grouped(prints: DataFrame) -> DataFrame:
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "nodes")
     roots = connected_components(links(nodes))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    least = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = written(joined.join(least, "root").select("fp", "component_id", "copies"), "components")
+    joined = written(joined.select("fp", "low", "copies", "root"), "roots")
+    least = written(joined.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "least")
+    found = meet(joined, least, "root", F.col("members") > joined.count() // 1000)
+    of = written(found.select("fp", "component_id", "copies"), "components")
     hot = of.where(F.col("copies") > HOT_COPIES).select("fp", "component_id")
     cool = of.where(F.col("copies") <= HOT_COPIES).select("fp", "component_id")
     if hot.isEmpty():
