@@ -1,27 +1,35 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of bytes other than ASCII white space, lower-cased, without ASCII punctuation. Seeds are the
-``SEED_WORDS``-grams of test items, all of them: a seed may be frequent only because the copies of one
-item are. One pass over the corpus finds the seeds of each document and aligns the words around each
+``SEED_WORDS``-grams of test items. One pass over the corpus finds the seeds of each document and aligns the words around each
 shared diagonal with the item: match +2, mismatch -1, gap -1, local. The similarity of a pair is the
 share of the item's words that its best alignment matches.
 
-Items are a test set; ``ITEM_BYTES`` of them are held at a time. A larger set is divided by hash and
-the corpus is passed over once for each part.
+Rare seeds, those at ``RARE`` places of the items at most, come first: each leads to few places. Frequent ones are looked up only
+for stretches of a document that no rare seed has led to. None is left out, as an edited copy may keep no rare one, so what is
+found doesn't depend on ``RARE``.
+
+Items are a test set; ``ITEM_BYTES`` of them are held at a time, once in each Python process. A larger set is divided by hash and
+the corpus is passed over once for each part. Alignments are made for so many pairs at a time as ``CELLS`` allow, so a long item
+costs time (its words times the window's, about 1.6 times its words squared), not memory.
 """
 
 import itertools
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_position
+from .common import by_position, process_cache
+from .token_repair import pieces
 
-SEED_WORDS, SIMILARITY = 3, 0.8
-ITEM_BYTES = 16 << 20
+SEED_WORDS, SIMILARITY, RARE, CELLS = 3, 0.8, 4, 1 << 21
+ITEM_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 BLOCK = 1 << 20
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -97,14 +105,18 @@ class Items:
         if not len(at):
             return []
         size = self.first[seed + 1] - self.first[seed]
-        out = set()
-        # as many (hit, place in an item) pairs at a time as BLOCK, or as one hit has
-        for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(size) // BLOCK)) + 1):
-            n = size[part]
-            k = np.repeat(self.first[seed[part]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            item, diagonal = self.item[k], np.repeat(at[part], n) - self.at[k]
-            out.update(map(tuple, np.unique(np.stack([item, diagonal // (self.step[item] + 1)], 1), axis=0).tolist()))
-        return self.enough(ids, np.array(sorted(out), np.int64))
+        found = np.zeros(0, np.int64)
+        span = 2 * (len(ids) + int(self.length.max())) + 1
+        for some in (size <= RARE, size > RARE):
+            # as many (hit, place in an item) pairs at a time as BLOCK, or as one hit has
+            hit = np.flatnonzero(some)
+            for part in np.split(hit, np.flatnonzero(np.diff(np.cumsum(size[hit]) // BLOCK)) + 1):
+                n = size[part]
+                k = np.repeat(self.first[seed[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                item, diagonal = self.item[k], np.repeat(at[part], n) - self.at[k]
+                stretch = item * span + diagonal // (self.step[item] + 1) + span // 2
+                found = np.union1d(found, stretch[~np.isin(stretch, found)])
+        return self.enough(ids, np.stack([found // span, found % span - span // 2], 1))
 
     def enough(self, ids: np.ndarray, stretches: np.ndarray) -> list[tuple[int, int, int]]:
         """The windows in which at least ``similarity`` of the item's words can match: a bound, no copy is lost by it."""
@@ -147,12 +159,25 @@ def align(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best % UNIT, end
 
 
+def batches_of(todo: list[tuple[int, int, int, int]]) -> Iterator[list[tuple[int, int, int, int]]]:
+    """Windows (document, item, first word, end), 256 at most at a time and ``CELLS`` of them together, or one."""
+    held, widest = [], 0
+    for x in todo:
+        widest = max(widest, x[3] - x[2])
+        if held and (len(held) == 256 or (len(held) + 1) * widest > CELLS):
+            yield held
+            held, widest = [], x[3] - x[2]
+        held.append(x)
+    if held:
+        yield held
+
+
 def scored(index: Items, docs: list[np.ndarray]) -> list[tuple[int, int, float, int, int]]:
     """(document, item, similarity, first word, last word) of the pairs that reach the index's similarity, the best for each pair."""
     todo = [(d, *x) for d, ids in enumerate(docs) for x in index.candidates(ids)]
     todo.sort(key=lambda x: index.length[x[1]])
     out: dict[tuple[int, int], tuple] = {}
-    for part in itertools.batched(todo, 256):
+    for part in batches_of(todo):
         items = np.full((len(part), index.length[part[-1][1]]), -1, np.int32)
         windows = np.full((len(part), max(end - from_ for _, _, from_, end in part)), -2, np.int32)
         for k, (d, item, from_, end) in enumerate(part):
@@ -167,12 +192,22 @@ def scored(index: Items, docs: list[np.ndarray]) -> list[tuple[int, int, float,
     return [(d, item, *x) for (d, item), x in sorted(out.items())]
 
 
-def _parts(items: DataFrame, item_bytes: int, similarity: float) -> Iterator[Items]:
+def _parts(items: DataFrame, item_bytes: int, similarity: float) -> Iterator[Callable[[], Items]]:
+    """For each part of the items a function that gives its index, which a Python process makes once."""
+    spark = items.sparkSession
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     n = max(1, -(-total // item_bytes))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
-        yield Items([r[0] for r in rows], [r[1] for r in rows], similarity=similarity)
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        yield partial(_held, uuid.uuid4().hex, sent, similarity)
+
+
+def _held(name: str, sent: Broadcast, similarity: float) -> Items:
+    cache = process_cache()
+    if cache.get("items", ("",))[0] != name:
+        cache["items"] = name, Items(*sent.value, similarity=similarity)
+    return cache["items"][1]
 
 
 PAIRS = "doc_id long, item_id long, similarity double, first_word long, last_word long"
@@ -188,10 +223,11 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, ite
     found = None
     for index in _parts(items, item_bytes, similarity):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held: Callable[[], Items] = index) -> Iterator[pa.RecordBatch]:
             names = [c.split()[0] for c in PAIRS.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            index = held()
+            for batch in (piece for b in batches for piece in pieces(b, 1, PIECE_BYTES)):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[d], index.ids[item], *x) for d, item, *x in scored(index, [index.numbers(t) for t in batch.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names)
@@ -208,8 +244,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILA
     clean = docs
     for index in _parts(items, item_bytes, similarity):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
-            for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+        def run(batches: Iterator[pa.RecordBatch], held: Callable[[], Items] = index) -> Iterator[pa.RecordBatch]:
+            index = held()
+            for batch in (piece for b in batches for piece in pieces(b, at, PIECE_BYTES)):
                 leaked = {x[0] for x in scored(index, [index.numbers(t) for t in batch.column(at).to_pylist()])}
                 yield batch.filter(pa.array([k not in leaked for k in range(batch.num_rows)], pa.bool_()))
 

@@ -195,3 +195,61 @@ def test_windows_are_left_out_only_where_too_few_words_match():
     want = [x for x in D.scored(every, docs) if x[2] >= 0.8]
     assert len(want) > 50 and D.scored(bound, docs) == want
     assert sum(len(bound.candidates(d)) for d in docs) < sum(len(every.candidates(d)) for d in docs)
+
+
+def all_pairs(docs, items, similarity=0.8):
+    """Pairs whose alignment over the whole document matches enough of the item's words, and their shares."""
+    index = D.Items([i for i, _ in items], [t for _, t in items])
+    out = {}
+    for d, text in docs:
+        ids = index.numbers(text)
+        for item_id, words in zip(index.ids, index.words):
+            if len(ids):
+                share = int(D.align(words[None, :], ids[None, :])[0][0]) / len(words)
+                if share >= similarity:
+                    out[d, item_id] = share
+    return out
+
+
+def test_recall_against_alignment_of_all_pairs(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(150)] + ["the", "of", "and"] * 40
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(text(rng.randint(12, 60)))) for k in range(40)]
+    docs = []
+    for k in range(400):
+        body = text(rng.randint(10, 120))
+        body[5:5] = edited(items[k % 40][1].split(), rng, rng.choice([0.0, 0.05, 0.1, 0.2, 0.3]))
+        docs.append((k, " ".join(body), "x"))
+    want = all_pairs([(d, t) for d, t, _ in docs], items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in D.leaks(spark.createDataFrame(docs, DOCS), bench).collect()}
+    assert set(got) <= set(want) and len(want) > 250
+    recall = len(got) / len(want)
+    print(f"recall {recall:.3f} of {len(want)} pairs")
+    assert recall >= 0.97
+
+
+def test_what_is_found_does_not_depend_on_what_is_rare(monkeypatch):
+    rng = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(20)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40))) for _ in range(60)]
+    index = D.Items(list(range(60)), items)
+    docs = [index.numbers(" ".join([*rng.choices(vocabulary, k=50), *edited(items[k % 60].split(), rng, 0.15), *rng.choices(vocabulary, k=50)])) for k in range(120)]
+    found = []
+    for rare in (0, 1, 4, 10**9):
+        monkeypatch.setattr(D, "RARE", rare)
+        found.append(D.scored(index, docs))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) >= 80
+
+
+def test_a_very_long_item_is_aligned_in_bounded_memory():
+    rng = random.Random(13)
+    item = [f"v{rng.randrange(3000)}" for _ in range(5000)]
+    index = D.Items([1, 2], [" ".join(item), "some short words"])
+    docs = [index.numbers(" ".join(["x"] * 100 + edited(item, rng, 0.05))), index.numbers("nothing " * 9000)]
+    found = D.scored(index, docs)
+    assert [(d, i) for d, i, *_ in found] == [(0, 0)] and found[0][2] > 0.9
+    sizes = [(0, 0, 0, w) for w in sorted([10] * 700 + [D.CELLS // 3] * 4 + [D.CELLS * 2])]
+    parts = list(D.batches_of(sizes))
+    assert [x for p in parts for x in p] == sizes and all(len(p) == 1 or len(p) <= 256 and len(p) * max(x[3] for x in p) <= D.CELLS for p in parts)
