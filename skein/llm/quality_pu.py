@@ -1,8 +1,8 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are labelled rows with quality 1; the unlabelled set is all of the web text at
-hand, labels unseen; the class prior is estimated from the labelled rows' share of positives, or, where
-only positives are labelled, from the lower envelope of the ratio of upper score tails. A small network g is
+hand, labels unseen; the class prior is estimated from the lower envelope of the ratio of upper score tails, of the
+unlabelled rows' to the positives'; the labelled rows' share of positives is kept beside it and used nowhere. A small network g is
 fitted to minimise ``pi E_p[l(g)] + max(0, E_u[l(-g)] - pi E_p[l(-g)])`` with the sigmoid loss; when the
 second part is below zero, its gradient is followed upwards. The score is g mapped to a probability by a
 logistic fit on the labelled training rows.
@@ -167,10 +167,8 @@ def logistic(g: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def estimated_prior(positives: int, negatives: int, gp: np.ndarray, gu: np.ndarray) -> float:
-    """Share of positives among labelled rows; with no negatives, the least ratio of upper tails, P_u(g >= t) to P_p(g >= t)."""
-    if negatives:
-        return min(0.98, max(0.02, positives / (positives + negatives)))
+def estimated_prior(gp: np.ndarray, gu: np.ndarray) -> float:
+    """The least ratio of upper tails, P_u(g >= t) to P_p(g >= t)."""
     cuts = np.quantile(gp, np.linspace(0.05, 0.95, 19))
     ratio = [(gu >= t).mean() / max(1e-6, (gp >= t).mean()) for t in cuts]
     return float(min(0.98, max(0.02, min(ratio))))
@@ -193,7 +191,7 @@ def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def train(web: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> dict | None:
-    """A model from written vectors and labels, or None where no row is labelled 1.
+    """A model from written vectors and labels, or None where no row is labelled 1; ``prior`` is the estimate, ``share`` that among labels.
 
     Conflicting labels of one id count as the larger; of rows that share an id one is used, the least vector.
     """
@@ -210,12 +208,12 @@ def train(web: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = S
     y, x = y[order], x[order]
     if not (y == 1).any() or not (y == -1).any():
         return None
-    prior = estimated_prior(share.get(1, 0), share.get(0, 0), np.zeros(0), np.zeros(0)) if share.get(0) else 0.5
-    model = fit(x[y == 1], x[y == -1], prior, seed)
-    if not share.get(0):
-        prior = estimated_prior(share[1], 0, margin(model, x[y == 1]), margin(model, x[y == -1]))
+    prior = 0.5
+    for _ in range(2):
         model = fit(x[y == 1], x[y == -1], prior, seed)
-    model = refined(model, x[y == 1], web, prior)
+        prior = estimated_prior(margin(model, x[y == 1]), margin(model, x[y == -1]))
+    model = fit(x[y == 1], x[y == -1], prior, seed)
+    model = {**refined(model, x[y == 1], web, prior), "prior": prior, "share": share[1] / sum(share.values())}
     if (y == 0).any():
         g = np.concatenate([margin(model, x[y == 1]), margin(model, x[y == 0])])
         weight = np.log(share[1] / (y == 1).sum()) - np.log(share[0] / (y == 0).sum())
