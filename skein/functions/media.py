@@ -129,14 +129,27 @@ def local_time(value: Column) -> Column:
 
 
 def with_key_set(blob: Column, key: str, value: Column) -> Column:
-    """A JSON object with ``key`` set where it is missing or empty; null counts as an empty object."""
-    old = json_dict(blob)
-    missing = ~truthy(F.try_element_at(old, F.lit(key)))
-    kept = F.map_filter(old, lambda k, _: k != key)
-    return F.when(missing, F.to_json(F.map_concat(kept, F.create_map(F.lit(key), value)))).otherwise(blob)
+    """A JSON object with ``key`` set where it is missing or empty; all other values keep their types and places.
+
+    Nested objects have their keys in order of name. Anything but an object counts as an empty one. A value that is there, neither null, false, 0 nor empty, stays.
+    """
+    kind = "map<string,variant>"
+    old = F.coalesce(F.from_json(blob, kind), F.create_map().cast(kind))
+    missing = ~truthy(F.try_element_at(json_dict(blob), F.lit(key)))
+    there = F.transform_values(old, lambda k, v: F.when(k == key, value.cast("variant")).otherwise(v))
+    made = F.when(F.map_contains_key(old, key), there).otherwise(F.map_concat(old, F.create_map(F.lit(key), value.cast("variant"))))
+    return F.when(missing, F.to_json(made)).otherwise(blob)
 
 
 def first_level_keys(text: Column) -> Column:
-    """Top-level keys of a YAML mapping: what stands before a colon at the start of a line, in order."""
-    lines = F.filter(F.split(text, "\\r?\\n"), lambda x: x.rlike("^[A-Za-z_][A-Za-z0-9_ -]*:(\\s|$)"))
-    return F.array_distinct(F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1))))
+    """Top-level keys of the first document of a YAML text, in order: plain or quoted before a colon at the start of a line, or those
+    of a mapping in braces. Comments, list items and what is indented have none."""
+    documents = F.filter(F.split(text, r"(?m)^(?:---|\.\.\.)[^\r\n]*(?:\r?\n|$)"), lambda x: F.regexp_replace(x, r"(?m)^\s*(?:#.*)?$", "").rlike(r"\S"))
+    body = F.coalesce(F.get(documents, F.lit(0)), F.lit(""))
+    lines = F.regexp_extract_all(body, F.lit(r"(?m)^(\"[^\"\r\n]*\"|'[^'\r\n]*'|[^\s#'\"\[\]{},&*!|>%@-][^:#\r\n]*?|-[^\s:][^:\r\n]*?)\s*:(?:\s|$)"), 1)
+    inner = F.regexp_replace(F.trim(body), r"^\{|\}$", "")
+    for _ in range(3):
+        inner = F.regexp_replace(inner, r"\{[^{}]*\}|\[[^\[\]]*\]", "")
+    flow = F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(F.substring_index(x, ":", 1))), lambda x: x != "")
+    found = F.when(F.trim(body).startswith("{"), flow).otherwise(lines)
+    return F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, r"^([\"'])(.*)\1$", "$2")))

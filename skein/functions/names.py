@@ -8,8 +8,9 @@ from .paths import basename
 # Audio extensions, words of bracketed tags, dashes, words of guest artists, suspicious names.
 AUDIO = "mp3|flac|aac|m4a|wav|ogg|wma|alac|aiff|opus"
 TAG_WORDS = "hq|hd|remaster|remix|mix|bonus|live|explicit|clean|single|album|lp|ep|ost|soundtrack|official|lyrics|audio|visualizer|radio|edit|original|version|instrumental|acoustic|demo|cover|extended|reissue|deluxe|mono|stereo|quality|release|group|tag|cd|disc"
+SIZE_DIGITS, MEDIA_WORDS = {"p": (3, 4), "kbps": (2, 4)}, ("dvd", "bluray")
 DASH = r"\s*[-–—―−]\s*"
-GUEST = r"(?i)\b(?:feat(?:\.|uring)?|ft\.|with|vs\.|x)(?!\w)"
+GUEST_WORDS = ("feat", "feat.", "featuring", "ft.", "with", "vs.", "x")
 ODD_ARTISTS, ODD_TITLES = "unknown|various|untitled", "track|untitled|unknown"
 VIDEO = "mp4|mkv|avi|mov|wmv|m4v|ts|m2ts|webm|mpg|mpeg|vob|flv|3gp|ogv|mts|m2t"
 
@@ -42,14 +43,19 @@ def collapse(text: Column) -> Column:
 
 
 def _is_tag(group: Column) -> Column:
-    """Whether the words in a pair of brackets name a release rather than a work, or begin with a resolution or bit rate."""
+    """Whether a word in a pair of brackets names a release rather than a work, or they begin with a resolution, a bit rate or a medium."""
 
-    def test(words: Column) -> Column:
-        first = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
-        size = F.translate(first, "pkbs", "").rlike("^[0-9]{2,4}$") & F.translate(first, "0123456789", "").isin("p", "kbps")
-        return F.exists(words, lambda w: w.isin(*TAG_WORDS.split("|"))) | size | first.isin("dvd", "bluray")
+    def test(low: Column) -> Column:
+        number = F.regexp_extract(low, "^[0-9]+", 0)
+        unit = F.substring(low, F.length(number) + 1, F.length(low))
+        begins = F.lit(False)
+        for name, (least, most) in SIZE_DIGITS.items():
+            begins = begins | (unit.startswith(name) & F.length(number).between(least, most))
+        for word in MEDIA_WORDS:
+            begins = begins | low.startswith(word)
+        return F.exists(F.split(low, r"[^\p{L}\p{N}_]+"), lambda w: w.isin(*TAG_WORDS.split("|"))) | begins
 
-    return bound(F.filter(F.split(F.lower(group), "[^a-z0-9]+"), lambda w: w != ""), test)
+    return bound(F.lower(group), test)
 
 
 def without_tags(text: Column) -> Column:
@@ -106,7 +112,9 @@ def _music_name(track: Column, rest: Column, folders: Column) -> Column:
 def _of_parts(track: Column, rest: Column, parts: Column, folders: Column) -> Column:
     dashed = F.size(parts) >= 2
     first = F.get(parts, F.lit(0))
-    main = F.trim(F.get(F.split(first, GUEST, 2), F.lit(0)))
+    words = F.split(first, r"\s+")
+    guest = F.array_position(F.transform(words, lambda w: F.lower(w).isin(*GUEST_WORDS)), True).cast("int")
+    main = F.when(guest > 0, F.array_join(F.slice(words, F.lit(1), guest - 1), " ")).otherwise(F.trim(first))
     named = F.when(dashed, F.when(main != "", main).otherwise(first))
     title = F.when(dashed, F.array_join(F.slice(parts, F.lit(2), F.greatest(F.lit(1), F.size(parts) - 1)), " - ")).otherwise(F.nullif(F.trim(rest), F.lit("")))
     last = F.try_element_at(folders, F.lit(-1))

@@ -59,9 +59,44 @@ def add_reason(queue: DataFrame, reason: str) -> DataFrame:
     return queue.withColumn("reasons", F.when(F.array_contains(now, reason), now).otherwise(F.array_append(now, F.lit(reason))))
 
 
-def split_queue(profiles: DataFrame, low: float) -> tuple[DataFrame, DataFrame]:
-    """Profiles and the review rows of those below the threshold."""
-    return profiles, profiles.where(F.col("confidence") < low)
+def reasons_for(queue: DataFrame, hits: DataFrame, key: str, reason: str) -> DataFrame:
+    """The queue (key, reasons, ...) with a reason for every hit: beside those that a row has, or in a new row. Null keys hit nothing."""
+    seen = hits.select(F.col(key).alias("_hit")).where("_hit is not null").distinct()
+    there = queue.join(seen, queue[key] == seen["_hit"], "left")
+    marked = add_reason(there.where("_hit is not null").drop("_hit"), reason).unionByName(there.where("_hit is null").drop("_hit"))
+    fresh = seen.join(queue.select(key), seen["_hit"] == queue[key], "left_anti")
+    return marked.unionByName(fresh.select(F.col("_hit").alias(key), F.array(F.lit(reason)).alias("reasons")), allowMissingColumns=True)
+
+
+def events_after(log: DataFrame, seq: int, limit: int = 256) -> DataFrame:
+    """The next ``limit`` events after a number, in order, with ``payload``: a JSON object, made from what ``payload_json`` holds.
+
+    An object stays, any other JSON value is its ``value``, what can't be read is ``raw``; null and empty are an empty object.
+    """
+    raw = F.col("payload_json")
+    parsed = F.try_parse_json(raw)
+    wrapped = lambda name, c: F.to_json(F.struct(c.alias(name)))
+    payload = (
+        F.when(F.coalesce(raw, F.lit("")) == "", F.lit("{}"))
+        .when(parsed.isNull(), wrapped("raw", raw))
+        .when(F.schema_of_variant(parsed).startswith("OBJECT"), F.to_json(parsed))
+        .otherwise(wrapped("value", parsed))
+    )
+    return log.where(F.col("seq") > seq).orderBy("seq").limit(limit).withColumn("payload", payload)
+
+
+def review_queue(queue: DataFrame, profiles: DataFrame, key: str, low: float, now: Column) -> DataFrame:
+    """The queue (key, confidence, ..., created_utc) after profiles were scored again.
+
+    Profiles below ``low`` are in it with their new values; one that was there keeps the time it came, a new one has ``now``. One that
+    recovered leaves, one that wasn't scored stays as it was. A null confidence is not below.
+    """
+    seen = profiles.select(F.col(key).alias("_seen")).distinct()
+    stay = queue.join(seen, queue[key] == seen["_seen"], "left_anti")
+    came = queue.select(F.col(key).alias("_key"), F.col("created_utc").alias("_came"))
+    rows = profiles.where(F.col("confidence") < low).join(came, F.col(key) == F.col("_key"), "left")
+    values = {c: F.col(c) if c in profiles.columns else F.lit(None).cast(t) for c, t in queue.dtypes} | {"created_utc": F.coalesce("_came", now)}
+    return stay.unionByName(rows.select(*[values[c].alias(c) for c in queue.columns]))
 
 
 def swap(df: DataFrame, path: str) -> str:

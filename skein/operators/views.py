@@ -56,7 +56,7 @@ def nested(parents: DataFrame, children: DataFrame, key: str, columns: list[str]
 
 def history(messages: DataFrame, session: str, n: int, order: str) -> DataFrame:
     """The last ``n`` messages of every session, oldest first by ``order``."""
-    return messages.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")
+    return messages.withColumn("_n", F.row_number().over(Window.partitionBy(session).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n").orderBy(session, order)
 
 
 def fuzzy(a: Column, b: Column) -> Column:

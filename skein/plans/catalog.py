@@ -533,13 +533,13 @@ def media_tokens(spark, d):
 
 @query(
     """WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority AS resource, CASE WHEN o_orderstatus = 'P' THEN 'running' WHEN o_orderstatus = 'O' THEN 'queued' ELSE 'done' END AS status, o_custkey % 5 AS priority, o_orderdate AS created FROM orders),
-    f AS (SELECT resource, 400 - count(*) FILTER (status = 'running') AS free FROM j GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY priority, created, job_id) AS nth FROM j WHERE status = 'queued')
+    f AS (SELECT resource, count(*) // 3 + 25 - count(*) FILTER (status = 'running') AS free FROM j GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY priority, created, job_id) AS nth FROM j WHERE status = 'queued')
     SELECT job_id, resource, nth FROM w JOIN f USING (resource) WHERE nth <= free"""
 )
 def queue_dispatch(spark, d):
     status = F.when(F.col("o_orderstatus") == "P", "running").when(F.col("o_orderstatus") == "O", "queued").otherwise("done")
     jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderpriority").alias("resource"), status.alias("status"), (F.col("o_custkey") % 5).alias("priority"), F.col("o_orderdate").alias("created"))
-    slots = jobs.select("resource").distinct().withColumn("slots", F.lit(400))
+    slots = jobs.groupBy("resource").agg((F.expr("count(*) div 3") + 25).alias("slots"))
     return queues.dispatch(jobs, slots).withColumn("nth", long("nth"))
 
 

@@ -62,22 +62,6 @@ def proposal_scores(spark, d):
     return listed.select("p_brand", F.array_join(F.transform("x", lambda x: x["p_partkey"].cast("string")), ",").alias("best"), F.round("score", 6).alias("score"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 4 = 1 AS confirmed, CASE WHEN o_orderkey % 4 = 1 THEN 0.4 END AS score, CASE WHEN o_orderkey % 4 = 1 THEN 'tt' || o_orderkey END AS imdb_id FROM orders")
-def confirmed_ids(spark, d):
-    key = F.col("o_orderkey")
-    blob = F.when(key % 4 == 0, F.lit('{"ids": {"tmdb": 0, "imdb_id": ""}, "tmdb": 5}')).when(key % 4 == 1, F.concat(F.lit('{"tmdb_id": null, "imdb_id": "tt'), key.cast("string"), F.lit('"}'))).when(key % 4 == 2, F.lit("[1]"))
-    candidate = media.default_candidate(blob, F.lit("x"))
-    return table(spark, d, "orders").select("o_orderkey", media.has_confirmed_id(blob).alias("confirmed"), candidate["score"].alias("score"), candidate["imdb_id"].alias("imdb_id"))
-
-
-@query("SELECT p_partkey, p_partkey::VARCHAR || ',' || p_size AS numbers, CASE WHEN p_partkey % 2 = 0 THEN 'a|b' ELSE 'a|' || p_size END AS words FROM part")
-def list_texts(spark, d):
-    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    numbers = F.concat(F.lit("["), key, F.lit(', "x", null, "'), size, F.lit('"]'))
-    words = F.when(F.col("p_partkey") % 2 == 0, F.lit('["a", "b"]')).otherwise(F.concat(F.lit(" a ,, "), size, F.lit(" ;")))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(media.whole_numbers(numbers), lambda x: x.cast("string")), ",").alias("numbers"), F.array_join(text.list_or_commas(words), "|").alias("words"))
-
-
 @query("SELECT p_partkey, 'confidence=' || printf('%.2f', p_size / 50.0) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ';issues=' || printf('%.2f', p_partkey % 4::DOUBLE) END || ';item_type=' || CASE WHEN p_partkey % 2 = 0 THEN 'movie' ELSE 'episode' END || '=1.00' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ';source=' || p_brand || '=1.00' END AS features FROM part")
 def feature_maps(spark, d):
     key = F.col("p_partkey")
@@ -93,44 +77,8 @@ def local_times(spark, d):
     return table(spark, d, "events").select("event_id", media.local_time(value).alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Transcript of ' || doc_id WHEN doc_id % 3 = 1 THEN 'old' ELSE 'Transcript of ' || doc_id END AS transcript, CASE WHEN doc_id % 3 = 1 THEN 'en' WHEN doc_id % 3 = 2 THEN 'de' END AS lang_kept FROM documents")
-def json_set_missing(spark, d):
-    key = F.col("doc_id")
-    blob = F.when(key % 3 == 1, F.lit('{"transcript": "old", "lang": "en"}')).when(key % 3 == 2, F.lit('{"transcript": "", "lang": "de"}'))
-    out = media.with_key_set(blob, "transcript", F.concat(F.lit("Transcript of "), key.cast("string")))
-    return docs(spark, d).select("doc_id", F.get_json_object(out, "$.transcript").alias("transcript"), F.get_json_object(out, "$.lang").alias("lang_kept"))
-
-
-@query("SELECT p_partkey, 'title,tags,' || 'k' || p_size AS keys FROM part")
-def yaml_keys(spark, d):
-    body = F.concat(F.lit("# note\ntitle: a: b\ntags:\n  - x\n  inner: 1\nk"), F.col("p_size").cast("string"), F.lit(": 2\ntitle: again\nplain line"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(media.first_level_keys(body), ",").alias("keys"))
-
-
 # Names, paths, texts
 
-@query("SELECT p_partkey, 'Artist ' || p_size AS artist, 'Song ' || p_partkey || ' 2.0' AS title, 'Best Album' AS album, lpad((p_partkey % 90 + 1)::VARCHAR, 2, '0') AS track FROM part")
-def music_names(spark, d):
-    name = F.concat(F.lpad((F.col("p_partkey") % 90 + 1).cast("string"), 2, "0"), F.lit("_-_Artist "), F.col("p_size").cast("string"), F.lit(" feat. Other - Song."), F.lit(" "), F.col("p_partkey").cast("string"), F.lit(" 2.0 (Official Video) [1080p].mp3"))
-    m = names.music_name(F.concat(F.lit("x/"), name), F.array(F.lit("Other"), F.lit("Best Album (Remaster)")))
-    return table(spark, d, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.artist", "m.title", "m.album", "m.track")
-
-
-@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.6 ELSE 0.45 END AS score FROM part")
-def music_scores(spark, d):
-    key = F.col("p_partkey")
-    name = F.when(key % 3 == 0, "07 Some Artist - Some Song.mp3").when(key % 3 == 1, "Unknown Artist - Some Song.mp3").otherwise("Untitled Noise - Track.flac")
-    score = names.music_score(names.music_name(name, F.array(F.lit("An Album"))))
-    return table(spark, d, "part").select("p_partkey", F.round(score, 6).alias("score"))
-
-
-@query("SELECT o_orderkey, o_orderkey % 4 = 0 AS ignored, o_orderkey % 3 = 0 AS hidden FROM orders")
-def ignored_paths(spark, d):
-    key = F.col("o_orderkey")
-    path = F.concat(F.lit("a/b"), F.when(key % 4 == 0, "/cache").otherwise("/data"), F.when(key % 3 == 0, "/.").otherwise("/"), key.cast("string"), F.lit(".txt"))
-    return table(spark, d, "orders").select("o_orderkey", paths.glob_match(path, ["*/cache/*", "?humbs.db"]).alias("ignored"), paths.hidden(path).alias("hidden"))
-
-
 @query("SELECT doc_id, replace(source, ' ', '_') || '_x_' || doc_id AS safe, len(string_split(lang || ';a', ';')) AS langs FROM documents")
 def safe_names(spark, d):
     return docs(spark, d).select("doc_id", paths.safe_name(F.concat("source", F.lit(" é x: "), F.col("doc_id").cast("string"))).alias("safe"), F.size(text.split_list(F.concat("lang", F.lit("; a,, ;")))).alias("langs"))
@@ -144,13 +92,6 @@ def air_years(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.air_year(F.when(key % 3 != 0, F.date_format(day, "yyyy-MM-dd"))).alias("year"), text.lag_ms(at, sent).alias("lag"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 3 WHEN p_partkey % 4 = 1 THEN NULL WHEN p_partkey % 4 = 2 THEN 0 ELSE 12 END AS season, p_partkey % 4 IN (0, 2) AS canonical FROM part")
-def season_numbers(spark, d):
-    key = F.col("p_partkey")
-    name = F.when(key % 4 == 0, "Season_03").when(key % 4 == 1, "Extras").when(key % 4 == 2, "Specials").otherwise("S12")
-    return table(spark, d, "part").select("p_partkey", names.season_number(name).alias("s")).select("p_partkey", F.col("s.number").alias("season"), "s.canonical")
-
-
 @query("SELECT item_id, CASE WHEN contains(lower(text), 'the') THEN greatest(0.2, least(1.0, 3.0 / length(text))) ELSE 0.0 END AS score FROM benchmark")
 def keyword_scores(spark, d):
     return table(spark, d, "benchmark").select("item_id", scores.keyword_score(F.lit(" The "), F.col("text")).alias("score"))
@@ -162,16 +103,6 @@ def unit_vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(unit, 4).alias("total"))
 
 
-@query("SELECT vec_id, len(embedding) AS n, round(embedding[1]::DOUBLE, 5) AS first, round(embedding[-1]::DOUBLE, 5) AS last FROM embeddings")
-def float_blobs(spark, d):
-    """Vectors packed as little-endian float32 bytes and read back."""
-    where = scratch(spark, "blobs")
-    packed = table(spark, d, "embeddings").select("vec_id", readers.pack_floats(F.col("embedding")).alias("blob"))
-    packed.write.parquet(where)
-    rows = spark.read.schema(packed.schema).parquet(where).select("vec_id", readers.floats(F.col("blob")).alias("v"))
-    return rows.select("vec_id", F.size("v").alias("n"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"), F.round(F.element_at("v", -1).cast("double"), 5).alias("last"))
-
-
 @query("SELECT count(*) AS n, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes, CAST(round_even(avg(length(text)), 0) AS BIGINT) AS mean_size FROM benchmark")
 def blob_totals(spark, d):
     return metrics.blob_totals(table(spark, d, "benchmark"), "text")
@@ -190,9 +121,9 @@ def slow_entries(spark, d):
     return audit.slow_entries(log, 400, 60.0, "ts", "event_id").select("event_id", "value")
 
 
-@query("SELECT source, sum(CASE WHEN n_chars < 500 THEN 1 ELSE 0 END) / count(*) AS ratio FROM documents GROUP BY source HAVING sum(CASE WHEN n_chars < 500 THEN 1 ELSE 0 END) / count(*) >= 0.4")
+@query("SELECT source, sum(CASE WHEN n_chars < 1500 THEN 1 ELSE 0 END) / count(*) AS ratio FROM documents GROUP BY source HAVING sum(CASE WHEN n_chars < 1500 THEN 1 ELSE 0 END) / count(*) >= 0.4")
 def stale_ratio(spark, d):
-    return audit.stale_ratio(docs(spark, d), "source", F.col("n_chars") < 500)
+    return audit.stale_ratio(docs(spark, d), "source", F.col("n_chars") < 1500)
 
 
 @query("SELECT severity, count(*) AS n FROM (SELECT CASE WHEN value > 80 THEN 'major' WHEN value > 40 THEN 'minor' ELSE 'info' END AS severity FROM events) GROUP BY 1")
@@ -223,12 +154,6 @@ def newest_page(spark, d):
     return pages.page(table(spark, d, "orders"), [F.desc("o_orderdate"), F.desc("o_orderkey")], None, 100).select("o_orderkey")
 
 
-@query(f"SELECT path, lower(split_part(path, '/', 3)) AS name FROM ({INVENTORY})")
-def filled_names(spark, d):
-    rows = inventory(spark, d).withColumn("name", F.lit(""))
-    return pages.with_name(rows).select("path", "name")
-
-
 @query("SELECT path FROM (SELECT source || '/' || doc_id AS path FROM documents WHERE starts_with(source, 'src1')) ORDER BY path LIMIT 40")
 def sample_files(spark, d):
     rows = docs(spark, d).where(F.col("source").startswith("src1")).select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"))
@@ -262,15 +187,6 @@ def training_due(spark, d):
     return queues.training_due(docs(spark, d).groupBy("source").agg(F.count("*").alias("labels")).withColumn("trained", F.lit(4)), 5, 3).select("source", "train")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '10.0|20.0|30.0' ELSE '5.5|7.25' END AS times, CASE WHEN p_partkey % 3 = 0 THEN 12.5 ELSE p_size::DOUBLE END AS seconds FROM part")
-def frame_times(spark, d):
-    key = F.col("p_partkey")
-    scenes = F.when(key % 2 == 0, F.array().cast("array<struct<start:double,end:double>>")).otherwise(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((1.0, 10.0), (3.0, 8.0), (6.5, 8.0))]))
-    times = enrich.frame_times(scenes, F.lit(40.0), 3)
-    seconds = enrich.first_number(F.when(key % 3 == 0, "12.5").otherwise("n/a"), F.col("p_size").cast("string"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(times, lambda t: t.cast("string")), "|").alias("times"), seconds.alias("seconds"))
-
-
 @query("SELECT source || '.txt' AS path FROM documents WHERE doc_id % 3 <> 0")
 def playlist_files(spark, d):
     where = scratch(spark, "playlist")
@@ -287,11 +203,15 @@ def report_sections(spark, d):
     return spark.read.option("header", True).schema("lang string, n long").csv([f"{where}/{name}" for name in done])
 
 
-@query("SELECT 7 AS k, 'coreset' AS strategy")
+@query("SELECT (SELECT count(DISTINCT source) FROM documents) AS k, (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1) AS strategy")
 def single_row_config(spark, d):
+    """One row of settings, from the first kind of events and then from the most frequent one; the last version counts."""
     where = scratch(spark, "config")
-    upserts.swap(spark.sql("SELECT 3 AS k, 'margin' AS strategy"), where)
-    return spark.read.parquet(upserts.swap(spark.sql("SELECT 7 AS k, 'coreset' AS strategy"), where))
+    k = docs(spark, d).agg(F.count_distinct("source").alias("k"))
+    kinds = table(spark, d, "events").groupBy(F.col("event_type").alias("strategy")).agg(F.count("*").alias("n"))
+    first, most = (kinds.orderBy(*by).limit(1).select("strategy") for by in (["strategy"], [F.desc("n"), "strategy"]))
+    upserts.swap(k.crossJoin(F.broadcast(first)), where)  # one row each
+    return spark.read.parquet(upserts.swap(k.crossJoin(F.broadcast(most)), where))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 3 = 0")
@@ -304,21 +224,6 @@ def json_log(spark, d):
     return readers.json_lines(spark, where, "event_id long, event_type string")
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'x,y' ELSE 'k' END AS keys FROM documents")
-def json_key_lists(spark, d):
-    key = F.col("doc_id")
-    body = F.when(key % 3 == 0, '{"a": 1, "b": {"c": 2}}').when(key % 3 == 1, '[{"x": 1, "y": 2}, {"z": 3}]').otherwise('junk {"k": 1} tail')
-    return docs(spark, d).select("doc_id", F.array_join(readers.json_keys(body), ",").alias("keys"))
-
-
-@query("SELECT item_id, 'id,name ' || item_id || ',last' AS fields, item_id % 2 = 0 AS odd FROM benchmark")
-def text_heads(spark, d):
-    key = F.col("item_id").cast("string")
-    body = F.concat(F.lit(" id ,name "), key, F.lit(",, last\n1,2,3,4"))
-    head = F.when(F.col("item_id") % 2 == 0, F.encode(F.lit("ab\u0000c"), "UTF-8")).otherwise(F.encode(F.lit("plain\ttext\n"), "UTF-8"))
-    return table(spark, d, "benchmark").select("item_id", F.array_join(readers.csv_header(body), ",").alias("fields"), readers.looks_binary(head).alias("odd"))
-
-
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (value > 90) AS failed, round(quantile_cont(value, 0.95), 6) AS p95, count(*) - count(*) FILTER (value > 90) AS success FROM events GROUP BY event_type")
 def tool_metrics(spark, d):
     calls = table(spark, d, "events").select(F.col("event_type").alias("tool"), (F.col("value") > 90).alias("failed"), F.col("value").alias("ms"))
@@ -339,19 +244,6 @@ def changed_digests(spark, d):
     return audit.changed_digests(base, current)
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'low|keyword' ELSE 'keyword' END AS reasons FROM supplier")
-def added_reasons(spark, d):
-    key = F.col("s_suppkey")
-    queue = table(spark, d, "supplier").select("s_suppkey", F.when(key % 2 == 0, F.array(F.lit("low"))).when(key % 3 == 0, F.array(F.lit("keyword"))).alias("reasons"))
-    return upserts.add_reason(queue, "keyword").select("s_suppkey", F.array_join("reasons", "|").alias("reasons"))
-
-
-@query("SELECT s_suppkey FROM supplier WHERE (s_suppkey % 50) / 50.0 < 0.5")
-def review_split(spark, d):
-    rows = table(spark, d, "supplier").select("s_suppkey", ((F.col("s_suppkey") % 50) / 50.0).alias("confidence"))
-    return upserts.split_queue(rows, 0.5)[1].select("s_suppkey")
-
-
 @query("SELECT lang AS category, count(*) AS n FROM documents GROUP BY lang")
 def snapshot_files(spark, d):
     """A snapshot whose files have the sizes and digests of its manifest, read back."""
