@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import joins, queues, search, upserts, views
 from ..sources.readers import shards, table
-from ..sources.shared import scratch
+from ..sources.shared import scratch, written
 from ..sources.writers import export_row
 from ..streaming import events as streaming
 from .catalog import PAGE_PATH, WORDS, long, query
@@ -216,4 +216,5 @@ def calibrated_model(spark, d):
     upper = F.length(F.regexp_replace("text", "[^A-Z]", "")) / (F.length("text") + 1)
     marks = F.length(F.regexp_replace("text", "[A-Za-z0-9 ]", "")) / (F.length("text") + 1)
     rows = docs.select(F.col("doc_id").alias("id"), upper.alias("upper"), marks.alias("marks"), F.log1p("n_chars").alias("size"), "quality")
+    rows = written(rows, "features")  # the texts are read once
     return views.calibrated(rows, ["upper", "marks", "size"], "quality").select("rows", F.round("auc", 6).alias("auc"), F.round("brier", 6).alias("brier"), F.round("ece", 6).alias("ece"))

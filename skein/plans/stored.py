@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import stems
-from ..operators import digests, metrics, scan
+from ..functions import media, stems
+from ..operators import digests, learning, metrics, scan
 from ..operators.index import TextIndex
 from ..sources import files
 from ..sources.readers import table
@@ -234,3 +234,22 @@ def line_percentiles(spark, d):
     out = metrics.percentiles(rows, "of", "l_extendedprice", [0.25, 0.99])
     of = F.split("of", r"\|")
     return out.select(of[0].alias("l_returnflag"), of[1].alias("l_linestatus"), F.round("p25", 4).alias("p25"), F.round("p99", 4).alias("p99"))
+
+
+def _examples(spark, d):
+    """Labelled documents with named features: sizes and shares as numbers, language and source as classes."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    n = F.greatest(F.length("text"), F.lit(1))
+    share = lambda kept: F.length(F.regexp_replace("text", kept, "")) / n
+    numbers = {"upper": share("[^A-Z]"), "marks": share("[A-Za-z0-9 ]"), "size": F.log1p("n_chars")}
+    made = media.feature_map(numbers, {"lang": F.col("lang"), "source": F.col("source")})
+    return docs.select("doc_id", "quality", made.alias("features"))
+
+
+@query()
+def learned_confidence(spark, d):
+    """How well a calibrated classifier of quality does on its examples."""
+    model, stored_rows = learning.trained(_examples(spark, d), "doc_id", "features", "quality")
+    scored = model.scored(stored_rows) if model else stored_rows.withColumn("p", F.lit(0.5))
+    out = learning.report(scored, model)
+    return out.select("n", "calibration", "features", *[F.round(c, 4).alias(c) for c in ("auc", "brier", "ece")])
