@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import media, names, paths, text
+from ..functions import episodes, media, names, paths, text
 from ..operators import enrich, pages, upserts
 from ..sources import readers
 from ..sources.readers import table
@@ -212,3 +212,30 @@ def event_payloads(spark, d):
     raw = F.when(key % 3 == 0, F.col("props")).when(key % 3 == 1, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("{broken "), "event_type"))
     log = table(spark, d, "events").select(key.alias("seq"), F.col("event_type").alias("kind"), raw.alias("payload_json"))
     return upserts.events_after(log, 700).select("seq", "kind", F.regexp_replace("payload", r"([:,]) ", "$1").alias("payload"))
+
+
+# Episodes: names in the manner of four languages, numbers from ids and lengths.
+SHOW = f"""s AS (SELECT doc_id, {WORDS}[1] AS a, {WORDS}[2] AS b, {WORDS}[3] AS c, lang, doc_id % 12 + 1 AS season, n_chars % 90 + 1 AS ep, DATE '2020-01-01' + (doc_id % 2000)::INTEGER AS day FROM documents)"""
+
+
+@query(
+    f"""WITH {SHOW} SELECT doc_id, a || ' ' || b AS series, CASE WHEN lang IN ('en', 'de') THEN season END::INTEGER AS season,
+        CASE lang WHEN 'en' THEN CASE WHEN ep % 2 = 0 THEN ep || ',' || ep + 1 ELSE ep::VARCHAR END WHEN 'de' THEN CASE WHEN ep % 3 = 0 THEN ep || ',' || ep + 1 || ',' || ep + 2 ELSE ep::VARCHAR END ELSE '' END AS episodes,
+        CASE WHEN lang = 'fr' THEN '' WHEN lang = 'es' THEN (ep + 10)::VARCHAR ELSE '' END AS absolute, CASE WHEN lang = 'fr' THEN CAST(day AS VARCHAR) END AS air_date, c AS title
+    FROM s WHERE lang IN ('en', 'de', 'fr', 'es') AND a SIMILAR TO '[A-Za-z][a-z]{{3,}}' AND b SIMILAR TO '[A-Za-z][a-z]{{3,}}' AND c SIMILAR TO '[A-Za-z][a-z]{{3,}}'"""
+)
+def episode_names(spark, d):
+    a, b, c = (F.get(_words(), F.lit(k)) for k in range(3))
+    plain = [w.rlike("^[A-Za-z][a-z]{3,}$") for w in (a, b, c)]
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    season, ep = F.col("doc_id") % 12 + 1, F.col("n_chars") % 90 + 1
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 2000).cast("int"))
+    en = F.concat(a, F.lit(" "), b, F.lit(" - S"), two(season), F.lit("E"), two(ep), F.when(ep % 2 == 0, F.concat(F.lit("E"), two(ep + 1))).otherwise(""), F.lit(" - "), c, F.lit(" [1080p].mkv"))
+    de = F.concat_ws(".", a, b, F.concat(season.cast("string"), F.lit("x"), two(ep), F.when(ep % 3 == 0, F.concat(F.lit("-"), two(ep + 2))).otherwise("")), c, F.lit("WEB.x264.mp4"))
+    fr = F.concat(a, F.lit("_"), b, F.lit("_"), F.date_format(day, "yyyy.MM.dd"), F.lit("_"), c, F.lit(".avi"))
+    es = F.concat(a, F.lit(" "), b, F.lit(" - "), F.lpad((ep + 10).cast("string"), 3, "0"), F.lit(" - "), c, F.lit(".mkv"))
+    lang = F.col("lang")
+    name = F.when(lang == "en", en).when(lang == "de", de).when(lang == "fr", fr).when(lang == "es", es)
+    rows = table(spark, d, "documents").where(plain[0] & plain[1] & plain[2] & name.isNotNull()).select("doc_id", episodes.episode(F.concat(F.lit("shows/"), name)).alias("g"))
+    listed = lambda x: F.array_join(F.transform(x, lambda n: n.cast("string")), ",")
+    return rows.select("doc_id", "g.series", "g.season", listed("g.episodes").alias("episodes"), listed("g.absolute_numbers").alias("absolute"), F.col("g.air_date").cast("string").alias("air_date"), "g.title")
