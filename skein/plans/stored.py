@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import media, stems
 from ..operators import digests, learning, metrics, scan
 from ..operators.index import TextIndex
-from ..sources import files
+from ..sources import bundle, files
 from ..sources.readers import table
 from ..sources.shared import scratch
 from .catalog import query
@@ -253,3 +253,23 @@ def learned_confidence(spark, d):
     scored = model.scored(stored_rows) if model else stored_rows.withColumn("p", F.lit(0.5))
     out = learning.report(scored, model)
     return out.select("n", "calibration", "features", *[F.round(c, 4).alias(c) for c in ("auc", "brier", "ece")])
+
+
+@query("SELECT doc_id, lang, n_chars, md5(text) AS digest FROM documents")
+def bundle_rows(spark, d):
+    """Documents written as a bundle of JSON lines, checked and read back."""
+    where = scratch(spark, "bundle")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", "text")
+    bundle.write_bundle(docs, where)
+    return bundle.read_bundle(spark, where, "doc_id long, lang string, n_chars long, text string").select("doc_id", "lang", "n_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT 'customers/' || replace(c_name, '#', '_') || '.nfo' AS entry, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS genre FROM customer")
+def bundle_entries(spark, d):
+    """Customers written as zipped XML, checked and read back."""
+    where = scratch(spark, "bundle")
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("title"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("genre"))
+    bundle.write_bundle(rows, where, "nfozip", root="customer", entry="title")
+    found = bundle.read_bundle(spark, where, "entry string, content string")
+    inside = lambda tag: F.element_at(F.xpath("content", F.lit(f"/customer/{tag}/text()")), 1)
+    return found.select("entry", inside("id").alias("id"), inside("genre").alias("genre"))
