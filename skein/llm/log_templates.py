@@ -98,7 +98,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     members = written(meet(fit, fixed, "_leaf", large).select("_leaf", "_exact", groups.alias("groups")).where("size(groups) > 0"), "members")
     in_group = _spread(lines, members, ["_leaf", "_exact"]).select(F.explode("groups").alias("group"), "_key")
     in_group = in_group.groupBy("group", "_key").agg(F.lit(1).alias("one")).groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("group")
-    recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(members.select("_leaf", "_exact", F.explode("groups").alias("group")).join(in_group, "group").select("_leaf", "_exact")).distinct()
+    of_group = members.select("_leaf", "_exact", F.explode("groups").alias("group"))
+    in_group = written(of_group.groupBy("group").agg(F.count("*").alias("forms")).join(in_group, "group"), "groups")
+    grouped = meet(of_group, in_group, "group", large).select("_leaf", "_exact")
+    recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(grouped).distinct()
     recurring = written(recurring, "recurring")
     marked = _spread(lines, recurring, ["_leaf", "_exact"])
     return marked.groupBy("_key").agg(F.collect_set("_no").alias("_drop"))
