@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import structure
 from ..sources.readers import table
+from ..sources.shared import written
 from .catalog import long, query
 from .derived import WORDS, _words
 
@@ -39,9 +40,9 @@ def _library(spark, d):
 )
 def folder_chain(spark, d):
     """Folders from listed files to stored profiles, and whether they are up for review."""
-    held = structure.contents(_library(spark, d))
-    found = structure.candidates(held)
-    made = structure.profiles(held, found)
+    held = written(structure.contents(_library(spark, d)), "folders")
+    found = written(structure.candidates(held), "candidates")
+    made = written(structure.profiles(held, found), "profiles")
     tables = structure.stored({}, made, found, F.lit("2024-01-01").cast("timestamp_ntz"))
     queued = tables["queue"].select("folder", F.lit(True).alias("_queued"))
     rows = made.join(queued, "folder", "left")
