@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import structure
+from ..operators import quality, structure
 from ..sources.readers import table
 from ..sources.shared import written
 from .catalog import long, query
@@ -47,3 +47,41 @@ def folder_chain(spark, d):
     queued = tables["queue"].select("folder", F.lit(True).alias("_queued"))
     rows = made.join(queued, "folder", "left")
     return rows.select("folder", "kind", "canonical", "main_video", F.array_join("issues", "|").alias("issues"), "title", "year", F.round("confidence", 6).alias("confidence"), long(F.size("reasons")).alias("reasons"), F.coalesce("_queued", F.lit(False)).alias("queued"))
+
+
+# A probe for each order: a video stream by customer and price, audio and subtitle streams by its lines; some can't be read.
+PROBED = """l AS (SELECT l_orderkey, max(l_linenumber - 1) FILTER (l_returnflag <> 'R') AS channels, count(DISTINCT l_suppkey % 3) FILTER (l_returnflag <> 'R') AS audio,
+        count(*) FILTER (l_returnflag = 'R') AS subs, count(DISTINCT l_suppkey % 3) FILTER (l_returnflag = 'R') AS sub_langs FROM lineitem GROUP BY 1),
+    p AS (SELECT o_orderkey, 320 * (1 + o_custkey % 12) AS width, 180 * (1 + o_custkey % 12) AS height, CAST(floor(o_totalprice / 50) AS BIGINT) AS kbps, o_totalprice / 40 AS seconds, o_custkey % 120 AS minutes,
+        channels, coalesce(audio, 0) AS audio, coalesce(subs, 0) AS subs, coalesce(sub_langs, 0) AS sub_langs, o_orderstatus FROM orders LEFT JOIN l ON l_orderkey = o_orderkey),
+    d AS (SELECT *, kbps / greatest(width * height / 1e6, 0.1) AS dense, abs(seconds - minutes * 60.0) AS apart FROM p),
+    t AS (SELECT *, CASE WHEN kbps <= 0 THEN 0 WHEN dense / 1500 <= 0.5 THEN 25 WHEN dense / 1500 <= 0.75 THEN 18 WHEN dense / 1500 < 1 THEN 10 ELSE 0 END AS lost, minutes > 0 AND apart > 0.1 * minutes * 60 AS late FROM d)"""
+
+
+def _probed(spark, d):
+    languages = F.element_at(F.array(*map(F.lit, ("eng", "es-MX", "GER"))), (F.col("l_suppkey") % 3 + 1).cast("int"))
+    sub = F.col("l_returnflag") == "R"
+    line = F.struct(
+        F.when(sub, "subtitle").otherwise("audio").alias("codec_type"), F.when(sub, "srt").otherwise("aac").alias("codec_name"), F.when(~sub, F.col("l_linenumber") - 1).alias("channels"), F.struct(languages.alias("language")).alias("tags"),
+    )
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("lines"))
+    k = 1 + F.col("o_custkey") % 12
+    video = F.struct(F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), (320 * k).cast("string").alias("width"), (180 * k).alias("height"), F.floor(F.col("o_totalprice") / 50).cast("string").alias("bit_rate"))
+    form = F.struct(F.lit("matroska").alias("format_name"), (F.col("o_totalprice") / 40).cast("string").alias("duration"))
+    orders = table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    others = F.regexp_replace(F.coalesce(F.to_json("lines"), F.lit("[]")), r"^\[", "")
+    whole = F.concat(F.lit('{"streams":['), F.to_json(video), F.when(others == "]", "").otherwise(","), others, F.lit(',"format":'), F.to_json(form), F.lit("}"))
+    return orders.select(F.col("o_orderkey").alias("path"), F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("x"), whole)).otherwise(whole).alias("probe"), (F.col("o_custkey") % 120).alias("minutes"))
+
+
+@query(
+    f"""WITH {PROBED} SELECT o_orderkey AS path, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE greatest(0, least(100, 100 - lost - CASE WHEN channels < 2 THEN 10 ELSE 0 END - CASE WHEN subs = 0 THEN 10 ELSE 0 END - CASE WHEN late THEN 10 ELSE 0 END
+            + CASE WHEN audio > 1 THEN 3 ELSE 0 END + CASE WHEN sub_langs > 1 THEN 3 ELSE 0 END)) END::INTEGER AS score,
+        CASE WHEN o_orderstatus = 'P' THEN NULL WHEN height <= 576 THEN '<=480p' WHEN height <= 800 THEN '720p' WHEN height <= 1200 THEN '1080p' WHEN height >= 1600 THEN '2160p' ELSE '1440p' END AS resolution,
+        CASE WHEN o_orderstatus <> 'P' AND late THEN CAST(floor(apart) AS BIGINT) END AS mismatch, CASE WHEN o_orderstatus <> 'P' AND sub_langs > 1 THEN sub_langs END AS sub_langs, CASE WHEN o_orderstatus <> 'P' THEN channels::INTEGER END AS channels FROM t"""
+)
+def quality_chain(spark, d):
+    """Probes to scores with reasons; the number that a reason holds is read back from its JSON."""
+    made = quality.rows(_probed(spark, d), F.lit("2024-01-01").cast("timestamp_ntz"), expect_subs=True)
+    said = lambda name: F.get_json_object("reasons_json", f"$.{name}")
+    return made.select("path", "score", said("resolution").alias("resolution"), said("runtime_mismatch").cast("long").alias("mismatch"), said("multi_sub_langs").cast("long").alias("sub_langs"), F.col("audio_channels_max").alias("channels"))
