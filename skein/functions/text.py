@@ -17,19 +17,24 @@ def tokens(text: Column, least: int = 1) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), 1), lambda t: F.length(t) >= least)
 
 
+def runs(ordered: Column) -> Column:
+    """(n, w, at) of each stretch of equal items of an array, in order: how many, which, and its place from 0."""
+
+    def cut(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
+        stretch = lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda j: F.struct((F.get(s, j + 1) - F.get(s, j)).alias("n"), F.get(w, F.get(s, j)).alias("w"), F.get(s, j).alias("at")))
+        return F.get(F.transform(F.array(starts), stretch), F.lit(0))
+
+    return F.get(F.transform(F.array(ordered), lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(F.filter(F.transform(w, lambda x: F.struct(F.lit(0).alias("n"), x.alias("w"), F.lit(0).alias("at"))), lambda r: r["n"] > 0))), F.lit(0))
+
+
 def counted(words: Column) -> Column:
     """(n: minus the count, w) of each distinct word, most frequent first, ties in word order; null words count as none.
 
     Run lengths over the sorted words, so the time is that of sorting them.
     """
-
-    def runs(w: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: (i == 0) | (i == F.size(w)) | (F.get(w, i) != F.get(w, i - 1)))
-        return F.transform(F.array(starts), lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 2), lambda j: F.struct((F.get(s, j) - F.get(s, j + 1)).alias("n"), F.get(w, F.get(s, j)).alias("w"))))
-
-    none = F.array().cast("array<array<struct<n:int,w:string>>>")
-    found = F.transform(F.array(F.array_sort(words)), lambda w: F.when(F.size(w) > 0, runs(w)).otherwise(none))
-    return F.array_sort(F.flatten(F.flatten(found)))
+    found = runs(F.sort_array(F.array_compact(F.coalesce(words, F.array().cast("array<string>")))))
+    return F.sort_array(F.transform(found, lambda r: F.struct((-r["n"]).alias("n"), r["w"].alias("w"))))
 
 
 def jaccard(a: Column, b: Column) -> Column:

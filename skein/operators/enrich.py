@@ -15,12 +15,22 @@ def index_content(rows: DataFrame, key: str, fields: list[str], meta: list[str])
 
 
 def hashed_words(docs: DataFrame, key: str, body: str, size: int = 256) -> DataFrame:
-    """(key, vector): counts of hashed words of each text, scaled to length one; texts without words are left out."""
-    slots = docs.select(key, F.explode(text.tokens(F.col(body))).alias("t")).select(key, (F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 4), 16, 10).cast("long") % size).alias("slot"))
-    counts = slots.groupBy(key, "slot").agg(F.count("*").cast("double").alias("n")).groupBy(key)
-    listed = counts.agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
-    return listed.select(key, F.transform(every, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.col("norm")).alias("vector"))
+    """(key, vector): counts of hashed words of each text, scaled to length one; texts without words are left out.
+
+    Counts come from each text's own sorted slots, so no word is shuffled.
+    """
+    slot = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 4), 16, 10).cast("int") % size).cast("int")
+
+    def dense(x: Column) -> Column:
+        runs, norm = x["runs"], x["norm"]
+        gap = lambda r, i: r["w"] - F.when(i == 0, -1).otherwise(F.get(runs, i - 1)["w"]) - 1
+        filled = F.transform(runs, lambda r, i: F.concat(F.array_repeat(F.lit(0.0), gap(r, i)), F.array(r["n"] / norm)))
+        last = F.get(runs, F.size(runs) - 1)["w"]
+        return F.concat(F.flatten(filled), F.array_repeat(F.lit(0.0), size - 1 - last))
+
+    slots = docs.select(key, text.runs(F.sort_array(F.transform(text.tokens(F.col(body)), slot))).alias("r"))
+    norm = F.sqrt(F.aggregate("r", F.lit(0.0), lambda s, r: s + r["n"] * r["n"]))
+    return slots.where(F.size("r") > 0).select(key, names.bound(F.struct(F.col("r").alias("runs"), norm.alias("norm")), dense).alias("vector"))
 
 
 def folder_profiles(files: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import counted, tokens
+from ..functions.text import counted, runs, tokens
 from ..functions.vectors import cosine
 
 K1, B, LEAST_IDF, TEXT_SHARE = 1.2, 0.75, 1e-6, 0.4
@@ -65,12 +65,21 @@ def lead_summary(docs: DataFrame, key: str, text: str, chars: int) -> DataFrame:
 
 
 def best_sentences(docs: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
-    """The ``n`` sentences with the largest sum of term counts over sqrt(length + 1), in document order."""
-    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
-    rows = docs.select(key, F.posexplode(sentences).alias("at", "sentence"))
-    terms = rows.select(key, "at", F.explode(tokens(F.col("sentence"), 3)).alias("term"))
-    counts = terms.groupBy(key, "term").agg(F.count("*").alias("n"))
-    sums = terms.join(counts, [key, "term"]).groupBy(key, "at").agg(F.sum("n").alias("weight"), F.count("*").alias("terms"))
-    score = (F.col("weight") / F.sqrt(F.col("terms") + 1.0)).alias("score")
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "at")
-    return sums.select(key, "at", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).join(rows, [key, "at"]).select(key, "at", "sentence", "score")
+    """The ``n`` sentences with the largest sum of term counts over sqrt(length + 1), in document order.
+
+    All in the row: terms with their sentences are sorted once to count them, and once more by sentence to sum the counts.
+    """
+    split = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
+    rows = docs.select(key, split.alias("_s"))
+    terms = F.flatten(F.transform("_s", lambda s, i: F.transform(tokens(s, 3), lambda t: F.struct(t.alias("t"), i.alias("at")))))
+    rows = rows.select(key, "_s", F.sort_array(terms).alias("_x"))
+
+    # each term's place with its count, by sentence
+    counts = F.flatten(F.transform(runs(F.transform("_x", lambda e: e["t"])), lambda r: F.array_repeat(r["n"], r["n"])))
+    placed = F.sort_array(F.zip_with("_x", counts, lambda e, c: F.struct(e["at"].alias("at"), c.alias("n"))))
+    rows = rows.select(key, "_s", placed.alias("_p"))
+    stretches = runs(F.transform("_p", lambda p: p["at"]))
+    weight = lambda r: F.aggregate(F.slice("_p", r["at"] + 1, r["n"]), F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    scored = F.transform(stretches, lambda r: F.struct((-(weight(r) / F.sqrt(r["n"] + 1.0))).alias("score"), r["w"].alias("at")))
+    best = rows.select(key, "_s", F.explode(F.slice(F.sort_array(scored), 1, n)).alias("b"))
+    return best.select(key, F.col("b.at").alias("at"), F.get("_s", F.col("b.at")).alias("sentence"), (-F.col("b.score")).alias("score"))
