@@ -104,3 +104,44 @@ def swap(df: DataFrame, path: str) -> str:
     version = f"{path.rstrip('/')}/version={uuid.uuid4().hex}"
     df.write.parquet(version)
     return version
+
+
+SCORE_CHANGE = 1e-6
+
+
+def _synced(table: DataFrame, wanted: DataFrame, every: DataFrame, key: list[str], stamp: str, now: Column) -> DataFrame:
+    """``table`` with the rows ``wanted``, stamped ``now`` where anything but the score's last digits differs, and ``_change`` (new, same, other).
+
+    Rows whose key is in ``every`` but not in ``wanted`` leave; rows whose key is in neither stay (null).
+    """
+    columns = [c for c in table.columns if c not in (*key, stamp)]
+    old = table.select(*[F.col(k).alias(f"_{k}") for k in key], F.struct(*columns, stamp).alias("_old"))
+    both = wanted.join(old, [F.col(k) == F.col(f"_{k}") for k in key], "left")
+    alike = F.lit(True)
+    for c in columns:
+        close = F.abs(F.col(c) - F.col(f"_old.{c}")) <= SCORE_CHANGE if c == "score" else F.col(c).eqNullSafe(F.col(f"_old.{c}"))
+        alike = alike & F.coalesce(close, F.col(c).isNull() & F.col(f"_old.{c}").isNull())
+    same = F.col("_old").isNotNull() & alike
+    made = both.select(*key, *[F.when(same, F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in columns], F.when(same, F.col(f"_old.{stamp}")).otherwise(now).alias(stamp), F.when(same, "same").when(F.col("_old").isNull(), "new").otherwise("other").alias("_change"))
+    rest = table.join(every.select(*key), key, "left_anti").withColumn("_change", F.lit(None).cast("string"))
+    return rest.unionByName(made)
+
+
+def two_table_sync(minimal: DataFrame, queue: DataFrame, made: DataFrame, key: list[str], least: float, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(minimal, queue, summary) after parsed rows ``made`` (key, score and the columns of both tables) were put where they belong.
+
+    Rows of ``least`` score or more belong to ``minimal`` (..., parsed_utc), others, null scores too, to ``queue`` (..., queued_utc), and leave the other
+    table. A row that says what is stored, its score within a millionth, keeps its time. Of rows with one key the best score counts.
+    """
+    one = made.groupBy(*key).agg(F.max_by(F.struct(*[c for c in made.columns if c not in key]), F.coalesce("score", F.lit(-1.0))).alias("_row")).select(*key, "_row.*")
+    good = F.coalesce(F.col("score") >= least, F.lit(False))
+    sides = []
+    for table, test, stamp in ((minimal, good, "parsed_utc"), (queue, ~good, "queued_utc")):
+        sides.append(_synced(table, one.where(test).select(*[c for c in table.columns if c != stamp]), one, key, stamp, now))
+    count = lambda df, test, name: df.agg(F.count_if(test).alias(name))
+    changed, same = F.col("_change").isin("new", "other"), F.col("_change") == "same"
+    counts = sides[0].agg(F.count_if(changed).alias("stored"), F.count_if(same).alias("_a")).crossJoin(sides[1].agg(F.count_if(changed).alias("queued"), F.count_if(same).alias("_b")))  # one row each
+    left = [table.join(one.where(test).select(*key), key, "left_semi") for table, test in ((minimal, ~good), (queue, good))]
+    counts = counts.crossJoin(count(left[0], F.lit(True), "removed_minimal")).crossJoin(count(left[1], F.lit(True), "removed_queue")).crossJoin(count(one, F.lit(True), "processed"))
+    summary = counts.select("processed", "stored", "queued", (F.col("_a") + F.col("_b")).alias("unchanged"), "removed_minimal", "removed_queue")
+    return sides[0].drop("_change"), sides[1].drop("_change"), summary

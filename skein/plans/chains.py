@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, structure
+from ..operators import quality, structure, upserts
 from ..sources.readers import table
 from ..sources.shared import written
-from .catalog import long, query
+from .catalog import QUERIES, SQL, long, query
 from .derived import WORDS, _words
 
 # A library of documents: a folder for each source and language, files by the lengths of texts.
@@ -85,3 +85,39 @@ def quality_chain(spark, d):
     made = quality.rows(_probed(spark, d), F.lit("2024-01-01").cast("timestamp_ntz"), expect_subs=True)
     said = lambda name: F.get_json_object("reasons_json", f"$.{name}")
     return made.select("path", "score", said("resolution").alias("resolution"), said("runtime_mismatch").cast("long").alias("mismatch"), said("multi_sub_langs").cast("long").alias("sub_langs"), F.col("audio_channels_max").alias("channels"))
+
+
+# Music: what is stored agrees with a third of the names, is out of date for another, and some names are queued already.
+SYNCED = f"""m AS (SELECT n.doc_id, artist, title, album, score FROM ({SQL['music_names']}) n JOIN ({SQL['music_scores']}) s USING (doc_id)),
+    old AS (SELECT doc_id, artist, CASE WHEN doc_id % 3 = 1 THEN 'old' ELSE title END AS title, album, score + CASE WHEN doc_id % 2 = 0 THEN 1e-7 ELSE 0 END AS score, TIMESTAMP '2024-01-01' AS at FROM m WHERE doc_id % 3 <> 2),
+    q AS (SELECT doc_id, score - 0.1 AS score, TIMESTAMP '2024-01-02' AS at FROM m WHERE doc_id % 5 = 0 UNION ALL SELECT -1, 0.1, TIMESTAMP '2024-01-02')"""
+
+
+def _synced(spark, d):
+    names_, scores_ = QUERIES["music_names"](spark, d), QUERIES["music_scores"](spark, d)
+    made = written(names_.select("doc_id", "artist", "title", "album").join(scores_, "doc_id"), "music")
+    key, day = F.col("doc_id"), lambda n: F.lit(f"2024-01-0{n}").cast("timestamp_ntz")
+    title = F.when(key % 3 == 1, "old").otherwise(F.col("title"))
+    minimal = made.where(key % 3 != 2).select("doc_id", "artist", title.alias("title"), "album", (F.col("score") + F.when(key % 2 == 0, 1e-7).otherwise(0.0)).alias("score"), day(1).alias("parsed_utc"))
+    queue = made.where(key % 5 == 0).select("doc_id", (F.col("score") - 0.1).alias("score"), day(2).alias("queued_utc"))
+    queue = queue.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(0.1).alias("score"), day(2).alias("queued_utc")))
+    return upserts.two_table_sync(minimal, queue, made, ["doc_id"], 0.85, day(3))
+
+
+@query(
+    f"""WITH {SYNCED} SELECT 'minimal' AS side, m.doc_id, m.title, CASE WHEN old.title = m.title THEN old.at ELSE TIMESTAMP '2024-01-03' END AS at FROM m LEFT JOIN old USING (doc_id) WHERE m.score >= 0.85
+    UNION ALL SELECT 'queue', m.doc_id, NULL, TIMESTAMP '2024-01-03' FROM m WHERE score < 0.85 UNION ALL SELECT 'queue', -1, NULL, TIMESTAMP '2024-01-02'"""
+)
+def music_sync(spark, d):
+    """Both tables after a run over all names, with the times that rows keep or get."""
+    minimal, queue, _ = _synced(spark, d)
+    at = lambda c: F.col(c).alias("at")
+    return minimal.select(F.lit("minimal").alias("side"), "doc_id", "title", at("parsed_utc")).unionByName(queue.select(F.lit("queue").alias("side"), "doc_id", F.lit(None).cast("string").alias("title"), at("queued_utc")))
+
+
+@query(
+    f"""WITH {SYNCED} SELECT count(*) AS processed, count(*) FILTER (m.score >= 0.85 AND old.title IS DISTINCT FROM m.title) AS stored, count(*) FILTER (m.score < 0.85) AS queued, count(*) FILTER (m.score >= 0.85 AND old.title = m.title) AS unchanged,
+        count(*) FILTER (m.score < 0.85 AND old.doc_id IS NOT NULL) AS removed_minimal, count(*) FILTER (m.score >= 0.85 AND q.doc_id IS NOT NULL) AS removed_queue FROM m LEFT JOIN old ON old.doc_id = m.doc_id LEFT JOIN q ON q.doc_id = m.doc_id"""
+)
+def music_sync_summary(spark, d):
+    return _synced(spark, d)[2]

@@ -84,3 +84,14 @@ def test_payloads(spark, raw, want):
     log = spark.createDataFrame([(5, raw), (3, "{}")], "seq long, payload_json string")
     out = upserts.events_after(log, 4).collect()
     assert [r.seq for r in out] == [5] and json.loads(out[0].payload) == want
+
+
+def test_rows_move_between_two_tables(spark):
+    day = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    minimal = spark.createDataFrame([("same", "A", 0.9, day[0]), ("changed", "A", 0.9, day[0]), ("sinks", "A", 0.9, day[0]), ("elsewhere", "A", 0.9, day[0])], "path string, artist string, score double, parsed_utc timestamp_ntz")
+    queue = spark.createDataFrame([("rises", 0.1, "[]", day[1]), ("stays", 0.2, "[]", day[1]), ("worse", 0.3, "[]", day[1])], "path string, score double, reasons_json string, queued_utc timestamp_ntz")
+    made = [("same", "A", 0.9 + 5e-7, "[]"), ("changed", None, 0.9, "[]"), ("sinks", "A", 0.2, "[]"), ("rises", "B", 0.7, "[]"), ("stays", "C", 0.2, "[]"), ("worse", "D", 0.3, '["x"]'), ("fresh", "E", 0.9, "[]"), ("none", "F", None, "[]"), ("fresh", "E", 0.1, "[]")]
+    a, b, s = upserts.two_table_sync(minimal, queue, spark.createDataFrame(made, "path string, artist string, score double, reasons_json string"), ["path"], 0.5, F.lit(day[2]).cast("timestamp_ntz"))
+    assert {r.path: (r.artist, r.score, r.parsed_utc.day) for r in a.collect()} == {"same": ("A", 0.9, 1), "changed": (None, 0.9, 3), "rises": ("B", 0.7, 3), "fresh": ("E", 0.9, 3), "elsewhere": ("A", 0.9, 1)}
+    assert {r.path: (r.score, r.queued_utc.day) for r in b.collect()} == {"sinks": (0.2, 3), "stays": (0.2, 2), "worse": (0.3, 3), "none": (None, 3)}
+    assert s.first().asDict() == {"processed": 8, "stored": 3, "queued": 3, "unchanged": 2, "removed_minimal": 1, "removed_queue": 1}
