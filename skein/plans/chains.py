@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import quality, structure, upserts
+from ..operators import previews, quality, structure, upserts
 from ..sources.readers import table
 from ..sources.shared import written
 from .catalog import QUERIES, SQL, long, query
@@ -121,3 +121,19 @@ def music_sync(spark, d):
 )
 def music_sync_summary(spark, d):
     return _synced(spark, d)[2]
+
+
+@query(
+    """WITH t AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:12], chr(10)) AS text FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND NOT contains(text, chr(13)) AND lang <> 'de'),
+    k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ0-9_'']+')) AS w FROM t), c AS (SELECT doc_id, w, count(*) AS n FROM k WHERE length(w) >= 3 GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS place FROM c)
+    SELECT t.doc_id AS path, CAST(coalesce(strlen(replace(t.text, chr(10), '')), 0) AS INTEGER) AS bytes, len(string_split(t.text, chr(10)))::INTEGER AS lines, coalesce(string_agg(w, ',' ORDER BY place), '') AS keywords
+    FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND place <= 6 WHERE trim(t.text, ' ' || chr(10) || chr(9)) <> '' GROUP BY t.doc_id, t.text"""
+)
+def text_lite(spark, d):
+    """Previews of documents as files of several kinds; those of one language are called something that is no text."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null and lang is not null and not contains(text, '\\r')")
+    files = docs.select(F.col("doc_id").alias("path"), F.when(F.col("lang") == "de", "bin").when(F.col("lang") == "en", ".MD").otherwise("txt").alias("ext"), F.lit(None).cast("string").alias("mime"), F.col("n_chars").alias("size_bytes"), F.encode("text", "UTF-8").alias("content"))
+    how = previews.Sampling(max_bytes=1 << 20, head_lines=12, mid_lines=0, tail_lines=0, keywords=6)
+    made = previews.rows(files, F.lit("2024-01-01").cast("timestamp_ntz"), how)
+    return made.select("path", F.col("bytes_sampled").alias("bytes"), F.col("lines_sampled").alias("lines"), F.array_join("keywords", ",").alias("keywords"))
