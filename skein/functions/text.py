@@ -102,3 +102,29 @@ def air_year(date: Column) -> Column:
 
 def lag_ms(now: Column, ts: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.unix_millis(now) - F.unix_millis(ts))
+
+
+def reasons_text(value: Column) -> Column:
+    """Reasons as one text: ``key=value`` of each true entry of an object, the items of an array, joined by ``; ``; other texts as they are, blank ones null."""
+    trimmed = F.trim(value)
+    entries = F.sort_array(F.map_entries(F.map_filter(json_dict(value), lambda _, v: v.isNotNull() & ~v.isin("", "false", "0", "0.0", "[]", "{}"))))
+    pairs = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+    listed = F.array_join(json_list(value), "; ")
+    readable = F.try_parse_json(value).isNotNull()
+    return F.nullif(F.when(readable & trimmed.startswith("{"), pairs).when(readable & trimmed.startswith("["), listed).otherwise(trimmed), F.lit(""))
+
+
+def count_list(value: Column) -> Column:
+    """Items of a JSON array, 0 for anything else."""
+    return F.coalesce(F.json_array_length(F.when(F.try_parse_json(value).isNotNull(), value)), F.lit(0))
+
+
+def signal(features: Column, key: str) -> Column:
+    """A feature of a JSON object as a number, 0.0 where it is missing or none."""
+    return F.coalesce(F.get_json_object(F.when(F.try_parse_json(features).isNotNull(), features), f"$.{key}").try_cast("double"), F.lit(0.0))
+
+
+def numeric_features(value: Column) -> Column:
+    """A JSON object's entries that are numbers, as a map; null for anything but an object."""
+    numbers = F.transform_values(json_dict(value), lambda _, v: v.try_cast("double"))
+    return F.when(F.trim(value).startswith("{") & F.try_parse_json(value).isNotNull(), F.map_filter(numbers, lambda _, v: v.isNotNull()))

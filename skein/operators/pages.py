@@ -101,3 +101,55 @@ def read_only_sql(spark, sql: str, args: list | None = None, limit: int = MOST_L
     if not sql.lstrip().lower().startswith("select") or ";" in sql.rstrip().rstrip(";"):
         raise ValueError("only one SELECT statement is allowed")
     return spark.sql(sql.rstrip().rstrip(";"), args=args).limit(max(1, min(MOST_LIMIT, limit)))
+
+
+def music(rows: DataFrame, q: str | None = None, drive: str | None = None, ext: str | None = None, least: float | None = None) -> DataFrame:
+    """Parsed names of a drive whose path, file name, artist, title or album holds a text, of one extension, with at least a score (taken into 0 to 1)."""
+    found = contains_any(q, F.col("path"), basename(F.col("path")), *[F.coalesce(c, F.lit("")) for c in ("artist", "title", "album")])
+    test = None if least is None else F.col("score") >= max(0.0, min(1.0, least))
+    return all_of(rows, [F.col("drive") == drive if drive else None, found, same("ext", ext), test])
+
+
+def series(rows: DataFrame, q: str | None = None, least: float | None = None, drive: str | None = None, only_low: bool = False, sort: str = "title", descending: bool = False) -> DataFrame:
+    """Series whose title or folder holds a text, with at least a confidence or only those below ``LOW_CONFIDENCE``, sorted by title, confidence or seasons.
+
+    A row without confidence counts as 0; ties go by folder.
+    """
+    sure = F.coalesce("confidence", F.lit(0.0))
+    kept = all_of(rows, [contains_any(q, F.col("title"), F.col("folder")), None if least is None else sure >= least, F.col("drive") == drive if drive else None, sure < LOW_CONFIDENCE if only_low else None])
+    by = {"title": F.lower("title"), "confidence": sure, "seasons": F.col("seasons")}[sort]
+    return kept.orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), "folder")
+
+
+def ranked(rows: DataFrame, order: list, limit: int | None = None, offset: int | None = None) -> DataFrame:
+    """A page with each row's ``rank`` among all (from 1) and the ``total`` of all."""
+    from pyspark.sql import Window
+
+    p = pagination(limit, offset)
+    total = rows.agg(F.count("*").alias("total"))
+    # a page and what is ahead of it: at most offset + limit rows are ranked
+    first = rows.orderBy(*order).limit(p.offset + p.limit)
+    numbered = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return numbered.where(F.col("rank") > p.offset).crossJoin(F.broadcast(total))  # one row
+
+
+def retained(rows: DataFrame, n: int, key: str, *newest: Column) -> tuple[DataFrame, DataFrame]:
+    """(the ``n`` newest rows, the keys of all others): what a table keeps and what goes when it is cut to a number of rows."""
+    kept = rows.orderBy(*newest).limit(n)
+    return kept, rows.select(key).join(kept.select(key), key, "left_anti")
+
+
+def summary(tables: dict[str, DataFrame], n: int) -> tuple[DataFrame, DataFrame]:
+    """(kind, total) of each table, and the ``n`` least confident rows (kind, path, confidence) of each; rows without confidence come last."""
+    totals = lows = None
+    for kind, df in tables.items():
+        total = df.agg(F.lit(kind).alias("kind"), F.count("*").alias("total"))
+        low = df.select(F.lit(kind).alias("kind"), "path", "confidence").orderBy(F.col("confidence").asc_nulls_last(), "path").limit(n)
+        totals, lows = (total, low) if totals is None else (totals.unionByName(total), lows.unionByName(low))
+    return totals, lows
+
+
+def export_preview(rows: DataFrame, cap: int = 2000, first: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What an export of at most ``cap`` rows would write, without writing: (one row: rows), and its first rows."""
+    cut = rows.limit(cap)
+    return cut.agg(F.count("*").alias("rows")), cut.limit(first)

@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 
-from skein.plans import catalog, chains, derived, enrich, live, more, stored, wide  # noqa: F401
+from skein.plans import catalog, chains, derived, enrich, live, more, stored, views, wide  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
