@@ -134,6 +134,18 @@ def preview(content: Column, how: Sampling | None = None) -> Column:
     return read(content)
 
 
+def summary(text: Column, how: Sampling | None = None) -> Column:
+    """Struct of summary and keywords of a text column; both empty for null and blank texts."""
+    how = how or Sampling()
+
+    @F.arrow_udf("struct<summary:string,keywords:array<string>>")
+    def read(column: pa.Array) -> pa.Array:
+        made = (summarised(t, how) if t and t.strip() else ("", []) for t in column.to_pylist())
+        return pa.array([{"summary": s, "keywords": k} for s, k in made], pa.struct([("summary", pa.string()), ("keywords", pa.list_(pa.string()))]))
+
+    return read(text)
+
+
 def schema_json(kind: Column, text: Column) -> Column:
     """JSON of the header fields, keys or first-level keys of a text by its kind; null without any."""
     tables = F.when(kind == "csv", readers.csv_header(text)).when(kind == "tsv", readers.csv_header(text, "\t"))
