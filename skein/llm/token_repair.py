@@ -31,7 +31,7 @@ MAGIC = b"RPG2"
 BROADCAST_ROWS = 100_000
 # Least occurrences of a pair that becomes a rule: its two symbols and length take the room of four symbols.
 MIN_COUNT, LEAST_ROOM = 8, 8192
-CACHED_WORDS, PIECE_BYTES = 1_200_000, 8 << 20
+CACHED_WORDS, PIECE_BYTES = 1_200_000, 4 << 20
 # Two neighbouring white space characters, or one at the start, whichever the tokenizer's pattern may count as such.
 BLANK = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ADJACENT = BLANK + r"{2}|\A" + BLANK
