@@ -31,7 +31,7 @@ MAGIC = b"RPG2"
 BROADCAST_ROWS = 100_000
 # Least occurrences of a pair that becomes a rule: its two symbols and length take the room of four symbols.
 MIN_COUNT, LEAST_ROOM = 8, 8192
-CACHED_WORDS, PIECE_BYTES = 1_200_000, 4 << 20
+CACHED_WORDS, PIECE_BYTES = 1_200_000, 8 << 20
 # Two neighbouring white space characters, or one at the start, whichever the tokenizer's pattern may count as such.
 BLANK = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ADJACENT = BLANK + r"{2}|\A" + BLANK
@@ -127,13 +127,14 @@ class WordEncoder:
     def _know(self, words: pa.Array, entries: np.ndarray) -> None:
         self.words, self.entry = pa.concat_arrays([self.words, words]), np.r_[self.entry, entries]
 
-    def learn(self, words: pa.Array) -> None:
-        """Entries for distinct words that are not known."""
-        core = pc.ascii_rtrim(words, characters=TAIL)
+    def learn(self, words: pa.Array, core: pa.Array, of_core: np.ndarray) -> np.ndarray:
+        """Entries for distinct words that are not known; ``core``: without the marks behind them, ``of_core``: their entries, -1 for unknown ones."""
         lettered = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False)
         marked = lettered & (pc.binary_length(words).to_numpy() > pc.binary_length(core).to_numpy())
         coded = core.filter(pa.array(lettered)).dictionary_encode()
-        entry = self._find(coded.dictionary)
+        at, out = coded.indices.to_numpy(), np.full(len(words), -1)
+        entry = np.full(len(coded.dictionary), -1)
+        entry[at] = of_core[lettered]
         unknown = entry < 0
         new = coded.dictionary.filter(pa.array(unknown))
         entry[unknown] = self._lettered(new.to_pylist())
@@ -142,10 +143,14 @@ class WordEncoder:
         tails = [w[len(c) :] for w, c in zip(whole.to_pylist(), core.filter(pa.array(marked)).to_pylist())]
         marks = list(set(tails).difference(self.tails))
         self.tails.update(zip(marks, self._encoded(marks).tolist()))
-        pair = np.stack([entry[coded.indices.to_numpy()][marked[lettered]], np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))], 1)
-        self._know(whole, self._add(_gather(self.flat, self.first[pair.ravel()], self.length[pair.ravel()]), self.length[pair].sum(1)))
+        out[lettered] = entry[at]
+        pair = np.stack([out[marked], np.fromiter(map(self.tails.__getitem__, tails), np.int64, len(tails))], 1)
+        out[marked] = self._add(_gather(self.flat, self.first[pair.ravel()], self.length[pair.ravel()]), self.length[pair].sum(1))
+        self._know(whole, out[marked])
         odd = words.filter(pa.array(~lettered))
-        self._know(odd, self._encoded([w if w[:1] == "\n" else " " + w for w in odd.to_pylist()]))
+        out[~lettered] = self._encoded([w if w[:1] == "\n" else " " + w for w in odd.to_pylist()])
+        self._know(odd, out[~lettered])
+        return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a null one is empty."""
@@ -159,10 +164,14 @@ class WordEncoder:
             fed = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if x is not None else pc.replace_substring(texts.take(pa.array(rest)), "\n", " \n") for x in ("", None, "\n")))
             split = pc.split_pattern(fed, " ")
             coded = split.flatten().dictionary_encode()
-            entry = self._find(coded.dictionary)
-            if (entry < 0).any():
-                self.learn(coded.dictionary.filter(pa.array(entry < 0)))
-                entry = self._find(coded.dictionary)
+            # known words are looked up once for words and their cores: each look-up hashes all that is known
+            words = coded.dictionary
+            core = pc.ascii_rtrim(words, characters=TAIL)
+            entry, of_core = np.split(self._find(pa.concat_arrays([words, core])), 2)
+            unknown = entry < 0
+            if unknown.any():
+                new = pa.array(unknown)
+                entry[unknown] = self.learn(words.filter(new), core.filter(new), of_core[unknown])
             self.used[entry] += 1
             at = entry[coded.indices.to_numpy()]
             edges = split.offsets.to_numpy() - split.offsets[0].as_py()
