@@ -90,3 +90,50 @@ def written_back(profiles: DataFrame, queue: DataFrame, found: DataFrame) -> tup
     raised = lambda t: t.join(gain, "key", "left").withColumn("confidence", F.when(F.col("_gain") > 0, F.least(F.lit(1.0), F.col("confidence") + F.col("_gain"))).otherwise(F.col("confidence"))).drop("_gain")
     flagged = found.where("action = 'flag'").select("key")
     return raised(profiles), reasons_for(raised(queue), flagged, "key", REASON)
+
+
+CANDIDATE = "array<struct<tmdb_episode_id:string,tmdb_id:string,id:string,imdb_episode_id:string,imdb_id:string,title:string,name:string,season:string,season_number:string,score:string,confidence:string>>"
+DEFAULT_SCORE, MOST_PROPOSALS = 0.2, 3
+
+
+def listed_candidates(rows: DataFrame, key: str, ids: str) -> DataFrame:
+    """(key, source, tmdb_id, imdb_id, title, season, score) of every entry of the arrays in a JSON object whose names hold ``candidate``.
+
+    Entries that are no objects, and values that are no arrays, have no row; a score that is missing or 0 is 0.2.
+    """
+    from ..functions.text import json_dict
+
+    arrays = rows.select(F.col(key), F.explode(json_dict(F.col(ids))).alias("source", "_v")).where(F.contains("source", F.lit("candidate")) & F.startswith(F.ltrim("_v"), F.lit("[")))
+    entries = arrays.select(key, "source", F.explode(F.from_json("_v", CANDIDATE)).alias("c")).where("c is not null")
+    c = lambda name: F.nullif(F.col(f"c.{name}"), F.lit(""))
+    first = lambda *names: F.coalesce(*[c(n) for n in names])
+    some = lambda name: F.when(F.col(f"c.{name}").try_cast("double") != 0, F.col(f"c.{name}").try_cast("double"))
+    return entries.select(
+        key, "source", first("tmdb_episode_id", "tmdb_id", "id").alias("tmdb_id"), first("imdb_episode_id", "imdb_id").alias("imdb_id"), first("title", "name").alias("title"),
+        first("season", "season_number").try_cast("int").alias("season"), F.coalesce(some("score"), some("confidence"), F.lit(DEFAULT_SCORE)).alias("score"),
+    )
+
+
+def proposals(items: DataFrame, candidates: DataFrame, evidence: DataFrame, snippets: DataFrame, n: int = MOST_PROPOSALS) -> DataFrame:
+    """(key, place, tmdb_id, imdb_id, title, score, signals) of the ``n`` best candidates of each item (key, confidence).
+
+    ``candidates`` (key, tmdb_id, imdb_id, title, score) are rated with the evidence (key, oshash_hit, subtitle_langs, plot_score) and a text found for the item
+    (``snippets``: key, snippet); signals name what speaks for a candidate. Scores are rounded to nine places; ties go by id and title. An item without candidates has no row.
+    """
+    from ..functions import media
+    from .joins import top_per_key
+
+    rows = candidates.join(items.select("key", "confidence"), "key").join(evidence, "key", "left").join(snippets.groupBy("key").agg(F.min("snippet").alias("snippet")), "key", "left")
+    rated = media.proposal_score(F.col("confidence"), F.col("tmdb_id"), F.col("imdb_id"), F.col("snippet"), F.col("plot_score")) + F.col("score")
+    signals = F.array_compact(
+        F.array(
+            F.when(F.col("tmdb_id").isNotNull(), F.concat(F.lit("tmdb:"), F.col("tmdb_id"))),
+            F.when(F.col("imdb_id").isNotNull(), F.concat(F.lit("imdb:"), F.col("imdb_id"))),
+            F.when(F.coalesce("oshash_hit", F.lit(False)), F.lit("oshash")),
+            F.when(F.size(F.coalesce("subtitle_langs", F.array().cast("array<string>"))) > 0, F.concat(F.lit("subtitles:"), F.array_join("subtitle_langs", ","))),
+            F.when(F.col("plot_score") > 0, F.format_string("plot:%.2f", F.col("plot_score").cast("double"))),
+            F.when(F.coalesce("snippet", F.lit("")) != "", F.lit("text")),
+        )
+    )
+    rows = rows.select("key", "tmdb_id", "imdb_id", "title", F.least(F.lit(1.0), F.round(rated, 9)).alias("score"), signals.alias("signals"))
+    return top_per_key(rows, "key", n, F.desc("score"), F.asc_nulls_last("tmdb_id"), F.asc_nulls_last("imdb_id"), F.asc_nulls_last("title")).withColumnRenamed("rn", "place")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import previews, quality, structure, upserts
+from ..operators import previews, quality, structure, upserts, verification
 from ..sources.readers import table
 from ..sources.shared import written
 from .catalog import QUERIES, SQL, long, query
@@ -137,3 +137,64 @@ def text_lite(spark, d):
     how = previews.Sampling(max_bytes=1 << 20, head_lines=12, mid_lines=0, tail_lines=0, keywords=6)
     made = previews.rows(files, F.lit("2024-01-01").cast("timestamp_ntz"), how)
     return made.select("path", F.col("bytes_sampled").alias("bytes"), F.col("lines_sampled").alias("lines"), F.array_join("keywords", ",").alias("keywords"))
+
+
+# Subtitles made of a document's lines, against the text of a benchmark item; a summary's sentences are rated as in the operator.
+SPOKEN = "list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>|\\{[^}]*\\}', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9]+'))"
+TOLD = f"""l AS (SELECT doc_id AS key, {SPOKEN} AS x FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    m AS (SELECT key, x, len(x) AS n, greatest(0, len(x) - 300) AS rest FROM l WHERE len(x) > 0),
+    t AS (SELECT key, least(n, 400) AS lines, left(array_to_string(list_concat(x[1:150], list_filter(x[151:150 + rest], lambda y, i: (i - 1) % greatest(1, rest // 100) = 0)[1:100], CASE WHEN n > 150 THEN x[greatest(1, n - 149):] ELSE [] END)[1:400], ' '), 20000) AS s FROM m),
+    p AS (SELECT t.*, b.text AS plot FROM t JOIN benchmark b ON b.item_id = key % (SELECT count(*) FROM benchmark) WHERE trim(b.text) <> ''),
+    sides AS (SELECT key, 's' AS side, s AS text FROM p UNION ALL SELECT key, 'p', plot FROM p),
+    w AS (SELECT key, side, unnest(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ0-9_'']+')) AS w FROM sides), c AS (SELECT key, side, w, count(*) AS n FROM w WHERE length(w) >= 3 GROUP BY ALL),
+    k AS (SELECT key, side, list(w) AS words FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY key, side ORDER BY n DESC, w) <= 12) GROUP BY key, side),
+    sent AS (SELECT key, trim(unnest(string_split(regexp_replace(trim(s), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)))) AS x, generate_subscripts(string_split(regexp_replace(trim(s), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS pos FROM p),
+    uniq AS (SELECT key, x, min(pos) AS pos FROM sent WHERE x <> '' GROUP BY ALL),
+    rated AS (SELECT u.key, u.x, u.pos, coalesce(sum(c.n), 0) / sqrt(length(u.x) + 1) AS score FROM (SELECT *, unnest(CASE WHEN len(regexp_extract_all(lower(x), '[A-Za-zÀ-ÿ0-9_'']+')) = 0 THEN [''] ELSE regexp_extract_all(lower(x), '[A-Za-zÀ-ÿ0-9_'']+') END) AS tok FROM uniq) u LEFT JOIN c ON c.key = u.key AND c.side = 's' AND c.w = u.tok GROUP BY u.key, u.x, u.pos),
+    picked AS (SELECT *, row_number() OVER q AS rn, coalesce(sum(length(x)) OVER (PARTITION BY key ORDER BY score DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM rated WINDOW q AS (PARTITION BY key ORDER BY score DESC, pos)),
+    summary AS (SELECT key, string_agg(x, ' ' ORDER BY pos) AS s FROM picked WHERE rn <= 4 AND before < 720 GROUP BY 1),
+    pair AS (SELECT p.key, lines, summary.s AS a, plot AS b FROM p JOIN summary USING (key)),
+    h AS (SELECT key, side, ('0x' || left(md5(t), 4))::BIGINT % 256 AS slot, count(*) AS n FROM (SELECT key, 'a' AS side, unnest(regexp_extract_all(lower(a), '[a-z0-9]+')) AS t FROM pair UNION ALL SELECT key, 'b', unnest(regexp_extract_all(lower(b), '[a-z0-9]+')) FROM pair) GROUP BY ALL),
+    norm AS (SELECT key, side, sqrt(sum(n * n)) AS z FROM h GROUP BY ALL),
+    dots AS (SELECT x.key, sum(x.n * y.n) AS d FROM h x JOIN h y ON x.key = y.key AND x.slot = y.slot AND x.side = 'a' AND y.side = 'b' GROUP BY 1),
+    sem AS (SELECT u.key, coalesce(d, 0) / (u.z * v.z) AS semantic FROM norm u JOIN norm v ON u.key = v.key AND u.side = 'a' AND v.side = 'b' LEFT JOIN dots ON dots.key = u.key),
+    e AS (SELECT key, lines, a, b, {', '.join(f"list_distinct(list_filter(list_transform(regexp_extract_all({t}, '(?:^|[^\\p{{L}}\\p{{N}}_])(\\p{{Lu}}[\\p{{L}}\\p{{N}}_''-]+(?:\\s+\\p{{Lu}}[\\p{{L}}\\p{{N}}_''-]+)*)', 1), lambda x: lower(x)), lambda x: length(x) > 2 AND NOT list_contains({verification.STOPWORDS}, x))) AS {t}_e" for t in ('a', 'b'))} FROM pair)"""
+
+
+@query(
+    f"""WITH {TOLD}, f AS (SELECT e.key, e.lines, coalesce(semantic, 0) AS semantic, CASE WHEN len(a_e) > 0 AND len(b_e) > 0 THEN len(list_intersect(a_e, b_e)) / len(list_distinct(list_concat(a_e, b_e))) ELSE 0 END AS entities,
+        CASE WHEN i.words IS NOT NULL AND j.words IS NOT NULL THEN len(list_intersect(i.words, j.words)) / len(list_distinct(list_concat(i.words, j.words))) ELSE 0 END AS words
+        FROM e LEFT JOIN sem ON sem.key = e.key LEFT JOIN k i ON i.key = e.key AND i.side = 's' LEFT JOIN k j ON j.key = e.key AND j.side = 'p'),
+    g AS (SELECT *, round(0.55 * semantic + 0.25 * entities + 0.2 * words, 9) AS match FROM f)
+    SELECT key, lines, round(semantic, 6) AS semantic, round(entities, 6) AS entities, round(words, 6) AS words, CASE WHEN match >= 0.8 THEN 'boost' WHEN match >= 0.65 THEN 'nudge' WHEN match < 0.4 THEN 'flag' ELSE 'keep' END AS action FROM g"""
+)
+def subtitle_verification(spark, d):
+    docs = table(spark, d, "documents").where("text is not null and doc_id is not null")
+    lines = F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")
+    cues = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n00:00:01,000 --> 00:00:02,000\n"), x)), "\n\n")
+    video = F.concat(F.lit("v/"), F.col("doc_id").cast("string"))
+    subtitles = docs.select(F.col("doc_id").alias("key"), F.concat(video, F.lit(".mkv")).alias("video"), F.concat(video, F.lit(".en.srt")).alias("name"), cues.alias("content"))
+    items, n = table(spark, d, "benchmark"), table(spark, d, "benchmark").count()
+    plots = docs.select(F.col("doc_id").alias("key"), (F.col("doc_id") % max(1, n)).alias("item_id")).join(F.broadcast(items) if n <= 10_000 else items, "item_id").select("key", F.col("text").alias("plot"))
+    found = verification.compared(docs.select(F.col("doc_id").alias("key")), subtitles, plots)
+    return found.select("key", "lines", *[F.round(c, 6).alias(c) for c in ("semantic", "entities", "words")], "action")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS key, CASE WHEN l_returnflag = 'N' THEN CAST(l_partkey AS VARCHAR) END AS tmdb_id, CASE WHEN l_returnflag <> 'N' THEN 'tt' || l_suppkey END AS imdb_id, CASE WHEN l_linenumber > 1 THEN l_linenumber / 20.0 ELSE 0.2 END AS score FROM lineitem WHERE l_linestatus = 'O'),
+    r AS (SELECT c.key, tmdb_id, imdb_id, least(1.0, 0.1 + CASE WHEN tmdb_id IS NOT NULL THEN 0.25 ELSE 0.15 END + CASE WHEN o_orderstatus = 'O' THEN 0.1 ELSE 0 END + CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE least(0.2, (o_custkey % 3) / 10) END + c.score) AS score, o_orderstatus, o_custkey FROM c JOIN orders ON o_orderkey = c.key)
+    SELECT key, place, coalesce(tmdb_id, imdb_id) AS id, round(score, 6) AS score, CASE WHEN tmdb_id IS NOT NULL THEN 'tmdb:' || tmdb_id ELSE 'imdb:' || imdb_id END || CASE WHEN o_custkey % 3 > 0 THEN '|plot:' || (o_custkey % 3) || '.00' ELSE '' END || CASE WHEN o_orderstatus = 'O' THEN '|text' ELSE '' END AS signals
+    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, tmdb_id ASC NULLS LAST, imdb_id ASC NULLS LAST) AS place FROM r) WHERE place <= 3"""
+)
+def episode_proposals(spark, d):
+    """The best three of an order's open lines, which come as an array in a JSON object."""
+    n = F.col("l_returnflag") == "N"
+    entry = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.when(n, F.col("l_partkey")).alias("id"), F.when(~n, F.concat(F.lit("tt"), F.col("l_suppkey").cast("string"))).alias("imdb_id"), F.when(F.col("l_linenumber") > 1, F.col("l_linenumber") / 20.0).alias("score")).alias("e"))
+    lines = table(spark, d, "lineitem").where("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("key")).agg(F.transform(F.collect_list(entry), lambda x: x["e"]).alias("e"))
+    ids = lines.select("key", F.to_json(F.struct(F.lit("x").alias("title"), F.col("e").alias("tv_candidates"))).alias("ids"))
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderkey", "key")
+    items = orders.select("key", F.lit(0.1).alias("confidence"))
+    evidence = orders.select("key", F.lit(False).alias("oshash_hit"), F.array().cast("array<string>").alias("subtitle_langs"), (F.col("o_custkey") % 3).alias("plot_score"))
+    snippets = orders.where("o_orderstatus = 'O'").select("key", F.lit("found").alias("snippet"))
+    out = verification.proposals(items, verification.listed_candidates(ids, "key", "ids"), evidence, snippets)
+    return out.select("key", long("place").alias("place"), F.coalesce("tmdb_id", "imdb_id").alias("id"), F.round("score", 6).alias("score"), F.array_join("signals", "|").alias("signals"))
