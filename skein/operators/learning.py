@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .metrics import calibration_error, reliability
 
-# Folds, rows from which calibration is isotonic, iterations.
-FOLDS, ISOTONIC_ROWS, ITERATIONS = 5, 1000, 400
+# Folds, rows from which calibration is isotonic, iterations, tolerance.
+FOLDS, ISOTONIC_ROWS, ITERATIONS, TOLERANCE = 5, 1000, 400, 1e-4
 #: The vocabulary is a literal of the plan; more names than this are an error, not cut.
-MOST_NAMES = 20_000
+MOST_NAMES, TASK_ROWS = 20_000, 20_000
 
 
 def vocabulary(rows: DataFrame, features: str) -> list[str]:
@@ -91,6 +91,7 @@ def trained(examples: DataFrame, key: str, features: str, label: str, folds: int
     Classes weigh alike. A row belongs to a fold by a hash of its key. Rows without a label are left out.
     """
     known = examples.where(F.col(label).isin(0, 1)).select(F.col(key), F.col(label).cast("int").alias("y"), F.col(features).alias("_f"))
+    known = written(known, "examples")  # features may be dear, and are read twice
     names = vocabulary(known, "_f")
     stored = vectors(known, "_f", names, [key, "y"])
     n = {r.y: r.n for r in stored.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -98,6 +99,8 @@ def trained(examples: DataFrame, key: str, features: str, label: str, folds: int
         return None, stored
     total = sum(n.values())
     rows = stored.withColumn("w", F.when(F.col("y") == 1, total / (2 * n[1])).otherwise(total / (2 * n[0]))).withColumn("fold", F.pmod(F.xxhash64(key), F.lit(folds)))
+    # an iteration is a job: few rows need few tasks
+    rows = rows.coalesce(max(1, total // TASK_ROWS))
     how, parts = method(total, mode), []
     for k in range(folds):
         rest, own = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
@@ -105,7 +108,7 @@ def trained(examples: DataFrame, key: str, features: str, label: str, folds: int
             rest, own = rows, rows
         elif {r.y for r in rest.select("y").distinct().collect()} != {0, 1} or own.isEmpty():
             continue
-        model = LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", maxIter=ITERATIONS, regParam=1 / total, standardization=False).fit(rest)
+        model = LogisticRegression(featuresCol="vector", labelCol="y", weightCol="w", maxIter=ITERATIONS, tol=TOLERANCE, regParam=1 / total, standardization=False).fit(rest)
         margins = _margin(model, own, "m").select("m", "y")
         calibration = None if how == "none" else _sigmoid(margins) if how == "sigmoid" else IsotonicRegression(featuresCol="m", labelCol="y").fit(margins)
         parts.append((model, calibration))

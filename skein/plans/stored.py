@@ -7,7 +7,7 @@ from ..operators import digests, learning, metrics, scan
 from ..operators.index import TextIndex
 from ..sources import bundle, files
 from ..sources.readers import table
-from ..sources.shared import scratch
+from ..sources.shared import scratch, written
 from .catalog import query
 
 # The stemmer in SQL: a word's form by regular expressions, a step as one CASE over its suffixes, longest first.
@@ -251,7 +251,7 @@ def learned_confidence(spark, d):
     """How well a calibrated classifier of quality does on its examples."""
     model, stored_rows = learning.trained(_examples(spark, d), "doc_id", "features", "quality")
     scored = model.scored(stored_rows) if model else stored_rows.withColumn("p", F.lit(0.5))
-    out = learning.report(scored, model)
+    out = learning.report(written(scored.select("y", "p"), "scored"), model)
     return out.select("n", "calibration", "features", *[F.round(c, 4).alias(c) for c in ("auc", "brier", "ece")])
 
 
