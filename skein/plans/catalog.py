@@ -4,7 +4,7 @@ Inventory columns come from ``documents``: path = source/lang/doc_id.txt, ext =
 size_bytes = n_chars. ``QUERIES`` maps names to functions of (spark, folder); ``SQL`` maps them to SQL.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, scores, text, vectors
@@ -333,7 +333,9 @@ def keyword_topk(spark, d):
 )
 def jaccard(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", F.array_distinct(text.tokens(F.col("text"))).alias("a"))
-    both = rows.withColumn("b", F.lead("a").over(Window.orderBy("item_id"))).where("b is not null")
+    # each item meets the next one by its number; numbers are given by ranges
+    placed = written(windows.numbered(rows, "n", "item_id"), "items")
+    both = placed.join(placed.select((F.col("n") - 1).alias("n"), F.col("a").alias("b")), "n")
     return both.select("item_id", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 

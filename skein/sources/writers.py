@@ -51,3 +51,10 @@ def write_snapshot(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def purge(log: DataFrame, ts: str, now, keep_days: int, folder: str) -> int:
+    """Writes the rows of a log that are at most ``keep_days`` old to a new folder and returns how many were older; rows without a time stay."""
+    old = F.coalesce(F.col(ts) < now - F.make_dt_interval(days=F.lit(keep_days)), F.lit(False))
+    log.where(~old).write.json(folder, ignoreNullFields=False)
+    return log.where(old).count()

@@ -45,3 +45,13 @@ def test_series_and_music_filters(spark):
     assert of(only_low=True) == ["B", "C x"] and of(least=0.5) == ["a", "C x"] and of(q="TV/C") == ["C x"] and of(drive="d1", q="b") == ["B"]
     songs = spark.createDataFrame([("d", "x/one.MP3", "A", None, None, "MP3", 0.5), ("d", "x/two.flac", None, "B one", None, "flac", 2.0)], "drive string, path string, artist string, title string, album string, ext string, score double")
     assert pages.music(songs, q="one").count() == 2 and pages.music(songs, ext="mp3").count() == 1 and pages.music(songs, least=5.0).count() == 1 and pages.music(songs, drive="e").count() == 0
+
+
+def test_old_log_rows_are_purged(spark, tmp_path):
+    import datetime as dt
+
+    from skein.sources import writers
+
+    rows = spark.createDataFrame([(k, dt.datetime(2024, 1, k)) for k in range(1, 11)] + [(99, None)], "id int, ts timestamp_ntz")
+    gone = writers.purge(rows, "ts", F.lit(dt.datetime(2024, 1, 10)).cast("timestamp_ntz"), 3, f"file://{tmp_path}/log")
+    assert gone == 6 and sorted(r.id for r in spark.read.schema("id int").json(f"file://{tmp_path}/log").collect()) == [7, 8, 9, 10, 99]
