@@ -77,10 +77,14 @@ def verified(pairs: DataFrame, semantic: Column, entities: Column, keywords: Col
 
 
 def frame_times(scenes: Column, seconds: Column, budget: int) -> Column:
-    """Midpoints of scenes (start, end), or else evenly spaced times; rounded to hundredths, distinct, at most ``budget``."""
+    """Midpoints of scenes (start, end), or else evenly spaced times; rounded to hundredths, distinct, at most ``budget``.
+
+    Rounding is that of doubles: a time times 100 to the nearest whole number, halves to the even one. By its decimal digits 1.015 would be a
+    half, though the double lies below it.
+    """
     middles = F.transform(scenes, lambda s: (s["start"] + s["end"]) / 2)
     even = F.transform(F.sequence(F.lit(1), F.lit(budget)), lambda k: seconds * k / (budget + 1))
-    return F.slice(F.array_distinct(F.transform(F.when(F.size(scenes) > 0, middles).otherwise(even), lambda t: F.bround(t, 2))), 1, budget)
+    return F.slice(F.array_distinct(F.transform(F.when(F.size(scenes) > 0, middles).otherwise(even), lambda t: F.rint(t * 100) / 100)), 1, budget)
 
 
 def first_number(*columns: Column) -> Column:

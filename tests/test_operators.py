@@ -141,3 +141,10 @@ def test_wide_thresholds_against_all_pairs(spark):
     assert pairs.within_bits(first.limit(0), "key", "h", 16).count() == 0
     again = pairs.still_within(spark.createDataFrame([("k0000", "k0001")], "key_a string, key_b string"), first, "key", "h", 64)
     assert again.first().distance == (words[0] ^ words[1]).bit_count()
+
+
+def test_frame_times_round_as_doubles_do(spark):
+    none = F.expr("array(named_struct('start', 0d, 'end', 0d))")
+    got = spark.createDataFrame([(1, 2.18), (2, 4.06), (3, 2.30), (4, 4.90)], "id int, seconds double")
+    times = got.select("id", enrich.frame_times(F.slice(none, 1, 0), F.col("seconds"), 3).alias("t"))
+    assert {r.id: r.t[0] for r in times.collect()} == {1: 0.55, 2: 1.01, 3: 0.57, 4: 1.23}
