@@ -124,9 +124,14 @@ class TextIndex:
         scored = hits.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats)).groupBy("path").agg(F.sum(weight).alias("score"), F.count("*").alias("held"))  # one row of statistics
         return scored.where(F.col("held") == len(phrases)).select("path", "score")
 
-    def page(self, table: DataFrame, *phrases: str, limit: int = 100, offset: int = 0) -> DataFrame:
-        """Rows of ``table`` by path for the best hits, ties by path, with their score and the exact ``total`` of all hits."""
+    def page(self, table: DataFrame, *phrases: str, limit: int = 100, offset: int = 0, digits: int | None = None) -> DataFrame:
+        """Rows of ``table`` by path for the best hits, ties by path, with their score and the exact ``total`` of all hits.
+
+        With ``digits`` scores are rounded before they are compared, so that those which read alike are ties.
+        """
         hits = self.search(*phrases).join(table.select("path"), "path", "left_semi")
+        if digits is not None:
+            hits = hits.withColumn("score", F.round("score", digits))
         total = hits.agg(F.count("*").alias("total"))
         best = hits.orderBy(F.desc("score"), "path").limit(offset + limit).orderBy(F.desc("score"), "path").offset(offset)
         return table.join(F.broadcast(best), "path").crossJoin(F.broadcast(total)).orderBy(F.desc("score"), "path")  # at most a page; one row

@@ -169,3 +169,16 @@ def test_head_tail_signatures_of_files(spark, tmp_path):
     rows = spark.createDataFrame([(p, len(c)) for p, c in contents.items()] + [(f"{tmp_path}/gone", 9)], "path string, size long")
     got = {r.path: r.signature for r in files.head_tail_signatures(rows, 64).collect()}
     assert got == {p: brute(c, 64) for p, c in contents.items()} | {f"{tmp_path}/gone": None}
+
+
+def test_scores_that_read_alike_are_ties(spark, tmp_path):
+    docs = {f"p{k}": "the " * (9 - k) + "cat " * k for k in range(9)}
+    index = TextIndex(spark, f"file://{tmp_path}/i", 4)
+    table = spark.createDataFrame(list(docs.items()), "path string, text string")
+    index.write(table, 0)
+    rounded = {p: round(s, 6) for p, s in bm25(docs, ("the",)).items()}
+    want = sorted(rounded.items(), key=lambda x: (-x[1], x[0]))
+    got = [(r.path, r.score) for r in index.page(table, "the", limit=9, digits=6).collect()]
+    assert got == want and len(set(rounded.values())) < len(rounded)
+    exact = [r.path for r in index.page(table.where("path <> 'p0'"), "the").collect()]
+    assert exact == [p for p, _ in sorted(bm25(docs, ("the",)).items(), key=lambda x: (-x[1], x[0])) if p != "p0"]
