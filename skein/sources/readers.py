@@ -35,9 +35,10 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def csv_header(text, delimiter: str = ",", fields: int = 40, chars: int = 120):
     """Trimmed, non-empty fields of a CSV text's first record, at most ``fields`` of ``chars`` characters."""
-    first = F.element_at(F.split(text, r"\r?\n"), 1)
+    first = F.element_at(F.split(text, r"\r?\n", 2), 1)
     parsed = F.from_csv(first, ", ".join(f"c{k} string" for k in range(fields)), {"sep": delimiter})
-    cells = F.array(*[F.trim(parsed.getField(f"c{k}")) for k in range(fields)])
+    # the record is parsed once, however many fields it has
+    cells = F.get(F.transform(F.array(parsed), lambda r: F.array(*[F.trim(r[f"c{k}"]) for k in range(fields)])), F.lit(0))
     return F.transform(F.filter(cells, lambda c: c.isNotNull() & (c != "")), lambda c: F.substring(c, 1, chars))
 
 
@@ -61,9 +62,9 @@ def line_sample(text, head: int = 5, middle: int = 3, tail: int = 3, chars: int
 
 def looks_binary(head):
     """A NUL byte, or control bytes beyond a third of the head and 16."""
-    each = F.regexp_extract_all(F.hex(head), F.lit("([0-9A-F]{2})"), 1)
-    odd = F.size(F.filter(each, lambda b: b.rlike("^(0[0-8BCEF]|1[0-9A-F]|7F)$")))
-    return F.array_contains(each, "00") | (odd > F.greatest(F.lit(16.0), F.octet_length(head) / 3))
+    each = F.decode(head, "ISO-8859-1")  # a character for each byte
+    odd = F.length(each) - F.length(F.regexp_replace(each, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]+", ""))
+    return F.contains(each, F.lit("\0")) | (odd > F.greatest(F.lit(16.0), F.octet_length(head) / 3))
 
 
 def floats(blob):

@@ -130,3 +130,12 @@ def test_readers(spark):
     assert value(spark, readers.looks_binary(F.lit(b"abc\0def"))) is True and value(spark, readers.looks_binary(F.lit(b"plain text\n" * 9))) is False
     df = readers.with_optional(spark.range(1), {"ID": "long", "year": "int"})
     assert df.dtypes == [("id", "bigint"), ("year", "int")]
+
+
+def test_a_header_is_parsed_once(spark):
+    header = readers.csv_header(F.col("t"))
+    rows = spark.createDataFrame([("a, b\r\nd,e",)], "t string").select(F.array_join(header, "|").alias("h"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("csv") == 1
+    assert rows.first().h == "a|b"
+    odd = [bytes(range(32)) + b"x" * 20, b"\t\n\r" * 40, b"\x7f" * 17 + b"\xff" * 34, b"\x01" * 17 + "é".encode() * 17]
+    assert [value(spark, readers.looks_binary(F.lit(b))) for b in odd] == [True, False, False, False]
