@@ -3,6 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import bound
 from .text import json_dict, json_list
 
 # Names by which a probe's tracks and codecs go, keys of external ids, score parts of a proposal.
@@ -19,14 +20,16 @@ def digits(value: Column) -> Column:
 def probe_details(probe: Column) -> Column:
     """Struct of codecs, size, streams and seconds from a probe's JSON; nulls for anything unreadable.
 
-    Tracks are a list or a single object under ``media.track``, or a list under ``track``. Durations are milliseconds.
+    Tracks are a list or a single object under ``media.track``, or a list under ``track``. Durations are milliseconds. The JSON is read once.
     """
     kind = "array<map<string,string>>"
     one = F.get_json_object(probe, "$.media.track")
     listed = F.when(F.trim(one).startswith("["), F.from_json(one, kind)).when(one.isNotNull(), F.array(F.from_json(one, "map<string,string>")))
     tracks = F.coalesce(listed, F.from_json(F.get_json_object(probe, "$.track"), kind))
-    tracks = F.filter(tracks, lambda t: t.isNotNull())
+    return bound(F.filter(tracks, lambda t: t.isNotNull()), _track_details)
 
+
+def _track_details(tracks: Column) -> Column:
     def first_key(t: Column, keys: tuple[str, ...]) -> Column:
         return F.coalesce(*[F.nullif(F.get(F.array(t[k]), F.lit(0)), F.lit("")) for k in keys])
 

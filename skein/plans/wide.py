@@ -6,7 +6,7 @@ from ..functions import media, names, paths, scores, text, vectors
 from ..operators import audit, enrich, joins, metrics, pages, queues, reports, search, upserts, windows
 from ..sources import readers, writers
 from ..sources.readers import table
-from ..sources.shared import scratch
+from ..sources.shared import scratch, spread
 from .catalog import INVENTORY, inventory, query
 
 
@@ -31,7 +31,7 @@ def _probe():
 @query("SELECT p_partkey, 'AVC' || p_size % 4 AS codec_video, CAST(p_size * 40 AS BIGINT) AS width, CAST(NULL AS BIGINT) AS height, 'A' || p_size % 3 AS codec_audio, 2 AS audio_streams, 1 AS video_streams, p_size * 1.5::DOUBLE AS duration_seconds FROM part WHERE p_partkey % 7 <> 0 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 7 = 0")
 def probe_details(spark, d):
     probe = F.when(F.col("p_partkey") % 7 != 0, _probe()).otherwise("{broken")
-    return table(spark, d, "part").select("p_partkey", media.probe_details(probe).alias("m")).select("p_partkey", "m.*")
+    return spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", media.probe_details(probe).alias("m")).select("p_partkey", "m.*")
 
 
 @query("SELECT p_partkey, p_size < 25 AS needs_review, CASE WHEN p_size < 25 THEN 2 ELSE 0 END AS reasons, CASE WHEN p_size < 25 THEN 'confidence ' || printf('%.2f', p_size / 50.0) || ' below 0.50' END AS first_reason, CASE WHEN p_size < 25 THEN CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END ELSE 0 END AS suggestions FROM part")

@@ -30,6 +30,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: Column | str) -> DataFrame:
+    """``df`` dealt over as many tasks as shuffle partitions: a small file of many rows would otherwise be one task's."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def in_ranges(df: DataFrame, *order: Column | str, name: str = "_range") -> DataFrame:
     """``df`` written in ranges of its order, as many as shuffle partitions, with each row's range from 0."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -139,3 +139,11 @@ def test_a_header_is_parsed_once(spark):
     assert rows.first().h == "a|b"
     odd = [bytes(range(32)) + b"x" * 20, b"\t\n\r" * 40, b"\x7f" * 17 + b"\xff" * 34, b"\x01" * 17 + "é".encode() * 17]
     assert [value(spark, readers.looks_binary(F.lit(b))) for b in odd] == [True, False, False, False]
+
+
+def test_a_probe_is_read_once(spark):
+    from skein.functions import media
+
+    rows = spark.createDataFrame([('{"media": {"track": {"@type": "Video", "Format": "AVC", "Width": "1 920"}}}',)], "p string").select(media.probe_details(F.col("p")).alias("m")).select("m.*")
+    assert rows._jdf.queryExecution().analyzed().toString().count("get_json_object") <= 5
+    assert rows.first()[:3] == ("AVC", 1920, None)
