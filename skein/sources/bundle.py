@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-# What parts are called, the bytes that begin a CSV, bytes of a block.
+# What parts are called, the bytes that begin a CSV, bytes of a block, entries and their bytes handed on together.
 ENDINGS = {"jsonl": "jsonl", "csv": "csv", "nfozip": "zip"}
 BOM, BLOCK, VERSION = b"\xef\xbb\xbf", 1 << 16, 1
+ENTRIES, ENTRY_BYTES = 1_000, 1 << 20
 MANIFEST, TEMPORARY = "manifest.json", "_temporary"
 CHECK = "path string, bytes long, damage string, offset long"
 
@@ -269,7 +270,16 @@ def read_bundle(spark: SparkSession, folder: str, schema: str) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 system, inner = _system(path)
                 with system.open_input_file(inner) as f, zipfile.ZipFile(f) as archive:
+                    names, texts, held = [], [], 0
                     for name in archive.namelist():
-                        yield pa.RecordBatch.from_pydict({"entry": [name], "content": [archive.read(name).decode()]})
+                        text = archive.read(name)
+                        names.append(name)
+                        texts.append(text.decode())
+                        held += len(text)
+                        if held >= ENTRY_BYTES or len(names) == ENTRIES:
+                            yield pa.RecordBatch.from_pydict({"entry": names, "content": texts})
+                            names, texts, held = [], [], 0
+                    if names:
+                        yield pa.RecordBatch.from_pydict({"entry": names, "content": texts})
 
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInArrow(entries, "entry string, content string")

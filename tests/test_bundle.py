@@ -94,3 +94,11 @@ def test_single_bytes_are_found_by_their_checksum():
     for at in (0, 1234, 2999):
         wrong = block[:at] + bytes([block[at] ^ 5]) + block[at + 1 :]
         assert (at, block[at]) in B.damaged_byte(wrong, zlib.crc32(block))
+
+
+def test_entries_of_many_tasks_with_empty_values(spark, tmp_path):
+    from skein.plans import stored
+
+    spark.createDataFrame([(k, f"C#{k:03}", "" if k % 3 == 0 else " a<b ") for k in range(60)], "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = stored.bundle_entries(spark, str(tmp_path))
+    assert sorted(map(tuple, made.collect())) == [(f"customers/C_{k:03}.nfo", str(k), "" if k % 3 == 0 else " a<b ") for k in range(60)]
