@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, scores
 from ..functions.text import jaccard
 from ..functions.vectors import cosine
+from ..sources.shared import written
 from .enrich import HIGH_MATCH, LOW_MATCH, MIDDLE_MATCH, hashed_words
 from .previews import Sampling, summary
 from .upserts import reasons_for
@@ -68,7 +69,8 @@ def compared(items: DataFrame, subtitles: DataFrame, plots: DataFrame) -> DataFr
     best = texts.groupBy("key").agg(F.min_by(F.struct("name", "_lines"), "place").alias("b")).select("key", "b.name", F.col("b._lines").alias("_lines"))
     told = best.select("key", "name", F.least(F.size("_lines"), F.lit(MOST_LINES)).alias("lines"), summary(sampled(F.col("_lines")), HOW).alias("s"))
     plot = plots.where(F.trim(F.coalesce("plot", F.lit(""))) != "").groupBy("key").agg(F.min("plot").alias("plot")).select("key", "plot", summary(F.col("plot"), HOW)["keywords"].alias("_plot_words"))
-    both = told.select("key", "name", "lines", "s.summary", "s.keywords").join(plot, "key")
+    # written, as it is read three times: the texts are cleaned and summed up once
+    both = written(told.select("key", "name", "lines", "s.summary", "s.keywords").join(plot, "key"), "told")
     mine, theirs = hashed_words(both, "key", "summary").withColumnRenamed("vector", "_a"), hashed_words(both, "key", "plot").withColumnRenamed("vector", "_b")
     rows = both.join(mine, "key", "left").join(theirs, "key", "left")
     share = lambda a, b: F.when((F.size(a) > 0) & (F.size(b) > 0), jaccard(a, b)).otherwise(0.0)

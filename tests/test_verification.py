@@ -52,3 +52,12 @@ def test_chain_to_boosts_and_flags(spark):
     p, q = V.written_back(profiles, queue, found)
     assert {r.key: round(r.confidence, 6) for r in p.collect()} == {"same": 1.0, "far": 0.3, "other": 0.2}
     assert {r.key: (r.confidence and round(r.confidence, 6), r.reasons) for r in q.collect()} == {"same": (0.55, ["low"]), "other": (0.2, ["x"]), "far": (None, [V.REASON])}
+
+
+def test_texts_are_summed_up_once(spark):
+    items = spark.createDataFrame([(1,)], "key int")
+    subtitles = spark.createDataFrame([(1, "v.mkv", "v.en.srt", "1\n00:00:01,000 --> 00:00:02,000\nThe Old Town sleeps.")], "key int, video string, name string, content string")
+    plots = spark.createDataFrame([(1, "The Old Town sleeps.")], "key int, plot string")
+    found = V.compared(items, subtitles, plots)
+    assert "EvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.key, r.action) for r in found.collect()] == [(1, "boost")]
