@@ -22,7 +22,7 @@ MIMES = {
 }
 TEXT_MIMES = ("text/", "application/json", "application/yaml")
 HEAD_BYTES, MOST_SIZE, SENTENCES, CHARS_A_TOKEN, SHORTEST = 2048, 50 << 20, 4, 6, 3
-GAP = "…"
+GAP, AT_A_TIME = "…", 256
 WORD, SENTENCE_END = re.compile(r"[A-Za-zÀ-ÿ0-9_']+"), re.compile(r"(?<=[.!?])\s+")
 PREVIEW = "struct<text:string,bytes:int,lines:int,summary:string,keywords:array<string>>"
 
@@ -123,8 +123,13 @@ def preview(content: Column, how: Sampling | None = None) -> Column:
 
     @F.arrow_udf(PREVIEW)
     def read(column: pa.Array) -> pa.Array:
+        # some texts at a time, so that Python holds no more of a batch than these
+        parts = [some(column.slice(at, AT_A_TIME).to_pylist()) for at in range(0, len(column), AT_A_TIME)]
+        return pa.concat_arrays(parts) if parts else some([])
+
+    def some(texts: list[bytes | None]) -> pa.Array:
         out = []
-        for data in column.to_pylist():
+        for data in texts:
             text, size, lines = sample(data, how) if data is not None else ("", 0, 0)
             summary, keywords = summarised(text, how) if text.strip() else ("", [])
             out.append({"text": text, "bytes": size, "lines": lines, "summary": summary, "keywords": keywords} if text.strip() else None)
@@ -140,7 +145,7 @@ def summary(text: Column, how: Sampling | None = None) -> Column:
 
     @F.arrow_udf("struct<summary:string,keywords:array<string>>")
     def read(column: pa.Array) -> pa.Array:
-        made = (summarised(t, how) if t and t.strip() else ("", []) for t in column.to_pylist())
+        made = (summarised(t, how) if t and t.strip() else ("", []) for t in (x.as_py() for x in column))
         return pa.array([{"summary": s, "keywords": k} for s, k in made], pa.struct([("summary", pa.string()), ("keywords", pa.list_(pa.string()))]))
 
     return read(text)

@@ -76,3 +76,10 @@ def test_due_and_stored(spark):
     assert sorted(r.path for r in P.due(inventory, old).collect()) == ["b", "e"]
     new = spark.createDataFrame([("b", "new", day[2])], old.schema)
     assert sorted((r.path, r.summary) for r in P.stored(old, new).collect()) == [("a", "old"), ("b", "new")]
+
+
+def test_long_batches_are_read_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(P, "AT_A_TIME", 3)
+    rows = spark.range(10).coalesce(1).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("word "), F.col("id").cast("string")).cast("binary")).alias("c"))
+    got = {r.id: r.p and r.p.text.split("\n")[0] for r in rows.select("id", P.preview(F.col("c")).alias("p")).collect()}
+    assert got == {k: f"word {k}" if k % 4 else None for k in range(10)}
