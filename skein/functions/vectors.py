@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the common length, in doubles."""
@@ -30,7 +32,12 @@ def l2_normalize(a: Column) -> Column:
 
 def sign_bits(a: Column, bits: int = 64) -> Column:
     """Bit k is set if element k is positive."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda s, k: F.when(F.get(a, k) > 0, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(s))
+
+    def read(x: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda s, k: F.when(F.get(x, k) > 0, s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(s))
+
+    # a derived vector would otherwise be made anew for every bit
+    return bound(a, read)
 
 
 def hamming(a: Column, b: Column) -> Column:

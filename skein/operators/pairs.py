@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import bound
 from ..functions.vectors import hamming, positional_distance
 
-PART_BITS, SHIFTS, FEW_WORDS = 16, tuple(np.uint64(k) for k in (0, 16, 32, 48)), 30_000
+PART_BITS, SHIFTS, FEW_WORDS = 16, tuple(np.uint64(k) for k in (0, 16, 32, 48)), 100_000
+TILE = 64, 2048  # words on either side that are compared at once, few enough for a core's cache
 VIDEO_SHARE, AUDIO_SHARE, LEAST_SIMILARITY, MOST_DISTANCE = 0.7, 0.3, 0.75, 0.15
 
 
@@ -88,11 +90,13 @@ def near(left: np.ndarray, right: np.ndarray, most: int, few: int = FEW_WORDS) -
     values = np.arange(1 << PART_BITS, dtype=np.int64)
     balls = [values[np.bitwise_count(values) <= r] if r >= 0 else values[:0] for r in radii]
     if min(len(left), len(right)) <= few or sum(map(len, balls)) > len(values):
-        step = max(1, 4_000_000 // max(1, len(right)))
-        for at in range(0, len(left), step):
-            apart = np.bitwise_count(left[at : at + step, None] ^ right[None, :])
-            a, b = np.nonzero(apart <= most)
-            yield at + a, b, apart[a, b]
+        for at in range(0, len(left), TILE[0]):
+            for by in range(0, len(right), TILE[1]):
+                apart = np.bitwise_count(left[at : at + TILE[0], None] ^ right[None, by : by + TILE[1]])
+                hits = np.flatnonzero(apart <= most)
+                if len(hits):
+                    a, b = np.divmod(hits, apart.shape[1])
+                    yield at + a, by + b, apart[a, b]
         return
     part = lambda words, shift: ((words >> shift) & np.uint64(len(values) - 1)).astype(np.int64)
     for k, (shift, ball) in enumerate(zip(SHIFTS, balls)):

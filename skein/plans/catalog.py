@@ -395,14 +395,14 @@ UNION ALL SELECT r.key, v.vec_id, 1.0, 'copy' FROM v JOIN r USING (bits, c) WHER
 
 
 def _vectors(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding").repartition(F.col("vec_id"))
     copy = F.transform("embedding", lambda x, i: F.when(i < F.col("vec_id") % 12, -x).otherwise(x))
     return rows.union(rows.select(F.col("vec_id") + 1000000, copy))
 
 
 def _prints(spark, d):
     codes = F.transform("embedding", lambda x: F.when(x > 0.1, 2).when(x > -0.1, 1).otherwise(0))
-    return _vectors(spark, d).select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"), codes.alias("codes"))
+    return written(_vectors(spark, d).select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"), codes.alias("codes")), "prints")
 
 
 def _bit_pairs(prints, key):

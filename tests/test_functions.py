@@ -147,3 +147,11 @@ def test_a_probe_is_read_once(spark):
     rows = spark.createDataFrame([('{"media": {"track": {"@type": "Video", "Format": "AVC", "Width": "1 920"}}}',)], "p string").select(media.probe_details(F.col("p")).alias("m")).select("m.*")
     assert rows._jdf.queryExecution().analyzed().toString().count("get_json_object") <= 5
     assert rows.first()[:3] == ("AVC", 1920, None)
+
+
+def test_bits_of_a_derived_vector_take_it_once(spark):
+    """The vector stands outside the walk over the bits, which would make it anew for each."""
+    derived = F.transform("x", lambda v: v + F.lit(1234.5))
+    plan = spark.createDataFrame([([1.0],)], "x array<double>").select(vectors.sign_bits(derived)).toDF("b")._jdf.queryExecution().optimizedPlan().toString()
+    walk = plan[plan.index("aggregate(") :].split("array(transform(")[0]
+    assert plan.count("1234.5") == 1 and "1234.5" not in walk
