@@ -137,11 +137,13 @@ def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTA
     Codes of one length n may differ in e = floor(most n) positions; of e // 2 + 1 stretches such a pair differs in one position at most on
     one, so the two agree on it but for a place left out, and every place left out is a key. Codes of different lengths do the same by stretches
     of floor(1 / most) positions counted from the start, which holds for any shorter length; where the shorter is less than a stretch, the
-    beginnings are equal. Pairs with a key in common are compared once. Empty codes and nulls are in no pair. Call
+    beginnings are equal. Of rows with a key in common only those leave the join whose ``_marks`` may be near enough, so that what is shuffled
+    grows with the rows and the pairs found; these are compared once, in full. Empty codes and nulls are in no pair. Call
     it on the representatives of ``classes``, so that copies are compared once.
     """
     n = F.size(codes)
-    rows = prints.where(F.col(key).isNotNull() & (n > 0)).select(F.col(key).alias("key"), F.col(codes).alias("codes"), n.alias("n"))
+    # a small file of many rows would be one task's
+    rows = prints.where(F.col(key).isNotNull() & (n > 0)).repartition(F.col(key)).select(F.col(key).alias("key"), F.col(codes).alias("codes"), n.alias("n"), _marks(prints.schema[codes].dataType.elementType, F.col(codes)).alias("marks"))
     errors = F.floor(F.lit(most) * F.col("n") + 1e-9).cast("int")
     stretches = F.expr("errors div 2").cast("int") + 1
     own = lambda p: F.floor(((p + 1) * F.col("stretches") - 1) / F.col("n")).cast("int")
@@ -149,20 +151,20 @@ def positional(prints: DataFrame, key: str, codes: str, most: float = MOST_DISTA
     equal = rows.withColumn("errors", errors).withColumn("stretches", stretches)
     places = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: _without(p, own(p), edge(own(p)), edge(own(p) + 1), F.col("n")))
     whole = F.array(F.xxhash64("n", "codes"))
-    found = _candidates(equal.select("key", "n", F.when(F.col("errors") > 0, places).otherwise(whole).alias("keys")), F.col("a.n") == F.col("b.n"))
+    found = _candidates(equal.select("key", "n", "marks", F.when(F.col("errors") > 0, places).otherwise(whole).alias("keys")), (F.col("a.n") == F.col("b.n")) & _may_fit(most))
     lengths = rows.agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
     if lengths.least != lengths.most:
         size = max(1, int(1 / max(most, 1 / 64) + 1e-9))
         upto = F.expr(f"n div {size}").cast("int") * size
         places = F.transform(F.sequence(F.lit(0), upto - 1), lambda p: _without(p, F.floor(p / size).cast("int"), (F.floor(p / size) * size).cast("int"), ((F.floor(p / size) + 1) * size).cast("int"), F.lit(-1)))
         none = F.array().cast("array<bigint>")
-        long = rows.select("key", "n", F.when(F.col("n") >= size, places).otherwise(none).alias("keys"))
+        long = rows.select("key", "n", "marks", F.when(F.col("n") >= size, places).otherwise(none).alias("keys"))
         both = F.least("a.n", "b.n")
         apart = F.col("a.n") != F.col("b.n")
-        found = found.unionByName(_candidates(long, apart & (both >= size)))
+        found = found.unionByName(_candidates(long, apart & (both >= size) & _may_fit(most)))
         begins = F.transform(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(size - 1))), lambda k: F.xxhash64(k, F.slice("codes", F.lit(1), k)))
         if lengths.least < size:
-            found = found.unionByName(_candidates(rows.select("key", "n", begins.alias("keys")), apart & (both < size) & (F.col("a.place") + 1 == both)))
+            found = found.unionByName(_candidates(rows.select("key", "n", "marks", begins.alias("keys")), apart & (both < size) & (F.col("a.place") + 1 == both)))
     of = lambda x: rows.select(F.col("key").alias(f"key_{x}"), F.col("codes").alias(f"codes_{x}"))
     scored = found.join(of("a"), "key_a").join(of("b"), "key_b").select("key_a", "key_b", positional_distance(F.col("codes_a"), F.col("codes_b")).alias("d"))
     return scored.where(F.col("d") <= most + 1e-12).select("key_a", "key_b", (1 - F.col("d")).alias("score"))
@@ -173,9 +175,27 @@ def _without(place: Column, stretch: Column, begin: Column, end: Column, seed: C
     return F.xxhash64(seed, stretch, place, F.slice("codes", begin + 1, place - begin), F.slice("codes", place + 2, end - place - 1))
 
 
+def _marks(kind: T.DataType, codes: Column) -> Column:
+    """Two bits of each of the first 64 codes, as a struct of two words: where the bits differ, so do the codes."""
+    whole = isinstance(kind, T.IntegralType)
+    bits = F.transform(F.slice(codes, 1, 64), lambda x: F.coalesce((x.cast("long") if whole else F.xxhash64(x)).bitwiseAND(F.lit(3).cast("long")), F.lit(0).cast("long")))
+    word = lambda x, at: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: F.shiftleft(s, 1).bitwiseOR(F.shiftright(v, at).bitwiseAND(F.lit(1).cast("long"))))
+    # the first code is the highest bit, however many there are
+    up = lambda x, at: F.call_function("shiftleft", word(x, at), 64 - F.size(x))
+    return bound(bits, lambda x: F.struct(up(x, 0).alias("low"), up(x, 1).alias("high")))
+
+
+def _may_fit(most: float) -> Column:
+    """False only for rows a and b whose codes differ, by their marks alone, in more than a share ``most`` of the shorter length."""
+    n = F.least("a.n", "b.n")
+    apart = F.col("a.marks.low").bitwiseXOR(F.col("b.marks.low")).bitwiseOR(F.col("a.marks.high").bitwiseXOR(F.col("b.marks.high")))
+    shared = F.call_function("shiftrightunsigned", apart, F.greatest(F.lit(0), 64 - n))
+    return F.bit_count(shared) <= F.floor(F.lit(most) * n + 1e-9)
+
+
 def _candidates(rows: DataFrame, fit: Column) -> DataFrame:
-    """(key_a, key_b), once each, of the rows (key, n, keys) that ``fit`` and have a key in common at its place."""
-    spread = rows.select("key", "n", F.posexplode("keys").alias("place", "value"))
+    """(key_a, key_b), once each, of the rows (key, n, marks, keys) that ``fit`` and have a key in common at its place."""
+    spread = rows.select("key", "n", "marks", F.posexplode("keys").alias("place", "value"))
     a, b = spread.alias("a"), spread.alias("b")
     # merged, as a broadcast of one side leaves all comparisons to the few tasks that read the other
     pairs = a.join(b.hint("merge"), (F.col("a.place") == F.col("b.place")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.key") < F.col("b.key")) & fit)

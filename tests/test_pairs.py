@@ -63,3 +63,26 @@ def test_candidates_are_few(spark):
     finally:
         pairs._candidates = real
     assert len(seen) == 1 and seen[0].count() < 3000 * 3000 / 2 / 1000
+
+
+def test_candidates_that_cannot_fit_stay_in_the_join(spark):
+    """Codes that share a stretch and little else are no rows to shuffle and compare in full."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 3, (300, 64))
+    codes[:, :13] = 1
+    codes[1, 13:60] = codes[0, 13:60]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(codes.tolist())], "id long, codes array<int>")
+    seen = []
+    real = pairs._candidates
+    try:
+        pairs._candidates = lambda *a: seen.append(out := real(*a)) or out
+        got = pairs.positional(df, "id", "codes")
+    finally:
+        pairs._candidates = real
+    assert [tuple(r) for r in seen[0].collect()] == [(0, 1)] == [(r.key_a, r.key_b) for r in got.collect()]
+
+
+def test_codes_of_other_kinds_are_compared_too(spark):
+    rows = [(1, ["a", "b", None] * 4), (2, ["a", "b", None] * 4), (3, ["a", "b", "c"] * 4), (4, ["a", "b", "c"] * 4), (5, ["a", "b", "c"] * 30), (6, ["x"] + ["b", "c", "a"] * 3)]
+    df = spark.createDataFrame(rows, "id long, codes array<string>")
+    assert sorted((r.key_a, r.key_b, r.score) for r in pairs.positional(df, "id", "codes").collect()) == [(3, 4, 1.0), (3, 5, 1.0), (3, 6, 0.9), (4, 5, 1.0), (4, 6, 0.9), (5, 6, 0.9)]
