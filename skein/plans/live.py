@@ -50,8 +50,9 @@ def metric_events(events: DataFrame) -> DataFrame:
     FROM flushes LEFT JOIN lag_points USING (labels_json, due)"""
 )
 def web_metrics(spark, d):
+    """All files of the table are one batch, as those in no order of time would lose their rows to the watermark."""
     where = scratch(spark, "metrics")
-    rows = monitor.web_metrics(metric_events(streaming.stream(spark, d)), f"{LATE_MINUTES} minutes")
+    rows = monitor.web_metrics(metric_events(streaming.stream(spark, d, files_per_batch=1_000_000)), f"{LATE_MINUTES} minutes")
     with monitor.state_store(spark):
         out = streaming.collected(rows, f"{where}/state", f"{where}/table")
     return out.withColumn("at", F.col("at").cast(NTZ))

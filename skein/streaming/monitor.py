@@ -1,7 +1,8 @@
 """Web metrics by label from a stream of events: two gauges, four totals and the exact median and 95th percentile of recent lags.
 
-Each label keeps, as arbitrary state, its totals, the events that the watermark hasn't passed yet and the lags of the trailing
-window, pruned at every flush. A flush is due at the end of each interval that has an event; it happens when the watermark
+Each label keeps, as arbitrary state, its totals, the events that the watermark hasn't passed yet, in parts by slices of time, and the
+lags of the trailing window, pruned at every flush. What is due is read one slice after the other, so a task holds a slice and
+a buffer of new events, however many a label has. A flush is due at the end of each interval that has an event; it happens when the watermark
 passes it and gives one row for each of the eight series. Events may come in any order within the watermark's delay, so the rows
 depend on the events alone, not on batches or restarts.
 """
@@ -28,9 +29,10 @@ ADDS = np.array(
     [[1, 0, 0, 0, 0, 0], [-1, 0, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0], [0, -1, 0, 0, 0, 0], [0, 0, 1, 0, 0, 0], [0, 0, 0, 1, 0, 0], [0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 1, 1]], np.int64
 )
 RESULT = "at timestamp, series string, labels_json string, value double"
-PENDING = ("at", "id", "kind", "count", "lag")
-STATE = "level array<bigint>, at array<bigint>, id array<bigint>, kind array<int>, count array<bigint>, lag array<double>, sample_at array<bigint>, sample_lag array<double>"
-TYPES = {"at": np.int64, "id": np.int64, "kind": np.int64, "count": np.int64, "lag": np.float64}
+EVENT = np.dtype([("at", np.int64), ("id", np.int64), ("kind", np.uint8), ("count", np.int64), ("lag", np.float64)])
+STATE = "level array<bigint>, first bigint, slice array<bigint>, parts array<int>, sample_at binary, sample_lag binary"
+# Microseconds of a slice of pending events, and new events that are put away at once.
+SLICE, BUFFER = 3600 * 1_000_000, 1_000_000
 
 
 def percentile(ordered: np.ndarray, p: float) -> float:
@@ -43,8 +45,8 @@ def percentile(ordered: np.ndarray, p: float) -> float:
     return float(ordered[low] if low == high else ordered[low] * (high - k) + ordered[high] * (k - low))
 
 
-def flushed(level: np.ndarray, events: dict[str, np.ndarray], samples: tuple[np.ndarray, np.ndarray], window: int, interval: int) -> tuple:
-    """(level, samples, [(at, eight values)]) after sorted events, all of whose flushes are due; times in microseconds."""
+def flushed(level: np.ndarray, events: np.ndarray, samples: tuple[np.ndarray, np.ndarray], window: int, interval: int) -> tuple:
+    """(level, samples, times, eight values for each) after sorted events, all of whose flushes are due; times in microseconds."""
     adds = ADDS[events["kind"]] * events["count"][:, None]
     adds[:, : len(GAUGES)] = ADDS[events["kind"], : len(GAUGES)]
     sums = level + np.cumsum(adds, axis=0)
@@ -55,11 +57,28 @@ def flushed(level: np.ndarray, events: dict[str, np.ndarray], samples: tuple[np.
     due = -(-events["at"] // interval) * interval
     last = np.r_[np.flatnonzero(np.diff(due)), len(due) - 1]
     first, end = np.searchsorted(at, due[last] - window, "left"), np.searchsorted(at, due[last], "right")
-    out = []
-    for k, a, b in zip(last.tolist(), first.tolist(), end.tolist()):
+    values = np.empty((len(last), len(SERIES)))
+    values[:, : len(SERIES) - len(LAGS)] = sums[last]
+    for k, (a, b) in enumerate(zip(first.tolist(), end.tolist())):
         ordered = np.sort(lag[a:b])
-        out.append((int(due[k]), [*map(float, sums[k]), percentile(ordered, 50.0), percentile(ordered, 95.0)]))
-    return sums[-1], (at[first[-1] :], lag[first[-1] :]), out
+        values[k, -2:] = percentile(ordered, 50.0), percentile(ordered, 95.0)
+    return sums[-1], (at[first[-1] :], lag[first[-1] :]), due[last], values
+
+
+def buffered(frames: Iterator[pd.DataFrame], size: int = BUFFER) -> Iterator[np.ndarray]:
+    """The frames' events as arrays of ``EVENT``, of about ``size`` each."""
+    held, n = [], 0
+    for f in frames:
+        rows = np.empty(len(f), EVENT)
+        for c in EVENT.names:
+            rows[c] = f[c].to_numpy()
+        held.append(rows)
+        n += len(rows)
+        if n >= size:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
 
 
 class Monitor(StatefulProcessor):
@@ -71,36 +90,57 @@ class Monitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("label", STATE)
+        self.pending = handle.getMapState("pending", "slice bigint, part int", "events binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if len(f)]
-        yield self.advance(key, frames, timerValues.getCurrentWatermarkInMs())
+        yield from self.advance(key, rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self.advance(key, iter(()), timerValues.getCurrentWatermarkInMs())
 
-    def advance(self, key: Any, frames: list[pd.DataFrame], watermark: int) -> pd.DataFrame:
+    def advance(self, key: Any, frames: Iterator[pd.DataFrame], watermark: int) -> Iterator[pd.DataFrame]:
         held = self.state.get()
         level = np.array(held[0], np.int64) if held else np.zeros(len(GAUGES) + len(TOTALS), np.int64)
-        parts = {c: [np.array(held[1 + k] if held else [], TYPES[c])] for k, c in enumerate(PENDING)}
-        samples = (np.array(held[6], np.int64), np.array(held[7], np.float64)) if held else (np.zeros(0, np.int64), np.zeros(0))
-        for f in frames:
-            for c in PENDING:
-                parts[c].append(f[c].to_numpy(TYPES[c]))
-        events = {c: np.concatenate(p) for c, p in parts.items()}
-        order = np.lexsort([events["id"], events["at"]])
-        events = {c: v[order] for c, v in events.items()}
-        due = -(-events["at"] // self.interval) * self.interval
-        n = int(np.searchsorted(due, watermark * 1000, "right"))
-        out = []
-        if n:
-            level, samples, out = flushed(level, {c: v[:n] for c, v in events.items()}, samples, self.window, self.interval)
-            events, due = {c: v[n:] for c, v in events.items()}, due[n:]
-        self.state.update((level.tolist(), *(events[c].tolist() for c in PENDING), samples[0].tolist(), samples[1].tolist()))
-        if len(due):
-            self.handle.registerTimer(int(due[0]) // 1000)
-        rows = [(pd.Timestamp(at, unit="us", tz="UTC"), series, key[0], value) for at, values in out for series, value in zip(SERIES, values)]
-        return pd.DataFrame(rows, columns=["at", "series", "labels_json", "value"])
+        first, parts = (held[1], dict(zip(held[2], held[3]))) if held else (None, {})
+        samples = (np.frombuffer(held[4], np.int64), np.frombuffer(held[5], np.float64)) if held else (np.zeros(0, np.int64), np.zeros(0))
+        for rows in buffered(frames):
+            due = self.due(rows)
+            first = int(due.min()) if first is None else min(first, int(due.min()))
+            slices = due // SLICE
+            order = np.argsort(slices, kind="stable")
+            of, begins = np.unique(slices[order], return_index=True)
+            for at, some in zip(of.tolist(), np.split(rows[order], begins[1:])):
+                self.put(at, parts, some)
+        passed = watermark * 1000
+        while first is not None and first <= passed:
+            at = min(parts)
+            rows = np.concatenate([np.frombuffer(self.pending.getValue((at, k))[0], EVENT) for k in range(parts[at])])
+            for k in range(parts.pop(at)):
+                self.pending.removeKey((at, k))
+            rows = rows[np.lexsort([rows["id"], rows["at"]])]
+            due = self.due(rows)
+            n = int(np.searchsorted(due, passed, "right"))
+            if n:
+                level, samples, times, values = flushed(level, rows[:n], samples, self.window, self.interval)
+                when = pd.to_datetime(np.repeat(times, len(SERIES)), unit="us", utc=True)
+                yield pd.DataFrame({"at": when, "series": SERIES * len(times), "labels_json": key[0], "value": values.ravel()})
+            if n < len(rows):
+                self.put(at, parts, rows[n:])
+                first = int(due[n])
+            else:
+                # where the next slice begins: no event of it is due before
+                first = min(parts) * SLICE if parts else None
+        self.state.update((level.tolist(), first, list(parts), list(parts.values()), samples[0].tobytes(), samples[1].tobytes()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+
+    def due(self, rows: np.ndarray) -> np.ndarray:
+        return -(-rows["at"] // self.interval) * self.interval
+
+    def put(self, at: int, parts: dict[int, int], rows: np.ndarray) -> None:
+        """Puts rows of the slice ``at`` away as its next part."""
+        self.pending.updateValue((at, parts.get(at, 0)), (rows.tobytes(),))
+        parts[at] = parts.get(at, 0) + 1
 
 
 def web_metrics(events: DataFrame, late: str = "10 minutes", window: int = WINDOW_SECONDS, interval: int = FLUSH_SECONDS) -> DataFrame:
@@ -108,7 +148,7 @@ def web_metrics(events: DataFrame, late: str = "10 minutes", window: int = WINDO
 
     Kinds are those of ``KINDS``; an ``ai_error`` is a request that failed. count is how often it happened (null: once, below zero: never), lag_ms is
     taken from deliveries, below zero as zero, null as none. Rows without a label or time, and of other kinds, are left out; rows later
-    than ``late`` are dropped by the watermark. A label's rows are held by one task, and no longer than the window or the delay.
+    than ``late`` are dropped by the watermark. A label's rows pass through one task, which holds a slice of them, and are kept no longer than the window or the delay.
     The session needs the RocksDB state store (see ``state_store``).
     """
     known = events.where(F.col("kind").isin(*KINDS) & F.col("labels_json").isNotNull() & F.col("ts").isNotNull()).withWatermark("ts", late)

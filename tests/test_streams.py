@@ -76,6 +76,33 @@ def test_metrics_restart_in_the_middle(spark, tmp_path):
     assert run(spark, f"{where}/events", f"{where}/whole", files=100) == got
 
 
+def test_pending_events_are_held_by_slices(spark, tmp_path):
+    """A label's events over many slices and parts of one, in one batch, are never flushed by more than a slice at a time."""
+    rows = metric_rows(600, 9)
+    folder = f"file://{tmp_path}/events"
+    spark.createDataFrame(random.Random(1).sample(rows, len(rows)), RAW).coalesce(1).write.parquet(folder)
+    assert run(spark, folder, f"file://{tmp_path}/out") == brute(rows, 30)
+    assert (rows[-1][2] - START).total_seconds() * 1_000_000 > 4 * monitor.SLICE
+    import pandas as pd
+
+    frame = pd.DataFrame({"at": range(25), "id": range(25), "kind": 4, "count": 1, "lag": None})
+    cut = [b for b in monitor.buffered(iter([frame[:10], frame[10:20], frame[20:]]), 15)]
+    assert [len(b) for b in cut] == [20, 5] and [int(x) for b in cut for x in b["at"]] == list(range(25))
+
+
+def test_files_in_no_order_of_time_lose_no_rows(spark, tmp_path):
+    """The query over a table of several files, the latest first, gives what it gives over one file."""
+    from skein.plans import live
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    edge = events.agg(F.percentile("event_id", 0.5)).first()[0]
+    for name, parts in {"one": ["true"], "more": [f"event_id > {edge}", f"event_id <= {edge}"]}.items():
+        for part in parts:
+            events.where(part).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}/events.parquet")
+    got = {n: sorted(map(tuple, live.web_metrics(spark, f"file://{tmp_path}/{n}").collect())) for n in ("one", "more")}
+    assert got["one"] and got["one"] == got["more"]
+
+
 def test_percentiles_interpolate():
     import numpy as np
 
