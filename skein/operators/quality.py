@@ -24,10 +24,9 @@ PROBE = f"streams array<{STREAM}>, format struct<format_name:string,format_long_
 def language_code(value: Column) -> Column:
     """A language tag as its two-letter code where it has one: ``eng``, ``en-US`` and ``EN`` are ``en``; other tags lose their region."""
     low = F.lower(F.trim(F.translate(value, "_", "-")))
-    first = F.substring_index(low, "-", 1)
     pairs = [F.lit(x) for two, threes in LANGUAGES.items() for three in threes.split() for x in (three, two)]
-    known = F.try_element_at(F.create_map(*pairs), first)
-    return F.nullif(F.coalesce(known, F.when(F.length(first) > 3, F.substring(first, 1, 3)).otherwise(first)), F.lit(""))
+    known = lambda first: F.coalesce(F.try_element_at(F.create_map(*pairs), first), F.substring(first, 1, 3))
+    return bound(F.substring_index(low, "-", 1), lambda first: F.when(first != "", known(first)))
 
 
 def _whole(value: Column) -> Column:
@@ -43,22 +42,22 @@ def streams(probe: Column) -> Column:
     def read(p: Column) -> Column:
         every = F.coalesce(p["streams"], F.array().cast(f"array<{STREAM}>"))
         of = lambda kind: F.filter(every, lambda s: F.lower(s["codec_type"]) == kind)
-        video = F.get(of("video"), F.lit(0))
         codec = lambda s: F.coalesce(F.nullif(s["codec_name"], F.lit("")), s["codec_long_name"])
         tag = lambda s: F.coalesce(*[F.nullif(F.try_element_at(s["tags"], F.lit(k)), F.lit("")) for k in ("language", "LANGUAGE", "lang")])
-        own, whole = _whole(video["bit_rate"]), _whole(p["format"]["bit_rate"])
-        return F.struct(
+        whole = _whole(p["format"]["bit_rate"])
+        made = lambda video: F.struct(
             F.coalesce(F.nullif(p["format"]["format_name"], F.lit("")), p["format"]["format_long_name"]).alias("container"),
             p["format"]["duration"].try_cast("double").alias("duration_s"),
             F.floor(whole / 1000).alias("container_kbps"),
             _whole(video["width"]).alias("width"),
             _whole(video["height"]).alias("height"),
-            own.alias("video_kbps"),
+            _whole(video["bit_rate"]).alias("video_kbps"),
             codec(video).alias("video_codec"),
             video["avg_frame_rate"].alias("frame_rate"),
             F.transform(of("audio"), lambda s: F.struct(codec(s).alias("codec"), _whole(s["channels"]).alias("channels"), language_code(tag(s)).alias("language"))).alias("audio"),
             F.transform(of("subtitle"), lambda s: F.struct(codec(s).alias("codec"), language_code(tag(s)).alias("language"))).alias("subtitles"),
         )
+        return bound(F.get(of("video"), F.lit(0)), made)
 
     parsed = F.from_json(probe, PROBE)
     return F.when(F.try_parse_json(probe).isNotNull(), bound(parsed, read))

@@ -57,3 +57,12 @@ def test_due_and_stored(spark):
     assert sorted(r.path for r in Q.due(inventory, old).collect()) == ["b", "c"]
     new = spark.createDataFrame([("b", day[2], 60), ("c", day[2], 70)], old.schema)
     assert sorted((r.path, r.score) for r in Q.stored(old, new).collect()) == [("a", 5), ("b", 60), ("c", 70), ("z", 7)] and Q.stored(None, new).count() == 2
+
+
+def test_a_tag_is_normalised_once(spark):
+    """The tag's first part is worked out once, however often the code uses it."""
+    plan = spark.createDataFrame([("eng-US",)], "x string").select(Q.language_code(F.col("x"))).toDF("c")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    rows = [("eng-US",), ("EN",), ("",), (None,), ("-x",), ("klingon",), (" ger_DE ",), ("xx",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string").select(Q.language_code(F.col("x"))).collect()]
+    assert got == ["en", "en", None, None, None, "kli", "de", "xx"]
