@@ -97,14 +97,16 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def meet(rows: DataFrame, table: DataFrame, on: str | list[str], heavy) -> DataFrame:
+def meet(rows: DataFrame, table: DataFrame, on: str | list[str], heavy, merge: bool = False) -> DataFrame:
     """Inner join of ``rows`` with a written ``table`` unique by ``on``; the rows of ``table`` that ``heavy`` (a column) marks are broadcast.
 
     Mark those that over a thousandth of all rows meet: there are a thousand at most, and no task gets all rows of such a key.
+    With ``merge`` the others are never broadcast, however small their files.
     """
-    keys = [on] if isinstance(on, str) else on
+    keys, heavy = [on] if isinstance(on, str) else on, F.col(heavy) if isinstance(heavy, str) else heavy
+    light = table.where(~heavy).hint("merge") if merge else table.where(~heavy)
     few = F.broadcast(table.where(heavy))
-    rest = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti").join(table.where(~heavy), keys)
+    rest = rows.join(F.broadcast(table.where(heavy).select(*keys)), keys, "left_anti").join(light, keys)
     return rows.join(few, keys).unionByName(rest)
 
 

@@ -10,8 +10,8 @@ belongs to the majority's if ``SIMILARITY`` of its tokens fit. Exact lines and t
 documents or more are dropped from every document; a blank line is never dropped.
 
 Counts are taken over distinct documents, with partial aggregates before each shuffle. Only leaves
-with enough documents are looked into, each distinct line of them once. Lines travel as hashes; texts
-are shuffled once, when decisions are applied.
+with enough documents are looked into, each distinct line of them once. Lines and tokens travel as hashes; texts
+are shuffled once, when decisions are applied. What is broadcast are counted rows of a few numbers.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_position, fresh, meet, written
 
 LEAD, SIMILARITY, CONSTANT, MIN_DOCS = 3, 0.8, 0.7, 5
-BROADCAST_ROWS, SALT = 200_000, 32
+BROADCAST_ROWS = 200_000
 SPACE = r"[\x09-\x0D\x20]+"
 # What a line must lack to be its own normal form: digits, other white space, spaces at the ends or in a row.
 ODD = r"[0-9\x09-\x0D]|^ | $|  "
@@ -33,15 +33,12 @@ def _normal(line: Column) -> Column:
     return F.when(line.rlike(ODD), F.array_join(masked, " ")).otherwise(line)
 
 
-def _spread(lines: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
-    """``lines`` joined to written rows ``few``: broadcast if their counted number allows it, else by a salted key.
+def _joined(rows: DataFrame, few: DataFrame, on: str | list[str], heavy: str | Column) -> DataFrame:
+    """``rows`` joined to written rows ``few``, unique by ``on``: broadcast if their counted number allows it, else only those that ``heavy`` marks.
 
-    The salt divides the lines of a frequent form by their document over ``SALT`` tasks.
+    Spark would choose by the bytes of files, which don't tell how many rows the driver has to hold.
     """
-    if few.count() <= BROADCAST_ROWS:
-        return lines.join(F.broadcast(few), on)
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return lines.withColumn("_salt", F.pmod("_key", F.lit(SALT)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
+    return rows.join(F.broadcast(few), on) if few.count() <= BROADCAST_ROWS else meet(rows, few, on, heavy, merge=True)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -60,50 +57,52 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_key, _drop: numbers of the lines to drop) of documents with any."""
     rows = _documents(docs)
     lines = written(_lines(rows).drop("_line"), "lines")
-    # documents of each exact line, one of them, and documents of each leaf
-    exact = lines.groupBy("_leaf", "_exact", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf", "_exact").agg(F.count("*").alias("docs"), F.min("_key").alias("_of"))
+    # documents of each exact line, one of them, whether over a thousandth of all lines are the same; documents of each leaf
+    hot = (F.sum("times") > lines.count() // 1000).alias("hot")
+    exact = lines.groupBy("_leaf", "_exact", "_key").agg(F.count("*").alias("times")).groupBy("_leaf", "_exact").agg(F.count("*").alias("docs"), F.min("_key").alias("_of"), hot)
     exact = written(exact, "exact-lines")
     leaves = lines.groupBy("_leaf", "_key").agg(F.lit(1).alias("one")).groupBy("_leaf").agg(F.count("*").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs)
     forms = exact.groupBy("_leaf").agg(F.count("*").alias("forms")).where("forms > 1")
-    leaves = written(leaves.join(forms, "_leaf").select("_leaf", "forms"), "leaves")
+    leaves = written(leaves.join(forms.hint("merge"), "_leaf").select("_leaf", "forms"), "leaves")
     all_forms = leaves.agg(F.coalesce(F.sum("forms"), F.lit(0)).alias("n")).first().n
     large = F.col("forms") > all_forms // 1000
-    wanted = written(meet(exact, leaves, "_leaf", large).drop("forms"), "wanted")
+    wanted = written(_joined(exact, leaves, "_leaf", large).drop("forms"), "wanted")
     # the tokens of each form in those leaves, from the document kept for it
     of = written(wanted.select(F.col("_of").alias("_key")).distinct(), "documents-of-forms")
-    kept = rows.join(F.broadcast(of) if of.count() <= BROADCAST_ROWS else of, "_key", "left_semi")
-    found = _spread(_lines(kept), wanted, ["_leaf", "_exact"]).where("_key = _of")
-    form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs")), "forms")
+    kept = rows.join(F.broadcast(of) if of.count() <= 3 * BROADCAST_ROWS else of.hint("merge"), "_key", "left_semi")  # one number a row
+    wanted = wanted.withColumnRenamed("_of", "_key")
+    found = _lines(kept).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge"), ["_leaf", "_exact", "_key"])
+    form = written(found.groupBy("_leaf", "_exact").agg(F.first("_line").alias("_line"), F.first("docs").alias("docs"), F.first("hot").alias("hot")), "forms")
     # the leading tokens, which all forms of a leaf share, are known to be frequent and stay out
     split = F.split("_line", " ")
     at = form.select("_leaf", "_exact", "docs", F.size(split).alias("n"), F.posexplode(F.slice(split, F.lit(LEAD + 1), F.size(split))).alias("_at", "_token"))
-    at = written(at, "places")
+    at = written(at.withColumn("_token", F.xxhash64("_token")), "places")
     share = form.groupBy("_leaf").agg(F.sum("docs").alias("all_docs"), F.count("*").alias("forms"))
     share = written(share, "shares")
     counted = at.groupBy("_leaf", "_at", "_token").agg(F.sum("docs").alias("have"), F.count("*").alias("holders"))
-    tokens = meet(counted, share, "_leaf", large)
+    tokens = _joined(counted, share, "_leaf", large)
     tokens = tokens.select("_leaf", "_at", "_token", "holders", (F.col("have") * 2 >= F.col("all_docs")).alias("major"), (F.col("have") >= min_docs).alias("often"))
     tokens = written(tokens.where("major or often"), "tokens")
     fixed = tokens.where("major").groupBy("_leaf").agg((F.count_distinct("_at") + LEAD).alias("fixed"))
-    fixed = written(share.join(fixed, "_leaf", "left").select("_leaf", "forms", F.coalesce("fixed", F.lit(LEAD)).alias("fixed")), "fixed")
+    fixed = written(share.join(fixed.hint("merge"), "_leaf", "left").select("_leaf", "forms", F.coalesce("fixed", F.lit(LEAD)).alias("fixed")), "fixed")
     often = F.when(F.col("often"), F.xxhash64("_at", "_token"))
-    held = meet(at.select("_leaf", "_exact", "_at", "_token"), tokens, ["_leaf", "_at", "_token"], F.col("holders") > at.count() // 1000)
+    held = _joined(at.select("_leaf", "_exact", "_at", "_token"), tokens, ["_leaf", "_at", "_token"], F.col("holders") > at.count() // 1000)
     held = held.groupBy("_leaf", "_exact").agg(F.count_if("major").alias("agree"), F.count_if("often").alias("frequent"), F.bit_xor(often).alias("template"))
     counts = [(F.coalesce(c, F.lit(0)) + LEAD).alias(c) for c in ("agree", "frequent")]
-    sizes = form.select("_leaf", "_exact", F.size(split).alias("n"))
-    fit = sizes.join(held, ["_leaf", "_exact"], "left").select("_leaf", "_exact", "n", *counts, F.coalesce("template", F.lit(0)).alias("template"))
+    sizes = form.select("_leaf", "_exact", "hot", F.size(split).alias("n"))
+    fit = sizes.join(held, ["_leaf", "_exact"], "left").select("_leaf", "_exact", "hot", "n", *counts, F.coalesce("template", F.lit(0)).alias("template"))
     # groups of forms: the majority's and that of each frequent template
     majority = (F.col("fixed") >= CONSTANT * F.col("n")) & (F.col("agree") + F.col("n") - F.col("fixed") >= SIMILARITY * F.col("n"))
     groups = F.array_compact(F.array(F.when(majority, F.xxhash64("_leaf")), F.when(F.col("frequent") >= CONSTANT * F.col("n"), F.xxhash64("_leaf", "template"))))
-    members = written(meet(fit, fixed, "_leaf", large).select("_leaf", "_exact", groups.alias("groups")).where("size(groups) > 0"), "members")
-    in_group = _spread(lines, members, ["_leaf", "_exact"]).select(F.explode("groups").alias("group"), "_key")
+    members = written(_joined(fit, fixed, "_leaf", large).select("_leaf", "_exact", "hot", groups.alias("groups")).where("size(groups) > 0"), "members")
+    in_group = _joined(lines, members, ["_leaf", "_exact"], "hot").select(F.explode("groups").alias("group"), "_key")
     in_group = in_group.groupBy("group", "_key").agg(F.lit(1).alias("one")).groupBy("group").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("group")
-    of_group = members.select("_leaf", "_exact", F.explode("groups").alias("group"))
-    in_group = written(of_group.groupBy("group").agg(F.count("*").alias("forms")).join(in_group, "group"), "groups")
-    grouped = meet(of_group, in_group, "group", large).select("_leaf", "_exact")
-    recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact").union(grouped).distinct()
+    of_group = members.select("_leaf", "_exact", "hot", F.explode("groups").alias("group"))
+    in_group = written(of_group.groupBy("group").agg(F.count("*").alias("forms")).join(in_group.hint("merge"), "group"), "groups")
+    grouped = _joined(of_group, in_group, "group", large).select("_leaf", "_exact", "hot")
+    recurring = exact.where(F.col("docs") >= min_docs).select("_leaf", "_exact", "hot").union(grouped).distinct()
     recurring = written(recurring, "recurring")
-    marked = _spread(lines, recurring, ["_leaf", "_exact"])
+    marked = _joined(lines, recurring, ["_leaf", "_exact"], "hot")
     return marked.groupBy("_key").agg(F.collect_set("_no").alias("_drop"))
 
 

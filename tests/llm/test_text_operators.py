@@ -96,6 +96,22 @@ def test_templates_match_brute_force(spark, monkeypatch, min_docs, broadcast):
     assert any(want.values()) and G.drop_recurring_lines(docs.where("false")).count() == 0
 
 
+def broadcast_rows(node):
+    """Rows of each broadcast in a plan that has run."""
+    inner = [getattr(node, f)() for kind, f in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if kind in node.getClass().getName()]
+    own = [node.metrics().apply("numOutputRows").value()] if "BroadcastExchangeExec" in node.getClass().getName() else []
+    return sum((broadcast_rows(x) for x in [*inner, *(node.children().apply(k) for k in range(node.children().size()))]), own)
+
+
+def test_many_recurring_lines_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 100)
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcdefghijklmn"]
+    out = G.drop_recurring_lines(spark.createDataFrame([(k, "\n".join(f"see {w} there" for w in words), "x") for k in range(5)], DOCS))
+    assert [r.n_dropped for r in out.collect()] == [2000] * 5
+    rows = broadcast_rows(out._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 1000, rows
+
+
 def test_templates_match_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
