@@ -3,8 +3,12 @@
 A write is a segment: its documents with their lengths, and its postings (term, path, places), laid out by buckets of terms
 so that a look-up reads the buckets of its terms alone. The newest segment that names a path holds it; older rows of that path no longer
 count, and a document whose text is null is gone. ``merged`` writes one segment of all live rows.
+
+Postings, which shuffled would take several times the room of the texts, are sorted and written by the task that reads their documents. A
+folder for each part of the tasks keeps them beside these documents, so that a merge goes part by part.
 """
 
+import math
 import operator
 from collections import defaultdict
 from functools import lru_cache, partial
@@ -17,10 +21,10 @@ from pyspark.sql import types as T
 from ..functions import stems
 from .search import B, K1, LEAST_IDF
 
-BUCKETS, SALT = 64, 16
+BUCKETS, PARTS, BROADCAST_ROWS = 64, 64, 200_000
 POSTINGS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))]))
-SEGMENT = "path string, term string, places array<int>, segment int, bucket int"
-DOCUMENT = "path string, length int, segment int"
+SEGMENT = "path string, term string, places array<int>, segment int, part int, bucket int"
+DOCUMENT = "path string, length int, part int, segment int"
 
 
 def placed_terms(text):
@@ -56,29 +60,37 @@ class TextIndex:
 
         A path twice in one segment keeps the row of the least text. A null path is left out; a null text removes its path.
         """
-        one = docs.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.min(text).alias("text"))
-        rows = one.select("path", F.col("text").isNull().alias("_gone"), placed_terms(F.col("text")).alias("_t"))
-        rows.select("path", "_gone", "_t").write.mode("overwrite").parquet(f"{self.folder}/new/segment={segment}")
-        rows = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/new/segment={segment}")
-        length = F.aggregate("_t", F.lit(0), lambda n, x: n + F.size(x["places"]))
-        rows.select("path", F.when(~F.col("_gone"), length).alias("length")).write.mode("overwrite").parquet(f"{self.folder}/documents/segment={segment}")
-        each = rows.select("path", F.explode("_t").alias("t")).select("path", "t.term", "t.places")
-        each = each.withColumn("bucket", self._bucket(F.col("term")))
-        # a frequent term's rows go to several tasks and files
-        laid = each.repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "path")
-        laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        one = docs.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text"))
+        cores = self.spark.sparkContext.defaultParallelism
+        if not one.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            one = one.groupBy("path").agg(F.min("text").alias("text"))
+        elif one.select(F.spark_partition_id()).distinct().count() < cores:
+            one = one.repartition(cores, "path")
+        rows = one.select("path", "text", (F.spark_partition_id() % PARTS).alias("part")).select("path", "part", F.col("text").isNull().alias("_gone"), placed_terms(F.col("text")).alias("_t"))
+        # a document's length goes along as places without a term, in a bucket of its own
+        length = F.when(~F.col("_gone"), F.aggregate("_t", F.lit(0), lambda n, x: n + F.size(x["places"])))
+        all_terms = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.array(length).alias("places"))), "_t")
+        each = rows.select("path", "part", F.explode(all_terms).alias("t")).select("path", "t.term", "t.places", "part")
+        self._lay(each.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(self._bucket(F.col("term")))), segment, "overwrite")
+        # the documents come last: until then the postings belong to no live document
+        held = self.spark.read.schema(SEGMENT.replace(" segment int,", "")).parquet(f"{self.folder}/postings/segment={segment}").where("bucket = -1")
+        held.select("path", F.col("places")[0].alias("length"), "part").coalesce(cores).write.mode("overwrite").parquet(f"{self.folder}/documents/segment={segment}")
+
+    def _lay(self, rows: DataFrame, segment: int, mode: str) -> None:
+        laid = rows.select("path", "term", "places", "part", "bucket").sortWithinPartitions("part", "bucket", "term", "path")
+        laid.write.mode(mode).partitionBy("part", "bucket").parquet(f"{self.folder}/postings/segment={segment}")
 
     def _bucket(self, term):
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
     def documents(self) -> DataFrame:
-        """(path, segment, length) of the live documents."""
+        """(path, segment, length, part) of the live documents."""
         rows = self.spark.read.schema(DOCUMENT).parquet(f"{self.folder}/documents")
-        newest = rows.groupBy("path").agg(F.max(F.struct("segment", "length")).alias("d"))
-        return newest.select("path", "d.segment", "d.length").where("length is not null")
+        newest = rows.groupBy("path").agg(F.max(F.struct("segment", "length", "part")).alias("d"))
+        return newest.select("path", "d.segment", "d.length", "d.part").where("length is not null")
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.documents(), ["path", "segment"])
+        return rows.drop("part").join(self.documents(), ["path", "segment"])
 
     def phrase(self, words: list[str], prefix: bool = False) -> DataFrame:
         """(path, length, hits): live documents that hold the terms one after the other, and how often.
@@ -137,11 +149,34 @@ class TextIndex:
         return table.join(F.broadcast(best), "path").crossJoin(F.broadcast(total)).orderBy(F.desc("score"), "path")  # at most a page; one row
 
     def merged(self, segment: int, *older: int) -> None:
-        """Writes the live rows of the segments ``older`` as one segment, which must be the newest; the old ones may be removed then."""
-        docs = self.documents().where(F.col("segment").isin(*older))
-        docs.select("path", "length").write.mode("overwrite").parquet(f"{self.folder}/documents.merged/segment={segment}")
-        rows = self.spark.read.schema(SEGMENT).parquet(f"{self.folder}/postings").join(docs.select("path", "segment"), ["path", "segment"], "left_semi")
-        laid = rows.select("path", "term", "places", "bucket").repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(SALT))).sortWithinPartitions("bucket", "term", "path")
-        laid.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings/segment={segment}")
+        """Writes the live rows of the segments ``older`` as one segment, which must be the newest; the old ones may be removed then.
+
+        Parts are taken together as long as a broadcast holds their documents; one with more documents is read for each share of them.
+        """
+        staged = f"{self.folder}/documents.merged/segment={segment}"
+        self.documents().where(F.col("segment").isin(*older)).write.mode("overwrite").parquet(staged)
+        docs = self.spark.read.schema("path string, segment int, length int, part int").parquet(staged)
+        postings, mode = self.spark.read.schema(SEGMENT).parquet(f"{self.folder}/postings").where(F.col("segment").isin(*older) & F.col("term").isNotNull()), "overwrite"
+        for parts, share, shares in _shares({r.part: r["count"] for r in docs.groupBy("part").count().collect()}):
+            live = docs.where(F.col("part").isin(*parts) & (F.pmod(F.xxhash64("path"), F.lit(shares)) == share)).select("path", "segment")
+            self._lay(postings.where(F.col("part").isin(*parts)).join(F.broadcast(live), ["path", "segment"], "left_semi"), segment, mode)
+            mode = "append"
         # the documents come last: until then the new postings belong to no live document
-        self.spark.read.schema("path string, length int").parquet(f"{self.folder}/documents.merged/segment={segment}").write.mode("overwrite").parquet(f"{self.folder}/documents/segment={segment}")
+        docs.select("path", "length", "part").write.mode("overwrite").parquet(f"{self.folder}/documents/segment={segment}")
+
+
+def _shares(counts: dict[int, int]) -> list[tuple[list[int], int, int]]:
+    """(parts, share, shares) of each step of a merge, with ``BROADCAST_ROWS`` documents or so at most."""
+    steps, held = [], BROADCAST_ROWS
+    for part, n in sorted(counts.items()):
+        if n > BROADCAST_ROWS:
+            shares = math.ceil(n / BROADCAST_ROWS)
+            steps += [([part], k, shares) for k in range(shares)]
+            held = BROADCAST_ROWS
+        elif held + n > BROADCAST_ROWS:
+            steps.append(([part], 0, 1))
+            held = n
+        else:
+            steps[-1][0].append(part)
+            held += n
+    return steps

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import stems
+from skein.operators import index as I
 from skein.operators import scan
 from skein.operators.index import TextIndex
 from skein.plans import stored
@@ -89,6 +90,42 @@ def test_index_against_plain_loops(spark, tmp_path):
     assert [r.path for p in pages for r in p] == [p for p, _ in best[:10]] and {r.total for p in pages for r in p} == {len(best)}
 
 
+def test_index_is_written_and_merged_without_shuffling_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BROADCAST_ROWS", 60)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    docs = {f"p{k}": " ".join(rng.choices(words, k=300)) for k in range(400)}
+    frame = lambda rows: spark.createDataFrame(rows, "path string, text string")
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getPath(): f.length() for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    index, before = TextIndex(spark, f"file://{tmp_path}/i", 4), shuffled()
+    index.write(frame(list(docs.items())), 0)
+    changed = {f"p{k}": " ".join(rng.choices(words, k=200)) for k in range(0, 500, 3)}
+    index.write(frame([*changed.items(), ("p1", None)]), 1)
+    index.merged(2, 0, 1)
+    room = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    assert sum(n for f, n in shuffled().items() if f not in before) < room / 10
+    docs = {p: t for p, t in (docs | changed).items() if p != "p1"}
+    got = spark.read.schema(I.SEGMENT).parquet(f"file://{tmp_path}/i/postings").where("segment = 2").select("path", "term", "places").collect()
+    assert sorted((r.path, k, r.term) for r in got for k in r.places) == sorted((p, k, w) for p, t in docs.items() for k, w in enumerate(stems.terms(t)))
+    assert len(got) == len({(r.path, r.term) for r in got}) and {(r.path, r.segment, r.length) for r in index.documents().collect()} == {(p, 2, len(t.split())) for p, t in docs.items()}
+
+
+def test_path_twice_in_a_segment_keeps_the_least_text(spark, tmp_path):
+    index = TextIndex(spark, f"file://{tmp_path}/i", 4)
+    index.write(spark.createDataFrame([("a", "two words"), ("a", "one"), ("b", None), ("b", "of three words"), ("c", None), (None, "no path")], "path string, text string"), 0)
+    assert {(r.path, r.length) for r in index.documents().collect()} == {("a", 1), ("b", 3)}
+
+
+def test_shares_of_a_merge(monkeypatch):
+    monkeypatch.setattr(I, "BROADCAST_ROWS", 10)
+    assert I._shares({}) == []
+    assert I._shares({3: 4, 0: 6, 1: 25, 2: 5, 4: 2}) == [([0], 0, 1), ([1], 0, 3), ([1], 1, 3), ([1], 2, 3), ([2, 3], 0, 1), ([4], 0, 1)]
+
+
 FILES = "id long, path string, size_bytes long, mtime_utc timestamp_ntz, hash string, deleted boolean, deleted_ts timestamp_ntz, media string"
 LISTED = "path string, size_bytes long, mtime_utc timestamp_ntz"
 DAY = dt.datetime(2024, 1, 1)
