@@ -11,6 +11,7 @@ folder for each part of the tasks keeps them beside these documents, so that a m
 import math
 import operator
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
@@ -19,36 +20,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stems
+from ..sources.shared import written
 from .search import B, K1, LEAST_IDF
 
-BUCKETS, PARTS, BROADCAST_ROWS = 64, 64, 200_000
+BUCKETS, PARTS, BROADCAST_ROWS = 64, 16, 200_000
+TEXTS = 256  # whose postings Python holds at a time
 POSTINGS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("places", T.ArrayType(T.IntegerType()))]))
 SEGMENT = "path string, term string, places array<int>, segment int, part int, bucket int"
 DOCUMENT = "path string, length int, part int, segment int"
 
 
 def placed_terms(text):
-    """Column: the terms of a text, each with its places from 0 in order; a null or empty text has none."""
+    """Column: the terms of a text, each with its places from 0 in order; a null or empty text has none. A few texts of a batch are read at a time."""
 
     @F.arrow_udf(POSTINGS)
-    def split(column: pa.Array) -> pa.Array:
+    def split(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = lru_cache(maxsize=1 << 17)(stems.stem)
-        ends, names, place_ends, places = [0], [], [0], []
-        for value in column.to_pylist():
-            at = defaultdict(list)
-            for k, word in enumerate(stems.WORD.findall(stems.folded(value or ""))):
-                at[known(word)].append(k)
-            for term, found in at.items():
-                names.append(term)
-                places += found
-                place_ends.append(len(places))
-            ends.append(len(names))
-        lists = pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32()))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), lists], ["term", "places"]))
+        for column in columns:
+            for first in range(0, len(column), TEXTS):
+                yield _postings(column.slice(first, TEXTS).to_pylist(), known)
 
     return split(text)
 
 
+def _postings(texts: list[str | None], known: Callable[[str], str]) -> pa.Array:
+    ends, names, place_ends, places = [0], [], [0], []
+    for value in texts:
+        at = defaultdict(list)
+        for k, word in enumerate(stems.WORD.findall(stems.folded(value or ""))):
+            at[known(word)].append(k)
+        for term, found in at.items():
+            names.append(term)
+            places += found
+            place_ends.append(len(places))
+        ends.append(len(names))
+    lists = pa.ListArray.from_arrays(pa.array(place_ends, pa.int32()), pa.array(places, pa.int32()))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(names, pa.string()), lists], ["term", "places"]))
+
+
 class TextIndex:
     """An index in a folder."""
 
@@ -92,12 +101,16 @@ class TextIndex:
     def _live(self, rows: DataFrame) -> DataFrame:
         return rows.drop("part").join(self.documents(), ["path", "segment"])
 
-    def phrase(self, words: list[str], prefix: bool = False) -> DataFrame:
+    def postings(self) -> DataFrame:
+        """The postings of all segments, their files listed now."""
+        return self.spark.read.schema(SEGMENT).parquet(f"{self.folder}/postings")
+
+    def phrase(self, words: list[str], prefix: bool = False, listed: DataFrame | None = None) -> DataFrame:
         """(path, length, hits): live documents that hold the terms one after the other, and how often.
 
-        With ``prefix`` the one word is a beginning, which isn't stemmed. No word: no row.
+        With ``prefix`` the one word is a beginning, which isn't stemmed. No word: no row. ``listed``: postings that were listed before.
         """
-        postings = self.spark.read.schema(SEGMENT).parquet(f"{self.folder}/postings")
+        postings = self.postings() if listed is None else listed
         if prefix:
             found = self._live(postings.where(F.col("term").startswith(words[0])))
             return found.groupBy("path", "length").agg(F.sum(F.size("places")).alias("hits"))
@@ -119,17 +132,18 @@ class TextIndex:
         """(path, score) of live documents that hold every phrase, by BM25; larger is better.
 
         A phrase is a text of one or more words, put through ``terms``; one that ends in ``*`` is a word's beginning. Statistics cover
-        all live documents. A phrase without words holds nowhere.
+        all live documents. A phrase without words holds nowhere. What the phrases hit is written, as it is read more than once.
         """
         stats = self.documents().agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-        parts = []
+        parts, listed = [], self.postings()
         for k, phrase in enumerate(phrases):
             prefix = phrase.endswith("*")
             words = [stems.folded(phrase[:-1].strip())] if prefix else stems.terms(phrase)
-            parts.append(self.phrase(words, prefix).withColumn("phrase", F.lit(k)))
+            parts.append(self.phrase(words, prefix, listed).withColumn("phrase", F.lit(k)))
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
+        hits = written(hits, "hits")
         df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row for each phrase
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         weight = idf * F.col("hits") * (K1 + 1) / (F.col("hits") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
@@ -144,6 +158,7 @@ class TextIndex:
         hits = self.search(*phrases).join(table.select("path"), "path", "left_semi")
         if digits is not None:
             hits = hits.withColumn("score", F.round("score", digits))
+        hits = written(hits, "scores")
         total = hits.agg(F.count("*").alias("total"))
         best = hits.orderBy(F.desc("score"), "path").limit(offset + limit).orderBy(F.desc("score"), "path").offset(offset)
         return table.join(F.broadcast(best), "path").crossJoin(F.broadcast(total)).orderBy(F.desc("score"), "path")  # at most a page; one row
@@ -156,7 +171,7 @@ class TextIndex:
         staged = f"{self.folder}/documents.merged/segment={segment}"
         self.documents().where(F.col("segment").isin(*older)).write.mode("overwrite").parquet(staged)
         docs = self.spark.read.schema("path string, segment int, length int, part int").parquet(staged)
-        postings, mode = self.spark.read.schema(SEGMENT).parquet(f"{self.folder}/postings").where(F.col("segment").isin(*older) & F.col("term").isNotNull()), "overwrite"
+        postings, mode = self.postings().where(F.col("segment").isin(*older) & F.col("term").isNotNull()), "overwrite"
         for parts, share, shares in _shares({r.part: r["count"] for r in docs.groupBy("part").count().collect()}):
             live = docs.where(F.col("part").isin(*parts) & (F.pmod(F.xxhash64("path"), F.lit(shares)) == share)).select("path", "segment")
             self._lay(postings.where(F.col("part").isin(*parts)).join(F.broadcast(live), ["path", "segment"], "left_semi"), segment, mode)
